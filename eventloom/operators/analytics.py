@@ -113,7 +113,7 @@ def funnel(
     neighbouring slots the latest A and the earliest B decide; further apart
     nothing can match. So four extremes per user, event and slot hold all that
     is needed. They are built before the shuffle, whatever the size of a user,
-    and no pair of events is ever formed.
+    and no pair of events is ever formed. Pairs nobody completed show 0.
     """
     if len(steps) < 2:
         raise ValueError("at least 2 steps required")
@@ -166,43 +166,32 @@ def funnel(
             F.max(F.when(is_b & same, F.col("last_b"))).alias("last_b"),
             F.min(F.when(is_b & following, F.col("first_b"))).alias("next_b"),
         )
-        .where(
-            (F.col("first_a") <= F.col("last_b"))
-            | (F.col("next_b") - F.col("last_a") <= length)
+        .withColumn(
+            "met",
+            F.coalesce(F.col("first_a") <= F.col("last_b"), F.lit(False))
+            | F.coalesce(F.col("next_b") - F.col("last_a") <= length, F.lit(False)),
         )
     )
-    users = (
-        meetings.select("project_id", "user_id", "pair")
-        .distinct()
-        .groupBy("project_id", "pair")
-        .agg(F.count("*").alias("users"))
+    per_user = meetings.groupBy("project_id", "user_id", "pair").agg(F.max("met").alias("met"))
+    counted = per_user.groupBy(*_keys(project, "")).agg(
+        *[
+            F.count_if(F.col("met") & (F.col("pair") == i)).alias(f"users_{i}")
+            for i in range(len(steps) - 1)
+        ]
     )
-    return _by_pair(chosen if project is None else None, users, steps, project)
-
-
-def _by_pair(
-    chosen: DataFrame | None, users: DataFrame, steps: Sequence[str], project: str | None
-) -> DataFrame:
-    """One row per pair in step order; pairs nobody completed show 0."""
-    pairs = F.array(
+    rows = F.array(
         *[
             F.struct(
-                F.lit(i).alias("pair"), F.lit(a).alias("from"), F.lit(b).alias("to")
+                F.lit(i).alias("pair"),
+                F.lit(a).alias("from"),
+                F.lit(b).alias("to"),
+                F.col(f"users_{i}").alias("users"),
             )
             for i, (a, b) in enumerate(zip(steps, steps[1:], strict=False))
         ]
     )
-    if project is None:
-        wanted = chosen.select("project_id").distinct()
-    else:
-        wanted = users.sparkSession.range(1).select(F.lit(project).alias("project_id"))
-    full = wanted.select("project_id", F.inline(pairs)).join(
-        users, ["project_id", "pair"], "left"
-    )
-    ordered = full.orderBy("project_id", "pair").select(
-        "project_id", "pair", "from", "to", F.coalesce("users", F.lit(0)).alias("users")
-    )
-    return ordered if project is None else ordered.drop("project_id")
+    keys = _keys(project, "")
+    return counted.select(*keys, F.inline(rows)).orderBy(*keys, "pair")
 
 
 def _weeks(

@@ -126,13 +126,22 @@ def live_messages(rollups: DataFrame) -> DataFrame:
 
 
 def live_counts(
-    events: DataFrame, now: object, project: str | None = None, ts_col: str = "ts"
+    events: DataFrame, now: object = None, project: str | None = None, ts_col: str = "ts"
 ) -> DataFrame:
-    """Events per name in the clock minute of `now`."""
-    kind = events.schema[ts_col].dataType
-    start = F.date_trunc("minute", F.lit(now).cast("timestamp")).cast(kind)
-    end = start + F.expr("interval 1 minute")
-    current = events.where((F.col(ts_col) >= start) & (F.col(ts_col) < end))
+    """Events per name in the clock minute of `now`.
+
+    Without `now` it is the minute of the latest event, for replays.
+    """
     if project is not None:
-        current = current.where(F.col("project_id") == project)
+        events = events.where(F.col("project_id") == project)
+    if now is None:
+        latest = events.agg(clock.bucket(F.max(ts_col), "minute").alias("minute"))
+        current = events.withColumn("minute", clock.bucket(F.col(ts_col), "minute")).join(
+            latest, "minute"
+        )
+    else:
+        kind = events.schema[ts_col].dataType
+        start = F.date_trunc("minute", F.lit(now).cast("timestamp")).cast(kind)
+        end = start + F.expr("interval 1 minute")
+        current = events.where((F.col(ts_col) >= start) & (F.col(ts_col) < end))
     return current.groupBy(*KEY).agg(F.count("*").alias("count"))
