@@ -62,7 +62,7 @@ def dlq_store(messages: DataFrame, at: Column, value_col: str = "value") -> Data
     The id is built from the original coordinates, so storing a message again
     yields the same row.
     """
-    parsed = messages.select(F.from_json(value_col, ENVELOPE_SCHEMA).alias("m"))
+    parsed = messages.withColumn("m", F.from_json(value_col, ENVELOPE_SCHEMA))
     topic, part, offset = (
         F.col("m.originalTopic"), F.col("m.originalPartition"), F.col("m.originalOffset"),
     )

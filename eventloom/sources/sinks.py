@@ -78,16 +78,32 @@ def expire_events(
 
 
 def write_rollups(df: DataFrame, batch_id: int, path: str) -> None:
-    """Add the rollups of a micro-batch; `read_rollups` merges them."""
+    """Add the sketch rollups of a micro-batch; `read_rollups` merges them."""
     write_batch(df, batch_id, path)
 
 
-def write_topic(df: DataFrame, topic: str, servers: str) -> None:
-    """Publish key and value to a Kafka topic; needs Spark's Kafka connector."""
-    (
-        df.select(F.col("key").cast("string"), F.col("value").cast("string"))
-        .write.format("kafka")
-        .option("kafka.bootstrap.servers", servers)
-        .option("topic", topic)
-        .save()
+def read_sketch_rollups(spark: SparkSession, path: str) -> DataFrame:
+    """One row per project, event and minute, with the sketch of its users."""
+    return merge_sketch_rollups(spark.read.parquet(path))
+
+
+def merge_sketch_rollups(deltas: DataFrame) -> DataFrame:
+    return deltas.groupBy("project_id", "event", "bucket").agg(
+        F.sum("count").alias("count"), F.hll_union_agg("users_sketch").alias("users_sketch")
     )
+
+
+def read_rollups(spark: SparkSession, path: str) -> DataFrame:
+    """Rollups with `unique_users`: the day's users so far, on each bucket of it."""
+    minutes = read_sketch_rollups(spark, path).withColumn("day", F.col("bucket").cast("date"))
+    days = minutes.groupBy("project_id", "event", "day").agg(
+        F.hll_sketch_estimate(F.hll_union_agg("users_sketch")).alias("unique_users")
+    )
+    return minutes.join(days, ["project_id", "event", "day"]).select(
+        "project_id", "event", "bucket", "count", "unique_users", "users_sketch"
+    )
+
+
+def compact_rollups(spark: SparkSession, source: str, target: str) -> None:
+    """Write the merged rollups as one batch of a new folder."""
+    write_rollups(read_sketch_rollups(spark, source), 0, target)
