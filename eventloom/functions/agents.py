@@ -6,61 +6,87 @@ on the column itself: no shuffle, no Python, no per-row library.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Pattern and name, the first match wins.
+# Texts that must all occur, and the name they stand for. The first
+# match wins.
 BROWSERS = (
-    (r"Edg(e|A|iOS)?/", "Edge"),
-    (r"OPR/|Opera", "Opera"),
-    (r"SamsungBrowser/", "Samsung Internet"),
-    (r"YaBrowser/", "Yandex"),
-    (r"Vivaldi/", "Vivaldi"),
-    (r"UCBrowser/", "UCBrowser"),
-    (r"HeadlessChrome", "Chrome Headless"),
-    (r"; wv\).*Chrome/", "Chrome WebView"),
-    (r"CriOS/", "Mobile Chrome"),
-    (r"FxiOS/|Mobile.*Firefox/|Firefox/.*Mobile", "Mobile Firefox"),
-    (r"Chrome/.*Mobile", "Mobile Chrome"),
-    (r"Chromium/", "Chromium"),
-    (r"Chrome/", "Chrome"),
-    (r"Firefox/", "Firefox"),
-    (r"Version/.*Mobile.*Safari/", "Mobile Safari"),
-    (r"Version/.*Safari/", "Safari"),
-    (r"MSIE |Trident/", "IE"),
+    (("Edg/",), "Edge"),
+    (("EdgA/",), "Edge"),
+    (("EdgiOS/",), "Edge"),
+    (("Edge/",), "Edge"),
+    (("OPR/",), "Opera"),
+    (("Opera",), "Opera"),
+    (("SamsungBrowser/",), "Samsung Internet"),
+    (("YaBrowser/",), "Yandex"),
+    (("Vivaldi/",), "Vivaldi"),
+    (("UCBrowser/",), "UCBrowser"),
+    (("HeadlessChrome",), "Chrome Headless"),
+    (("; wv)", "Chrome/"), "Chrome WebView"),
+    (("CriOS/",), "Mobile Chrome"),
+    (("FxiOS/",), "Mobile Firefox"),
+    (("Firefox/", "Mobile"), "Mobile Firefox"),
+    (("Chrome/", "Mobile"), "Mobile Chrome"),
+    (("Chromium/",), "Chromium"),
+    (("Chrome/",), "Chrome"),
+    (("Firefox/",), "Firefox"),
+    (("Version/", "Mobile", "Safari/"), "Mobile Safari"),
+    (("Version/", "Safari/"), "Safari"),
+    (("MSIE ",), "IE"),
+    (("Trident/",), "IE"),
 )
 
-# Pattern and name, the first match wins.
+# Fixed values, as above.
 SYSTEMS = (
-    (r"Windows Phone", "Windows Phone"),
-    (r"Windows", "Windows"),
-    (r"iPhone|iPad|iPod", "iOS"),
-    (r"Android", "Android"),
-    (r"CrOS", "Chrome OS"),
-    (r"Macintosh|Mac OS X", "macOS"),
-    (r"Ubuntu", "Ubuntu"),
-    (r"Fedora", "Fedora"),
-    (r"Debian", "Debian"),
-    (r"Linux", "Linux"),
+    (("Windows Phone",), "Windows Phone"),
+    (("Windows",), "Windows"),
+    (("iPhone",), "iOS"),
+    (("iPad",), "iOS"),
+    (("iPod",), "iOS"),
+    (("Android",), "Android"),
+    (("CrOS",), "Chrome OS"),
+    (("Macintosh",), "macOS"),
+    (("Mac OS X",), "macOS"),
+    (("Ubuntu",), "Ubuntu"),
+    (("Fedora",), "Fedora"),
+    (("Debian",), "Debian"),
+    (("Linux",), "Linux"),
 )
 
-# Pattern and device type, the first match wins.
+# Fixed values, as above.
 DEVICES = (
-    (r"SmartTV|SMART-TV|AppleTV|GoogleTV|BRAVIA|Tizen.*TV|Web0S", "smarttv"),
-    (r"PlayStation|Xbox|Nintendo", "console"),
-    (r"iPad|Tablet", "tablet"),
-    (r"iPhone|iPod|Windows Phone|Mobile", "mobile"),
-    (r"Android", "tablet"),
+    (("SmartTV",), "smarttv"),
+    (("SMART-TV",), "smarttv"),
+    (("AppleTV",), "smarttv"),
+    (("GoogleTV",), "smarttv"),
+    (("BRAVIA",), "smarttv"),
+    (("Web0S",), "smarttv"),
+    (("PlayStation",), "console"),
+    (("Xbox",), "console"),
+    (("Nintendo",), "console"),
+    (("iPad",), "tablet"),
+    (("Tablet",), "tablet"),
+    (("Mobile",), "mobile"),
+    (("iPhone",), "mobile"),
+    (("iPod",), "mobile"),
+    (("Android",), "tablet"),
 )
 
 UNKNOWN = "unknown"
 DEFAULT_DEVICE = "desktop"
 
 
-def _first_match(agent: Column, rules: tuple[tuple[str, str], ...], default: str) -> Column:
+def _first_match(
+    agent: Column, rules: tuple[tuple[tuple[str, ...], str], ...], default: str
+) -> Column:
     result = F.when(F.coalesce(agent, F.lit("")) == "", F.lit(UNKNOWN))
-    for pattern, name in rules:
-        result = result.when(agent.rlike(pattern), F.lit(name))
+    for texts, name in rules:
+        found = reduce(and_, [agent.contains(text) for text in texts])
+        result = result.when(found, F.lit(name))
     return result.otherwise(F.lit(default))
 
 

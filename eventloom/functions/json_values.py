@@ -11,22 +11,32 @@ def field(value: Column, name: str) -> Column:
     return F.try_variant_get(value, f"$.{name}", "variant")
 
 
+# First word of a VARIANT's type, and the JSON kind it stands for.
+# Every other type is a number.
+KINDS = {
+    "VOID": "null",
+    "STRING": "string",
+    "BOOLEAN": "boolean",
+    "ARRAY": "array",
+    "OBJECT": "object",
+}
+
+
 def kind(value: Column) -> Column:
     """JSON kind by name: the words a validator would use.
 
     NULL input (an absent value) is ``undefined``. Numbers of every width are
-    ``number``.
+    ``number``. The type is looked up once per value.
     """
-    shape = F.schema_of_variant(value)
-    return (
-        F.when(value.isNull(), F.lit("undefined"))
-        .when(shape == "VOID", F.lit("null"))
-        .when(shape == "STRING", F.lit("string"))
-        .when(shape == "BOOLEAN", F.lit("boolean"))
-        .when(shape.startswith("ARRAY"), F.lit("array"))
-        .when(shape.startswith("OBJECT"), F.lit("object"))
-        .otherwise(F.lit("number"))
-    )
+    names = F.create_map(*[F.lit(word) for pair in KINDS.items() for word in pair])
+    head = F.substring_index(F.substring_index(F.schema_of_variant(value), "<", 1), "(", 1)
+    other = F.when(value.isNull(), F.lit("undefined")).otherwise(F.lit("number"))
+    return F.coalesce(F.try_element_at(names, head), other)
+
+
+def is_nothing(value: Column) -> Column:
+    """Absent or JSON null."""
+    return value.isNull() | F.is_variant_null(value)
 
 
 def as_map(value: Column) -> Column:
@@ -41,11 +51,5 @@ def text(value: Column) -> Column:
 
 def truthy(value: Column) -> Column:
     """Whether a JSON value counts as set: not absent, null, '', 0 or false."""
-    shape = kind(value)
-    return (
-        F.when(shape.isin("undefined", "null"), F.lit(False))
-        .when(shape == "string", value.try_cast("string") != "")
-        .when(shape == "boolean", value.try_cast("boolean"))
-        .when(shape == "number", value.try_cast("double") != 0)
-        .otherwise(F.lit(True))
-    )
+    empty = F.to_json(value).isin('""', "0", "0.0", "-0.0", "false")
+    return ~is_nothing(value) & ~F.coalesce(empty, F.lit(False))

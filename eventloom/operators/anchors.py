@@ -67,43 +67,52 @@ def anchor_table(
     ensure_checkpoint_dir(instants.sparkSession)
     ttl = ttl_seconds * MICROS
     keys = list(keys)
-    placed = instants.select(*keys, "us", clock.slot(F.col("us"), ttl).alias("block"))
-    # Read three times below, and the choice of plan depends on it.
-    blocks = _islands(placed, keys, ttl).checkpoint()
+    placed = instants.withColumn("block", clock.slot(F.col("us"), ttl))
+    blocks = _islands(placed, keys, ttl)
 
     short = F.col("island_hi") - F.col("island_lo") < ttl
-    heavy = ~short & (F.col("island_n") > fold_limit)
-    anchors = [
-        blocks.where(short)
-        .where(F.col("block") == F.col("first_block"))
-        .select(*keys, F.col("island_lo").alias("anchor_us")),
-        _folded(placed, blocks.where(~short & ~heavy), keys, ttl),
-    ]
-    # One row tells whether any island is too large to fold.
-    if not blocks.where(heavy).select(F.lit(1)).limit(1).isEmpty():
-        anchors.append(_treed(placed, blocks.where(heavy), keys, ttl, fan_in, levels))
-    found = anchors[0]
-    for more in anchors[1:]:
-        found = found.unionByName(more)
-    if "tie" in instants.columns:
-        firsts = instants.groupBy(*keys, F.col("us").alias("anchor_us"))
-        found = found.join(firsts.agg(F.min("tie").alias("tie")), [*keys, "anchor_us"])
-    else:
-        found = found.withColumn("tie", F.lit(None).cast("bigint"))
-
-    # Each anchor reports to its own block and to the next one.
-    reports = found.select(
+    first = F.col("block") == F.col("first_block")
+    solved = blocks.where(short).select(
         *keys,
-        "anchor_us",
-        "tie",
-        clock.slot(F.col("anchor_us"), ttl).alias("home"),
-        F.explode(F.array(F.lit(0), F.lit(1))).alias("step"),
+        "block",
+        F.when(first, F.col("island_lo")).alias("own_us"),
+        F.when(first, F.col("tie")).alias("own_tie"),
+        F.when(~first, F.col("island_lo")).alias("carry_us"),
     )
-    return reports.groupBy(*keys, (F.col("home") + F.col("step")).alias("block")).agg(
-        F.max(F.when(F.col("step") == 0, F.col("anchor_us"))).alias("own_us"),
-        F.max(F.when(F.col("step") == 0, F.col("tie"))).alias("own_tie"),
-        F.max(F.when(F.col("step") == 1, F.col("anchor_us"))).alias("carry_us"),
+    # The choice of plan depends on these rows, and they are read again below.
+    longer = blocks.where(~short).select(
+        *keys, "block", "island", "first_block", "island_n"
+    ).checkpoint()
+    if longer.isEmpty():
+        return solved
+
+    heavy = F.col("island_n") > fold_limit
+    found = _folded(placed, longer.where(~heavy), keys, ttl)
+    if not longer.where(heavy).isEmpty():
+        found = found.unionByName(_treed(placed, longer.where(heavy), keys, ttl, fan_in, levels))
+    # Each anchor reports to its own block and to the next one.
+    reports = (
+        found.withColumn("home", clock.slot(F.col("anchor_us"), ttl))
+        .select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("step"))
+        .groupBy(*keys, (F.col("home") + F.col("step")).alias("block"))
+        .agg(
+            F.max(F.when(F.col("step") == 0, F.col("anchor_us"))).alias("own_us"),
+            F.max(F.when(F.col("step") == 1, F.col("anchor_us"))).alias("carry_us"),
+        )
     )
+    if "tie" in instants.columns:
+        firsts = (
+            _instants_of(placed, longer, keys)
+            .groupBy(*keys, "block", F.col("us").alias("own_us"))
+            .agg(F.min("tie").alias("own_tie"))
+        )
+        reports = reports.join(firsts, [*keys, "block", "own_us"], "left")
+    else:
+        reports = reports.withColumn("own_tie", F.lit(None).cast("bigint"))
+    # A report beyond the end of an island meets no event there: the next
+    # island, if it starts in that block, brings a row of its own.
+    known = longer.select(*keys, "block")
+    return solved.unionByName(reports.join(known, [*keys, "block"], "left_semi"))
 
 
 def attach_anchors(
@@ -120,30 +129,23 @@ def attach_anchors(
     `sets_anchor` marks the one event that set each anchor.
     """
     keys = list(keys)
-    ttl = ttl_seconds * MICROS
-    timed = events.withColumn("us", clock.micros(F.col(ts_col)))
+    us = clock.micros(F.col(ts_col))
     ties = [F.col(tie_col).alias("tie")] if tie_col else []
-    known = timed.select(*keys, "us", *ties).dropna()
-    anchors = anchor_table(known, keys, ttl_seconds, **options)
-    joined = timed.withColumn("block", clock.slot(F.col("us"), ttl)).join(
-        anchors, [*keys, "block"], "left"
+    known = events.select(*keys, us.alias("us"), *ties).dropna(subset=keys)
+    anchors = anchor_table(known, keys, ttl_seconds, **options).select(
+        *keys,
+        F.col("block").alias("_block"),
+        F.struct("own_us", "carry_us", "own_tie").alias("_found"),
     )
+    joined = events.withColumns(
+        {"_us": us, "_block": clock.slot(us, ttl_seconds * MICROS)}
+    ).join(anchors, [*keys, "_block"], "left")
+    own = F.col("_found.own_us")
     if tie_col:
-        joined = joined.withColumn(
-            "sets_anchor",
-            F.coalesce(
-                (F.col("us") == F.col("own_us")) & (F.col(tie_col) == F.col("own_tie")),
-                F.lit(False),
-            ),
-        )
-    return joined.withColumn("anchor_us", _holding("us")).drop(
-        "us", "block", "own_us", "own_tie", "carry_us"
-    )
-
-
-def _holding(us: str) -> Column:
-    """The anchor that holds at an instant of the block."""
-    return F.when(F.col("own_us") <= F.col(us), F.col("own_us")).otherwise(F.col("carry_us"))
+        sets = (F.col("_us") == own) & (F.col(tie_col) == F.col("_found.own_tie"))
+        joined = joined.withColumn("sets_anchor", F.coalesce(sets, F.lit(False)))
+    holding = F.when(own <= F.col("_us"), own).otherwise(F.col("_found.carry_us"))
+    return joined.withColumn("anchor_us", holding).drop("_us", "_block", "_found")
 
 
 def _islands(placed: DataFrame, keys: list[str], ttl: int) -> DataFrame:
@@ -152,8 +154,13 @@ def _islands(placed: DataFrame, keys: list[str], ttl: int) -> DataFrame:
     The windows run over blocks, not events: a key has at most one row per
     `ttl` of recorded time.
     """
+    if "tie" in placed.columns:
+        first = F.min(F.struct("us", "tie"))
+        lo, tie = first["us"], first["tie"]
+    else:
+        lo, tie = F.min("us"), F.lit(None).cast("bigint")
     blocks = placed.groupBy(*keys, "block").agg(
-        F.min("us").alias("lo"), F.max("us").alias("hi"), F.count("*").alias("n")
+        lo.alias("lo"), tie.alias("tie"), F.max("us").alias("hi"), F.count("*").alias("n")
     )
     in_time = Window.partitionBy(*keys).orderBy("block")
     gap = F.col("lo") - F.lag("hi").over(in_time)
@@ -165,6 +172,7 @@ def _islands(placed: DataFrame, keys: list[str], ttl: int) -> DataFrame:
         *keys,
         "block",
         "island",
+        "tie",
         F.min("lo").over(whole).alias("island_lo"),
         F.max("hi").over(whole).alias("island_hi"),
         F.sum("n").over(whole).alias("island_n"),
@@ -173,9 +181,9 @@ def _islands(placed: DataFrame, keys: list[str], ttl: int) -> DataFrame:
 
 
 def _instants_of(placed: DataFrame, blocks: DataFrame, keys: list[str]) -> DataFrame:
-    """The distinct instants inside the given blocks."""
+    """The instants inside the given blocks."""
     wanted = blocks.select(*keys, "block", "island", "first_block")
-    return placed.distinct().join(wanted, [*keys, "block"])
+    return placed.join(wanted, [*keys, "block"])
 
 
 def _folded(placed: DataFrame, blocks: DataFrame, keys: list[str], ttl: int) -> DataFrame:
@@ -193,7 +201,7 @@ def _folded(placed: DataFrame, blocks: DataFrame, keys: list[str], ttl: int) ->
     islands = (
         _instants_of(placed, blocks, keys)
         .groupBy(*keys, "island")
-        .agg(F.sort_array(F.collect_list("us")).alias("instants"))
+        .agg(F.sort_array(F.collect_set("us")).alias("instants"))
     )
     anchors = F.aggregate("instants", start, take, lambda state: state["found"])
     return islands.select(*keys, F.explode(anchors).alias("anchor_us"))
@@ -210,12 +218,10 @@ def _treed(
     placed: DataFrame, blocks: DataFrame, keys: list[str], ttl: int, fan_in: int, levels: int
 ) -> DataFrame:
     group = [*keys, "island"]
-    leaves = _instants_of(placed, blocks, keys).select(
-        *group,
-        (F.col("block") - F.col("first_block")).alias("node"),
-        F.col("us").alias("x"),
-        F.col("us").alias("y"),
+    instants = _instants_of(placed, blocks, keys).select(
+        *group, (F.col("block") - F.col("first_block")).alias("node"), F.col("us").alias("x")
     )
+    leaves = instants.distinct().withColumn("y", F.col("x"))
     # Every level is read by the one above and again on the way down; the
     # tables shrink by the fan-in from level to level.
     tree = [leaves.checkpoint()]

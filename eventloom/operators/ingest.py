@@ -11,6 +11,7 @@ from eventloom.functions import clock, identity
 from eventloom.functions import json_values as jv
 from eventloom.operators.anchors import attach_anchors
 from eventloom.operators.validate import envelope_issues
+from eventloom.session import ensure_checkpoint_dir
 
 # Marker and length of the readable part of an API key.
 KEY_MARKER = "pk_live_"
@@ -134,8 +135,7 @@ def with_client_ip(properties: Column, header_ip: Column, at_edge: bool) -> Colu
     where neither `ip` nor `clientIp` is set. Without a header address, or when
     the properties are not an object, nothing changes.
     """
-    absent = jv.kind(properties).isin("undefined", "null")
-    entries = F.when(absent, F.create_map().cast("map<string,variant>")).otherwise(
+    entries = F.when(jv.is_nothing(properties), F.create_map().cast("map<string,variant>")).otherwise(
         jv.as_map(properties)
     )
     added = F.create_map(F.lit("clientIp"), header_ip.cast("variant"))
@@ -233,17 +233,21 @@ def ingest_status(
 ) -> DataFrame:
     """Number of items per outcome: accepted, duplicate, rejected, error."""
     items = judged_items(bodies, body_col, header_ip).select(
+        "verdict",
         F.col(ts_col).alias("arrival_ts"),
         F.struct(tie_col, "pos").alias("place"),
-        "verdict",
-        jv.text(jv.field(F.col("item"), "projectId")).alias("project_id"),
-        jv.text(jv.field(F.col("item"), "userId")).alias("user_id"),
-        jv.text(jv.field(F.col("item"), "event")).alias("event"),
-        jv.field(F.col("item"), "timestamp").try_cast("bigint").alias("ts_ms"),
+        identity.dedup_key(
+            jv.text(jv.field(F.col("item"), "projectId")),
+            jv.text(jv.field(F.col("item"), "userId")),
+            jv.field(F.col("item"), "timestamp").cast("string"),
+            jv.text(jv.field(F.col("item"), "event")),
+        ).alias("dedup_key"),
     )
+    ensure_checkpoint_dir(bodies.sparkSession)
+    # Read several times below; bodies are parsed and judged only here.
+    items = items.checkpoint()
     valid = F.col("verdict") == "valid"
-    # Items that are not valid have no identity.
-    known = dedup_events(with_dedup_key(items.where(valid)), tie_col="place")
+    known = dedup_events(items.where(valid), tie_col="place")
     counts = known.groupBy("status").agg(F.count("*").alias("items"))
     others = (
         items.where(~valid)

@@ -26,19 +26,17 @@ RULE_REASON = "Project schema validation failed: "
 def parse_event(messages: DataFrame, value_col: str = "value") -> DataFrame:
     """Add `raw` (VARIANT) and `is_malformed`: not JSON, or JSON null."""
     raw = F.try_parse_json(value_col)
-    return messages.withColumn("raw", raw).withColumn(
-        "is_malformed", jv.kind(F.col("raw")).isin("undefined", "null")
-    )
+    return messages.withColumn("raw", raw).withColumn("is_malformed", jv.is_nothing(F.col("raw")))
 
 
-def _issue(expected: str, path: Column, received: Column) -> Column:
+def _issue(expected: Column, path: Column, received: Column) -> Column:
     return F.struct(
-        F.lit(expected).alias("expected"),
+        expected.alias("expected"),
         F.lit("invalid_type").alias("code"),
         path.alias("path"),
-        F.concat(F.lit(f"Invalid input: expected {expected}, received "), received).alias(
-            "message"
-        ),
+        F.concat(
+            F.lit("Invalid input: expected "), expected, F.lit(", received "), received
+        ).alias("message"),
     )
 
 
@@ -48,20 +46,28 @@ def envelope_issues(raw: Column, properties: Column | None = None) -> Column:
     Nothing is coerced: "1" is no number, and null is not the same as absent.
     `properties` stands in for the event's own property object if given.
     """
-    whole = jv.kind(raw)
-    checks = []
+    seen = []
     for name, expected, required in ENVELOPE:
         value = jv.field(raw, name)
         if name == "properties" and properties is not None:
             value = properties
-        received = jv.kind(value)
-        fits = received == ("object" if expected == "record" else expected)
-        if not required:
-            fits = fits | (received == "undefined")
-        checks.append(F.when(~fits, _issue(expected, F.array(F.lit(name)), received)))
-    found = F.filter(F.array(*checks), lambda issue: issue.isNotNull())
-    no_object = F.array(_issue("object", F.array().cast("array<string>"), whole))
-    return F.when(whole == "object", found).otherwise(no_object)
+        seen.append(
+            F.struct(
+                F.lit(name).alias("name"),
+                F.lit(expected).alias("expected"),
+                F.lit("object" if expected == "record" else expected).alias("fits"),
+                F.lit("" if required else "undefined").alias("also_fits"),
+                jv.kind(value).alias("kind"),
+            )
+        )
+    # Kinds are put into an array first, so that each is worked out once.
+    wrong = F.filter(
+        F.array(*seen), lambda f: (f["kind"] != f["fits"]) & (f["kind"] != f["also_fits"])
+    )
+    found = F.transform(wrong, lambda f: _issue(f["expected"], F.array(f["name"]), f["kind"]))
+    nowhere = F.array().cast("array<string>")
+    no_object = F.array(_issue(F.lit("object"), nowhere, jv.kind(raw)))
+    return F.when(jv.as_map(raw).isNotNull(), found).otherwise(no_object)
 
 
 def validate_envelope(messages: DataFrame, raw_col: str = "raw") -> DataFrame:

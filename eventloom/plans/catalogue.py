@@ -468,10 +468,10 @@ def fixed_ttl_anchor(spark, folder):
 
 @register
 def fixed_ttl_anchor_tree(spark, folder):
-    """The same anchors on the path for islands of any size."""
+    """Longer anchors, the larger islands on the path for any size."""
     events = given.analytics_events(spark, folder)
     anchored = attach_anchors(
-        events, ["project_id", "user_id"], "ts", 6 * 3600, fold_limit=0, fan_in=4
+        events, ["project_id", "user_id"], "ts", 2 * 86400, fold_limit=40, fan_in=4
     )
     return anchored.select("event_id", clock.from_micros(F.col("anchor_us")).alias("anchor"))
 

@@ -366,13 +366,16 @@ after AS (
   FROM states
 )"""
 
-_ANCHORS_6H = f"""WITH RECURSIVE {EVENTS},{
-    _anchors("analytics_events", "project_id, user_id", "ts", "6 HOUR")
-}
+
+def _held(ttl: str) -> str:
+    return f"""WITH RECURSIVE {EVENTS},{
+        _anchors("analytics_events", "project_id, user_id", "ts", ttl)
+    }
 SELECT e.event_id, max(a.anchor) AS anchor FROM analytics_events e JOIN anchors a
   ON a.project_id = e.project_id AND a.user_id = e.user_id AND a.anchor <= e.ts
 GROUP BY e.event_id"""
 
+
 ORACLES: dict[str, str] = {
     # --- scans
     "scan_events_range": f"""WITH {EVENTS}
@@ -550,8 +553,8 @@ SELECT event_id,
   CASE event_id % 6 WHEN 1 THEN 'mobile' WHEN 3 THEN 'mobile' WHEN 5 THEN 'unknown'
     ELSE 'desktop' END AS device_type
 FROM tracked""",
-    "fixed_ttl_anchor": _ANCHORS_6H,
-    "fixed_ttl_anchor_tree": _ANCHORS_6H,
+    "fixed_ttl_anchor": _held("6 HOUR"),
+    "fixed_ttl_anchor_tree": _held("2 DAY"),
     "sessionize": f"""WITH RECURSIVE {EVENTS},{
         _anchors("analytics_events", "project_id, user_id", "ts", "1800 SECOND")
     },

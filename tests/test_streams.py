@@ -156,9 +156,9 @@ def test_pipeline_from_raw_messages_to_stored_rows(spark, tmp_path):
 
     again = enrich.sessionize(
         spark.createDataFrame(
-            [("p", "u1", pd.Timestamp(BASE + s * 1000, unit="ms")) for s in (0, 1700, 1799, 1800)],
-            "project_id STRING, user_id STRING, ts TIMESTAMP",
-        )
+            [("p", "u1", BASE + s * 1000) for s in (0, 1700, 1799, 1800)],
+            "project_id STRING, user_id STRING, ms BIGINT",
+        ).withColumn("ts", F.timestamp_millis("ms"))
     ).orderBy("ts")
     assert [r.session_id for r in again.collect()] == [
         rows[k].session_id for k in (("view", 0), ("view", 1700), ("buy", 1799), ("view", 1800))
