@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from eventloom.functions import clock
-from eventloom.session import ensure_checkpoint_dir
+from eventloom.session import materialise
 
 MICROS = 1_000_000
 
@@ -64,7 +64,6 @@ def anchor_table(
     `carry_us` (the anchor of the previous block that may reach into it) and
     `own_tie`, the tie of the event that set `own_us`.
     """
-    ensure_checkpoint_dir(instants.sparkSession)
     ttl = ttl_seconds * MICROS
     keys = list(keys)
     placed = instants.withColumn("block", clock.slot(F.col("us"), ttl))
@@ -80,15 +79,16 @@ def anchor_table(
         F.when(~first, F.col("island_lo")).alias("carry_us"),
     )
     # The choice of plan depends on these rows, and they are read again below.
-    longer = blocks.where(~short).select(
-        *keys, "block", "island", "first_block", "island_n"
-    ).checkpoint()
-    if longer.isEmpty():
+    longer = materialise(
+        blocks.where(~short).select(*keys, "block", "island", "first_block", "island_n")
+    )
+    largest = longer.agg(F.max("island_n")).first()[0]
+    if largest is None:
         return solved
 
     heavy = F.col("island_n") > fold_limit
     found = _folded(placed, longer.where(~heavy), keys, ttl)
-    if not longer.where(heavy).isEmpty():
+    if largest > fold_limit:
         found = found.unionByName(_treed(placed, longer.where(heavy), keys, ttl, fan_in, levels))
     # Each anchor reports to its own block and to the next one.
     reports = (
@@ -224,9 +224,9 @@ def _treed(
     leaves = instants.distinct().withColumn("y", F.col("x"))
     # Every level is read by the one above and again on the way down; the
     # tables shrink by the fan-in from level to level.
-    tree = [leaves.checkpoint()]
+    tree = [materialise(leaves)]
     for _ in range(levels - 1):
-        tree.append(_composed(tree[-1], group, ttl, fan_in).checkpoint())
+        tree.append(materialise(_composed(tree[-1], group, ttl, fan_in)))
 
     roots = tree[-1].select(*group).distinct()
     entries = roots.select(

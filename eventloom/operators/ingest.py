@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from eventloom.functions import clock, identity
 from eventloom.functions import json_values as jv
 from eventloom.operators.anchors import attach_anchors
-from eventloom.operators.validate import envelope_issues
-from eventloom.session import ensure_checkpoint_dir
+from eventloom.operators.validate import with_envelope_issues
+from eventloom.session import materialise
 
 # Marker and length of the readable part of an API key.
 KEY_MARKER = "pk_live_"
@@ -212,15 +212,12 @@ def judged_items(
             jv.kind(raw).isin("null", *scalar) | jv.kind(properties).isin(*scalar)
         )
         injected = with_client_ip(properties, F.col(header_ip), at_edge=False)
-    return (
-        items.withColumn("properties", injected)
-        .withColumn("issues", envelope_issues(raw, F.col("properties")))
-        .withColumn(
-            "verdict",
-            F.when(broken, F.lit("error"))
-            .when(F.size("issues") > 0, F.lit("rejected"))
-            .otherwise(F.lit("valid")),
-        )
+    judged = with_envelope_issues(items.withColumn("properties", injected), "item", "properties")
+    return judged.withColumn(
+        "verdict",
+        F.when(broken, F.lit("error"))
+        .when(F.size("issues") > 0, F.lit("rejected"))
+        .otherwise(F.lit("valid")),
     )
 
 
@@ -243,9 +240,8 @@ def ingest_status(
             jv.text(jv.field(F.col("item"), "event")),
         ).alias("dedup_key"),
     )
-    ensure_checkpoint_dir(bodies.sparkSession)
     # Read several times below; bodies are parsed and judged only here.
-    items = items.checkpoint()
+    items = materialise(items)
     valid = F.col("verdict") == "valid"
     known = dedup_events(items.where(valid), tie_col="place")
     counts = known.groupBy("status").agg(F.count("*").alias("items"))

@@ -40,17 +40,20 @@ def _issue(expected: Column, path: Column, received: Column) -> Column:
     )
 
 
-def envelope_issues(raw: Column, properties: Column | None = None) -> Column:
-    """What is wrong with an event, as an array of issues in field order.
+def with_envelope_issues(
+    messages: DataFrame, raw_col: str = "raw", properties_col: str | None = None
+) -> DataFrame:
+    """Add `issues`: what is wrong with an event, in field order.
 
     Nothing is coerced: "1" is no number, and null is not the same as absent.
-    `properties` stands in for the event's own property object if given.
+    `properties_col` stands in for the event's own property object if given.
     """
+    raw = F.col(raw_col)
     seen = []
     for name, expected, required in ENVELOPE:
         value = jv.field(raw, name)
-        if name == "properties" and properties is not None:
-            value = properties
+        if name == "properties" and properties_col is not None:
+            value = F.col(properties_col)
         seen.append(
             F.struct(
                 F.lit(name).alias("name"),
@@ -60,19 +63,27 @@ def envelope_issues(raw: Column, properties: Column | None = None) -> Column:
                 jv.kind(value).alias("kind"),
             )
         )
-    # Kinds are put into an array first, so that each is worked out once.
     wrong = F.filter(
-        F.array(*seen), lambda f: (f["kind"] != f["fits"]) & (f["kind"] != f["also_fits"])
+        "_seen", lambda f: (f["kind"] != f["fits"]) & (f["kind"] != f["also_fits"])
     )
     found = F.transform(wrong, lambda f: _issue(f["expected"], F.array(f["name"]), f["kind"]))
     nowhere = F.array().cast("array<string>")
     no_object = F.array(_issue(F.lit("object"), nowhere, jv.kind(raw)))
-    return F.when(jv.as_map(raw).isNotNull(), found).otherwise(no_object)
+    # An event with a field of its own is an object; only others need a look.
+    has_field = jv.field(raw, "event").isNotNull() | jv.field(raw, "projectId").isNotNull()
+    # Kinds are a column of their own: each is worked out once.
+    return (
+        messages.withColumn("_seen", F.array(*seen))
+        .withColumn(
+            "issues", F.when(has_field | jv.as_map(raw).isNotNull(), found).otherwise(no_object)
+        )
+        .drop("_seen")
+    )
 
 
 def validate_envelope(messages: DataFrame, raw_col: str = "raw") -> DataFrame:
     """Add `issues`; an empty array means that the envelope is right."""
-    return messages.withColumn("issues", envelope_issues(F.col(raw_col)))
+    return with_envelope_issues(messages, raw_col)
 
 
 def out_of_range(raw: Column) -> Column:
@@ -119,14 +130,13 @@ def compile_rules(rules: DataFrame) -> DataFrame:
     )
 
 
-def property_errors(properties: Column, required: Column, typed: Column) -> Column:
-    """Errors of one property object: missing names first, then wrong types.
+def property_errors(entries: Column, required: Column, typed: Column) -> Column:
+    """Errors of a property map: missing names first, then wrong types.
 
     A null value counts as present and fits no checked type. Declared types
     other than string, number, integer and boolean are not checked, and
     integer accepts every number.
     """
-    entries = jv.as_map(properties)
     has = lambda name: F.coalesce(F.map_contains_key(entries, name), F.lit(False))
     missing = F.transform(
         F.filter(required, lambda name: ~has(name)),
@@ -158,11 +168,15 @@ def validate_properties(
     `properties_col` is a VARIANT. Rules join once per event and are checked
     inside the row, so the only data movement is that one join.
     """
-    joined = events.join(compile_rules(rules), ["project_id", "event"], "left")
-    errors = property_errors(F.col(properties_col), F.col("required"), F.col("typed"))
-    return joined.withColumn(
+    ruled = events.join(compile_rules(rules), ["project_id", "event"], "left")
+    # The map is a column of its own: it is looked into once per name.
+    opened = ruled.withColumn(
+        "entries", F.when(F.col("required").isNotNull(), jv.as_map(F.col(properties_col)))
+    )
+    errors = property_errors(F.col("entries"), F.col("required"), F.col("typed"))
+    return opened.withColumn(
         "errors", F.coalesce(errors, F.array().cast("array<string>"))
-    ).drop("required", "typed")
+    ).drop("required", "typed", "entries")
 
 
 def upsert_schema(changes: DataFrame) -> DataFrame:

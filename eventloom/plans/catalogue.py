@@ -11,9 +11,11 @@ from eventloom.functions import clock, identity
 from eventloom.functions import json_values as jv
 from eventloom.operators import analytics, deadletter, enrich, health, ingest, rollups, validate
 from eventloom.operators.anchors import attach_anchors
-from eventloom.session import configure
-from eventloom.sources import given, sinks
+from eventloom.session import configure, scratch_path
+from eventloom.sources import given, sinks, topics
 from eventloom.sources.tables import scan_events, scan_rollups
+from eventloom.streaming import stages
+from eventloom.streaming.state import stream_anchors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -673,3 +675,132 @@ def lag_p99(spark, folder):
     return health.lag_quantile(histogram, 0.99, ["stage"]).select(
         "stage", F.round("value", 6).alias("value")
     )
+
+
+# --- streams -----------------------------------------------------------------
+#
+# Each reads the whole `events` table as a stream, runs until it is used up and
+# returns what the sink holds.
+
+ONCE = {"availableNow": True}
+MESSAGE_TOPIC = topics.RAW
+
+
+def _stored(stream: DataFrame) -> DataFrame:
+    """Run a stream into a file sink and read it back."""
+    spark, path = stream.sparkSession, scratch_path(stream.sparkSession)
+    query = (
+        stream.writeStream.format("parquet")
+        .option("path", f"{path}/rows")
+        .option("checkpointLocation", f"{path}/checkpoint")
+        .trigger(**ONCE)
+        .start()
+    )
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows")
+
+
+@register
+def stream_dedup(spark, folder):
+    arrivals = given.arrivals(spark, folder, stream=True).withColumn(
+        "arrival_ts", F.col("arrival_ts").cast("timestamp")
+    )
+    keyed = ingest.with_dedup_key(arrivals).select("event_id", "seq", "dedup_key", "arrival_ts")
+    marked = stream_anchors(
+        keyed, ["dedup_key"], "arrival_ts", ingest.DEDUP_SECONDS, "60 seconds"
+    )
+    return _stored(marked.where("sets_anchor").select("event_id", "seq"))
+
+
+@register
+def stream_sessions(spark, folder):
+    events = given.analytics_events(spark, folder, stream=True).select(
+        "event_id",
+        "project_id",
+        F.nullif("user_id", F.lit("")).alias("user_id"),
+        F.col("ts").cast("timestamp").alias("ts"),
+    )
+    anchored = stream_anchors(
+        events, ["project_id", "user_id"], "ts", enrich.SESSION_SECONDS, "10 minutes"
+    )
+    session = identity.session_id(F.col("project_id"), F.col("user_id"), F.col("anchor_us"))
+    return _stored(
+        anchored.select(
+            "event_id", F.when(F.col("anchor_us").isNotNull(), session).alias("session_id")
+        )
+    )
+
+
+@register
+def stream_rollups(spark, folder):
+    """Rollup deltas of micro-batches, merged when read."""
+    path = scratch_path(spark)
+
+    def on_batch(batch: DataFrame, batch_id: int) -> None:
+        sinks.write_rollups(rollups.sketch_rollups(batch), batch_id, f"{path}/rollups")
+
+    query = (
+        given.analytics_events(spark, folder, stream=True)
+        .writeStream.foreachBatch(on_batch)
+        .option("checkpointLocation", f"{path}/checkpoint")
+        .trigger(**ONCE)
+        .start()
+    )
+    query.awaitTermination()
+    return sinks.read_rollups(spark, f"{path}/rollups").select(
+        "project_id", "event", "bucket", "count"
+    )
+
+
+@register
+def stream_closed_minutes(spark, folder):
+    """Live messages of every minute the stream has closed."""
+    events = given.analytics_events(spark, folder, stream=True).withColumn(
+        "ts", F.col("ts").cast("timestamp")
+    )
+    minutes = (
+        events.withWatermark("ts", stages.LIVE_DELAY)
+        .groupBy("project_id", "event", F.window("ts", "1 minute").alias("minute"))
+        .agg(F.count("*").alias("count"))
+    )
+    return _stored(
+        minutes.select(
+            "project_id",
+            "event",
+            F.col("minute.start").cast("timestamp_ntz").alias("bucket"),
+            "count",
+        )
+    )
+
+
+@register
+def stream_enrichment(spark, folder):
+    """Messages per outcome after validation, routing and enrichment."""
+    path = scratch_path(spark)
+    bodies = given.raw_bodies(spark, folder, stream=True)
+    messages = bodies.select(
+        F.col("message_key").alias("key"),
+        F.col("body").alias("value"),
+        F.create_map(F.lit("id"), F.col("event_id").cast("string")).alias("headers"),
+        F.lit(MESSAGE_TOPIC).alias("topic"),
+        F.lit(0).alias("partition"),
+        F.col("event_id").cast("string").alias("offset"),
+        F.col("arrival_ts").cast("timestamp").alias("arrival_ts"),
+    )
+    stages.start_enrichment(
+        messages,
+        given.property_rules(spark, folder),
+        given.geo_ranges(spark, folder),
+        topics.to_files(f"{path}/enriched"),
+        topics.to_files(f"{path}/dead"),
+        f"{path}/checkpoint",
+        ONCE,
+    ).awaitTermination()
+    reader = spark.read.schema(topics.FILE_SCHEMA).option("recursiveFileLookup", "true")
+    good = reader.parquet(f"{path}/enriched").select(
+        F.get_json_object("value", "$.event").alias("outcome")
+    )
+    bad = reader.parquet(f"{path}/dead").select(
+        F.split(F.get_json_object("value", "$.reason"), ":")[0].alias("outcome")
+    )
+    return good.unionByName(bad).groupBy("outcome").agg(F.count("*").alias("messages"))

@@ -354,6 +354,18 @@ _RULE_ERRORS = """CASE event
   WHEN 'click' THEN 'Missing required property: page|Field k should be a boolean'
   ELSE '' END"""
 
+_SESSIONS = f"""WITH RECURSIVE {EVENTS},{
+    _anchors("analytics_events", "project_id, user_id", "ts", "1800 SECOND")
+},
+held AS (
+  SELECT e.event_id, e.project_id, e.user_id, max(a.anchor) AS anchor FROM analytics_events e
+  JOIN anchors a ON a.project_id = e.project_id AND a.user_id = e.user_id AND a.anchor <= e.ts
+  GROUP BY 1, 2, 3
+)
+SELECT event_id, CASE WHEN user_id <> '' THEN
+  sha256(project_id || '|' || user_id || '|' || CAST(epoch_us(anchor) AS VARCHAR)) END
+  AS session_id FROM held"""
+
 _RETRIED_STATE = """
 after AS (
   SELECT id,
@@ -555,17 +567,7 @@ SELECT event_id,
 FROM tracked""",
     "fixed_ttl_anchor": _held("6 HOUR"),
     "fixed_ttl_anchor_tree": _held("2 DAY"),
-    "sessionize": f"""WITH RECURSIVE {EVENTS},{
-        _anchors("analytics_events", "project_id, user_id", "ts", "1800 SECOND")
-    },
-held AS (
-  SELECT e.event_id, e.project_id, e.user_id, max(a.anchor) AS anchor FROM analytics_events e
-  JOIN anchors a ON a.project_id = e.project_id AND a.user_id = e.user_id AND a.anchor <= e.ts
-  GROUP BY 1, 2, 3
-)
-SELECT event_id, CASE WHEN user_id <> '' THEN
-  sha256(project_id || '|' || user_id || '|' || CAST(epoch_us(anchor) AS VARCHAR)) END
-  AS session_id FROM held""",
+    "sessionize": _SESSIONS,
     "enrich_project": f"""WITH RECURSIVE {TRACKED},{
         _anchors("tracked", "project_id, user_id", "ts", "1800 SECOND")
     },
@@ -646,4 +648,22 @@ hit AS (
 SELECT stage, round(CASE WHEN isinf(le) THEN low_le
   ELSE low_le + (le - low_le) * (wanted - low_count) / (cumulative_count - low_count) END, 6)
   AS value FROM hit WHERE rn = 1""",
+    # --- streams
+    "stream_dedup": f"""WITH RECURSIVE {ARRIVALS},{
+        _anchors("keyed", "dedup_key", "arrival_ts", "60 SECOND")
+    }
+SELECT k.event_id, k.seq FROM keyed k
+JOIN anchors a ON a.dedup_key = k.dedup_key AND a.anchor = k.arrival_ts""",
+    "stream_sessions": _SESSIONS,
+    "stream_rollups": f"WITH {ROLLUPS} SELECT project_id, event, bucket, count FROM rollups",
+    "stream_closed_minutes": f"""WITH {ROLLUPS}
+SELECT project_id, event, bucket, count FROM rollups
+WHERE bucket + INTERVAL 1 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 2 MINUTE""",
+    "stream_enrichment": f"""WITH {BODIES}
+SELECT outcome, CAST(count(*) AS BIGINT) AS messages FROM (
+  SELECT CASE WHEN c IN (6, 7) THEN 'Malformed message'
+    WHEN c IN (1, 2, 3, 4, 5, 8, 9) THEN 'Schema validation failed'
+    WHEN event IN ('purchase', 'error', 'click') THEN 'Project schema validation failed'
+    ELSE event END AS outcome FROM bodies
+) GROUP BY 1""",
 }

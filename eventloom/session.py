@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that change results or plans; cluster sizing stays with the cluster.
 REQUIRED = {
@@ -40,6 +41,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="eventloom-checkpoint-"))
 
 
+def materialise(df: DataFrame) -> DataFrame:
+    """Write a table to the shared checkpoint folder and read it back.
+
+    Cuts the lineage like `checkpoint()`, but computes the rows once, and the
+    files carry the sizes Spark's own choice of joins needs.
+    """
+    path = scratch_path(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def scratch_path(spark: SparkSession) -> str:
+    """A new folder name inside the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    folder = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    return f"{folder}/eventloom-{uuid.uuid4()}"
+
+
 def local_session(cpus: str | int = 8, app: str = "eventloom") -> SparkSession:
     """A local session for tests and benchmarks."""
     builder = (

@@ -24,11 +24,19 @@ def _pick(index: Column, choices: list[str]) -> Column:
     return F.element_at(F.array(*[F.lit(c) for c in choices]), (index + 1).cast("int"))
 
 
+def events_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """The `events` table as a stream."""
+    schema = table(spark, folder, "events").schema
+    return (
+        spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet*").parquet(folder)
+    )
+
+
 def analytics_events(
-    spark: SparkSession, folder: str, with_location: bool = False
+    spark: SparkSession, folder: str, with_location: bool = False, stream: bool = False
 ) -> DataFrame:
     """The `events` table in the stored form of the event model."""
-    events = table(spark, folder, "events")
+    events = events_stream(spark, folder) if stream else table(spark, folder, "events")
     rows = events.select(
         "event_id",
         "ts",
@@ -59,9 +67,9 @@ def analytics_events(
     )
 
 
-def arrivals(spark: SparkSession, folder: str) -> DataFrame:
+def arrivals(spark: SparkSession, folder: str, stream: bool = False) -> DataFrame:
     """Events as they arrive: some again after 30 s, some again after 60 s."""
-    events = analytics_events(spark, folder).withColumn("ts_ms", clock.epoch_ms(F.col("ts")))
+    events = analytics_events(spark, folder, stream=stream).withColumn("ts_ms", clock.epoch_ms(F.col("ts")))
     copies = F.filter(
         F.array(
             F.struct(F.lit(0).alias("seq"), F.lit(0).alias("delay")),
@@ -129,9 +137,9 @@ def requests(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def raw_bodies(spark: SparkSession, folder: str) -> DataFrame:
+def raw_bodies(spark: SparkSession, folder: str, stream: bool = False) -> DataFrame:
     """Request bodies: plain events, two-item arrays, and several broken kinds."""
-    events = analytics_events(spark, folder)
+    events = analytics_events(spark, folder, stream=stream)
     ms = clock.epoch_ms(F.col("ts")).cast("string")
     name = F.col("event")
     good = F.concat(
