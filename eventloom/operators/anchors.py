@@ -125,11 +125,13 @@ def attach_anchors(
 ) -> DataFrame:
     """Add `anchor_us` to every event; NULL where a key column is NULL.
 
+    `ts_col` is a timestamp, or a BIGINT of epoch microseconds.
     With `tie_col`, unique among the events of a key at one instant,
     `sets_anchor` marks the one event that set each anchor.
     """
     keys = list(keys)
-    us = clock.micros(F.col(ts_col))
+    given_us = dict(events.dtypes)[ts_col] == "bigint"
+    us = F.col(ts_col) if given_us else clock.micros(F.col(ts_col))
     ties = [F.col(tie_col).alias("tie")] if tie_col else []
     known = events.select(*keys, us.alias("us"), *ties).dropna(subset=keys)
     anchors = anchor_table(known, keys, ttl_seconds, **options).select(

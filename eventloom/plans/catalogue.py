@@ -15,7 +15,7 @@ from eventloom.session import configure, scratch_path
 from eventloom.sources import given, sinks, topics
 from eventloom.sources.tables import scan_events, scan_rollups
 from eventloom.streaming import stages
-from eventloom.streaming.state import stream_anchors
+from eventloom.streaming.state import advance_anchors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -700,34 +700,49 @@ def _stored(stream: DataFrame) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
+def _anchored(stream: DataFrame, keys, ts_col, ttl, delay, tie_col, *columns) -> DataFrame:
+    """Run a stream through the anchor state, batch by batch, and read the result."""
+    spark, path = stream.sparkSession, scratch_path(stream.sparkSession)
+
+    def on_batch(batch: DataFrame, batch_id: int) -> None:
+        configure(batch.sparkSession)
+        marked = advance_anchors(
+            batch, batch_id, keys, ts_col, ttl, delay, f"{path}/state", tie_col
+        )
+        sinks.write_batch(marked.select(*columns), batch_id, f"{path}/rows")
+
+    query = (
+        stream.writeStream.foreachBatch(on_batch)
+        .option("checkpointLocation", f"{path}/checkpoint")
+        .trigger(**ONCE)
+        .start()
+    )
+    query.awaitTermination()
+    return spark.read.parquet(f"{path}/rows").drop("batch_id")
+
+
 @register
 def stream_dedup(spark, folder):
-    arrivals = given.arrivals(spark, folder, stream=True).withColumn(
-        "arrival_ts", F.col("arrival_ts").cast("timestamp")
-    )
-    keyed = ingest.with_dedup_key(arrivals).select("event_id", "seq", "dedup_key", "arrival_ts")
-    marked = stream_anchors(
-        keyed, ["dedup_key"], "arrival_ts", ingest.DEDUP_SECONDS, "60 seconds"
+    keyed = ingest.with_dedup_key(given.arrivals(spark, folder, stream=True))
+    marked = _anchored(
+        keyed, ["dedup_key"], "arrival_ts", ingest.DEDUP_SECONDS, stages.DEDUP_DELAY_SECONDS,
+        "seq", "event_id", "seq", "sets_anchor",
     )
-    return _stored(marked.where("sets_anchor").select("event_id", "seq"))
+    return marked.where("sets_anchor").select("event_id", "seq")
 
 
 @register
 def stream_sessions(spark, folder):
-    events = given.analytics_events(spark, folder, stream=True).select(
-        "event_id",
-        "project_id",
-        F.nullif("user_id", F.lit("")).alias("user_id"),
-        F.col("ts").cast("timestamp").alias("ts"),
+    events = given.analytics_events(spark, folder, stream=True).withColumn(
+        "user_id", F.nullif("user_id", F.lit(""))
     )
-    anchored = stream_anchors(
-        events, ["project_id", "user_id"], "ts", enrich.SESSION_SECONDS, "10 minutes"
+    anchored = _anchored(
+        events, ["project_id", "user_id"], "ts", enrich.SESSION_SECONDS,
+        stages.SESSION_DELAY_SECONDS, "event_id", "event_id", "project_id", "user_id", "anchor_us",
     )
     session = identity.session_id(F.col("project_id"), F.col("user_id"), F.col("anchor_us"))
-    return _stored(
-        anchored.select(
-            "event_id", F.when(F.col("anchor_us").isNotNull(), session).alias("session_id")
-        )
+    return anchored.select(
+        "event_id", F.when(F.col("anchor_us").isNotNull(), session).alias("session_id")
     )
 
 
@@ -793,6 +808,7 @@ def stream_enrichment(spark, folder):
         given.geo_ranges(spark, folder),
         topics.to_files(f"{path}/enriched"),
         topics.to_files(f"{path}/dead"),
+        f"{path}/state",
         f"{path}/checkpoint",
         ONCE,
     ).awaitTermination()

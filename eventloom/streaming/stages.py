@@ -9,9 +9,10 @@ from pyspark.sql.streaming.query import StreamingQuery
 from eventloom.functions import clock, identity
 from eventloom.functions import json_values as jv
 from eventloom.operators import deadletter, enrich, ingest, rollups, validate
+from eventloom.session import configure, materialise
 from eventloom.sources import sinks
 from eventloom.sources.topics import Sink
-from eventloom.streaming.state import stream_anchors
+from eventloom.streaming.state import advance_anchors
 
 # Wait for late events before a minute is announced, and the time
 # between two announcements.
@@ -19,6 +20,10 @@ LIVE_DELAY = "2 minutes"
 LIVE_INTERVAL = "60 seconds"
 STORE_INTERVAL = "5 seconds"
 
+# How long after its end a running anchor is kept for late events.
+DEDUP_DELAY_SECONDS = 60
+SESSION_DELAY_SECONDS = 600
+
 HEADERS = "map<string,string>"
 
 
@@ -38,14 +43,10 @@ def _run(
 # --- ingest ------------------------------------------------------------------
 
 
-def accepted_items(bodies: DataFrame, exact: bool = True) -> DataFrame:
-    """Valid events of a stream of request bodies, without duplicates.
+def valid_items(bodies: DataFrame) -> DataFrame:
+    """Valid events of request bodies, with their dedup key and place.
 
-    `bodies` are messages whose key is the project of the request. An event
-    counts as seen for 60 seconds after it was accepted. With `exact=False` the
-    built-in operator is used: it needs no Python, but remembers an event until
-    the watermark has passed, and so also suppresses some repeats that come
-    later than 60 seconds.
+    `bodies` are messages whose key is the project of the request.
     """
     judged = ingest.judged_items(bodies, "value").where(F.col("verdict") == "valid")
     item = F.col("item")
@@ -53,23 +54,19 @@ def accepted_items(bodies: DataFrame, exact: bool = True) -> DataFrame:
         F.coalesce("key", jv.text(jv.field(item, "projectId"))).alias("project_id"),
         jv.text(jv.field(item, "userId")).alias("user_id"),
         jv.text(jv.field(item, "event")).alias("event"),
-        jv.field(item, "timestamp").alias("timestamp"),
+        jv.field(item, "timestamp").cast("string").alias("ts_ms"),
         F.to_json(jv.field(item, "properties")).alias("properties"),
-        F.concat_ws("/", "topic", F.col("partition").cast("string"), "offset", "pos").alias("place"),
+        F.struct("topic", "partition", "offset", "pos").alias("place"),
         "arrival_ts",
     )
-    numbered = named.withColumn("ts_ms", F.col("timestamp").cast("string")).drop("timestamp")
-    keyed = ingest.with_dedup_key(numbered)
-    delay = f"{ingest.DEDUP_SECONDS} seconds"
-    if exact:
-        unique = stream_anchors(
-            keyed, ["dedup_key"], "arrival_ts", ingest.DEDUP_SECONDS, delay
-        ).where(F.col("sets_anchor"))
-    else:
-        unique = keyed.withWatermark("arrival_ts", delay).dropDuplicatesWithinWatermark(
-            ["dedup_key"]
-        )
-    trace = identity.trace_id(F.col("place"))
+    return ingest.with_dedup_key(named)
+
+
+def raw_messages(items: DataFrame) -> DataFrame:
+    """Messages for the raw topic."""
+    trace = identity.trace_id(
+        *[F.col(f"place.{part}") for part in ("topic", "partition", "offset", "pos")]
+    )
     event = F.struct(
         F.col("event"),
         F.col("project_id").alias("projectId"),
@@ -78,7 +75,7 @@ def accepted_items(bodies: DataFrame, exact: bool = True) -> DataFrame:
         F.col("user_id").alias("userId"),
         trace.alias("traceId"),
     )
-    return unique.select(
+    return items.select(
         F.col("project_id").alias("key"),
         F.to_json(event).alias("value"),
         F.create_map(F.lit("traceId"), trace).alias("headers"),
@@ -89,49 +86,48 @@ def accepted_items(bodies: DataFrame, exact: bool = True) -> DataFrame:
 def start_ingest(
     bodies: DataFrame,
     raw_sink: Sink,
+    state_path: str,
     checkpoint: str,
-    exact: bool = True,
     trigger: dict | None = None,
 ) -> StreamingQuery:
-    return _run(accepted_items(bodies, exact), raw_sink, checkpoint, "ingest", trigger)
+    """Accept request bodies: valid events, each once within 60 seconds."""
 
+    def on_batch(batch: DataFrame, batch_id: int) -> None:
+        configure(batch.sparkSession)
+        items = materialise(valid_items(batch))
+        marked = advance_anchors(
+            items, batch_id, ["dedup_key"], "arrival_ts", ingest.DEDUP_SECONDS,
+            DEDUP_DELAY_SECONDS, state_path, "place",
+        )
+        raw_sink(raw_messages(marked.where(F.col("sets_anchor"))), batch_id)
 
-# --- validation and enrichment -----------------------------------------------
+    return _run(bodies, on_batch, checkpoint, "ingest", trigger)
 
 
-def judged_with_sessions(
-    messages: DataFrame, rules: DataFrame, delay: str = "10 minutes"
-) -> DataFrame:
-    """Validated messages; good ones with a user also get their session.
+def start_quick_ingest(
+    bodies: DataFrame, raw_sink: Sink, checkpoint: str, trigger: dict | None = None
+) -> StreamingQuery:
+    """`start_ingest` with the built-in duplicate filter and its state store.
 
-    Rejected and anonymous messages pass through without state.
+    It remembers an event until the watermark has passed, and so also
+    suppresses some repeats that come later than 60 seconds.
     """
-    judged = validate.judge(messages, rules)
-    valid = F.col("reason").isNull()
-    flat = judged.withColumns(
-        {
-            "properties": F.to_json("properties"),
-            "headers": F.to_json("headers"),
-            "ts": F.when(valid, clock.from_epoch_ms(F.col("ts_ms"))),
-            "session_user": F.when(valid, F.nullif(F.col("user_id"), F.lit(""))),
-        }
-    )
-    # Sessions expire by arrival, like the memory of seen events.
-    anchored = stream_anchors(
-        flat, ["project_id", "session_user"], "arrival_ts", enrich.SESSION_SECONDS, delay
+    delay = f"{ingest.DEDUP_SECONDS} seconds"
+    unique = (
+        valid_items(bodies)
+        .withWatermark("arrival_ts", delay)
+        .dropDuplicatesWithinWatermark(["dedup_key"])
     )
-    session = identity.session_id(F.col("project_id"), F.col("user_id"), F.col("anchor_us"))
-    return anchored.withColumn(
-        "session_id", F.when(F.col("anchor_us").isNotNull(), session)
-    ).drop("anchor_us", "sets_anchor", "session_user")
+    return _run(raw_messages(unique), raw_sink, checkpoint, "quick_ingest", trigger)
+
+
+# --- validation and enrichment -----------------------------------------------
 
 
 def enriched_messages(valid: DataFrame, ranges: DataFrame) -> DataFrame:
     """Messages for the enriched topic."""
-    contextual = enrich.context_from_properties(
-        valid.withColumn("properties", F.try_parse_json("properties"))
-    )
-    located = enrich.ua_enrich(enrich.geo_enrich(contextual, ranges))
+    located = enrich.ua_enrich(enrich.geo_enrich(enrich.context_from_properties(valid), ranges))
+    session = identity.session_id(F.col("project_id"), F.col("user_id"), F.col("anchor_us"))
     now = clock.epoch_ms(F.current_timestamp())
     event = F.struct(
         F.col("event"),
@@ -145,7 +141,7 @@ def enriched_messages(valid: DataFrame, ranges: DataFrame) -> DataFrame:
         F.col("device_type").alias("deviceType"),
         F.col("browser"),
         F.col("os"),
-        F.col("session_id").alias("sessionId"),
+        F.when(F.col("anchor_us").isNotNull(), session).alias("sessionId"),
         now.alias("validatedAt"),
         now.alias("enrichedAt"),
     )
@@ -159,8 +155,7 @@ def enriched_messages(valid: DataFrame, ranges: DataFrame) -> DataFrame:
 
 def dead_letter_messages(rejected: DataFrame) -> DataFrame:
     """Messages for the dead-letter topic."""
-    with_headers = rejected.withColumn("headers", F.from_json("headers", HEADERS))
-    wrapped = deadletter.dlq_envelope(with_headers, F.current_timestamp())
+    wrapped = deadletter.dlq_envelope(rejected, F.current_timestamp())
     return wrapped.select(
         "key",
         "value",
@@ -176,23 +171,34 @@ def start_enrichment(
     ranges: DataFrame,
     enriched_sink: Sink,
     dead_letter_sink: Sink,
+    state_path: str,
     checkpoint: str,
     trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Validate, route and enrich; both outputs of a batch come from one pass."""
+    """Validate, route and enrich; both outputs of a batch come from one pass.
+
+    Sessions expire by arrival, like the memory of seen events.
+    """
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
-        try:
-            valid, rejected = validate.route_valid_rejected(batch)
-            enriched_sink(enriched_messages(valid, ranges), batch_id)
-            dead_letter_sink(dead_letter_messages(rejected), batch_id)
-        finally:
-            batch.unpersist()
+        configure(batch.sparkSession)
+        valid, rejected = validate.route_valid_rejected(
+            materialise(validate.judge(batch, rules))
+        )
+        named = valid.withColumns(
+            {
+                "session_user": F.nullif(F.col("user_id"), F.lit("")),
+                "place": F.struct("topic", "partition", "offset"),
+            }
+        )
+        anchored = advance_anchors(
+            named, batch_id, ["project_id", "session_user"], "arrival_ts",
+            enrich.SESSION_SECONDS, SESSION_DELAY_SECONDS, state_path, "place",
+        )
+        enriched_sink(enriched_messages(anchored, ranges), batch_id)
+        dead_letter_sink(dead_letter_messages(rejected), batch_id)
 
-    return _run(
-        judged_with_sessions(messages, rules), on_batch, checkpoint, "enrichment", trigger
-    )
+    return _run(messages, on_batch, checkpoint, "enrichment", trigger)
 
 
 # --- storage -----------------------------------------------------------------
@@ -239,6 +245,7 @@ def start_storage(
     """
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
+        configure(batch.sparkSession)
         batch.persist()
         try:
             known = F.col("project_id").isNotNull()
@@ -246,7 +253,7 @@ def start_storage(
             sinks.write_events(events, batch_id, events_path)
             sinks.write_rollups(rollups.sketch_rollups(events), batch_id, rollups_path)
             broken = batch.where(~known).select(*messages.columns).withColumns(
-                {"headers": F.to_json("headers"), "reason": F.lit("Malformed message")}
+                {"reason": F.lit("Malformed message")}
             )
             dead_letter_sink(dead_letter_messages(broken), batch_id)
         finally:

@@ -1,99 +1,75 @@
-"""Fixed-expiry anchors over streams."""
+"""Fixed-expiry anchors carried from one micro-batch to the next.
+
+The state is a small table with the running anchor of every key, one folder per
+batch. A batch reads the folder of the batch before and writes its own, so a
+replay finds the same state again and replaces what it wrote. The anchors
+themselves come from the batch operator: nothing here touches rows in Python.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.utils import AnalysisException
 
 from eventloom.functions import clock
+from eventloom.operators.anchors import MICROS, attach_anchors
+from eventloom.session import materialise
 
-MICROS = 1_000_000
-SPREAD = 1024
-
-
-def greedy_anchors(us: np.ndarray, anchor: int | None, ttl: int) -> np.ndarray:
-    """Anchor of every instant (sorted), going on from an earlier anchor.
 
-    An instant before the running anchor, a late one, joins that anchor.
-    """
-    held = np.empty(len(us), dtype=np.int64)
-    at = 0
-    while at < len(us):
-        if anchor is None or us[at] >= anchor + ttl:
-            anchor = int(us[at])
-        upto = int(np.searchsorted(us, anchor + ttl))
-        held[at:upto] = anchor
-        at = upto
-    return held
+def _previous(spark: SparkSession, path: str, batch_id: int, empty: DataFrame) -> DataFrame:
+    """Running anchors after the batch before this one."""
+    try:
+        return spark.read.schema(empty.schema).parquet(f"{path}/batch={batch_id - 1}")
+    except AnalysisException as error:
+        if batch_id == 0 and "PATH_NOT_FOUND" in str(error):
+            return empty
+        raise
 
 
-def stream_anchors(
-    events: DataFrame, keys: list[str], ts_col: str, ttl_seconds: int, delay: str
+def advance_anchors(
+    events: DataFrame,
+    batch_id: int,
+    keys: Sequence[str],
+    ts_col: str,
+    ttl_seconds: int,
+    delay_seconds: int,
+    state_path: str,
+    tie_col: str,
 ) -> DataFrame:
-    """Add `anchor_us` and `sets_anchor` to a stream; NULL keys have no anchor.
+    """Add `anchor_us` and `sets_anchor` to the events of a micro-batch.
 
-    Events are put in time order within a micro-batch; across batches the
-    anchor goes on from the state, which is dropped once the watermark passes
-    its end. A key's events of one micro-batch are handled together, so the
-    source's per-trigger limit bounds the memory. Events without a key are
-    spread over many groups and leave no state.
+    Anchors go on from the state. An event older than its key's running anchor,
+    a late one, joins that anchor. A running anchor is forgotten once the latest
+    event lies `delay_seconds` behind its end. `tie_col` is unique among the
+    events of a key at one instant. Events with a NULL key have no anchor.
     """
-    ttl = ttl_seconds * MICROS
-    missing = F.lit(False)
-    for key in keys:
-        missing = missing | F.col(key).isNull()
-    plain = [name for name, kind in events.dtypes if kind in ("string", "bigint", "timestamp")]
-    timed = events.withWatermark(ts_col, delay).withColumns(
-        {
-            "anchor_at": clock.micros(F.col(ts_col)),
-            # Events without a key would otherwise form one huge group.
-            "spread": F.when(missing, F.pmod(F.xxhash64(*plain), F.lit(SPREAD))).otherwise(
-                F.lit(-1)
-            ),
-        }
+    keys = list(keys)
+    spark = events.sparkSession
+    timed = events.withColumn("_at", clock.micros(F.col(ts_col)))
+    empty = timed.select(*keys, F.col("_at").alias("running")).limit(0)
+    running = _previous(spark, state_path, batch_id, empty)
+
+    # A running anchor takes part as the first event of its key.
+    placed = timed.join(running, keys, "left").withColumn("_at", F.greatest("_at", "running"))
+    seeds = running.select(*keys, F.col("running").alias("_at"))
+    both = placed.drop("running").withColumn("_seed", F.lit(False)).unionByName(
+        seeds.withColumn("_seed", F.lit(True)), allowMissingColumns=True
     )
-    schema = T.StructType(
-        [*events.schema.fields]
-        + [
-            T.StructField("anchor_us", T.LongType()),
-            T.StructField("sets_anchor", T.BooleanType()),
-        ]
+    ranked = both.withColumn("_tie", F.struct(~F.col("_seed"), F.col(tie_col)))
+    marked = materialise(
+        attach_anchors(ranked, keys, "_at", ttl_seconds, tie_col="_tie").drop("_tie")
     )
-    names = schema.names
-
-    def advance(
-        key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        if key[-1] >= 0:
-            for rows in batches:
-                yield rows.assign(anchor_us=None, sets_anchor=False)[names]
-            return
-        rows = pd.concat(list(batches)).sort_values("anchor_at", kind="stable")
-        before = state.get[0] if state.exists else None
-        us = rows["anchor_at"].to_numpy()
-        held = greedy_anchors(us, before, ttl)
-        first = np.r_[True, np.diff(held) != 0] & (us == held)
-        if before is not None:
-            first &= held != before
-        last = int(held[-1])
-        state.update((last,))
-        ends_ms = (last + ttl) // 1000
-        state.setTimeoutTimestamp(max(ends_ms, state.getCurrentWatermarkMs() + 1))
-        yield rows.assign(anchor_us=held, sets_anchor=first)[names]
 
-    return timed.groupBy(*keys, "spread").applyInPandasWithState(
-        advance,
-        outputStructType=schema,
-        stateStructType="anchor BIGINT",
-        outputMode="append",
-        timeoutConf=GroupStateTimeout.EventTimeTimeout,
+    latest = marked.agg(F.max("_at")).first()[0]
+    if latest is not None:
+        known = marked.where(F.col("anchor_us").isNotNull())
+        state = known.groupBy(*keys).agg(F.max("anchor_us").alias("running"))
+        forgotten = latest - (ttl_seconds + delay_seconds) * MICROS
+        running = state.where(F.col("running") > forgotten)
+    running.select(*keys, "running").write.mode("overwrite").parquet(
+        f"{state_path}/batch={batch_id}"
     )
+    return marked.where(~F.col("_seed")).drop("_seed", "_at")

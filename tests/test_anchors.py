@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from eventloom.operators import ingest
 from eventloom.operators.anchors import anchor_table, attach_anchors
-from eventloom.streaming.state import greedy_anchors
 
 TTL = 60
 SECOND = 1_000_000
@@ -54,17 +53,6 @@ def test_same_as_loop(spark, dense, options):
     assert all(r.anchor_us == wanted[r.k][r.us] for r in rows)
 
 
-def test_state_function_same_as_loop(dense):
-    for _, group in dense.groupby("k"):
-        us = np.sort(group.us.to_numpy())
-        wanted = loop(us.tolist(), TTL * SECOND)
-        half = len(us) // 2
-        first = greedy_anchors(us[:half], None, TTL * SECOND)
-        anchor = int(first[-1]) if half else None
-        both = np.r_[first, greedy_anchors(us[half:], anchor, TTL * SECOND)]
-        assert both.tolist() == [wanted[t] for t in us.tolist()]
-
-
 def test_one_row_per_block(spark, dense):
     frame = spark.createDataFrame(dense)
     table = anchor_table(frame, ["k"], TTL, fold_limit=50)

@@ -5,11 +5,14 @@ from __future__ import annotations
 import json
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from eventloom.operators import enrich, ingest, rollups
-from eventloom.sources import sinks, tables, topics
+from eventloom.sources import given, sinks, tables, topics
 from eventloom.streaming import stages
+from eventloom.streaming.state import advance_anchors
 
 ONCE = {"availableNow": True}
 BASE = 1_700_000_000_000
@@ -42,7 +45,7 @@ def drain(query):
     assert query.exception() is None
 
 
-def ingest_run(spark, tmp_path, exact):
+def ingest_run(spark, tmp_path, quick):
     source, raw = f"{tmp_path}/bodies", f"{tmp_path}/raw"
     same = body("view")
     batches = [
@@ -55,11 +58,11 @@ def ingest_run(spark, tmp_path, exact):
         put(spark, source, number, rows)
         stream = topics.read_files(spark, source, topics.RAW)
         # A new query on the old checkpoint: a restart after every batch.
-        drain(
-            stages.start_ingest(
-                stream, topics.to_files(raw), f"{tmp_path}/checkpoint", exact, trigger=ONCE
-            )
-        )
+        sink, place = topics.to_files(raw), f"{tmp_path}/checkpoint"
+        if quick:
+            drain(stages.start_quick_ingest(stream, sink, place, ONCE))
+        else:
+            drain(stages.start_ingest(stream, sink, f"{tmp_path}/state", place, ONCE))
     found = spark.read.schema(topics.FILE_SCHEMA).option("recursiveFileLookup", "true").parquet(raw)
     return sorted(
         (json.loads(r.value)["event"], r.arrival_ts.timestamp() - BASE / 1000)
@@ -71,11 +74,11 @@ ACCEPTED = [("click", 20), ("end", 4000), ("late", 201), ("view", 0), ("view", 2
 
 
 def test_ingest_keeps_each_event_once_per_minute(spark, tmp_path):
-    assert ingest_run(spark, tmp_path, exact=True) == ACCEPTED
+    assert ingest_run(spark, tmp_path, quick=False) == ACCEPTED
 
 
 def test_built_in_duplicate_filter_only_suppresses_more(spark, tmp_path):
-    kept = ingest_run(spark, tmp_path, exact=False)
+    kept = ingest_run(spark, tmp_path, quick=True)
     assert set(kept) <= set(ACCEPTED) and len(kept) == len(set(kept))
     assert {e for e, _ in kept} == {"view", "click", "late", "end"}
 
@@ -125,6 +128,7 @@ def test_pipeline_from_raw_messages_to_stored_rows(spark, tmp_path):
                 ranges,
                 topics.to_files(enriched),
                 topics.to_files(dead),
+                f"{tmp_path}/sessions",
                 f"{tmp_path}/c1",
                 ONCE,
             )
@@ -217,39 +221,57 @@ def test_live_feed_announces_each_minute_once(spark, tmp_path):
     assert {m["type"] for m in messages} == {"metric_update"}
 
 
-def test_batch_and_stream_duplicates_agree(spark, folder, tmp_path):
-    """Arrivals of the given events, replayed in time order in three files."""
-    from eventloom.sources import given
-
+@pytest.mark.parametrize("replay", [False, True])
+def test_batch_and_stream_duplicates_agree(spark, folder, tmp_path, replay):
+    """Arrivals of the given events in three batches, the second one twice."""
     keyed = ingest.with_dedup_key(given.arrivals(spark, folder))
-    batch = {
-        (r.event_id, r.seq) for r in ingest.dedup_events(keyed).where("status = 'accepted'").collect()
-    }
-    stamped = keyed.withColumn("arrival_ts", F.col("arrival_ts").cast("timestamp"))
-    path = f"{tmp_path}/in"
-    edges = stamped.approxQuantile("ts_ms", [0.33, 0.66], 0.01)
+    accepted = ingest.dedup_events(keyed).where("status = 'accepted'")
+    wanted = {(r.event_id, r.seq) for r in accepted.collect()}
+    edges = keyed.approxQuantile("ts_ms", [0.33, 0.66], 0.01)
     parts = [
-        stamped.where(F.col("ts_ms") < edges[0]),
-        stamped.where((F.col("ts_ms") >= edges[0]) & (F.col("ts_ms") < edges[1])),
-        stamped.where(F.col("ts_ms") >= edges[1]),
+        keyed.where(F.col("ts_ms") < edges[0]),
+        keyed.where((F.col("ts_ms") >= edges[0]) & (F.col("ts_ms") < edges[1])),
+        keyed.where(F.col("ts_ms") >= edges[1]),
     ]
-    from eventloom.streaming.state import stream_anchors
-
-    schema = stamped.schema
-    for number, part in enumerate(parts):
-        part.coalesce(1).write.parquet(f"{path}/{number}")
-        stream = (
-            spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(path)
-        )
-        marked = stream_anchors(stream, ["dedup_key"], "arrival_ts", 60, "60 seconds")
-        drain(
-            marked.where("sets_anchor")
-            .select("event_id", "seq")
-            .writeStream.format("parquet")
-            .option("checkpointLocation", f"{tmp_path}/c")
-            .option("path", f"{tmp_path}/out")
-            .trigger(**ONCE)
-            .start()
+    found = {}
+    for number in [0, 1, 1, 2] if replay else [0, 1, 2]:
+        marked = advance_anchors(
+            parts[number], number, ["dedup_key"], "arrival_ts", 60, 60, f"{tmp_path}/state", "seq"
         )
-    streamed = {tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
-    assert streamed == batch
+        found[number] = {(r.event_id, r.seq) for r in marked.where("sets_anchor").collect()}
+    assert set.union(*found.values()) == wanted
+    assert sum(len(part) for part in found.values()) == len(wanted)
+
+
+def test_state_goes_on_and_is_forgotten(spark, tmp_path):
+    batches = [
+        [("a", 0), ("a", 30), (None, 1), (None, 1)],
+        [("a", 59), ("a", 60), ("b", 60)],
+        [("a", 50), ("a", 119)],  # a late event joins the running anchor
+        [("c", 5000)],
+        [("a", 130)],  # older than anything remembered: a new anchor
+    ]
+    wanted = [
+        [(None, 1, None, False), (None, 1, None, False), ("a", 0, 0, True), ("a", 30, 0, False)],
+        [("a", 59, 0, False), ("a", 60, 60, True), ("b", 60, 60, True)],
+        [("a", 50, 60, False), ("a", 119, 60, False)],
+        [("c", 5000, 5000, True)],
+        [("a", 130, 130, True)],
+    ]
+    for number, rows in enumerate(batches):
+        frame = spark.createDataFrame(
+            [(k, s, i) for i, (k, s) in enumerate(rows)], "k STRING, s BIGINT, i BIGINT"
+        ).withColumn("ts", F.timestamp_seconds("s"))
+        got = advance_anchors(frame, number, ["k"], "ts", 60, 60, f"{tmp_path}/state", "i")
+        assert "_at" not in got.columns and "_seed" not in got.columns
+        found = [
+            (r.k, r.s, None if r.anchor_us is None else r.anchor_us // 1_000_000, r.sets_anchor)
+            for r in got.collect()
+        ]
+        assert sorted(found, key=repr) == sorted(wanted[number], key=repr)
+
+
+def test_missing_state_is_an_error(spark, tmp_path):
+    frame = spark.sql("SELECT 'a' AS k, TIMESTAMP'2024-01-01' AS ts, 1 AS i")
+    with pytest.raises(AnalysisException):
+        advance_anchors(frame, 5, ["k"], "ts", 60, 60, f"{tmp_path}/none", "i")
