@@ -13,7 +13,7 @@ from eventloom.operators import analytics, deadletter, enrich, health, ingest, r
 from eventloom.operators.anchors import attach_anchors
 from eventloom.session import configure, scratch_path
 from eventloom.sources import given, sinks, topics
-from eventloom.sources.tables import scan_events, scan_rollups
+from eventloom.sources.tables import read_events, scan_events, scan_rollups
 from eventloom.streaming import stages
 from eventloom.streaming.state import advance_anchors
 
@@ -23,7 +23,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 FROM, TO = "2024-01-08 00:00:00", "2024-01-21 23:59:59"
 NOW = "2024-01-15 12:00:30"
 STEPS = ("view", "click", "purchase")
-EXPIRY_NOW = "2024-04-15 00:00:00"
+EXPIRY_NOW = "2024-04-15 07:30:00"
 
 REGISTERED: dict[str, Query] = {}
 
@@ -66,11 +66,44 @@ def scan_rollups_range(spark, folder):
 
 
 @register
-def expire_events(spark, folder):
+def write_events(spark, folder):
+    """Two batches, one of them written twice, read back."""
+    path = scratch_path(spark)
     events = given.analytics_events(spark, folder)
-    kept = events.where(F.col("ts") >= sinks.oldest_kept(events, "ts", EXPIRY_NOW))
-    return kept.groupBy("project_id").agg(
-        F.count("*").alias("kept"), F.min("ts").alias("oldest")
+    late = F.col("event_id") % 2 == 0
+    sinks.write_events(events.where(~late), 0, path)
+    sinks.write_events(events.where(late), 1, path)
+    sinks.write_events(events.where(late), 1, path)
+    return read_events(spark, path).select("event_id", "project_id", "event", "user_id", "ts")
+
+
+@register
+def layout_events(spark, folder):
+    """Events per day and project after the batches were rewritten."""
+    path = scratch_path(spark)
+    sinks.write_events(given.analytics_events(spark, folder), 0, f"{path}/batches")
+    sinks.compact_events(spark, f"{path}/batches", f"{path}/events")
+    days = scan_events(read_events(spark, f"{path}/events"), start=FROM, end=TO)
+    return days.groupBy("project_id", F.col("event_date").cast("string").alias("day")).agg(
+        F.count("*").alias("events")
+    )
+
+
+@register
+def expire_events(spark, folder):
+    path = scratch_path(spark)
+    sinks.write_events(given.analytics_events(spark, folder), 0, path)
+    sinks.expire_events(spark, path, EXPIRY_NOW)
+    return read_events(spark, path).select("event_id", "ts")
+
+
+@register
+def write_topic(spark, folder):
+    """Events as messages, read back field by field."""
+    messages = sinks.message_rows(given.analytics_events(spark, folder), "project_id")
+    part = lambda name: F.get_json_object("value", f"$.{name}").alias(name)
+    return messages.select(
+        "key", part("event_id"), part("event"), part("user_id"), part("properties")
     )
 
 
@@ -135,6 +168,18 @@ def hll_uniques(spark, folder):
     return rollups.merge_uniques(sketches, ["project_id", "event"])
 
 
+@register
+def hll_uniques_error(spark, folder):
+    """Exact users, and whether the merged sketches come within 5 % of them."""
+    events = given.analytics_events(spark, folder)
+    keys = ["project_id", "event"]
+    named = events.where(F.col("user_id") != "")
+    exact = named.groupBy(*keys).agg(F.count_distinct("user_id").alias("users"))
+    merged = rollups.merge_uniques(rollups.daily_sketches(events), keys)
+    gap = F.abs(F.col("unique_users") - F.col("users"))
+    return exact.join(merged, keys).select(*keys, "users", (gap <= F.col("users") / 20).alias("close"))
+
+
 # --- analytical queries ------------------------------------------------------
 
 

@@ -396,9 +396,16 @@ WHERE event IN ('view', 'click') AND ts BETWEEN {FROM} AND {TO}""",
     "scan_rollups_range": f"""WITH {ROLLUPS}
 SELECT project_id, event, bucket, count FROM rollups
 WHERE event = 'view' AND bucket BETWEEN {FROM} AND {TO}""",
-    "expire_events": f"""WITH {EVENTS}
-SELECT project_id, CAST(count(*) AS BIGINT) AS kept, min(ts) AS oldest FROM analytics_events
-WHERE ts >= TIMESTAMP '2024-04-15 00:00:00' - INTERVAL 90 DAY GROUP BY 1""",
+    "write_events": f"""WITH {EVENTS}
+SELECT event_id, project_id, event, user_id, ts FROM analytics_events""",
+    "layout_events": f"""WITH {EVENTS}
+SELECT project_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, CAST(count(*) AS BIGINT) AS events
+FROM analytics_events WHERE ts BETWEEN {FROM} AND {TO} GROUP BY 1, 2""",
+    "expire_events": """SELECT event_id, ts FROM events
+WHERE ts >= TIMESTAMP '2024-04-15 07:30:00' - INTERVAL 90 DAY""",
+    "write_topic": f"""WITH {EVENTS}
+SELECT project_id AS key, CAST(event_id AS VARCHAR) AS event_id, event, user_id, properties
+FROM analytics_events""",
     # --- rollups
     "rolling_counts": "WITH "
     + EVENTS
@@ -431,6 +438,9 @@ SELECT project_id, 'metric_update' AS type, project_id AS message_project, event
 SELECT project_id, event, CAST(count(*) AS BIGINT) AS count FROM analytics_events
 WHERE date_trunc('minute', ts) = (SELECT date_trunc('minute', max(ts)) FROM events)
 GROUP BY 1, 2""",
+    "hll_uniques_error": f"""WITH {EVENTS}
+SELECT project_id, event, CAST(count(DISTINCT user_id) AS BIGINT) AS users, TRUE AS close
+FROM analytics_events WHERE user_id <> '' GROUP BY 1, 2""",
     # --- analytical queries
     "metrics_minute": _metrics("minute"),
     "metrics_hour": _metrics("hour"),

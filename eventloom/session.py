@@ -15,6 +15,9 @@ REQUIRED = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # JSON bodies may repeat a key; the last one counts.
     "spark.sql.variant.allowDuplicateKeys": "true",
+    # Sketches and week lists take a few KB per group; keep them hashed for longer
+    # before falling back to sorting.
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "8192",
     # Replaying a micro-batch replaces only the partitions it wrote before.
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }

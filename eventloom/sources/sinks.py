@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eventloom.session import materialise
 from eventloom.sources.tables import bound
 
 # Fixed value: days an event is kept.
@@ -68,13 +69,42 @@ def compact_events(spark: SparkSession, source: str, target: str) -> None:
 
 
 def expire_events(
-    spark: SparkSession, source: str, target: str, now: object, days: int = RETENTION_DAYS
+    spark: SparkSession, path: str, now: object, days: int = RETENTION_DAYS
 ) -> None:
-    """Write the events that are not expired; older days are not even read."""
-    events = spark.read.parquet(source)
+    """Remove expired events from a table partitioned by day.
+
+    Days that are expired as a whole are dropped without being read. Only the
+    day on the border is rewritten.
+    """
+    events = spark.read.parquet(path)
     first = oldest_kept(events, "ts", now, days)
-    kept = events.where(F.col("event_date") >= first.cast("date")).where(F.col("ts") >= first)
-    layout_events(kept.drop("batch_id", "event_date"), target)
+    border = spark.range(1).select(first.cast("date").cast("string")).first()[0]
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    # One name per recorded day.
+    for status in files.listStatus(folder):
+        name, _, day = status.getPath().getName().partition("=")
+        if name == "event_date" and day < border:
+            files.delete(status.getPath(), True)
+
+    events = spark.read.parquet(path)
+    parts = [name for name in ("event_date", "batch_id") if name in events.columns]
+    last_day = events.where(F.col("event_date") == F.lit(border).cast("date"))
+    kept = materialise(last_day.where(F.col("ts") >= first))
+    # Folders of one day, by name.
+    before, after = (
+        {"/".join(f"{p}={row[p]}" for p in parts) for row in rows.select(*parts).distinct().collect()}
+        for rows in (last_day, kept)
+    )
+    (
+        kept.write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(*parts)
+        .parquet(path)
+    )
+    # A folder that keeps no row was not overwritten.
+    for name in before - after:
+        files.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}"), True)
 
 
 def write_rollups(df: DataFrame, batch_id: int, path: str) -> None:

@@ -92,13 +92,9 @@ def test_replayed_batch_replaces_itself(spark, tmp_path):
 
 
 def test_layout_expiry_and_pruning(spark, tmp_path):
-    first, second, third = (f"{tmp_path}/{n}" for n in "abc")
+    first, second = (f"{tmp_path}/{n}" for n in "ab")
     sinks.write_events(some_events(spark, range(100)), 1, first)
     sinks.compact_events(spark, first, second)
-    sinks.expire_events(spark, second, third, "2024-04-09 05:00:00")
-    kept = tables.read_events(spark, third)
-    # 2024-01-10 05:00 is exactly 90 days old and stays.
-    assert kept.count() == 91 and kept.agg(F.min("ts")).first()[0] == dt.datetime(2024, 1, 10, 5)
     scan = tables.scan_events(
         tables.read_events(spark, second), "p1", ["e"], "2024-02-01", "2024-02-03"
     )
@@ -107,6 +103,26 @@ def test_layout_expiry_and_pruning(spark, tmp_path):
     assert "event_date" in filters and ">=" in filters and "<=" in filters
     assert "EqualTo(project_id,p1)" in plan and "EqualTo(event,e)" in plan
     assert scan.count() == 1
+    for path in (first, second):
+        sinks.expire_events(spark, path, "2024-04-09 05:00:00")
+        kept = tables.read_events(spark, path)
+        # 2024-01-10 05:00 is exactly 90 days old and stays.
+        assert kept.count() == 91
+        assert kept.agg(F.min("ts")).first()[0] == dt.datetime(2024, 1, 10, 5)
+        sinks.expire_events(spark, path, "2024-04-09 05:00:01")
+        assert tables.read_events(spark, path).count() == 90
+
+
+def test_expiry_keeps_the_rest_of_the_border_day(spark, tmp_path):
+    path = f"{tmp_path}/events"
+    events = some_events(spark, range(3)).unionByName(
+        some_events(spark, range(3)).withColumn("ts", F.col("ts") + F.expr("interval 10 hours"))
+    )
+    sinks.write_events(events.where("hour(ts) = 5"), 0, path)
+    sinks.write_events(events.where("hour(ts) = 15"), 1, path)
+    sinks.expire_events(spark, path, "2024-04-01 12:00:00")
+    kept = tables.read_events(spark, path).select("ts").orderBy("ts").collect()
+    assert [(r.ts.day, r.ts.hour) for r in kept] == [(2, 15), (3, 5), (3, 15)]
 
 
 def test_dead_letter_transitions(spark):
