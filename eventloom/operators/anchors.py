@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from eventloom.functions import clock
-from eventloom.session import materialise
+from eventloom.session import materialise, ship_package
 
 MICROS = 1_000_000
 
@@ -67,21 +67,19 @@ def anchor_table(
     ttl = ttl_seconds * MICROS
     keys = list(keys)
     placed = instants.withColumn("block", clock.slot(F.col("us"), ttl))
-    blocks = _islands(placed, keys, ttl)
+    # Read several times below, and the choice of plan depends on it. Writing it
+    # once costs less than the two shuffles that make it.
+    blocks = materialise(_islands(placed, keys, ttl))
 
-    short = F.col("island_hi") - F.col("island_lo") < ttl
     first = F.col("block") == F.col("first_block")
-    solved = blocks.where(short).select(
+    solved = blocks.where(F.col("is_short")).select(
         *keys,
         "block",
         F.when(first, F.col("island_lo")).alias("own_us"),
         F.when(first, F.col("tie")).alias("own_tie"),
         F.when(~first, F.col("island_lo")).alias("carry_us"),
     )
-    # The choice of plan depends on these rows, and they are read again below.
-    longer = materialise(
-        blocks.where(~short).select(*keys, "block", "island", "first_block", "island_n")
-    )
+    longer = blocks.where(~F.col("is_short"))
     largest = longer.agg(F.max("island_n")).first()[0]
     if largest is None:
         return solved
@@ -170,13 +168,14 @@ def _islands(placed: DataFrame, keys: list[str], ttl: int) -> DataFrame:
         "starts", F.when(gap.isNull() | (gap >= ttl), F.lit(1)).otherwise(F.lit(0))
     ).withColumn("island", F.sum("starts").over(in_time))
     whole = Window.partitionBy(*keys, "island")
+    island_lo, island_hi = F.min("lo").over(whole), F.max("hi").over(whole)
     return numbered.select(
         *keys,
         "block",
         "island",
         "tie",
-        F.min("lo").over(whole).alias("island_lo"),
-        F.max("hi").over(whole).alias("island_hi"),
+        island_lo.alias("island_lo"),
+        (island_hi - island_lo < ttl).alias("is_short"),
         F.sum("n").over(whole).alias("island_n"),
         F.min("block").over(whole).alias("first_block"),
     )
@@ -219,6 +218,7 @@ def _folded(placed: DataFrame, blocks: DataFrame, keys: list[str], ttl: int) ->
 def _treed(
     placed: DataFrame, blocks: DataFrame, keys: list[str], ttl: int, fan_in: int, levels: int
 ) -> DataFrame:
+    ship_package(placed.sparkSession)
     group = [*keys, "island"]
     instants = _instants_of(placed, blocks, keys).select(
         *group, (F.col("block") - F.col("first_block")).alias("node"), F.col("us").alias("x")

@@ -11,7 +11,7 @@ from eventloom.functions import clock, identity
 from eventloom.functions import json_values as jv
 from eventloom.operators import analytics, deadletter, enrich, health, ingest, rollups, validate
 from eventloom.operators.anchors import attach_anchors
-from eventloom.session import configure, scratch_path
+from eventloom.session import configure, scratch_path, scratch_scope
 from eventloom.sources import given, sinks, topics
 from eventloom.sources.tables import read_events, scan_events, scan_rollups
 from eventloom.streaming import stages
@@ -751,10 +751,11 @@ def _anchored(stream: DataFrame, keys, ts_col, ttl, delay, tie_col, *columns) ->
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         configure(batch.sparkSession)
-        marked = advance_anchors(
-            batch, batch_id, keys, ts_col, ttl, delay, f"{path}/state", tie_col
-        )
-        sinks.write_batch(marked.select(*columns), batch_id, f"{path}/rows")
+        with scratch_scope(batch.sparkSession):
+            marked = advance_anchors(
+                batch, batch_id, keys, ts_col, ttl, delay, f"{path}/state", tie_col
+            )
+            sinks.write_batch(marked.select(*columns), batch_id, f"{path}/rows")
 
     query = (
         stream.writeStream.foreachBatch(on_batch)

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import io
+import pathlib
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,13 +54,38 @@ def materialise(df: DataFrame) -> DataFrame:
     """Write a table to the shared checkpoint folder and read it back.
 
     Cuts the lineage like `checkpoint()`, but computes the rows once, and the
-    files carry the sizes Spark's own choice of joins needs.
+    files carry the sizes Spark's own choice of joins needs. The table stays in
+    that folder, as the result is read later; inside a `scratch_scope` it is
+    removed at the end.
     """
     path = scratch_path(df.sparkSession)
+    if _scope.get() is not None:
+        _scope.get().append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_scope: ContextVar[list[str] | None] = ContextVar("scratch_scope", default=None)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Remove the tables materialised inside, when all their readers are done."""
+    paths: list[str] = []
+    token = _scope.set(paths)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+        for path in paths:
+            remove_folder(spark, path)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def scratch_path(spark: SparkSession) -> str:
     """A new folder name inside the shared checkpoint folder."""
     ensure_checkpoint_dir(spark)
@@ -75,3 +106,27 @@ def local_session(cpus: str | int = 8, app: str = "eventloom") -> SparkSession:
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return configure(spark)
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable for Python workers, once per application.
+
+    Only the combining of very large islands runs Python on the workers.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = pathlib.Path(__file__).resolve().parent
+    archive = io.BytesIO()
+    with zipfile.ZipFile(archive, "w") as files:
+        for source in sorted(package.rglob("*.py")):
+            files.write(source, source.relative_to(package.parent))
+    path = context._jvm.org.apache.hadoop.fs.Path(f"{scratch_path(spark)}/{package.name}.zip")
+    stream = path.getFileSystem(context._jsc.hadoopConfiguration()).create(path)
+    stream.write(archive.getvalue())
+    stream.close()
+    context.addPyFile(path.toString())
+    _shipped.add(context.applicationId)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.session import materialise
+from eventloom.session import materialise, remove_folder
 from eventloom.sources.tables import bound
 
 # Fixed value: days an event is kept.
@@ -104,7 +104,7 @@ def expire_events(
     )
     # A folder that keeps no row was not overwritten.
     for name in before - after:
-        files.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}"), True)
+        remove_folder(spark, f"{path}/{name}")
 
 
 def write_rollups(df: DataFrame, batch_id: int, path: str) -> None:

@@ -9,7 +9,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from eventloom.functions import clock, identity
 from eventloom.functions import json_values as jv
 from eventloom.operators import deadletter, enrich, ingest, rollups, validate
-from eventloom.session import configure, materialise
+from eventloom.session import configure, materialise, scratch_scope
 from eventloom.sources import sinks
 from eventloom.sources.topics import Sink
 from eventloom.streaming.state import advance_anchors
@@ -31,11 +31,16 @@ def _run(
     stream: DataFrame, on_batch, checkpoint: str, name: str, trigger: dict | None
 ) -> StreamingQuery:
     """Start a query that hands each micro-batch to a function."""
+
+    def cleanly(batch: DataFrame, batch_id: int) -> None:
+        with scratch_scope(batch.sparkSession):
+            on_batch(batch, batch_id)
+
     return (
         stream.writeStream.queryName(name)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"processingTime": STORE_INTERVAL}))
-        .foreachBatch(on_batch)
+        .foreachBatch(cleanly)
         .start()
     )
 

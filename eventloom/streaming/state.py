@@ -16,7 +16,7 @@ from pyspark.sql.utils import AnalysisException
 
 from eventloom.functions import clock
 from eventloom.operators.anchors import MICROS, attach_anchors
-from eventloom.session import materialise
+from eventloom.session import materialise, remove_folder
 
 
 def _previous(spark: SparkSession, path: str, batch_id: int, empty: DataFrame) -> DataFrame:
@@ -72,4 +72,6 @@ def advance_anchors(
     running.select(*keys, "running").write.mode("overwrite").parquet(
         f"{state_path}/batch={batch_id}"
     )
+    # The batch before may still be needed for a replay of this one.
+    remove_folder(spark, f"{state_path}/batch={batch_id - 2}")
     return marked.where(~F.col("_seed")).drop("_seed", "_at")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import pathlib
 
 import pandas as pd
 import pytest
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from eventloom.operators import enrich, ingest, rollups
+from eventloom.session import materialise, scratch_scope
 from eventloom.sources import given, sinks, tables, topics
 from eventloom.streaming import stages
 from eventloom.streaming.state import advance_anchors
@@ -271,6 +273,14 @@ def test_state_goes_on_and_is_forgotten(spark, tmp_path):
         assert sorted(found, key=repr) == sorted(wanted[number], key=repr)
 
 
+def test_scratch_tables_are_removed(spark):
+    with scratch_scope(spark):
+        table = materialise(spark.range(3))
+        folder = table.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file:")
+        assert table.count() == 3 and pathlib.Path(folder).exists()
+    assert not pathlib.Path(folder).exists()
+
+
 def test_missing_state_is_an_error(spark, tmp_path):
     frame = spark.sql("SELECT 'a' AS k, TIMESTAMP'2024-01-01' AS ts, 1 AS i")
     with pytest.raises(AnalysisException):
