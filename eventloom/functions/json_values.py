@@ -26,14 +26,28 @@ def kind(value: Column) -> Column:
     """JSON kind by name: the words a validator would use.
 
     NULL input (an absent value) is ``undefined``. Numbers of every width are
-    ``number``. The type is looked up once per value.
+    ``number``.
     """
+    return kind_of_type(F.schema_of_variant(value))
+
+
+def kind_of_type(shape: Column) -> Column:
+    """`kind` from the type text of a VARIANT, worked out once."""
     names = F.create_map(*[F.lit(word) for pair in KINDS.items() for word in pair])
-    head = F.substring_index(F.substring_index(F.schema_of_variant(value), "<", 1), "(", 1)
-    other = F.when(value.isNull(), F.lit("undefined")).otherwise(F.lit("number"))
+    head = F.substring_index(F.substring_index(shape, "<", 1), "(", 1)
+    other = F.when(shape.isNull(), F.lit("undefined")).otherwise(F.lit("number"))
     return F.coalesce(F.try_element_at(names, head), other)
 
 
+def type_fits(shape: Column, expected: str) -> Column:
+    """Whether a type text stands for a kind: string, number or object."""
+    if expected == "string":
+        return shape == "STRING"
+    if expected == "object":
+        return shape.startswith("OBJECT")
+    return shape.isin("BIGINT", "DOUBLE") | shape.startswith("DECIMAL")
+
+
 def is_nothing(value: Column) -> Column:
     """Absent or JSON null."""
     return value.isNull() | F.is_variant_null(value)

@@ -18,6 +18,8 @@ ENVELOPE = (
     ("userId", "string", False),
 )
 
+ISSUES = "array<struct<expected:string,code:string,path:array<string>,message:string>>"
+
 # First words of the two rejection reasons.
 ENVELOPE_REASON = "Schema validation failed: "
 RULE_REASON = "Project schema validation failed: "
@@ -49,35 +51,35 @@ def with_envelope_issues(
     `properties_col` stands in for the event's own property object if given.
     """
     raw = F.col(raw_col)
-    seen = []
-    for name, expected, required in ENVELOPE:
+    types = {}
+    for name, _, _ in ENVELOPE:
         value = jv.field(raw, name)
         if name == "properties" and properties_col is not None:
             value = F.col(properties_col)
-        seen.append(
-            F.struct(
-                F.lit(name).alias("name"),
-                F.lit(expected).alias("expected"),
-                F.lit("object" if expected == "record" else expected).alias("fits"),
-                F.lit("" if required else "undefined").alias("also_fits"),
-                jv.kind(value).alias("kind"),
-            )
-        )
-    wrong = F.filter(
-        "_seen", lambda f: (f["kind"] != f["fits"]) & (f["kind"] != f["also_fits"])
-    )
-    found = F.transform(wrong, lambda f: _issue(f["expected"], F.array(f["name"]), f["kind"]))
+        types[name] = F.schema_of_variant(value).alias(name)
+
+    all_fit, checks = F.lit(True), []
+    for name, expected, required in ENVELOPE:
+        shape = F.col(f"_types.{name}")
+        wanted = "object" if expected == "record" else expected
+        fits = F.coalesce(jv.type_fits(shape, wanted), F.lit(not required))
+        all_fit = all_fit & fits
+        issue = _issue(F.lit(expected), F.array(F.lit(name)), jv.kind_of_type(shape))
+        checks.append(F.when(~fits, issue))
+    found = F.filter(F.array(*checks), lambda issue: issue.isNotNull())
     nowhere = F.array().cast("array<string>")
     no_object = F.array(_issue(F.lit("object"), nowhere, jv.kind(raw)))
-    # An event with a field of its own is an object; only others need a look.
-    has_field = jv.field(raw, "event").isNotNull() | jv.field(raw, "projectId").isNotNull()
-    # Kinds are a column of their own: each is worked out once.
+    # Types are a column of their own, each looked up once; only an event with
+    # something wrong gets its issues spelled out.
     return (
-        messages.withColumn("_seen", F.array(*seen))
+        messages.withColumn("_types", F.struct(*types.values()))
         .withColumn(
-            "issues", F.when(has_field | jv.as_map(raw).isNotNull(), found).otherwise(no_object)
+            "issues",
+            F.when(all_fit, F.array().cast(ISSUES))
+            .when(jv.as_map(raw).isNotNull(), found)
+            .otherwise(no_object),
         )
-        .drop("_seen")
+        .drop("_types")
     )
 
 
