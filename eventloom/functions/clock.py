@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 UNIT_SECONDS = {"s": 1, "m": 60, "h": 3600, "d": 86400}
 DEFAULT_WINDOW_SECONDS = 604800
 
+# Longer than the calendar: a longer window finds nothing more.
+LONGEST_WINDOW_SECONDS = 10_000 * 366 * 86400
+
 # Bounds used when a query names none.
 DEFAULT_FROM = "2000-01-01"
 DEFAULT_TO = "2099-12-31"
@@ -69,7 +72,8 @@ def parse_window(text: str | None) -> int:
     match = re.fullmatch(r"([0-9]+)([smhd])", text or "")
     if not match or int(match.group(1)) <= 0:
         return DEFAULT_WINDOW_SECONDS
-    return int(match.group(1)) * UNIT_SECONDS[match.group(2)]
+    seconds = int(match.group(1)) * UNIT_SECONDS[match.group(2)]
+    return min(seconds, LONGEST_WINDOW_SECONDS)
 
 
 def parse_window_column(text: Column) -> Column:
@@ -79,6 +83,6 @@ def parse_window_column(text: Column) -> Column:
     factor = F.lit(None).cast("bigint")
     for letter, seconds in UNIT_SECONDS.items():
         factor = F.when(unit == letter, F.lit(seconds)).otherwise(factor)
-    return F.coalesce(
-        F.when(number > 0, number * factor), F.lit(DEFAULT_WINDOW_SECONDS)
-    ).cast("bigint")
+    longest = F.lit(LONGEST_WINDOW_SECONDS)
+    seconds = F.least(F.least(number, longest) * factor, longest)
+    return F.coalesce(F.when(number > 0, seconds), F.lit(DEFAULT_WINDOW_SECONDS)).cast("bigint")

@@ -126,9 +126,12 @@ def sessionize(
 def enrich_project(
     events: DataFrame, ranges: DataFrame, ts_col: str = "ts", properties_col: str = "properties"
 ) -> DataFrame:
-    """All enrichment columns and the two processing times for valid events."""
-    located = geo_enrich(context_from_properties(events, properties_col), ranges)
-    return sessionize(ua_enrich(located), ts_col).drop("address", "agent").withColumns(
+    """All enrichment columns and the two processing times for valid events.
+
+    Sessions come first: they read the events twice, and so only the plain ones.
+    """
+    contextual = context_from_properties(sessionize(events, ts_col), properties_col)
+    return ua_enrich(geo_enrich(contextual, ranges)).drop("address", "agent").withColumns(
         {"validated_at": F.current_timestamp(), "enriched_at": F.current_timestamp()}
     )
 

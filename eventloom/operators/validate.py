@@ -213,7 +213,11 @@ def judge(messages: DataFrame, rules: DataFrame, value_col: str = "value") -> Da
 
 
 def route_valid_rejected(judged: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Good events, and rejected messages with their reason."""
+    """Good events, and rejected messages with their reason.
+
+    Both sides read `judged`: materialise it first, or messages are judged for
+    each side.
+    """
     return (
         judged.where(F.col("reason").isNull()).drop("reason"),
         judged.where(F.col("reason").isNotNull()),

@@ -11,7 +11,7 @@ from eventloom.functions import clock, identity
 from eventloom.functions import json_values as jv
 from eventloom.operators import analytics, deadletter, enrich, health, ingest, rollups, validate
 from eventloom.operators.anchors import attach_anchors
-from eventloom.session import configure, scratch_path, scratch_scope
+from eventloom.session import configure, materialise, scratch_path, scratch_scope
 from eventloom.sources import given, sinks, topics
 from eventloom.sources.tables import read_events, scan_events, scan_rollups
 from eventloom.streaming import stages
@@ -293,7 +293,7 @@ def users_filtered(spark, folder):
 def parse_window(spark, folder):
     """Window texts built from the events, read as seconds."""
     events = given.table(spark, folder, "events")
-    unit = given._pick(F.col("event_id") % 5, ["s", "m", "h", "d", "w"])
+    unit = given.pick(F.col("event_id") % 5, ["s", "m", "h", "d", "w"])
     text = F.concat((F.col("event_id") % 13).cast("string"), unit)
     return events.select("event_id", clock.parse_window_column(text).alias("seconds"))
 
@@ -464,7 +464,8 @@ def upsert_schema(spark, folder):
 @register
 def route_valid_rejected(spark, folder):
     judged = validate.judge(_messages(spark, folder), given.property_rules(spark, folder))
-    good, bad = validate.route_valid_rejected(judged)
+    # Both sides are read; messages are parsed and judged once.
+    good, bad = validate.route_valid_rejected(materialise(judged.select("event_id", "reason")))
     return good.select("event_id", F.lit("valid").alias("route")).unionByName(
         bad.select("event_id", F.split("reason", ":")[0].alias("route"))
     )

@@ -20,7 +20,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def _pick(index: Column, choices: list[str]) -> Column:
+def pick(index: Column, choices: list[str]) -> Column:
+    """The choice under an index that counts from zero."""
     return F.element_at(F.array(*[F.lit(c) for c in choices]), (index + 1).cast("int"))
 
 
@@ -46,9 +47,9 @@ def analytics_events(
         .otherwise(F.concat(F.lit("user_"), F.col("user_id").cast("string")))
         .alias("user_id"),
         F.col("user_id").alias("customer_key"),
-        _pick(F.col("event_id") % 3, ["desktop", "mobile", "tablet"]).alias("device_type"),
-        _pick(F.col("user_id") % 3, ["Chrome", "Firefox", "Safari"]).alias("browser"),
-        _pick(F.col("user_id") % 2, ["Windows", "macOS"]).alias("os"),
+        pick(F.col("event_id") % 3, ["desktop", "mobile", "tablet"]).alias("device_type"),
+        pick(F.col("user_id") % 3, ["Chrome", "Firefox", "Safari"]).alias("browser"),
+        pick(F.col("user_id") % 2, ["Windows", "macOS"]).alias("os"),
         F.col("props").alias("properties"),
     )
     if not with_location:
@@ -198,7 +199,7 @@ def tracked_properties(spark: SparkSession, folder: str) -> DataFrame:
         (F.col("event_id") % 256).cast("string"),
         (F.col("user_id") % 256).cast("string"),
     )
-    agent = _pick(F.col("event_id") % 6, SAMPLE_AGENTS)
+    agent = pick(F.col("event_id") % 6, SAMPLE_AGENTS)
     return events.join(customers, "user_id").select(
         "event_id",
         "ts",
@@ -282,7 +283,7 @@ def dead_letters(spark: SparkSession, folder: str) -> DataFrame:
     number = F.col("event_id")
     return events.select(
         number.alias("id"),
-        _pick(number % 2, ["raw-events", "enriched-events"]).alias("original_topic"),
+        pick(number % 2, ["raw-events", "enriched-events"]).alias("original_topic"),
         (number % 8).cast("int").alias("original_partition"),
         number.cast("string").alias("original_offset"),
         F.col("project_id").alias("original_key"),

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Names of the three topics.
@@ -34,25 +34,13 @@ def read_kafka(
     )
     if per_trigger:
         reader = reader.option("maxOffsetsPerTrigger", per_trigger)
-    text = F.col("value").cast("string")
     return (
         reader.load()
         .where(F.col("value").isNotNull())
         .select(
             F.col("key").cast("string").alias("key"),
-            text.alias("value"),
-            F.map_from_entries(
-                F.transform(
-                    # A repeated header keeps one entry.
-                    F.array_distinct(F.transform("headers", lambda h: h["key"])),
-                    lambda name: F.struct(
-                        name,
-                        F.element_at(
-                            F.filter("headers", lambda h: h["key"] == name), -1
-                        )["value"].cast("string"),
-                    ),
-                )
-            ).alias("headers"),
+            F.col("value").cast("string").alias("value"),
+            header_texts(F.col("headers")).alias("headers"),
             "topic",
             "partition",
             F.col("offset").cast("string").alias("offset"),
@@ -61,6 +49,17 @@ def read_kafka(
     )
 
 
+def header_texts(headers: Column) -> Column:
+    """Kafka headers as MAP<STRING,STRING>; of a repeated name the last counts."""
+
+    def last_value(name: Column) -> Column:
+        same = F.filter(headers, lambda h: h["key"] == name)
+        return F.element_at(same, -1)["value"].cast("string")
+
+    names = F.array_distinct(F.transform(headers, lambda h: h["key"]))
+    return F.map_from_arrays(names, F.transform(names, last_value))
+
+
 def read_files(
     spark: SparkSession, path: str, topic: str, files_per_trigger: int = 1000
 ) -> DataFrame:

@@ -100,6 +100,12 @@ def test_funnel_plan_has_no_join_or_window(spark, folder):
     assert "In(event_type, [click,view])" in plan or "PushedFilters: [Or" in plan
 
 
+def test_funnel_with_an_endless_window(spark):
+    frame = events(spark, [("p", "u", "A", 0), ("p", "u", "B", 3e9), ("p", "v", "B", 0),
+                           ("p", "v", "A", 1)])
+    assert users_of(analytics.funnel(frame, ["A", "B"], "999999999d", project="p")) == [1]
+
+
 def test_retention_weeks(spark):
     week = 7 * 86400
     frame = events(
@@ -149,7 +155,8 @@ def test_users_page_and_filter(spark):
 @pytest.mark.parametrize(
     ("text", "seconds"),
     [("7d", 604800), ("1h", 3600), ("30m", 1800), ("5s", 5), ("0d", 604800), ("d", 604800),
-     ("7w", 604800), ("", 604800), (None, 604800), ("1h\n", 604800), (" 1h", 604800)],
+     ("7w", 604800), ("", 604800), (None, 604800), ("1h\n", 604800), (" 1h", 604800),
+     ("999999999999d", clock.LONGEST_WINDOW_SECONDS)],
 )
 def test_window_texts(spark, text, seconds):
     assert clock.parse_window(text) == seconds

@@ -10,8 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from eventloom.functions import address, agents
-from eventloom.operators import deadletter, enrich, health
-from eventloom.sources import sinks, tables
+from eventloom.operators import deadletter, enrich, health, rollups
+from eventloom.sources import sinks, tables, topics
 
 
 def test_addresses(spark):
@@ -175,3 +175,41 @@ def test_quantile_from_histogram(spark, lags, wanted):
     histogram = health.lag_histogram(rows, "a", "b", health.LAG_BOUNDS["process"])
     value = health.lag_quantile(histogram, 0.99).first().value
     assert value == pytest.approx(wanted)
+
+
+def test_rollup_deltas_merge_and_compact(spark, tmp_path):
+    """Two batches share a minute and a user; compaction changes nothing."""
+    at = F.lit("2024-01-01 00:00:10").cast("timestamp_ntz")
+    rows = [("u1",), ("u2",), ("",)]
+    frame = spark.createDataFrame(rows, "user_id STRING").select(
+        F.lit("p").alias("project_id"), F.lit("e").alias("event"), "user_id", at.alias("ts")
+    )
+    first, second = f"{tmp_path}/a", f"{tmp_path}/b"
+    sinks.write_rollups(rollups.sketch_rollups(frame), 0, first)
+    sinks.write_rollups(rollups.sketch_rollups(frame.where("user_id <> 'u2'")), 1, first)
+    late = frame.limit(1).withColumn("ts", at - F.expr("interval 5 seconds"))
+    later = frame.limit(1).withColumn("ts", at + F.expr("interval 1 hour"))
+    sinks.write_rollups(rollups.sketch_rollups(late.unionByName(later)), 2, first)
+    sinks.compact_rollups(spark, first, second)
+    for path in (first, second):
+        rows = sinks.read_rollups(spark, path).orderBy("bucket").collect()
+        assert [(r.bucket.hour, r["count"], r.unique_users) for r in rows] == [(0, 6, 2), (1, 1, 2)]
+
+
+def test_registry_and_ranges_are_read(spark, tmp_path):
+    rules = spark.createDataFrame([("p", "e", "{}", 3)], "project_id STRING, event STRING, schema STRING, version INT")
+    rules.write.parquet(f"{tmp_path}/rules")
+    assert tables.read_schema_registry(spark, f"{tmp_path}/rules").columns == ["project_id", "event", "schema"]
+    ranges = spark.createDataFrame([(1, 9, "A", "a")], "start_ip BIGINT, end_ip BIGINT, country STRING, city STRING")
+    ranges.write.parquet(f"{tmp_path}/ranges")
+    ranges.coalesce(1).write.csv(f"{tmp_path}/ranges.csv", header=True)
+    for name in ("ranges", "ranges.csv"):
+        assert tables.read_geo_ranges(spark, f"{tmp_path}/{name}").collect() == ranges.collect()
+
+
+def test_message_headers(spark):
+    frame = spark.sql(
+        "SELECT transform(array(array('a', '1'), array('b', NULL), array('a', '2')), "
+        "p -> named_struct('key', p[0], 'value', CAST(p[1] AS BINARY))) AS h"
+    )
+    assert frame.select(topics.header_texts(F.col("h"))).first()[0] == {"a": "2", "b": None}
