@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.llm import mixing, queries_sql
+from eventloom.llm import mixing, queries_sql, simhash
 from eventloom.llm.common import table
 from eventloom.session import configure
 
@@ -15,8 +15,15 @@ def op1_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_documents(table(spark, folder, "documents")).drop("source")
 
 
+def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    configure(spark)
+    return simhash.near_groups(table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op4_simhash": op4_simhash,
 }
 
 ORACLES = {
