@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.llm import mixing, queries_sql, simhash
+from eventloom.llm import mixing, pieces, quality, queries_sql, simhash
 from eventloom.llm.common import table
 from eventloom.session import configure
 
@@ -15,15 +16,33 @@ def op1_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_documents(table(spark, folder, "documents")).drop("source")
 
 
+def op3_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    """Token ids of every document, and the text they decode to."""
+    configure(spark)
+    return pieces.encode_documents(
+        table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model")
+    )
+
+
 def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     configure(spark)
     return simhash.near_groups(table(spark, folder, "documents"))
 
 
+def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality score of every document."""
+    configure(spark)
+    return quality.score_documents(
+        table(spark, folder, "documents"), table(spark, folder, "labels")
+    )
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op3_sentencepiece": op3_sentencepiece,
     "op4_simhash": op4_simhash,
+    "op8_quality": op8_quality,
 }
 
 ORACLES = {
