@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.llm import mixing, pieces, quality, queries_sql, simhash
+from eventloom.llm import mixing, pieces, privacy, quality, queries_sql, simhash
 from eventloom.llm.common import table
 from eventloom.session import configure
 
@@ -30,6 +30,12 @@ def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_groups(table(spark, folder, "documents"))
 
 
+def op7_private(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in every document, with the terms that disclose it."""
+    configure(spark)
+    return privacy.find_private(table(spark, folder, "documents"))
+
+
 def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Quality score of every document."""
     configure(spark)
@@ -42,6 +48,7 @@ QUERIES = {
     "op1_mixing": op1_mixing,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_simhash": op4_simhash,
+    "op7_private": op7_private,
     "op8_quality": op8_quality,
 }
 
