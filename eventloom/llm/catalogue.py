@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.llm import mixing, pieces, privacy, quality, queries_sql, simhash
+from eventloom.llm import mixing, pieces, privacy, quality, queries_sql, simhash, warc
 from eventloom.llm.common import table
 from eventloom.session import configure
 
@@ -30,6 +30,12 @@ def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_groups(table(spark, folder, "documents"))
 
 
+def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Record type and payload of every page, read back from deduplicated archives."""
+    configure(spark)
+    return warc.archive_pages(table(spark, folder, "pages"))
+
+
 def op7_private(spark: SparkSession, folder: str) -> DataFrame:
     """Personal data in every document, with the terms that disclose it."""
     configure(spark)
@@ -48,10 +54,12 @@ QUERIES = {
     "op1_mixing": op1_mixing,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_simhash": op4_simhash,
+    "op6_warc": op6_warc,
     "op7_private": op7_private,
     "op8_quality": op8_quality,
 }
 
 ORACLES = {
     "op1_mixing": queries_sql.OP1_MIXING,
+    "op6_warc": queries_sql.OP6_WARC,
 }

@@ -43,3 +43,20 @@ SELECT doc_id, size, source_size, CAST(target AS DOUBLE) AS target,
             OR (until - inside <= budget AND 2 * (budget - (until - inside)) >= inside) THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM ranked
 """
+
+OP6_WARC = """
+WITH payloads AS (
+  SELECT page_id, coalesce(html, '') AS payload, octet_length(encode(coalesce(html, ''))) AS payload_bytes
+  FROM pages
+), grouped AS (
+  SELECT *, CASE WHEN payload_bytes >= 1000
+       THEN max(page_id) OVER (PARTITION BY payload) END AS original
+  FROM payloads
+)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, sha1(payload) AS payload_digest,
+       CASE WHEN original <> page_id OR (original IS NOT NULL AND page_id IS NULL)
+            THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN original <> page_id OR (original IS NOT NULL AND page_id IS NULL)
+            THEN original END AS refers_to
+FROM grouped
+"""
