@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.llm import mixing, pieces, privacy, quality, queries_sql, simhash, warc
+from eventloom.llm import mixing, neighbours, pieces, privacy, quality, queries_sql, simhash, warc
 from eventloom.llm.common import table
 from eventloom.session import configure
 
@@ -50,6 +50,12 @@ def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op10_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 nearest vectors of every twentieth one, by inner product."""
+    configure(spark)
+    return neighbours.nearest(table(spark, folder, "embeddings"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op3_sentencepiece": op3_sentencepiece,
@@ -57,6 +63,7 @@ QUERIES = {
     "op6_warc": op6_warc,
     "op7_private": op7_private,
     "op8_quality": op8_quality,
+    "op10_neighbours": op10_neighbours,
 }
 
 ORACLES = {
