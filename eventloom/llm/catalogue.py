@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.llm import mixing, neighbours, pieces, privacy, quality, queries_sql, simhash, warc
+from eventloom.llm import mixing, neighbours, pieces, privacy, quality, queries_sql, secrets, simhash, warc
 from eventloom.llm.common import table
 from eventloom.session import configure
 
@@ -30,6 +30,12 @@ def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_groups(table(spark, folder, "documents"))
 
 
+def op5_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets in every document."""
+    configure(spark)
+    return secrets.find_secrets(table(spark, folder, "documents"))
+
+
 def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
     """Record type and payload of every page, read back from deduplicated archives."""
     configure(spark)
@@ -60,6 +66,7 @@ QUERIES = {
     "op1_mixing": op1_mixing,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_simhash": op4_simhash,
+    "op5_secrets": op5_secrets,
     "op6_warc": op6_warc,
     "op7_private": op7_private,
     "op8_quality": op8_quality,
