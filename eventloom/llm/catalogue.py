@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.llm import mixing, neighbours, pieces, privacy, quality, queries_sql, secrets, simhash, warc
+from eventloom.llm import mixing, neighbours, pieces, privacy, quality, queries_sql, secrets, simhash, spots, warc
 from eventloom.llm.common import table
 from eventloom.session import configure
 
@@ -56,6 +56,12 @@ def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_spots(spark: SparkSession, folder: str) -> DataFrame:
+    """Spot signatures of every document, of an edited text, and their likeness."""
+    configure(spark)
+    return spots.fingerprint_documents(table(spark, folder, "documents"))
+
+
 def op10_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     """The 20 nearest vectors of every twentieth one, by inner product."""
     configure(spark)
@@ -70,6 +76,7 @@ QUERIES = {
     "op6_warc": op6_warc,
     "op7_private": op7_private,
     "op8_quality": op8_quality,
+    "op9_spots": op9_spots,
     "op10_neighbours": op10_neighbours,
 }
 
