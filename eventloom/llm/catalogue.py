@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.llm import mixing, neighbours, pieces, privacy, quality, queries_sql, secrets, simhash, spots, warc
+from eventloom.llm import mixing, neighbours, pieces, privacy, quality, queries_sql, repeats, secrets, simhash, spots, warc
 from eventloom.llm.common import table
 from eventloom.session import configure
 
@@ -16,6 +16,12 @@ def op1_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_documents(table(spark, folder, "documents")).drop("source")
 
 
+def op2_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of every document without the passages that repeat."""
+    configure(spark)
+    return repeats.remove_repeats(table(spark, folder, "documents"))
+
+
 def op3_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of every document, and the text they decode to."""
     configure(spark)
@@ -70,6 +76,7 @@ def op10_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_repeats": op2_repeats,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_simhash": op4_simhash,
     "op5_secrets": op5_secrets,
