@@ -216,46 +216,56 @@ def _marked(slot: Column, rows: DataFrame) -> bytes:
 def disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame | None:
     """`entity, term, action`: what discloses an entity, and whether it is generalised or removed.
 
-    Shares are over all different texts. None if no term has support.
+    Shares are over all documents. None if no term has support.
     """
-    near = neighbours(found)
-    together = materialise(
+    document = ["doc_id", "text_key"]
+    near = neighbours(found).select(*document, "entity", "term").distinct()
+    together = (
         near.groupBy("entity", "term")
-        .agg(F.count_distinct("text_key").alias("n_both"))
-        .where(F.col("n_both") >= SUPPORT)
+        .agg(F.count(F.lit(1)).alias("n_both"), F.count_distinct("text_key").alias("texts"))
+        .where(F.col("texts") >= SUPPORT)
     )
-    if together.isEmpty():
+    beside = near.select(*document, "term").distinct().groupBy("term").agg(
+        F.count(F.lit(1)).alias("n_beside")
+    )
+    entity = F.concat_ws(":", "s.kind", "s.value").alias("entity")
+    named = (
+        found.select(*document, F.explode("base").alias("s"))
+        .select(*document, entity)
+        .distinct()
+        .groupBy("entity")
+        .agg(F.count(F.lit(1)).alias("n_entity"))
+    )
+    n = float(found.count())
+    known = F.log(F.lit(n) / F.col("n_entity"))
+    # A term stands in as many documents as it stands beside entities in, at least;
+    # pairs that cannot reach the threshold with that many are left out here.
+    most = F.col("n_both") * F.exp(known * (1 - GENERALISE))
+    candidates = materialise(
+        together.join(beside, "term")
+        .join(named, "entity")
+        .where((known > 0) & (F.col("n_beside") <= most))
+    )
+    if candidates.isEmpty():
         return None
     slot = F.pmod(F.xxhash64("term"), F.lit(MAP_BITS))
-    marks = F.lit(_marked(slot, together))
+    marks = F.lit(_marked(slot, candidates))
     byte = F.substring(marks, F.expr("cast(slot div 8 as int) + 1"), F.lit(1))
     hit = F.expr("slot % 8").cast("int")
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0)))
     # Words that no candidate shares a bit with are not counted.
-    counted = (
-        _keyed(docs.select("text"))
-        .select("text_key", F.explode(words).alias("term"))
+    alone = (
+        docs.select(whole_text().alias("text"))
+        .select(F.explode(words).alias("term"))
         .withColumn("slot", slot)
         .where(F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), hit) == 1)
-        .select("term", "text_key")
-    )
-    terms = together.select("term").distinct()
-    alone = (
-        counted.join(terms, "term", "left_semi")
         .groupBy("term")
-        .agg(F.count_distinct("text_key").alias("n_term"))
+        .agg(F.count(F.lit(1)).alias("n_term"))
     )
-    spans = found.select("text_key", F.explode("base").alias("s"))
-    named = spans.groupBy(F.concat_ws(":", "s.kind", "s.value").alias("entity")).agg(
-        F.count_distinct("text_key").alias("n_entity")
-    )
-    texts = found.agg(F.count_distinct("text_key")).first()[0]
-    known = F.log(F.lit(float(texts)) / F.col("n_entity"))
-    gained = F.log(F.col("n_both") * F.lit(float(texts)) / (F.col("n_term") * F.col("n_entity")))
+    gained = F.log(F.col("n_both") * F.lit(n) / (F.col("n_term") * F.col("n_entity")))
     return (
-        together.join(alone, "term")
-        .join(named, "entity")
-        .withColumn("disclosed", F.when(known > 0, gained / known))
+        candidates.join(alone, "term")
+        .withColumn("disclosed", gained / known)
         .where(F.col("disclosed") >= GENERALISE)
         .select(
             "entity",
