@@ -15,7 +15,8 @@ DEFAULT_WINDOW_SECONDS = 604800
 # Longer than the calendar: a longer window finds nothing more.
 LONGEST_WINDOW_SECONDS = 10_000 * 366 * 86400
 
-# Bounds used when a query names none.
+# Bounds that the query API fills in for a caller who names none. The
+# operators themselves take a missing bound as open.
 DEFAULT_FROM = "2000-01-01"
 DEFAULT_TO = "2099-12-31"
 

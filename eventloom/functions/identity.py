@@ -20,7 +20,7 @@ def dedup_key(project: Column, user: Column, ts_ms: Column, event: Column) -> Co
 
 
 def quota_key(api_key: Column) -> Column:
-    """First 16 hex digits of the key's SHA-256."""
+    """First 16 hex digits of the key's SHA-256, to show; quotas go by the whole digest."""
     return F.substring(F.sha2(api_key, 256), 1, 16)
 
 

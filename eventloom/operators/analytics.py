@@ -118,15 +118,16 @@ def funnel(
     if len(steps) < 2:
         raise ValueError("at least 2 steps required")
     length = clock.parse_window(window) * MICROS
-    start = clock.DEFAULT_FROM if start is None else start
-    end = clock.DEFAULT_TO if end is None else end
-
-    chosen = scan_events(events, project, steps, start).where(
-        # The second event lies at most one window behind `end`.
-        F.col("ts") <= bound(events, "ts", end) + F.make_dt_interval(secs=F.lit(length // MICROS))
-    )
+    chosen = scan_events(events, project, steps, start)
     us = clock.micros(F.col("ts"))
-    entered = F.when(F.col("ts") <= bound(events, "ts", end), us)
+    entered = us
+    if end is not None:
+        # The second event lies at most one window behind `end`.
+        last = bound(events, "ts", end) + F.make_dt_interval(secs=F.lit(length // MICROS))
+        chosen = chosen.where(F.col("ts") <= last)
+        if "event_date" in events.columns:
+            chosen = chosen.where(F.col("event_date") <= last.cast("date"))
+        entered = F.when(F.col("ts") <= bound(events, "ts", end), us)
     extremes = chosen.groupBy(
         "project_id", "user_id", "event", clock.slot(us, length).alias("slot")
     ).agg(
@@ -207,11 +208,17 @@ def _weeks(
     Repetitions within a week disappear before the shuffle. The arrays hold at
     most one entry per week of recorded time.
     """
-    start = clock.DEFAULT_FROM if start is None else start
-    end = clock.DEFAULT_TO if end is None else end
     chosen = scan_events(events, project, [cohort_event, return_event])
-    timely = F.col("ts").between(bound(events, "ts", start), bound(events, "ts", end))
-    joined = (F.col("event") == cohort_event) & timely
+    joined = F.col("event") == cohort_event
+    if start is not None:
+        joined = joined & (F.col("ts") >= bound(events, "ts", start))
+        # Nothing before the week of the first cohort counts as a return.
+        monday = F.date_trunc("week", bound(events, "ts", start)).cast(events.schema["ts"].dataType)
+        chosen = chosen.where(F.col("ts") >= monday)
+        if "event_date" in events.columns:
+            chosen = chosen.where(F.col("event_date") >= monday.cast("date"))
+    if end is not None:
+        joined = joined & (F.col("ts") <= bound(events, "ts", end))
     returned = F.col("event") == return_event
     weekly = chosen.groupBy(
         "project_id", "user_id", clock.week_of(F.col("ts")).alias("week")
@@ -268,28 +275,27 @@ def retention(
     users in the cohort whether they returned or not.
     """
     keys = _keys(project, "")
-    cells = retention_long(events, cohort_event, return_event, project, start, end)
-    distance = F.datediff("return_week", "cohort_week") / 7
-    columns = [
-        F.coalesce(F.max(F.when(distance == p, F.col("users"))), F.lit(0)).alias(f"period_{p}")
+    weeks = _weeks(events, cohort_event, return_event, project, start, end)
+    # Per user and cohort one row: which of the wanted weeks it came back in.
+    came = [
+        F.array_contains("returns", F.date_add("cohort", 7 * p)).alias(f"came_{p}")
         for p in range(periods)
     ]
-    total = F.col("period_0") if periods > 0 else F.lit(0)
+    later = F.exists("returns", lambda week: week >= F.col("cohort")).alias("ever")
     table = (
-        cells.groupBy(*keys, F.col("cohort_week").alias("cohort"))
-        .agg(F.lit(None).alias("unused"), *columns)
-        .withColumn("total", total)
-        .drop("unused")
+        weeks.select(*keys, "returns", F.explode("cohorts").alias("cohort"))
+        .select(*keys, "cohort", later, *came)
+        .groupBy(*keys, "cohort")
+        .agg(
+            F.count("*").alias("cohort_size"),
+            F.count_if("ever").alias("ever"),
+            *[F.count_if(f"came_{p}").alias(f"period_{p}") for p in range(periods)],
+        )
+        .where("ever > 0")
+        .withColumn("total", F.col("period_0") if periods > 0 else F.lit(0).cast("bigint"))
     )
     names = [*keys, "cohort", "total", *[f"period_{p}" for p in range(periods)]]
     if with_size:
-        weeks = _weeks(events, cohort_event, return_event, project, start, end)
-        sizes = (
-            weeks.select(*keys, F.explode("cohorts").alias("cohort"))
-            .groupBy(*keys, "cohort")
-            .agg(F.count("*").alias("cohort_size"))
-        )
-        table = table.join(sizes, [*keys, "cohort"])
         names.append("cohort_size")
     return table.select(*names).orderBy(*keys, "cohort")
 
@@ -338,14 +344,48 @@ def users(
     limit: int = DEFAULT_PAGE,
     offset: int = 0,
 ) -> DataFrame:
-    """A page of `user_profiles`, latest activity first."""
+    """A page of `user_profiles`, latest activity first.
+
+    A page has 1 to MAX_PAGE rows; other limits are errors. Deep pages cost what
+    all pages before them do: `users_after` goes on from a row instead.
+    """
+    page(limit, offset, MAX_PAGE)
     profiles = user_profiles(events, project, filter_text)
-    keys = [name for name in profiles.columns if name not in ("first_seen", "last_seen")]
-    return (
-        profiles.orderBy(F.desc("last_seen"), *keys)
-        .offset(max(0, offset))
-        .limit(max(1, min(MAX_PAGE, limit)))
-    )
+    return profiles.orderBy(F.desc("last_seen"), *_profile_keys(profiles)).offset(offset).limit(limit)
+
+
+def users_after(
+    events: DataFrame,
+    last: Sequence[object] | None = None,
+    project: str | None = None,
+    filter_text: str | None = None,
+    limit: int = DEFAULT_PAGE,
+) -> DataFrame:
+    """The page behind a row, given by its `last_seen` and its key columns in order."""
+    page(limit, 0, MAX_PAGE)
+    profiles = user_profiles(events, project, filter_text)
+    keys = _profile_keys(profiles)
+    if last is not None:
+        seen = bound(profiles, "last_seen", last[0])
+        behind = F.struct(*keys) > F.struct(
+            *[F.lit(v).alias(k) for k, v in zip(keys, last[1:], strict=True)]
+        )
+        profiles = profiles.where(
+            (F.col("last_seen") < seen) | ((F.col("last_seen") == seen) & behind)
+        )
+    return profiles.orderBy(F.desc("last_seen"), *keys).limit(limit)
+
+
+def _profile_keys(profiles: DataFrame) -> list[str]:
+    return [name for name in profiles.columns if name not in ("first_seen", "last_seen")]
+
+
+def page(limit: int, offset: int, most: int) -> None:
+    """Refuse what would otherwise be cut without a word."""
+    if not 1 <= limit <= most:
+        raise ValueError(f"limit must be from 1 to {most}")
+    if offset < 0:
+        raise ValueError("offset must not be negative")
 
 
 def tenant_scope(df: DataFrame, projects: DataFrame, org: str | None = None) -> DataFrame:

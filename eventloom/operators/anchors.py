@@ -20,7 +20,8 @@ Islands are solved in three ways:
 * anything larger (one key may hold a third of all rows): blocks are combined
   in a tree. A block is a step function from "when the running anchor ends" to
   "the anchor left behind"; neighbouring functions are composed level by level,
-  then start values are handed back down. No task ever sees a whole island.
+  then start values are handed back down. A task sees the distinct instants of
+  FAN_IN blocks at most, however long the island is.
 """
 
 from __future__ import annotations
@@ -40,10 +41,9 @@ MICROS = 1_000_000
 
 # Instants of one island folded as an array; larger islands use the tree.
 FOLD_LIMIT = 4096
-# Children composed at once, and levels above the blocks. A root that spans
-# more than FAN_IN ** LEVELS blocks just gets more children.
+# Children composed at once. There are as many levels as an island needs for
+# its root to have no more children than that.
 FAN_IN = 16
-LEVELS = 3
 
 BEFORE_ALL = -(2**62)
 
@@ -54,7 +54,7 @@ def anchor_table(
     ttl_seconds: int,
     fold_limit: int = FOLD_LIMIT,
     fan_in: int = FAN_IN,
-    levels: int = LEVELS,
+    levels: int | None = None,
 ) -> DataFrame:
     """Anchors per (keys, block).
 
@@ -113,39 +113,127 @@ def anchor_table(
     return solved.unionByName(reports.join(known, [*keys, "block"], "left_semi"))
 
 
+# Events of a key that are solved as one array in a single shuffle.
+LIGHT_EVENTS = 256
+
+
 def attach_anchors(
     events: DataFrame,
     keys: Sequence[str],
     ts_col: str,
     ttl_seconds: int,
     tie_col: str | None = None,
+    light_events: int = LIGHT_EVENTS,
     **options: int,
 ) -> DataFrame:
-    """Add `anchor_us` to every event; NULL where a key column is NULL.
+    """Add `anchor_us` to every event; NULL where a key column or the time is NULL.
 
     `ts_col` is a timestamp, or a BIGINT of epoch microseconds.
-    With `tie_col`, unique among the events of a key at one instant,
+    With `tie_col`, which orders the events of a key at one instant,
     `sets_anchor` marks the one event that set each anchor.
+
+    Events are counted per key, before the shuffle. Keys with few events, as
+    nearly all are, are solved as arrays in one shuffle; only the others take
+    the way that splits keys of any size.
     """
     keys = list(keys)
     given_us = dict(events.dtypes)[ts_col] == "bigint"
     us = F.col(ts_col) if given_us else clock.micros(F.col(ts_col))
-    ties = [F.col(tie_col).alias("tie")] if tie_col else []
-    known = events.select(*keys, us.alias("us"), *ties).dropna(subset=keys)
-    anchors = anchor_table(known, keys, ttl_seconds, **options).select(
+    own = events.columns
+    timed = events.withColumn("_us", us)
+    known = F.col("_us").isNotNull()
+    for name in keys:
+        known = known & F.col(name).isNotNull()
+    usable = timed.where(known)
+    heavy = materialise(
+        usable.groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .where(F.col("_n") > light_events)
+        .select(*keys)
+    )
+    result = [*own, "anchor_us", *(["sets_anchor"] if tie_col else [])]
+    nothing = timed.where(~F.coalesce(known, F.lit(False))).withColumns(
+        {"anchor_us": F.lit(None).cast("bigint"), "sets_anchor": F.lit(False)}
+    )
+    if heavy.isEmpty():
+        solved = _light(usable, keys, own, ttl_seconds * MICROS, tie_col)
+        return solved.select(*result).unionByName(nothing.select(*result))
+    light = _light(
+        usable.join(heavy, keys, "left_anti"), keys, own, ttl_seconds * MICROS, tie_col
+    )
+    # Rows get a number of their own, which settles ties that `tie_col` leaves.
+    large = materialise(
+        usable.join(heavy, keys, "left_semi").withColumn("_row", F.monotonically_increasing_id())
+    )
+    tie = F.struct(F.col(tie_col), F.col("_row")) if tie_col else None
+    found = _heavy(large, keys, ttl_seconds, tie, **options)
+    return (
+        light.select(*result)
+        .unionByName(found.select(*result))
+        .unionByName(nothing.select(*result))
+    )
+
+
+def _light(
+    events: DataFrame, keys: list[str], own: list[str], ttl: int, tie_col: str | None
+) -> DataFrame:
+    """Keys with few events: one sorted array each, one greedy pass, and back to rows."""
+    rows = F.collect_list(F.struct(*[F.col(f"`{c}`") for c in own], "_us"))
+    grouped = events.groupBy(*[F.col(k).alias(f"_key_{i}") for i, k in enumerate(keys)]).agg(
+        rows.alias("_rows")
+    )
+    order = F.array_sort(
+        F.transform(
+            "_rows",
+            lambda r, i: F.struct(
+                r["_us"].alias("us"), *([r[tie_col].alias("tie")] if tie_col else []), i.alias("i")
+            ),
+        )
+    )
+    alone = F.size("_rows") == 1
+    anchors = F.when(alone, F.array(F.get("_rows", F.lit(0))["_us"])).otherwise(
+        _greedy(F.transform("_order", lambda o: o["us"]), ttl)
+    )
+    # The first of the order at an anchor's instant has set it.
+    setters = F.when(alone, F.array(F.lit(0))).otherwise(
+        F.transform(
+            "_anchors",
+            lambda a: F.filter("_order", lambda o: o["us"] == a)[0]["i"],
+        )
+    )
+    return (
+        grouped.withColumn("_order", F.when(~alone, order))
+        .withColumn("_anchors", anchors)
+        .withColumn("_setters", setters)
+        .select("_anchors", "_setters", F.posexplode("_rows").alias("_i", "_r"))
+        .select(
+            *[F.col(f"_r.`{c}`").alias(c) for c in own],
+            F.array_max(F.filter("_anchors", lambda a: a <= F.col("_r._us"))).alias("anchor_us"),
+            F.array_contains("_setters", F.col("_i")).alias("sets_anchor"),
+        )
+    )
+
+
+def _heavy(
+    events: DataFrame, keys: list[str], ttl_seconds: int, tie: Column | None, **options: int
+) -> DataFrame:
+    ties = [tie.alias("tie")] if tie is not None else []
+    anchors = anchor_table(
+        events.select(*keys, F.col("_us").alias("us"), *ties), keys, ttl_seconds, **options
+    ).select(
         *keys,
         F.col("block").alias("_block"),
         F.struct("own_us", "carry_us", "own_tie").alias("_found"),
     )
-    joined = events.withColumns(
-        {"_us": us, "_block": clock.slot(us, ttl_seconds * MICROS)}
-    ).join(anchors, [*keys, "_block"], "left")
+    joined = events.withColumn("_block", clock.slot(F.col("_us"), ttl_seconds * MICROS)).join(
+        anchors, [*keys, "_block"], "left"
+    )
     own = F.col("_found.own_us")
-    if tie_col:
-        sets = (F.col("_us") == own) & (F.col(tie_col) == F.col("_found.own_tie"))
+    if tie is not None:
+        sets = (F.col("_us") == own) & (tie == F.col("_found.own_tie"))
         joined = joined.withColumn("sets_anchor", F.coalesce(sets, F.lit(False)))
     holding = F.when(own <= F.col("_us"), own).otherwise(F.col("_found.carry_us"))
-    return joined.withColumn("anchor_us", holding).drop("_us", "_block", "_found")
+    return joined.withColumn("anchor_us", holding)
 
 
 def _islands(placed: DataFrame, keys: list[str], ttl: int) -> DataFrame:
@@ -189,6 +277,17 @@ def _instants_of(placed: DataFrame, blocks: DataFrame, keys: list[str]) -> DataF
 
 def _folded(placed: DataFrame, blocks: DataFrame, keys: list[str], ttl: int) -> DataFrame:
     """Greedy pass over the sorted instants of an island of bounded size."""
+    islands = (
+        _instants_of(placed, blocks, keys)
+        .groupBy(*keys, "island")
+        .agg(F.sort_array(F.collect_set("us")).alias("instants"))
+    )
+    anchors = _greedy(F.col("instants"), ttl)
+    return islands.select(*keys, F.explode(anchors).alias("anchor_us"))
+
+
+def _greedy(instants: Column, ttl: int) -> Column:
+    """Anchors of a sorted array of instants."""
     step = F.lit(ttl).cast("bigint")
     start = F.struct(
         F.lit(BEFORE_ALL).cast("bigint").alias("last"),
@@ -199,13 +298,7 @@ def _folded(placed: DataFrame, blocks: DataFrame, keys: list[str], ttl: int) ->
         moved = F.struct(us.alias("last"), F.array_append(state["found"], us).alias("found"))
         return F.when(us >= state["last"] + step, moved).otherwise(state)
 
-    islands = (
-        _instants_of(placed, blocks, keys)
-        .groupBy(*keys, "island")
-        .agg(F.sort_array(F.collect_set("us")).alias("instants"))
-    )
-    anchors = F.aggregate("instants", start, take, lambda state: state["found"])
-    return islands.select(*keys, F.explode(anchors).alias("anchor_us"))
+    return F.aggregate(instants, start, take, lambda state: state["found"])
 
 
 # --- islands of any size -----------------------------------------------------
@@ -216,7 +309,12 @@ def _folded(placed: DataFrame, blocks: DataFrame, keys: list[str], ttl: int) ->
 
 
 def _treed(
-    placed: DataFrame, blocks: DataFrame, keys: list[str], ttl: int, fan_in: int, levels: int
+    placed: DataFrame,
+    blocks: DataFrame,
+    keys: list[str],
+    ttl: int,
+    fan_in: int,
+    levels: int | None,
 ) -> DataFrame:
     ship_package(placed.sparkSession)
     group = [*keys, "island"]
@@ -227,6 +325,10 @@ def _treed(
     # Every level is read by the one above and again on the way down; the
     # tables shrink by the fan-in from level to level.
     tree = [materialise(leaves)]
+    if levels is None:
+        span, levels = tree[0].agg(F.max("node")).first()[0] + 1, 1
+        while fan_in**levels < span:
+            levels += 1
     for _ in range(levels - 1):
         tree.append(materialise(_composed(tree[-1], group, ttl, fan_in)))
 

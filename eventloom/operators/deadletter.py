@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eventloom.operators.analytics import page
 from eventloom.functions import clock
 
 # States of a dead letter.
@@ -118,13 +119,14 @@ def dlq_table(letters: DataFrame, log: DataFrame) -> DataFrame:
 def dlq_list(
     table: DataFrame, status: str = PENDING, limit: int = DEFAULT_PAGE, offset: int = 0
 ) -> DataFrame:
-    """A page of dead letters with a status, newest first."""
+    """A page of dead letters with a status, newest first; 1 to MAX_PAGE rows."""
+    page(limit, offset, MAX_PAGE)
     return (
         table.where(F.col("status") == status)
         .select(*LISTED)
         .orderBy(F.desc("created_at"), F.desc("id"))
-        .offset(max(0, offset))
-        .limit(max(1, min(MAX_PAGE, limit)))
+        .offset(offset)
+        .limit(limit)
     )
 
 

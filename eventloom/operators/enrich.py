@@ -37,13 +37,15 @@ def geo_enrich(
 ) -> DataFrame:
     """Add `country` and `city` of the address; NULL without address or range.
 
-    `ranges` (start_ip, end_ip, country, city) must not overlap. A range join
-    becomes an equality join on the upper 16 bits. Where the ranges are
-    few, counted and not assumed, that join runs on the events as they are.
+    `ranges` are (start_ip, end_ip, country, city). Where they overlap, the
+    shortest one holds an address, then the one that starts last: overlaps are
+    cut first, so that both ways of looking up see the same disjoint pieces. A
+    range join becomes an equality join on the upper 16 bits. Where the ranges
+    are few, counted and not assumed, that join runs on the events as they are.
     Otherwise the distinct addresses are located first and joined back.
     """
     numbered = events.withColumn("ip_number", ip.ipv4_number(F.col(address_col)))
-    pieces = _by_prefix(ranges)
+    pieces = _disjoint(_by_prefix(ranges))
     if ranges.limit(small_ranges + 1).count() <= small_ranges:
         located = numbered.withColumn("prefix", ip.prefix_of(F.col("ip_number"))).alias("e")
         inside = (F.col("e.prefix") == F.col("r.prefix")) & F.col("e.ip_number").between(
@@ -69,9 +71,53 @@ def _by_prefix(ranges: DataFrame) -> DataFrame:
         F.least(F.col("end_ip"), floor + ip.PREFIX_SIZE - 1).alias("end_ip"),
         "country",
         "city",
+        (F.col("end_ip") - F.col("start_ip")).alias("length"),
+        F.col("start_ip").alias("range_start"),
     )
 
 
+def _disjoint(pieces: DataFrame) -> DataFrame:
+    """Pieces of which no two overlap: each stretch belongs to the most specific range.
+
+    Only prefixes in which ranges overlap are cut. A stretch lies between two
+    neighbouring borders; of the pieces that cover it one is chosen.
+    """
+    before = Window.partitionBy("prefix").orderBy("start_ip", "end_ip")
+    earlier = F.max("end_ip").over(before.rowsBetween(Window.unboundedPreceding, -1))
+    marked = pieces.withColumn(
+        "mixed",
+        F.max(F.coalesce(earlier >= F.col("start_ip"), F.lit(False))).over(
+            Window.partitionBy("prefix")
+        ),
+    )
+    columns = ["prefix", "start_ip", "end_ip", "country", "city"]
+    mixed = marked.where("mixed")
+    borders = (
+        mixed.select("prefix", F.explode(F.array("start_ip", F.expr("end_ip + 1"))).alias("start"))
+        .distinct()
+        .withColumn("stop", F.lead("start").over(Window.partitionBy("prefix").orderBy("start")) - 1)
+        .where("stop is not null")
+    )
+    chosen = F.min_by(
+        F.struct("country", "city"),
+        F.struct("length", -F.col("range_start"), "country", "city"),
+    )
+    cut = (
+        borders.join(mixed, "prefix")
+        .where((F.col("start_ip") <= F.col("start")) & (F.col("end_ip") >= F.col("stop")))
+        .groupBy("prefix", "start", "stop")
+        .agg(chosen.alias("place"))
+        .select(
+            "prefix",
+            F.col("start").alias("start_ip"),
+            F.col("stop").alias("end_ip"),
+            "place.country",
+            "place.city",
+        )
+    )
+    return marked.where("not mixed").select(*columns).unionByName(cut)
+
+
 def _locate(addresses: DataFrame, pieces: DataFrame) -> DataFrame:
     """The last range that starts at or before each address.
 

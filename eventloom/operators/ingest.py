@@ -76,6 +76,12 @@ def reject_keys(
     )
 
 
+# Slices of a quota window that are counted before instants are.
+QUOTA_SLICES = 64
+# Groups over which refused requests of a full window are spread.
+REFUSED_GROUPS = 1024
+
+
 def rate_limit(
     requests: DataFrame,
     key_col: str = "api_key",
@@ -86,35 +92,63 @@ def rate_limit(
 ) -> DataFrame:
     """Add `allowed` and `remaining` per key and clock-aligned window.
 
-    The first `limit` requests of a window are admitted. Ranking is limited to
-    those: each task keeps at most `limit` rows of a window before the shuffle,
-    so a key that sends a third of all requests stays cheap. The other requests
-    of a full window lie behind its last admitted one and need no rank.
+    The first `limit` requests of a window, by time and ties, are admitted.
+    Counts per slice of time, then per instant of the slice in which the limit
+    is reached, give the instant at which a window is full. Requests behind it
+    are refused without being ranked; at most `limit` requests, and those of
+    that one instant, are ranked together. Every request is returned. Requests
+    without a key share one quota, those without a time one window; of requests
+    equal in all of `ts_col` and `tie_cols` any may be the first.
     """
-    order = [ts_col, *tie_cols]
-    numbered = requests.withColumn("quota_key", identity.quota_key(F.col(key_col))).withColumn(
-        "quota_slot", clock.slot(clock.micros(F.col(ts_col)), window_seconds * 1_000_000)
+    width = window_seconds * 1_000_000
+    us = F.coalesce(clock.micros(F.col(ts_col)), F.lit(-(2**62)))
+    digest = F.sha2(F.col(key_col), 256)
+    numbered = requests.withColumns(
+        {
+            "quota_key": identity.quota_key(F.col(key_col)),
+            "_key": F.coalesce(digest, F.lit("")),
+            "_us": us,
+            "_slot": clock.slot(us, width),
+            "_slice": clock.slot(us, max(1, width // QUOTA_SLICES)),
+        }
+    )
+    window = ["_key", "_slot"]
+    times = numbered.select(*window, "_slice", "_us")
+    slices = _reached(times, window, "_slice", F.lit(limit))
+    inside = times.join(slices.select(*window, "_slice", "_before"), [*window, "_slice"])
+    left = F.lit(limit) - F.col("_before")
+    full = _reached(inside.withColumn("_left", left), window, "_us", F.col("_left"))
+    edges = full.select(*window, F.col("_us").alias("_edge"))
+    late = F.coalesce(F.col("_us") > F.col("_edge"), F.lit(False))
+    spread = F.pmod(F.xxhash64("_us", *tie_cols), F.lit(REFUSED_GROUPS)) + 1
+    rank = F.row_number().over(
+        Window.partitionBy(*window, "_part").orderBy("_us", *tie_cols)
     )
-    slot = ["quota_key", "quota_slot"]
-    admitted = numbered.withColumn(
-        "rank", F.row_number().over(Window.partitionBy(*slot).orderBy(*order))
-    ).where(F.col("rank") <= limit)
-    last = (
-        admitted.where(F.col("rank") == limit)
-        .select(*slot, F.struct(*order).alias("last_admitted"))
+    ranked = (
+        numbered.join(edges, window, "left")
+        .withColumn("_part", F.when(late, spread).otherwise(0))
+        .withColumn("_rank", rank)
     )
-    rejected = (
-        numbered.join(last, slot)
-        .where(F.struct(*order) > F.col("last_admitted"))
-        .drop("last_admitted")
+    allowed = (F.col("_part") == 0) & (F.col("_rank") <= limit)
+    left_over = F.when(allowed, F.lit(limit) - F.col("_rank")).otherwise(0).cast("bigint")
+    return ranked.withColumns({"allowed": allowed, "remaining": left_over}).drop(
+        "_key", "_us", "_slot", "_slice", "_edge", "_part", "_rank"
     )
-    verdicts = admitted.withColumns(
-        {"allowed": F.lit(True), "remaining": (F.lit(limit) - F.col("rank")).cast("bigint")}
-    ).drop("rank")
-    refusals = rejected.withColumns(
-        {"allowed": F.lit(False), "remaining": F.lit(0).cast("bigint")}
+
+
+def _reached(times: DataFrame, window: list[str], at: str, left: Column) -> DataFrame:
+    """Per window the first value of `at` by which `left` requests were made, if any.
+
+    `_before` is the number of requests before it.
+    """
+    n = F.count(F.lit(1)).alias("n")
+    counts = times.groupBy(*window, at).agg(n, F.max(left).alias("left"))
+    so_far = F.sum("n").over(Window.partitionBy(*window).orderBy(at))
+    return (
+        counts.withColumn("so_far", so_far)
+        .where((F.col("so_far") >= F.col("left")) & (F.col("so_far") - F.col("n") < F.col("left")))
+        .select(*window, at, (F.col("so_far") - F.col("n")).alias("_before"))
     )
-    return verdicts.unionByName(refusals).drop("quota_slot")
 
 
 def explode_batch(bodies: DataFrame, body_col: str = "body") -> DataFrame:
@@ -182,11 +216,17 @@ def dedup_events(
     """Add `status`: ``accepted`` or ``duplicate``.
 
     An accepted event is remembered for `ttl_seconds`; a duplicate does not
-    renew that. `tie_col` orders arrivals of one key at the same instant.
+    renew that. `tie_col` orders arrivals of one key at the same instant; of
+    arrivals equal in that, too, one is accepted. An event without a key or
+    without a time cannot repeat another one and is accepted.
     """
     marked = attach_anchors(events, key_cols, ts_col, ttl_seconds, tie_col=tie_col, **options)
+    unknown = F.col(ts_col).isNull()
+    for name in key_cols:
+        unknown = unknown | F.col(name).isNull()
     return marked.withColumn(
-        "status", F.when(F.col("sets_anchor"), F.lit("accepted")).otherwise(F.lit("duplicate"))
+        "status",
+        F.when(F.col("sets_anchor") | unknown, F.lit("accepted")).otherwise(F.lit("duplicate")),
     ).drop("anchor_us", "sets_anchor")
 
 

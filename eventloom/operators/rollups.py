@@ -70,7 +70,8 @@ def build_rollups(events: DataFrame, ts_col: str = "ts") -> DataFrame:
 
     `unique_users` is the distinct users of the whole day, repeated on each of
     its buckets; `unique_users_bucket` is the distinct users of the bucket.
-    Both come from one pass that counts events per bucket and user.
+    Both come from one scan, which counts events per bucket and user: that table
+    is shuffled once and read twice.
     """
     per_user = events.groupBy(
         *KEY,
@@ -80,10 +81,12 @@ def build_rollups(events: DataFrame, ts_col: str = "ts") -> DataFrame:
     buckets = per_user.groupBy(*ROLLUP_KEY).agg(
         F.sum("n").alias("count"), F.count_if(_named()).alias("unique_users_bucket")
     )
+    # No filter here: it would be pushed below the aggregation, and make it another one.
     days = (
-        per_user.where(_named())
-        .groupBy(*KEY, F.col("bucket").cast("date").alias("day"))
-        .agg(F.count_distinct("user_id").alias("unique_users"))
+        per_user.groupBy(*KEY, F.col("bucket").cast("date").alias("day"), "user_id")
+        .agg(F.sum("n").alias("n"))
+        .groupBy(*KEY, "day")
+        .agg(F.count_if(_named()).alias("unique_users"))
     )
     return (
         buckets.withColumn("day", F.col("bucket").cast("date"))
@@ -134,6 +137,10 @@ def live_counts(
     """
     if project is not None:
         events = events.where(F.col("project_id") == project)
+    if now is None and "event_date" in events.columns:
+        # Only the last recorded day can hold the latest event.
+        last_day = events.agg(F.max("event_date")).first()[0]
+        events = events.where(F.col("event_date") == F.lit(last_day))
     if now is None:
         latest = events.agg(clock.bucket(F.max(ts_col), "minute").alias("minute"))
         current = events.withColumn("minute", clock.bucket(F.col(ts_col), "minute")).join(
@@ -144,4 +151,6 @@ def live_counts(
         start = F.date_trunc("minute", F.lit(now).cast("timestamp")).cast(kind)
         end = start + F.expr("interval 1 minute")
         current = events.where((F.col(ts_col) >= start) & (F.col(ts_col) < end))
+        if "event_date" in events.columns:
+            current = current.where(F.col("event_date") == start.cast("date"))
     return current.groupBy(*KEY).agg(F.count("*").alias("count"))

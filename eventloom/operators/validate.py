@@ -112,9 +112,13 @@ def strip_unknown(messages: DataFrame, raw_col: str = "raw", *keep: str) -> Data
 def compile_rules(rules: DataFrame) -> DataFrame:
     """Property rules as arrays: `required` names and `typed` (field, type).
 
-    One row per (project, event), so that joining them never multiplies or
-    regroups events. Declared order is kept.
+    One row per (project, event), the latest version where a registry has
+    several, so that joining them never multiplies or regroups events. Declared
+    order is kept.
     """
+    version = F.col("version") if "version" in rules.columns else F.lit(0)
+    latest = F.max(F.struct(version.alias("version"), "schema"))["schema"]
+    rules = rules.groupBy("project_id", "event").agg(latest.alias("schema"))
     shape = "required ARRAY<STRING>, properties MAP<STRING,STRING>"
     parsed = F.from_json("schema", shape)
     declared = F.transform(
@@ -181,17 +185,33 @@ def validate_properties(
     ).drop("required", "typed", "entries")
 
 
-def upsert_schema(changes: DataFrame) -> DataFrame:
-    """Current rule per (project, event) from a log of changes.
+def upsert_schema(changes: DataFrame, registry: DataFrame | None = None) -> DataFrame:
+    """Current rule per (project, event): a registry with a log of changes applied.
 
-    Every change replaces the rule and adds one to its version.
+    Every change replaces the rule and adds one to its version; `created_at`
+    stays. Rules without a change stay as they are.
     """
-    return changes.groupBy("project_id", "event").agg(
+    rule = ["project_id", "event"]
+    latest = changes.groupBy(*rule).agg(
         F.max_by("schema", "seq").alias("schema"),
         F.count("*").alias("version"),
         F.min("changed_at").alias("created_at"),
         F.max_by("changed_at", "seq").alias("updated_at"),
     )
+    if registry is None:
+        return latest
+    new, old = latest.alias("new"), registry.alias("old")
+    same = (F.col("new.project_id") == F.col("old.project_id")) & (
+        F.col("new.event") == F.col("old.event")
+    )
+    return old.join(new, same, "full_outer").select(
+        *[F.coalesce(f"new.{name}", f"old.{name}").alias(name) for name in [*rule, "schema"]],
+        (
+            F.coalesce("old.version", F.lit(0)) + F.coalesce("new.version", F.lit(0))
+        ).alias("version"),
+        F.coalesce("old.created_at", "new.created_at").alias("created_at"),
+        F.coalesce("new.updated_at", "old.updated_at").alias("updated_at"),
+    )
 
 
 def judge(messages: DataFrame, rules: DataFrame, value_col: str = "value") -> DataFrame:

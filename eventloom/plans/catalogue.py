@@ -14,6 +14,8 @@ from eventloom.operators.anchors import attach_anchors
 from eventloom.session import configure, materialise, scratch_path, scratch_scope
 from eventloom.sources import given, sinks, topics
 from eventloom.sources.tables import read_events, scan_events, scan_rollups
+from eventloom.sources.tables import read_geo_ranges as read_ranges
+from eventloom.sources.tables import read_schema_registry as read_registry
 from eventloom.streaming import stages
 from eventloom.streaming.state import advance_anchors
 
@@ -24,6 +26,8 @@ FROM, TO = "2024-01-08 00:00:00", "2024-01-21 23:59:59"
 NOW = "2024-01-15 12:00:30"
 STEPS = ("view", "click", "purchase")
 EXPIRY_NOW = "2024-04-15 07:30:00"
+LAYOUT_BEFORE = "2024-03-01"
+SCHEMA_SINCE = "2024-01-16"
 
 REGISTERED: dict[str, Query] = {}
 
@@ -79,10 +83,16 @@ def write_events(spark, folder):
 
 @register
 def layout_events(spark, folder):
-    """Events per day and project after the batches were rewritten."""
+    """Events per day and project after the batches were rewritten, twice.
+
+    The second batch has events of days that were moved before.
+    """
     path = scratch_path(spark)
-    sinks.write_events(given.analytics_events(spark, folder), 0, f"{path}/batches")
-    sinks.compact_events(spark, f"{path}/batches", f"{path}/events")
+    events = given.analytics_events(spark, folder)
+    late = F.col("event_id") % 4 == 0
+    for batch, part in enumerate([events.where(~late), events.where(late)]):
+        sinks.write_events(part, batch, f"{path}/batches")
+        sinks.compact_days(spark, f"{path}/batches", f"{path}/events", LAYOUT_BEFORE)
     days = scan_events(read_events(spark, f"{path}/events"), start=FROM, end=TO)
     return days.groupBy("project_id", F.col("event_date").cast("string").alias("day")).agg(
         F.count("*").alias("events")
@@ -99,8 +109,11 @@ def expire_events(spark, folder):
 
 @register
 def write_topic(spark, folder):
-    """Events as messages, read back field by field."""
-    messages = sinks.message_rows(given.analytics_events(spark, folder), "project_id")
+    """Events as messages of a topic, read back field by field."""
+    path = scratch_path(spark)
+    rows = sinks.message_rows(given.analytics_events(spark, folder), "project_id")
+    topics.to_files(path)(rows.withColumn("headers", F.create_map().cast(stages.HEADERS)), 0)
+    messages = spark.read.schema(topics.FILE_SCHEMA).parquet(f"{path}/batch=0")
     part = lambda name: F.get_json_object("value", f"$.{name}").alias(name)
     return messages.select(
         "key", part("event_id"), part("event"), part("user_id"), part("properties")
@@ -163,16 +176,18 @@ def live_counts(spark, folder):
 
 @register
 def hll_uniques(spark, folder):
-    """Users per project and event from merged daily sketches."""
-    sketches = rollups.daily_sketches(given.analytics_events(spark, folder))
-    return rollups.merge_uniques(sketches, ["project_id", "event"])
+    """Users per project, and whether sketches merged over days and events come near them."""
+    return _close(given.analytics_events(spark, folder), ["project_id"])
 
 
 @register
 def hll_uniques_error(spark, folder):
+    """Users per project and event, and whether sketches merged over days come near them."""
+    return _close(given.analytics_events(spark, folder), ["project_id", "event"])
+
+
+def _close(events: DataFrame, keys: list[str]) -> DataFrame:
     """Exact users, and whether the merged sketches come within 5 % of them."""
-    events = given.analytics_events(spark, folder)
-    keys = ["project_id", "event"]
     named = events.where(F.col("user_id") != "")
     exact = named.groupBy(*keys).agg(F.count_distinct("user_id").alias("users"))
     merged = rollups.merge_uniques(rollups.daily_sketches(events), keys)
@@ -218,8 +233,15 @@ def metrics_unique_exact(spark, folder):
 
 @register
 def metrics_unique(spark, folder):
-    table = rollups.sketch_rollups(given.analytics_events(spark, folder))
-    return analytics.metrics_unique(table, granularity="day")
+    """Exact users per day, and whether merged rollup sketches come within 5 % of them."""
+    events = given.analytics_events(spark, folder)
+    merged = analytics.metrics_unique(rollups.sketch_rollups(events), granularity="day")
+    exact = analytics.metrics_unique_exact(events, granularity="day")
+    keys = ["project_id", "event", "bucket", "count"]
+    gap = F.abs(F.col("unique_users") - F.col("users"))
+    return exact.withColumnRenamed("unique_users", "users").join(merged, keys).select(
+        *keys, "users", (gap <= F.col("users") / 20).alias("close")
+    )
 
 
 @register
@@ -286,7 +308,7 @@ def users_page(spark, folder):
 @register
 def users_filtered(spark, folder):
     events = given.analytics_events(spark, folder, with_location=True)
-    return analytics.users(events, filter_text="browser:Firefox", limit=1000)
+    return analytics.user_profiles(events, filter_text="browser:Firefox")
 
 
 @register
@@ -344,6 +366,18 @@ def rate_limit(spark, folder):
     )
 
 
+@register
+def rate_limit_large(spark, folder):
+    """A quota of more than a thousand requests, for the few keys there are."""
+    requests = given.requests(spark, folder)
+    checked = ingest.rate_limit(
+        requests, tie_cols=["event_id"], limit=1500, window_seconds=30 * 86400
+    )
+    return checked.withColumn("window_seconds", F.lit(30 * 86400)).select(
+        "event_id", "window_seconds", "quota_key", "allowed", "remaining"
+    )
+
+
 @register
 def explode_batch(spark, folder):
     items = ingest.explode_batch(given.raw_bodies(spark, folder))
@@ -458,7 +492,25 @@ def validate_properties(spark, folder):
 
 @register
 def upsert_schema(spark, folder):
-    return validate.upsert_schema(given.schema_changes(spark, folder))
+    """Changes of the second half merged into the registry of the first half."""
+    changes = given.schema_changes(spark, folder)
+    new = F.col("changed_at") >= F.lit(SCHEMA_SINCE).cast("timestamp_ntz")
+    registry = validate.upsert_schema(changes.where(~new))
+    return validate.upsert_schema(changes.where(new), registry)
+
+
+@register
+def read_schema_registry(spark, folder):
+    path = scratch_path(spark)
+    given.property_rules(spark, folder).write.parquet(path)
+    return read_registry(spark, path)
+
+
+@register
+def read_geo_ranges(spark, folder):
+    path = scratch_path(spark)
+    given.geo_ranges(spark, folder).write.parquet(path)
+    return read_ranges(spark, path)
 
 
 @register
@@ -500,6 +552,37 @@ def geo_enrich_many_ranges(spark, folder):
     return located.select("event_id", "country", "city")
 
 
+def _overlapping(spark, folder):
+    """The blocks of the nations, a block inside each, and one around them all."""
+    blocks = given.geo_ranges(spark, folder)
+    size = 1 << 16
+    inner = blocks.select(
+        (F.col("start_ip") + size // 4).alias("start_ip"),
+        (F.col("start_ip") + size // 2 - 1).alias("end_ip"),
+        "country",
+        F.lit("inner").alias("city"),
+    )
+    outer = blocks.agg(
+        F.min("start_ip").alias("start_ip"), (F.max("start_ip") + size - 1).alias("end_ip")
+    ).select("start_ip", "end_ip", F.lit("ANY").alias("country"), F.lit("outer").alias("city"))
+    return blocks.unionByName(inner).unionByName(outer)
+
+
+@register
+def geo_enrich_overlap(spark, folder):
+    located = enrich.geo_enrich(_tracked(spark, folder), _overlapping(spark, folder))
+    return located.select("event_id", "country", "city")
+
+
+@register
+def geo_enrich_overlap_many(spark, folder):
+    """The same on the path for range tables of any size."""
+    located = enrich.geo_enrich(
+        _tracked(spark, folder), _overlapping(spark, folder), small_ranges=0
+    )
+    return located.select("event_id", "country", "city")
+
+
 @register
 def ua_enrich(spark, folder):
     return enrich.ua_enrich(_tracked(spark, folder)).select(
@@ -516,10 +599,10 @@ def fixed_ttl_anchor(spark, folder):
 
 @register
 def fixed_ttl_anchor_tree(spark, folder):
-    """Longer anchors, the larger islands on the path for any size."""
+    """Longer anchors, keys and islands of any size on their own paths."""
     events = given.analytics_events(spark, folder)
     anchored = attach_anchors(
-        events, ["project_id", "user_id"], "ts", 2 * 86400, fold_limit=40, fan_in=4
+        events, ["project_id", "user_id"], "ts", 2 * 86400, light_events=20, fold_limit=40, fan_in=4
     )
     return anchored.select("event_id", clock.from_micros(F.col("anchor_us")).alias("anchor"))
 
@@ -732,20 +815,6 @@ ONCE = {"availableNow": True}
 MESSAGE_TOPIC = topics.RAW
 
 
-def _stored(stream: DataFrame) -> DataFrame:
-    """Run a stream into a file sink and read it back."""
-    spark, path = stream.sparkSession, scratch_path(stream.sparkSession)
-    query = (
-        stream.writeStream.format("parquet")
-        .option("path", f"{path}/rows")
-        .option("checkpointLocation", f"{path}/checkpoint")
-        .trigger(**ONCE)
-        .start()
-    )
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{path}/rows")
-
-
 def _anchored(stream: DataFrame, keys, ts_col, ttl, delay, tie_col, *columns) -> DataFrame:
     """Run a stream through the anchor state, batch by batch, and read the result."""
     spark, path = stream.sparkSession, scratch_path(stream.sparkSession)
@@ -814,43 +883,87 @@ def stream_rollups(spark, folder):
     )
 
 
+# The stages themselves run over message files, one file in a batch. Every fifth
+# event comes late, in the last file.
+
+
+def _batches(messages: DataFrame, ts: str = "ts") -> list[DataFrame]:
+    """Messages in three parts by day, late ones in the last."""
+    late = F.col("event_id") % 5 == 0
+    day = F.dayofmonth(ts)
+    return [
+        messages.where(~late & (day <= 10)),
+        messages.where(~late & (day > 10) & (day <= 20)),
+        messages.where(late | (day > 20)),
+    ]
+
+
+def _topic(spark: SparkSession, parts: list[DataFrame], topic: str) -> DataFrame:
+    """A topic that holds one message file per part, read file by file."""
+    path = scratch_path(spark)
+    sink = topics.to_files(path)
+    columns = ["key", "value", "headers", "arrival_ts"]
+    for number, part in enumerate(parts):
+        sink(part.select(*columns).coalesce(1), number)
+    return topics.read_files(spark, path, topic, files_per_trigger=1)
+
+
+def _messages_of(spark: SparkSession, path: str) -> DataFrame:
+    reader = spark.read.schema(topics.FILE_SCHEMA).option("recursiveFileLookup", "true")
+    return reader.parquet(path)
+
+
+def _field(name: str):
+    return F.get_json_object("value", f"$.{name}")
+
+
+def _body_messages(spark, folder):
+    bodies = given.raw_bodies(spark, folder)
+    return bodies.select(
+        "event_id",
+        F.col("message_key").alias("key"),
+        F.col("body").alias("value"),
+        F.create_map(F.lit("traceId"), F.concat(F.lit("t"), F.col("event_id").cast("string"))).alias(
+            "headers"
+        ),
+        F.col("arrival_ts").cast("timestamp").alias("arrival_ts"),
+    )
+
+
 @register
-def stream_closed_minutes(spark, folder):
-    """Live messages of every minute the stream has closed."""
-    events = given.analytics_events(spark, folder, stream=True).withColumn(
-        "ts", F.col("ts").cast("timestamp")
+def stream_ingest(spark, folder):
+    """Accepted events; every tenth body is sent a second time within the minute."""
+    path = scratch_path(spark)
+    once = _body_messages(spark, folder)
+    again = once.where(F.col("event_id") % 10 == 0).withColumn(
+        "arrival_ts", F.col("arrival_ts") + F.expr("interval 30 seconds")
     )
-    minutes = (
-        events.withWatermark("ts", stages.LIVE_DELAY)
-        .groupBy("project_id", "event", F.window("ts", "1 minute").alias("minute"))
-        .agg(F.count("*").alias("count"))
-    )
-    return _stored(
-        minutes.select(
-            "project_id",
-            "event",
-            F.col("minute.start").cast("timestamp_ntz").alias("bucket"),
-            "count",
-        )
+    stages.start_ingest(
+        _topic(spark, _batches(once.unionByName(again), "arrival_ts"), MESSAGE_TOPIC),
+        topics.to_files(f"{path}/raw"),
+        f"{path}/state",
+        f"{path}/checkpoint",
+        ONCE,
+    ).awaitTermination()
+    return _messages_of(spark, f"{path}/raw").select(
+        _field("projectId").alias("project_id"),
+        _field("event").alias("event"),
+        _field("userId").alias("user_id"),
+        _field("timestamp").cast("bigint").alias("ms"),
     )
 
 
 @register
 def stream_enrichment(spark, folder):
-    """Messages per outcome after validation, routing and enrichment."""
+    """What became of every message: event and session, or the reason it was refused."""
     path = scratch_path(spark)
-    bodies = given.raw_bodies(spark, folder, stream=True)
-    messages = bodies.select(
-        F.col("message_key").alias("key"),
-        F.col("body").alias("value"),
-        F.create_map(F.lit("id"), F.col("event_id").cast("string")).alias("headers"),
-        F.lit(MESSAGE_TOPIC).alias("topic"),
-        F.lit(0).alias("partition"),
-        F.col("event_id").cast("string").alias("offset"),
-        F.col("arrival_ts").cast("timestamp").alias("arrival_ts"),
-    )
+    messages = _body_messages(spark, folder)
+    # In order of arrival: sessions go by arrival.
+    day = F.dayofmonth("arrival_ts")
+    parts = [messages.where((day > low) & (day <= low + 10)) for low in (0, 10, 20)]
+    parts[2] = messages.where(day > 20)
     stages.start_enrichment(
-        messages,
+        _topic(spark, parts, MESSAGE_TOPIC),
         given.property_rules(spark, folder),
         given.geo_ranges(spark, folder),
         topics.to_files(f"{path}/enriched"),
@@ -859,11 +972,123 @@ def stream_enrichment(spark, folder):
         f"{path}/checkpoint",
         ONCE,
     ).awaitTermination()
-    reader = spark.read.schema(topics.FILE_SCHEMA).option("recursiveFileLookup", "true")
-    good = reader.parquet(f"{path}/enriched").select(
-        F.get_json_object("value", "$.event").alias("outcome")
+    number = F.substring(_field("traceId"), 2, 20).cast("bigint").alias("event_id")
+    good = _messages_of(spark, f"{path}/enriched").select(
+        number,
+        _field("event").alias("outcome"),
+        _field("sessionId").alias("session_id"),
+        F.col("headers")["traceId"].alias("trace_id"),
+    )
+    bad = _messages_of(spark, f"{path}/dead").select(
+        F.substring(_field("originalHeaders.traceId"), 2, 20).cast("bigint").alias("event_id"),
+        F.split(_field("reason"), ":")[0].alias("outcome"),
+        F.lit(None).cast("string").alias("session_id"),
+        F.lit(None).cast("string").alias("trace_id"),
+    )
+    return good.unionByName(bad)
+
+
+def _enriched_messages(spark, folder):
+    events = given.analytics_events(spark, folder, with_location=True)
+    value = F.struct(
+        "event",
+        F.col("project_id").alias("projectId"),
+        F.parse_json("properties").alias("properties"),
+        clock.epoch_ms(F.col("ts")).alias("timestamp"),
+        F.col("user_id").alias("userId"),
+        "country",
+        "city",
+        F.col("device_type").alias("deviceType"),
+        "browser",
+        "os",
+    )
+    return events.select(
+        "event_id",
+        "ts",
+        F.col("project_id").alias("key"),
+        F.to_json(value).alias("value"),
+        F.create_map().cast(stages.HEADERS).alias("headers"),
+        F.col("ts").cast("timestamp").alias("arrival_ts"),
+    )
+
+
+@register
+def stream_storage(spark, folder):
+    """Stored events of a topic with late messages."""
+    path = scratch_path(spark)
+    stages.start_storage(
+        _topic(spark, _batches(_enriched_messages(spark, folder)), topics.ENRICHED),
+        f"{path}/events",
+        f"{path}/rollups",
+        topics.to_files(f"{path}/dead"),
+        f"{path}/checkpoint",
+        ONCE,
+    ).awaitTermination()
+    return read_events(spark, f"{path}/events").select(
+        "project_id", "event", "user_id", "country", "city", "device_type", "browser", "os",
+        clock.epoch_ms(F.col("ts")).alias("ms"),
+    )
+
+
+@register
+def stream_live_feed(spark, folder):
+    """The last word of the live feed on each day: events, and users of the day."""
+    path = scratch_path(spark)
+    stages.start_live_feed(
+        _topic(spark, _batches(_enriched_messages(spark, folder)), topics.ENRICHED),
+        topics.to_files(f"{path}/live"),
+        f"{path}/rollups",
+        f"{path}/checkpoint",
+        ONCE,
+    ).awaitTermination()
+    minutes = (
+        _messages_of(spark, f"{path}/live")
+        .select(
+            F.col("key").alias("project_id"),
+            _field("event").alias("event"),
+            _field("timestamp").cast("bigint").alias("ms"),
+            _field("count_1m").cast("bigint").alias("n"),
+            _field("active_users").cast("bigint").alias("users"),
+        )
+        .groupBy("project_id", "event", "ms")
+        .agg(F.max("n").alias("n"), F.max("users").alias("users"))
+    )
+    day = F.timestamp_millis("ms").cast("date").cast("string").alias("day")
+    return minutes.groupBy("project_id", "event", day).agg(
+        F.sum("n").alias("events"), F.max("users").alias("users")
+    )
+
+
+@register
+def stream_dead_letters(spark, folder):
+    """Dead letters stored from their topic, with the status they begin in."""
+    path = scratch_path(spark)
+    letters = given.dead_letters(spark, folder)
+    value = F.struct(
+        F.col("original_topic").alias("originalTopic"),
+        F.col("original_partition").alias("originalPartition"),
+        F.col("original_offset").alias("originalOffset"),
+        F.col("original_key").alias("originalKey"),
+        F.col("original_value").alias("originalValue"),
+        F.col("original_headers").alias("originalHeaders"),
+        "reason",
+        clock.epoch_ms(F.col("created_at")).alias("timestamp"),
     )
-    bad = reader.parquet(f"{path}/dead").select(
-        F.split(F.get_json_object("value", "$.reason"), ":")[0].alias("outcome")
+    messages = letters.select(
+        F.col("id").alias("event_id"),
+        F.col("original_key").alias("key"),
+        F.to_json(value).alias("value"),
+        F.create_map().cast(stages.HEADERS).alias("headers"),
+        F.col("created_at").cast("timestamp").alias("arrival_ts"),
+    )
+    stages.start_dead_letters(
+        _topic(spark, _batches(messages, "arrival_ts"), topics.DEAD_LETTER),
+        f"{path}/letters",
+        f"{path}/log",
+        f"{path}/checkpoint",
+        ONCE,
+    ).awaitTermination()
+    state = spark.read.parquet(f"{path}/log").select("id", "status")
+    return spark.read.parquet(f"{path}/letters").join(state, "id").select(
+        "id", "original_topic", "original_partition", "original_key", "reason", "status"
     )
-    return good.unionByName(bad).groupBy("outcome").agg(F.count("*").alias("messages"))

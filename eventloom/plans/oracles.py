@@ -366,6 +366,12 @@ SELECT event_id, CASE WHEN user_id <> '' THEN
   sha256(project_id || '|' || user_id || '|' || CAST(epoch_us(anchor) AS VARCHAR)) END
   AS session_id FROM held"""
 
+_OVERLAP = f"""WITH {TRACKED}
+SELECT event_id, CASE WHEN third < 192 THEN n_name ELSE 'ANY' END AS country,
+  CASE WHEN third BETWEEN 64 AND 127 THEN 'inner' WHEN third < 192
+    THEN 'city_' || CAST(nation AS VARCHAR) ELSE 'outer' END AS city
+FROM tracked JOIN nation ON n_nationkey = nation"""
+
 _RETRIED_STATE = """
 after AS (
   SELECT id,
@@ -438,6 +444,9 @@ SELECT project_id, 'metric_update' AS type, project_id AS message_project, event
 SELECT project_id, event, CAST(count(*) AS BIGINT) AS count FROM analytics_events
 WHERE date_trunc('minute', ts) = (SELECT date_trunc('minute', max(ts)) FROM events)
 GROUP BY 1, 2""",
+    "hll_uniques": f"""WITH {EVENTS}
+SELECT project_id, CAST(count(DISTINCT user_id) AS BIGINT) AS users, TRUE AS close
+FROM analytics_events WHERE user_id <> '' GROUP BY 1""",
     "hll_uniques_error": f"""WITH {EVENTS}
 SELECT project_id, event, CAST(count(DISTINCT user_id) AS BIGINT) AS users, TRUE AS close
 FROM analytics_events WHERE user_id <> '' GROUP BY 1, 2""",
@@ -454,6 +463,11 @@ FROM analytics_events WHERE user_id <> '' GROUP BY 1, 2""",
 SELECT project_id, event, date_trunc('day', ts)::TIMESTAMP AS bucket,
   CAST(count(*) AS BIGINT) AS count,
   CAST(count(DISTINCT user_id) FILTER (WHERE user_id <> '') AS BIGINT) AS unique_users
+FROM analytics_events GROUP BY 1, 2, 3""",
+    "metrics_unique": f"""WITH {EVENTS}
+SELECT project_id, event, date_trunc('day', ts)::TIMESTAMP AS bucket,
+  CAST(count(*) AS BIGINT) AS count,
+  CAST(count(DISTINCT user_id) FILTER (WHERE user_id <> '') AS BIGINT) AS users, TRUE AS close
 FROM analytics_events GROUP BY 1, 2, 3""",
     "funnel_1h": _funnel(("view", "click", "purchase"), "1 HOUR"),
     "funnel_1d": _funnel(("view", "click", "purchase"), "1 DAY"),
@@ -484,8 +498,7 @@ ORDER BY last_seen DESC, 1, 2, 3, 4, 5, 6, 7 LIMIT 100 OFFSET 20""",
     "users_filtered": f"""WITH {EVENTS}
 SELECT project_id, user_id, country, city, browser, os, device_type,
   min(ts) AS first_seen, max(ts) AS last_seen
-FROM analytics_events WHERE user_id <> '' AND browser = 'Firefox' GROUP BY 1, 2, 3, 4, 5, 6, 7
-ORDER BY last_seen DESC, 1, 2, 3, 4, 5, 6, 7 LIMIT 1000""",
+FROM analytics_events WHERE user_id <> '' AND browser = 'Firefox' GROUP BY 1, 2, 3, 4, 5, 6, 7""",
     "parse_window": """SELECT event_id, CAST(CASE
     WHEN event_id % 13 = 0 OR event_id % 5 = 4 THEN 604800
     ELSE (event_id % 13) * CASE event_id % 5 WHEN 0 THEN 1 WHEN 1 THEN 60 WHEN 2 THEN 3600
@@ -505,6 +518,9 @@ SELECT r.event_id, r.api_key FROM requests r WHERE NOT EXISTS (
     "rate_limit": f"""WITH {REQUESTS},
 hashed AS (SELECT *, substr(sha256(api_key), 1, 16) AS quota_key FROM requests)
 {_quota(3, 3600)} UNION ALL {_quota(40, 86400)}""",
+    "rate_limit_large": f"""WITH {REQUESTS},
+hashed AS (SELECT *, substr(sha256(api_key), 1, 16) AS quota_key FROM requests)
+{_quota(1500, 2592000)}""",
     "explode_batch": f"""WITH {BODIES},
 items AS (
   SELECT event_id, 0 AS pos, doc AS item FROM docs WHERE doc IS NULL OR json_type(doc) <> 'ARRAY'
@@ -557,6 +573,16 @@ SELECT project_id, event, schema, CAST(version AS BIGINT) AS version, created_at
 FROM changes c WHERE version = (
   SELECT count(*) FROM analytics_events a WHERE a.project_id = c.project_id AND a.event = c.event)
 """,
+    "read_schema_registry": f"""WITH {PROJECTS}
+SELECT project_id, event, schema FROM projects, (VALUES
+  ('purchase', '{{"required":["k","coupon"],"properties":{{"k":{{"type":"number"}}}}}}'),
+  ('error', '{{"required":["k"],"properties":{{"k":{{"type":"string"}}}}}}'),
+  ('signup', '{{"properties":{{"k":{{"type":"number"}},"z":{{"type":"boolean"}}}}}}'),
+  ('click', '{{"required":["page"],"properties":{{"page":{{"type":"string"}},"k":{{"type":"boolean"}}}}}}')
+) AS r(event, schema)""",
+    "read_geo_ranges": """SELECT CAST(10 * 16777216 + n_nationkey * 65536 AS BIGINT) AS start_ip,
+  CAST(10 * 16777216 + n_nationkey * 65536 + 49151 AS BIGINT) AS end_ip, n_name AS country,
+  'city_' || CAST(n_nationkey AS VARCHAR) AS city FROM nation""",
     "route_valid_rejected": f"""WITH {BODIES}
 SELECT event_id, CASE WHEN c IN (6, 7) THEN 'Malformed message'
   WHEN c IN (1, 2, 3, 4, 5, 8, 9) THEN 'Schema validation failed'
@@ -566,6 +592,8 @@ SELECT event_id, CASE WHEN c IN (6, 7) THEN 'Malformed message'
     "extract_context": f"WITH {TRACKED} SELECT event_id, address, agent FROM tracked",
     "geo_enrich": f"WITH {TRACKED} SELECT event_id, country, city FROM located",
     "geo_enrich_many_ranges": f"WITH {TRACKED} SELECT event_id, country, city FROM located",
+    "geo_enrich_overlap": _OVERLAP,
+    "geo_enrich_overlap_many": _OVERLAP,
     "ua_enrich": f"""WITH {TRACKED}
 SELECT event_id,
   CASE event_id % 6 WHEN 0 THEN 'Chrome' WHEN 1 THEN 'Mobile Safari' WHEN 2 THEN 'Firefox'
@@ -666,14 +694,37 @@ SELECT k.event_id, k.seq FROM keyed k
 JOIN anchors a ON a.dedup_key = k.dedup_key AND a.anchor = k.arrival_ts""",
     "stream_sessions": _SESSIONS,
     "stream_rollups": f"WITH {ROLLUPS} SELECT project_id, event, bucket, count FROM rollups",
-    "stream_closed_minutes": f"""WITH {ROLLUPS}
-SELECT project_id, event, bucket, count FROM rollups
-WHERE bucket + INTERVAL 1 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 2 MINUTE""",
-    "stream_enrichment": f"""WITH {BODIES}
-SELECT outcome, CAST(count(*) AS BIGINT) AS messages FROM (
-  SELECT CASE WHEN c IN (6, 7) THEN 'Malformed message'
-    WHEN c IN (1, 2, 3, 4, 5, 8, 9) THEN 'Schema validation failed'
-    WHEN event IN ('purchase', 'error', 'click') THEN 'Project schema validation failed'
-    ELSE event END AS outcome FROM bodies
-) GROUP BY 1""",
+    "stream_ingest": f"""WITH {BODIES}
+SELECT project_id, event, user_id, CAST(ms AS BIGINT) AS ms FROM bodies WHERE c NOT BETWEEN 1 AND 7""",
+    "stream_enrichment": f"""WITH RECURSIVE {BODIES},
+outcomes AS (
+  SELECT event_id, arrival_ts, project_id, user_id,
+    CASE WHEN c IN (6, 7) THEN 'Malformed message'
+      WHEN c IN (1, 2, 3, 4, 5, 8, 9) THEN 'Schema validation failed'
+      WHEN event IN ('purchase', 'error', 'click') THEN 'Project schema validation failed'
+      ELSE event END AS outcome FROM bodies
+),
+valid AS (SELECT * FROM outcomes WHERE outcome NOT LIKE '% %' AND user_id <> ''),{
+        _anchors("valid", "project_id, user_id", "arrival_ts", "1800 SECOND")
+    },
+held AS (
+  SELECT v.event_id, max(a.anchor) AS anchor FROM valid v
+  JOIN anchors a ON a.project_id = v.project_id AND a.user_id = v.user_id AND a.anchor <= v.arrival_ts
+  GROUP BY 1
+)
+SELECT o.event_id, outcome, sha256(project_id || '|' || user_id || '|'
+    || CAST(epoch_us(anchor) AS VARCHAR)) AS session_id,
+  CASE WHEN outcome NOT LIKE '% %' THEN 't' || CAST(o.event_id AS VARCHAR) END AS trace_id
+FROM outcomes o LEFT JOIN held h ON h.event_id = o.event_id""",
+    "stream_storage": f"""WITH {EVENTS}
+SELECT project_id, event, user_id, country, city, device_type, browser, os,
+  CAST(floor(epoch_us(ts) / 1000) AS BIGINT) AS ms FROM analytics_events""",
+    "stream_live_feed": f"""WITH {EVENTS}
+SELECT project_id, event, CAST(CAST(ts AS DATE) AS VARCHAR) AS day,
+  CAST(count(*) AS BIGINT) AS events,
+  CAST(count(DISTINCT user_id) FILTER (WHERE user_id <> '') AS BIGINT) AS users
+FROM analytics_events GROUP BY 1, 2, 3""",
+    "stream_dead_letters": f"""WITH {LETTERS}
+SELECT original_topic || '/' || CAST(original_partition AS VARCHAR) || '/' || original_offset AS id,
+  original_topic, original_partition, original_key, reason, 'pending' AS status FROM letters""",
 }

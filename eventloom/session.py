@@ -24,8 +24,6 @@ REQUIRED = {
     # Sketches and week lists take a few KB per group; keep them hashed for longer
     # before falling back to sorting.
     "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "8192",
-    # Replaying a micro-batch replaces only the partitions it wrote before.
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
 
 
@@ -40,23 +38,27 @@ def configure(spark: SparkSession) -> SparkSession:
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the cluster's shared checkpoint folder.
 
-    A folder of our own is set only where none is configured, which is the
-    case in local tests.
+    A folder of our own is set only where none is configured and all tasks run
+    in this process. On a cluster that would be another disk on every machine.
     """
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="eventloom-checkpoint-"))
+    if not folder:
+        if context.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        folder = tempfile.mkdtemp(prefix="eventloom-checkpoint-")
+    context.setCheckpointDir(folder)
 
 
 def materialise(df: DataFrame) -> DataFrame:
     """Write a table to the shared checkpoint folder and read it back.
 
     Cuts the lineage like `checkpoint()`, but computes the rows once, and the
-    files carry the sizes Spark's own choice of joins needs. The table stays in
-    that folder, as the result is read later; inside a `scratch_scope` it is
-    removed at the end.
+    files carry the sizes Spark's own choice of joins needs. The table stays there
+    as long as the application, as the result is read later; inside a
+    `scratch_scope` it is removed at the end.
     """
     path = scratch_path(df.sparkSession)
     if _scope.get() is not None:
@@ -87,10 +89,24 @@ def remove_folder(spark: SparkSession, path: str) -> None:
 
 
 def scratch_path(spark: SparkSession) -> str:
-    """A new folder name inside the shared checkpoint folder."""
+    """A new folder name inside the shared checkpoint folder.
+
+    All such folders lie below one of this application, which the file system
+    removes when the application ends.
+    """
     ensure_checkpoint_dir(spark)
-    folder = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return f"{folder}/eventloom-{uuid.uuid4()}"
+    context = spark.sparkContext
+    folder = f"{context._jsc.sc().getCheckpointDir().get()}/eventloom-{context.applicationId}"
+    if folder not in _roots:
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(context._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _roots.add(folder)
+    return f"{folder}/{uuid.uuid4()}"
+
+
+_roots: set[str] = set()
 
 
 def local_session(cpus: str | int = 8, app: str = "eventloom") -> SparkSession:

@@ -108,13 +108,22 @@ def expire_events(
 
 
 def write_rollups(df: DataFrame, batch_id: int, path: str) -> None:
-    """Add the sketch rollups of a micro-batch; `read_rollups` merges them."""
-    write_batch(df, batch_id, path)
+    """Add the sketch rollups of a micro-batch, by day; `read_rollups` merges them."""
+    write_batch(
+        df.withColumn("bucket_date", F.col("bucket").cast("date")), batch_id, path, "bucket_date"
+    )
 
 
-def read_sketch_rollups(spark: SparkSession, path: str) -> DataFrame:
-    """One row per project, event and minute, with the sketch of its users."""
-    return merge_sketch_rollups(spark.read.parquet(path))
+def read_sketch_rollups(
+    spark: SparkSession, path: str, start: object = None, end: object = None
+) -> DataFrame:
+    """One row per project, event and minute of the days from `start` to `end`."""
+    stored = spark.read.parquet(path)
+    if start is not None:
+        stored = stored.where(F.col("bucket_date") >= F.lit(start).cast("date"))
+    if end is not None:
+        stored = stored.where(F.col("bucket_date") <= F.lit(end).cast("date"))
+    return merge_sketch_rollups(stored)
 
 
 def merge_sketch_rollups(deltas: DataFrame) -> DataFrame:
@@ -123,9 +132,16 @@ def merge_sketch_rollups(deltas: DataFrame) -> DataFrame:
     )
 
 
-def read_rollups(spark: SparkSession, path: str) -> DataFrame:
-    """Rollups with `unique_users`: the day's users so far, on each bucket of it."""
-    minutes = read_sketch_rollups(spark, path).withColumn("day", F.col("bucket").cast("date"))
+def read_rollups(
+    spark: SparkSession, path: str, start: object = None, end: object = None
+) -> DataFrame:
+    """Rollups with `unique_users`: the day's users so far, on each bucket of it.
+
+    `start` and `end` choose whole days; other days are not opened.
+    """
+    minutes = read_sketch_rollups(spark, path, start, end).withColumn(
+        "day", F.col("bucket").cast("date")
+    )
     days = minutes.groupBy("project_id", "event", "day").agg(
         F.hll_sketch_estimate(F.hll_union_agg("users_sketch")).alias("unique_users")
     )
@@ -137,3 +153,29 @@ def read_rollups(spark: SparkSession, path: str) -> DataFrame:
 def compact_rollups(spark: SparkSession, source: str, target: str) -> None:
     """Write the merged rollups as one batch of a new folder."""
     write_rollups(read_sketch_rollups(spark, source), 0, target)
+
+
+def compact_days(spark: SparkSession, source: str, target: str, before: object) -> None:
+    """Move the days before a date from the batch files of `source` to the query layout.
+
+    A day that is in `target` already is merged with what came since. The days
+    moved are retired from `source` once they are written, so a second call has
+    only new ones to do. `before` must lie behind the day that is being written.
+    """
+    border = F.lit(before).cast("date")
+    moved = spark.read.parquet(source).where(F.col("event_date") < border)
+    days = [row[0] for row in moved.select("event_date").distinct().collect()]
+    if not days:
+        return
+    rows = moved.drop("batch_id")
+    if _exists(spark, target):
+        again = spark.read.parquet(target).where(F.col("event_date").isin(days))
+        rows = materialise(rows.unionByName(again.select(*rows.columns)))
+    layout_events(rows.drop("event_date"), target)
+    for day in days:
+        remove_folder(spark, f"{source}/event_date={day}")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)

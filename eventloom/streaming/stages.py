@@ -14,9 +14,7 @@ from eventloom.sources import sinks
 from eventloom.sources.topics import Sink
 from eventloom.streaming.state import advance_anchors
 
-# Wait for late events before a minute is announced, and the time
-# between two announcements.
-LIVE_DELAY = "2 minutes"
+# Time between two announcements, and between two writes.
 LIVE_INTERVAL = "60 seconds"
 STORE_INTERVAL = "5 seconds"
 
@@ -109,23 +107,6 @@ def start_ingest(
     return _run(bodies, on_batch, checkpoint, "ingest", trigger)
 
 
-def start_quick_ingest(
-    bodies: DataFrame, raw_sink: Sink, checkpoint: str, trigger: dict | None = None
-) -> StreamingQuery:
-    """`start_ingest` with the built-in duplicate filter and its state store.
-
-    It remembers an event until the watermark has passed, and so also
-    suppresses some repeats that come later than 60 seconds.
-    """
-    delay = f"{ingest.DEDUP_SECONDS} seconds"
-    unique = (
-        valid_items(bodies)
-        .withWatermark("arrival_ts", delay)
-        .dropDuplicatesWithinWatermark(["dedup_key"])
-    )
-    return _run(raw_messages(unique), raw_sink, checkpoint, "quick_ingest", trigger)
-
-
 # --- validation and enrichment -----------------------------------------------
 
 
@@ -134,13 +115,19 @@ def enriched_messages(valid: DataFrame, ranges: DataFrame) -> DataFrame:
     located = enrich.ua_enrich(enrich.geo_enrich(enrich.context_from_properties(valid), ranges))
     session = identity.session_id(F.col("project_id"), F.col("user_id"), F.col("anchor_us"))
     now = clock.epoch_ms(F.current_timestamp())
+    # The message's header counts first, then its body; otherwise there is a new id.
+    trace = F.coalesce(
+        F.nullif(F.col("headers")["traceId"], F.lit("")),
+        F.nullif(F.col("trace_id"), F.lit("")),
+        identity.trace_id(F.col("topic"), F.col("partition"), F.col("offset")),
+    )
     event = F.struct(
         F.col("event"),
         F.col("project_id").alias("projectId"),
         F.col("properties"),
         F.col("ts_ms").alias("timestamp"),
         F.col("user_id").alias("userId"),
-        F.col("trace_id").alias("traceId"),
+        trace.alias("traceId"),
         F.col("country"),
         F.col("city"),
         F.col("device_type").alias("deviceType"),
@@ -153,7 +140,7 @@ def enriched_messages(valid: DataFrame, ranges: DataFrame) -> DataFrame:
     return located.select(
         F.col("project_id").alias("key"),
         F.to_json(event).alias("value"),
-        F.create_map(F.lit("traceId"), F.coalesce("trace_id", F.lit(""))).alias("headers"),
+        F.create_map(F.lit("traceId"), trace).alias("headers"),
         "arrival_ts",
     )
 
@@ -208,6 +195,7 @@ def start_enrichment(
 
 # --- storage -----------------------------------------------------------------
 
+# Fields of an enriched message.
 ENRICHED_SCHEMA = (
     "event STRING, projectId STRING, properties STRING, timestamp DOUBLE, userId STRING, "
     "country STRING, city STRING, deviceType STRING, browser STRING, os STRING, sessionId STRING"
@@ -267,28 +255,58 @@ def start_storage(
     return _run(stored_events(messages), on_batch, checkpoint, "storage", trigger)
 
 
-def live_feed(messages: DataFrame, delay: str = LIVE_DELAY) -> DataFrame:
-    """One message per project, event and minute, once the minute is closed."""
-    events = stored_events(messages).where(F.col("project_id").isNotNull())
-    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
-    user = F.when(F.col("user_id") != "", F.col("user_id"))
-    minutes = timed.groupBy(
-        "project_id", "event", F.window("ts", "1 minute").alias("minute")
-    ).agg(F.count("*").alias("count"), F.approx_count_distinct(user).alias("unique_users"))
-    closed = minutes.withColumn("bucket", F.col("minute.start"))
-    return rollups.live_messages(closed).withColumnRenamed("project_id", "key")
+def live_updates(
+    events: DataFrame, batch_id: int, rollups_path: str
+) -> DataFrame:
+    """Messages for all that a batch of events has changed.
+
+    The batch's counts join those of the batches before; each project, event and
+    minute it touches is announced with its count so far and the day's users so
+    far. A late event thus gives one more message for its minute. Only the days
+    the batch touches are read.
+    """
+    spark = events.sparkSession
+    sinks.write_rollups(rollups.sketch_rollups(events), batch_id, rollups_path)
+    touched = materialise(
+        events.select(*rollups.KEY, clock.bucket(F.col("ts"), "minute").alias("bucket")).distinct()
+    )
+    first, last = touched.agg(F.min("bucket"), F.max("bucket")).first()
+    if first is None:
+        return rollups.live_messages(
+            touched.withColumns({"count": F.lit(0), "unique_users": F.lit(0)})
+        )
+    known = sinks.read_rollups(spark, rollups_path, first, last)
+    return rollups.live_messages(known.join(touched, rollups.ROLLUP_KEY, "left_semi"))
 
 
 def start_live_feed(
-    messages: DataFrame, live_sink: Sink, checkpoint: str, trigger: dict | None = None
+    messages: DataFrame,
+    live_sink: Sink,
+    rollups_path: str,
+    checkpoint: str,
+    trigger: dict | None = None,
 ) -> StreamingQuery:
+    """Announce counts as they grow; nothing is dropped for being late.
+
+    `rollups_path` is a folder of this query's own.
+    """
+
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        live_sink(
-            batch.withColumn("headers", F.create_map().cast(HEADERS)), batch_id
-        )
+        configure(batch.sparkSession)
+        events = stored_events(batch).where(F.col("project_id").isNotNull())
+        events = events.drop(*messages.columns).persist()
+        try:
+            updates = live_updates(events, batch_id, rollups_path)
+            live_sink(
+                updates.withColumnRenamed("project_id", "key").withColumn(
+                    "headers", F.create_map().cast(HEADERS)
+                ),
+                batch_id,
+            )
+        finally:
+            events.unpersist()
 
-    chosen = trigger or {"processingTime": LIVE_INTERVAL}
-    return _run(live_feed(messages), on_batch, checkpoint, "live_feed", chosen)
+    return _run(messages, on_batch, checkpoint, "live_feed", trigger or {"processingTime": LIVE_INTERVAL})
 
 
 # --- dead letters ------------------------------------------------------------

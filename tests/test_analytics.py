@@ -147,7 +147,9 @@ def test_users_page_and_filter(spark):
     assert analytics.users(frame, "p", "country:").count() == 9
     assert analytics.users(frame, "p", "no colon").count() == 9
     assert analytics.users(frame, "p", "user_id:a:b").count() == 0
-    assert analytics.users(frame, "p", limit=0).count() == 1
+    for limit, offset in ((0, 0), (1001, 0), (5, -1)):
+        with pytest.raises(ValueError):
+            analytics.users(frame, "p", limit=limit, offset=offset)
     with pytest.raises(ValueError, match="unknown column"):
         analytics.users_filter(frame, "1=1;secret:x")
 

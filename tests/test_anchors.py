@@ -39,9 +39,11 @@ def dense():
     "options",
     [
         {},
-        {"fold_limit": 10, "fan_in": 4, "levels": 3},
-        {"fold_limit": 0, "fan_in": 2, "levels": 4},
-        {"fold_limit": 0, "levels": 1},
+        {"light_events": 1, "fold_limit": 10, "fan_in": 4},
+        {"light_events": 1, "fold_limit": 0, "fan_in": 2, "levels": 4},
+        {"light_events": 1, "fold_limit": 0, "levels": 1},
+        {"light_events": 1},
+        {"light_events": 100_000},
     ],
 )
 def test_same_as_loop(spark, dense, options):
@@ -64,7 +66,7 @@ def test_missing_key_has_no_anchor(spark):
     assert attach_anchors(frame, ["k"], "ts", TTL).first().anchor_us is None
 
 
-@pytest.mark.parametrize("options", [{}, {"fold_limit": 0, "fan_in": 2}])
+@pytest.mark.parametrize("options", [{}, {"light_events": 1}, {"light_events": 1, "fold_limit": 0, "fan_in": 2}])
 def test_duplicates_at_one_instant(spark, options):
     """One accepted event per anchor, the first by the tie column."""
     rows = [("a", 0, 2), ("a", 0, 1), ("a", 59, 3), ("a", 60, 5), ("a", 60, 4), ("b", 7, 1)]

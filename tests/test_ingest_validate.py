@@ -26,12 +26,57 @@ def test_quota_boundary(spark):
     assert rows[2000] == (False, 0) and rows[2001] == (True, 999) and rows[2002] == (True, 998)
 
 
-def test_quota_ranks_only_admitted_rows(spark, folder):
-    from eventloom.sources import given
+@pytest.mark.parametrize("limit", [1, 3, 1001, 100_000])
+def test_quota_returns_every_request(spark, limit):
+    """Missing keys and times, equal ties: none goes missing, and `limit` are admitted."""
+    rows = [("a", 1, 5)] * 6 + [("a", i, 6) for i in range(5)] + [(None, i, 7) for i in range(4)]
+    rows += [("b", 1, None)] * 3 + [("c", i, 3600 + i % 50) for i in range(1500)]
+    requests = spark.createDataFrame(rows, "api_key STRING, seq BIGINT, s BIGINT").withColumn(
+        "arrival_ts", F.timestamp_seconds("s")
+    )
+    got = ingest.rate_limit(requests, limit=limit).collect()
+    assert len(got) == len(rows)
+    for key, total in (("a", 11), (None, 4), ("b", 3), ("c", 1500)):
+        own = [r for r in got if r.api_key == key]
+        admitted = sorted(r.remaining for r in own if r.allowed)
+        assert len(own) == total
+        assert admitted == list(range(limit - min(limit, total), limit))
+        assert all(r.remaining == 0 for r in own if not r.allowed)
+        if key == "c" and limit < 1500:
+            last = max((r.s, r.seq) for r in own if r.allowed)
+            assert all((r.s, r.seq) > last for r in own if not r.allowed)
+
+
+def test_quota_spreads_refused_requests(spark):
+    """A key with very many requests: what is refused is not ranked in one place."""
+    requests = spark.range(200_000).select(
+        F.lit("k").alias("api_key"), F.col("id").alias("seq"),
+        F.timestamp_micros(F.col("id")).alias("arrival_ts"),
+    )
+    got = ingest.rate_limit(requests, limit=1500)
+    assert got.where("allowed").count() == 1500 and got.count() == 200_000
+    assert got.where("allowed").agg(F.max("seq")).first()[0] == 1499
+
+
+def test_missing_keys_and_equal_arrivals(spark):
+    rows = [("k", 0, 1), ("k", 0, 1), ("k", 5, 2), (None, 0, 1), (None, 0, 1), ("k", None, 1)]
+    frame = spark.createDataFrame(rows, "dedup_key STRING, s BIGINT, seq BIGINT").withColumn(
+        "arrival_ts", F.timestamp_seconds("s")
+    )
+    for options in ({}, {"light_events": 1}):
+        got = ingest.dedup_events(frame, **options).collect()
+        assert len(got) == len(rows)
+        assert sum(r.status == "accepted" for r in got if r.dedup_key == "k" and r.s is not None) == 1
+        assert all(r.status == "accepted" for r in got if r.dedup_key is None or r.s is None)
+
 
-    requests = given.requests(spark, folder)
-    plan = ingest.rate_limit(requests, tie_cols=["event_id"])._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in plan
+def test_rules_of_several_versions_join_once(spark):
+    rules = spark.createDataFrame(
+        [("p", "e", '{"required":["a"]}', 1), ("p", "e", '{"required":["b"]}', 2)],
+        "project_id STRING, event STRING, schema STRING, version INT",
+    )
+    compiled = validate.compile_rules(rules).collect()
+    assert [r.required for r in compiled] == [["b"]]
 
 
 VALID = {"event": "e", "projectId": "p", "timestamp": 1}

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from eventloom.operators import enrich, ingest, rollups
-from eventloom.session import materialise, scratch_scope
+from eventloom.session import materialise, scratch_path, scratch_scope
 from eventloom.sources import given, sinks, tables, topics
 from eventloom.streaming import stages
 from eventloom.streaming.state import advance_anchors
@@ -47,7 +47,7 @@ def drain(query):
     assert query.exception() is None
 
 
-def ingest_run(spark, tmp_path, quick):
+def ingest_run(spark, tmp_path):
     source, raw = f"{tmp_path}/bodies", f"{tmp_path}/raw"
     same = body("view")
     batches = [
@@ -61,10 +61,7 @@ def ingest_run(spark, tmp_path, quick):
         stream = topics.read_files(spark, source, topics.RAW)
         # A new query on the old checkpoint: a restart after every batch.
         sink, place = topics.to_files(raw), f"{tmp_path}/checkpoint"
-        if quick:
-            drain(stages.start_quick_ingest(stream, sink, place, ONCE))
-        else:
-            drain(stages.start_ingest(stream, sink, f"{tmp_path}/state", place, ONCE))
+        drain(stages.start_ingest(stream, sink, f"{tmp_path}/state", place, ONCE))
     found = spark.read.schema(topics.FILE_SCHEMA).option("recursiveFileLookup", "true").parquet(raw)
     return sorted(
         (json.loads(r.value)["event"], r.arrival_ts.timestamp() - BASE / 1000)
@@ -76,13 +73,7 @@ ACCEPTED = [("click", 20), ("end", 4000), ("late", 201), ("view", 0), ("view", 2
 
 
 def test_ingest_keeps_each_event_once_per_minute(spark, tmp_path):
-    assert ingest_run(spark, tmp_path, quick=False) == ACCEPTED
-
-
-def test_built_in_duplicate_filter_only_suppresses_more(spark, tmp_path):
-    kept = ingest_run(spark, tmp_path, quick=True)
-    assert set(kept) <= set(ACCEPTED) and len(kept) == len(set(kept))
-    assert {e for e, _ in kept} == {"view", "click", "late", "end"}
+    assert ingest_run(spark, tmp_path) == ACCEPTED
 
 
 def test_replayed_batch_is_written_once(spark, tmp_path):
@@ -196,13 +187,13 @@ def test_pipeline_from_raw_messages_to_stored_rows(spark, tmp_path):
     assert [r.status for r in log] == ["pending", "pending"]
 
 
-def test_live_feed_announces_each_minute_once(spark, tmp_path):
+def test_live_feed_counts_late_events(spark, tmp_path):
     source, live = f"{tmp_path}/enriched", f"{tmp_path}/live"
     batches = [
         [("p", body("view", at=s, user=f"u{s % 2}"), s) for s in (0, 1, 2, 61)],
-        [("p", body("view", at=s), s) for s in (3, 62, 500)],
-        [("p", body("view", at=1000), 1000)],
-        [("p", body("view", at=2000), 2000)],
+        [("p", body("view", at=s, user="u5"), s) for s in (3, 62, 500)],
+        [("p", body("view", at=1000, user="u0"), 1000)],
+        [("p", body("view", at=4, user="u6"), 2000)],  # its minute is long over
     ]
     for number, rows in enumerate(batches):
         put(spark, source, number, rows)
@@ -210,17 +201,26 @@ def test_live_feed_announces_each_minute_once(spark, tmp_path):
             stages.start_live_feed(
                 topics.read_files(spark, source, topics.ENRICHED),
                 topics.to_files(live),
+                f"{tmp_path}/rollups",
                 f"{tmp_path}/c",
                 ONCE,
             )
         )
-    found = spark.read.option("recursiveFileLookup", "true").parquet(live).collect()
-    messages = [json.loads(r.value) for r in found]
     start = BASE - BASE % 60_000
-    seen = {(m["timestamp"] - start) // 60_000: (m["count_1m"], m["active_users"]) for m in messages}
-    assert len(seen) == len(messages)
-    assert sum(count for count, _ in seen.values()) >= 7
-    assert {m["type"] for m in messages} == {"metric_update"}
+    seen = []
+    for number in range(4):
+        messages = [json.loads(r.value) for r in spark.read.parquet(f"{live}/batch={number}").collect()]
+        assert {m["type"] for m in messages} <= {"metric_update"}
+        seen.append(
+            {(m["timestamp"] - start) // 60_000: (m["count_1m"], m["active_users"]) for m in messages}
+        )
+    minute = {s: (BASE + s * 1000 - start) // 60_000 for s in (0, 61, 500, 1000)}
+    assert seen == [
+        {minute[0]: (3, 2), minute[61]: (1, 2)},
+        {minute[0]: (4, 3), minute[61]: (2, 3), minute[500]: (1, 3)},
+        {minute[1000]: (1, 3)},
+        {minute[0]: (5, 4)},
+    ]
 
 
 @pytest.mark.parametrize("replay", [False, True])
@@ -285,3 +285,41 @@ def test_missing_state_is_an_error(spark, tmp_path):
     frame = spark.sql("SELECT 'a' AS k, TIMESTAMP'2024-01-01' AS ts, 1 AS i")
     with pytest.raises(AnalysisException):
         advance_anchors(frame, 5, ["k"], "ts", 60, 60, f"{tmp_path}/none", "i")
+
+
+def test_registered_streams_take_several_batches(spark, folder):
+    from eventloom.plans import catalogue
+
+    stream = catalogue._topic(
+        spark, catalogue._batches(catalogue._enriched_messages(spark, folder)), topics.ENRICHED
+    )
+    sizes = []
+    query = (
+        stream.writeStream.foreachBatch(lambda batch, number: sizes.append(batch.count()))
+        .option("checkpointLocation", scratch_path(spark))
+        .trigger(**ONCE)
+        .start()
+    )
+    drain(query)
+    assert len(sizes) == 3 and all(sizes)
+
+
+def test_trace_id_of_the_header_counts(spark, tmp_path):
+    source, enriched = f"{tmp_path}/raw", f"{tmp_path}/enriched"
+    rows = [("p", body("view", at=1), 1, {"traceId": "h"}), ("p", body("click", at=2), 2, {})]
+    frame = spark.createDataFrame(rows, "key STRING, value STRING, s BIGINT, headers MAP<STRING,STRING>")
+    frame.withColumn("arrival_ts", F.timestamp_seconds("s")).drop("s").select(
+        "key", "value", "headers", "arrival_ts"
+    ).write.parquet(source)
+    rules = spark.createDataFrame([], "project_id STRING, event STRING, schema STRING")
+    ranges = spark.createDataFrame([], "start_ip BIGINT, end_ip BIGINT, country STRING, city STRING")
+    drain(
+        stages.start_enrichment(
+            topics.read_files(spark, source, topics.RAW), rules, ranges, topics.to_files(enriched),
+            topics.to_files(f"{tmp_path}/dead"), f"{tmp_path}/state", f"{tmp_path}/c", ONCE,
+        )
+    )
+    found = spark.read.option("recursiveFileLookup", "true").parquet(enriched).collect()
+    traces = {json.loads(r.value)["event"]: (json.loads(r.value)["traceId"], r.headers["traceId"]) for r in found}
+    assert traces["view"] == ("h", "h")
+    assert traces["click"][0] == traces["click"][1] and len(traces["click"][0]) == 64
