@@ -26,11 +26,12 @@ CHAIN = 2
 #: Lengths of one class differ by less than this factor: sets two classes apart
 #: have a similarity below it.
 CLASS_FACTOR = 0.8
+OFFSET = 1 << 31
 _WORD = r"[\p{L}\p{N}]+"
 
 
 def signatures(text: Column) -> Column:
-    """Sorted distinct signatures of a text, as CRC-32 values.
+    """Sorted distinct signatures of a text: CRC-32 values less 2^31, to fit in an INT.
 
     Where a text has no common word, each of its words counts as one, so that
     every text with words has signatures. Chains at the end are shorter.
@@ -78,12 +79,13 @@ def _let(value: Column, then) -> Column:
 
 
 def _signature(word: Column, chain: Column) -> Column:
-    return F.crc32(F.concat_ws(" ", word, chain))
+    return (F.crc32(F.concat_ws(" ", word, chain)) - OFFSET).cast("int")
 
 
 def fingerprint(spots: Column) -> Column:
     """All signatures of a set, 8 hex digits each; equal for equal sets only."""
-    return F.array_join(F.transform(spots, lambda s: F.lower(F.lpad(F.hex(s), 8, "0"))), "")
+    unsigned = F.transform(spots, lambda s: s.cast("bigint") + OFFSET)
+    return F.array_join(F.transform(unsigned, lambda s: F.lower(F.lpad(F.hex(s), 8, "0"))), "")
 
 
 def length_class(spots: Column) -> Column:
@@ -164,19 +166,24 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
         F.xxhash64(text).alias("text_key"),
     )
     after = _successors(keyed.withColumn("n_chars", F.length("text")))
-    # Both joins shuffle this table by its key; Spark makes that exchange once.
-    marked = keyed.withColumn("spots", signatures(F.col("text")))
+    # Both joins shuffle this table by its key and need the same columns of it, so
+    # Spark makes that exchange once.
+    texts = keyed.select(*_KEY, "text")
     heads = (
-        marked.join(after, [F.col(k) == F.col(f"next_{k}") for k in _KEY])
+        texts.join(after, [F.col(k) == F.col(f"next_{k}") for k in _KEY])
         .select(
             *[f"of_{k}" for k in _KEY],
             "moved",
             F.expr("substring(text, 1, moved)").alias("head"),
-            F.col("spots").alias("next_spots"),
+            signatures(F.col("text")).alias("next_spots"),
         )
         .dropDuplicates([f"of_{k}" for k in _KEY])
     )
-    joined = marked.join(heads, [F.col(k) == F.col(f"of_{k}") for k in _KEY])
+    joined = (
+        texts.join(heads, [F.col(k) == F.col(f"of_{k}") for k in _KEY])
+        .withColumn("doc_id", F.when(~F.col("no_id"), F.col("id")))
+        .withColumn("spots", signatures(F.col("text")))
+    )
     edited = F.expr("concat(substring(text, 1, length(text) - moved), head)")
     return (
         joined.withColumn("edited", edited)
