@@ -10,44 +10,43 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from eventloom.llm import mixing, pieces, privacy, quality, simhash
-from eventloom.llm.common import table
-from eventloom.session import configure, materialise
+from eventloom.llm.common import prepare, table
+from eventloom.session import materialise
 
 MODEL = "piece_bpe_32k.model"
 
 
 def judge(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
-    configure(spark)
+    prepare(spark)
     return quality.good_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every near-duplicate group, that with the smallest doc_id.
 
-    Near means a SimHash over shingles of five words that differs in at most 3
-    of 64 bits; near texts that share 0.8 of their shingles, or more, are that
-    close with high probability only, so the links are those of fingerprints.
+    Near means that sixteen SimHashes over shingles of five words differ in at most
+    170 of their 1024 bits: about 0.8 of the shingles, or more, are the same.
     """
-    configure(spark)
+    prepare(spark)
     return simhash.one_of_each(docs, shingle=5)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and disclosing terms replaced in the text."""
-    configure(spark)
+    prepare(spark)
     return privacy.redact(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The sources at their target weights; a document may be there twice."""
-    configure(spark)
+    prepare(spark)
     return mixing.mixed_corpus(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document of the mix, and digests of ids and decoded text."""
-    configure(spark)
+    prepare(spark)
     return pieces.encode_documents(docs, public_tokenizers.path(MODEL), keep_ids=True)
 
 
@@ -65,7 +64,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of a folder."""
-    configure(spark)
+    prepare(spark)
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir))

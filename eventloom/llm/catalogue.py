@@ -5,26 +5,26 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from eventloom.llm import mixing, neighbours, pieces, privacy, quality, queries_sql, repeats, secrets, simhash, spots, warc
-from eventloom.llm.common import table
-from eventloom.session import configure
+from eventloom.llm.common import prepare, table
 
 
 def op1_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """Words that a mix of all sources takes of every document."""
-    configure(spark)
+    prepare(spark)
     return mixing.mix_documents(table(spark, folder, "documents")).drop("source")
 
 
 def op2_repeats(spark: SparkSession, folder: str) -> DataFrame:
     """What is left of every document without the passages that repeat."""
-    configure(spark)
+    prepare(spark)
     return repeats.remove_repeats(table(spark, folder, "documents"))
 
 
 def op3_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of every document, and the text they decode to."""
-    configure(spark)
+    prepare(spark)
     return pieces.encode_documents(
         table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model")
     )
@@ -32,31 +32,31 @@ def op3_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
 
 def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
-    configure(spark)
+    prepare(spark)
     return simhash.near_groups(table(spark, folder, "documents"))
 
 
 def op5_secrets(spark: SparkSession, folder: str) -> DataFrame:
     """Secrets in every document."""
-    configure(spark)
+    prepare(spark)
     return secrets.find_secrets(table(spark, folder, "documents"))
 
 
 def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
     """Record type and payload of every page, read back from deduplicated archives."""
-    configure(spark)
+    prepare(spark)
     return warc.archive_pages(table(spark, folder, "pages"))
 
 
 def op7_private(spark: SparkSession, folder: str) -> DataFrame:
     """Personal data in every document, with the terms that disclose it."""
-    configure(spark)
+    prepare(spark)
     return privacy.find_private(table(spark, folder, "documents"))
 
 
 def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Quality score of every document."""
-    configure(spark)
+    prepare(spark)
     return quality.score_documents(
         table(spark, folder, "documents"), table(spark, folder, "labels")
     )
@@ -64,16 +64,21 @@ def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 def op9_spots(spark: SparkSession, folder: str) -> DataFrame:
     """Spot signatures of every document, of an edited text, and their likeness."""
-    configure(spark)
+    prepare(spark)
     return spots.fingerprint_documents(table(spark, folder, "documents"))
 
 
 def op10_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     """The 20 nearest vectors of every twentieth one, by inner product."""
-    configure(spark)
+    prepare(spark)
     return neighbours.nearest(table(spark, folder, "embeddings"))
 
 
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    """Token ids of the documents that come through all stages."""
+    return corpus_pipeline.run(spark, folder)
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_repeats": op2_repeats,
@@ -85,6 +90,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_spots": op9_spots,
     "op10_neighbours": op10_neighbours,
+    "pipeline": pipeline,
 }
 
 ORACLES = {

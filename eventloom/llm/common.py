@@ -5,7 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from eventloom.session import materialise
+from eventloom.session import configure, materialise
+
+#: Rows handed to Python at once. Texts may be long; the default of 10,000 would take
+#: tens of megabytes per task on both sides.
+ARROW_ROWS = 1000
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """Session settings the operators of this folder rely on."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    return configure(spark)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
