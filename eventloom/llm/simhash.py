@@ -32,14 +32,18 @@ HALF_RADIUS = RADIUS // 2
 SHARD_ROWS = 4096
 SAMPLE_ROWS = 65_536
 LEAF_ROWS = 256
+#: Independent fingerprints where recall matters more than one exact distance, and the
+#: bits of all of them that texts with 0.8 of their shingles in common differ in.
+PRINTS, NEAR_BITS = 16, 170
 #: Shingles whose bits are counted at once.
 STRIDE = 65_536
 
 
-def fingerprint_of(text: str, shingle: int = SHINGLE) -> int:
-    """The 64-bit SimHash of a text; 0 without words.
+def fingerprints_of(text: str, shingle: int = SHINGLE, prints: int = 1) -> list[int]:
+    """64-bit SimHashes of a text by independent hashes; 0 without words.
 
-    Lower-cases A-Z; words end at ASCII white space, as in `bytes.split`.
+    Lower-cases A-Z; words end at ASCII white space, as in `bytes.split`. The
+    first hash is XXH64, the others are mixed from it.
     """
     words = text.encode().lower().split()
     if len(words) < shingle:
@@ -48,30 +52,41 @@ def fingerprint_of(text: str, shingle: int = SHINGLE) -> int:
         parts = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(p, SEED) for p in parts), dtype="<u8")
-    counts = np.zeros(64, dtype=np.int64)
-    for start in range(0, len(hashes), STRIDE):
-        block = hashes[start : start + STRIDE].view(np.uint8).reshape(-1, 8)
-        counts += np.unpackbits(block, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits(counts * 2 > len(hashes), bitorder="little")
-    return int(bits.view("<u8")[0])
-
-
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """`doc_id, fingerprint` (BIGINT, the bits of the unsigned value) for every row."""
+    found = []
+    for number in range(prints):
+        counts = np.zeros(64, dtype=np.int64)
+        for start in range(0, len(hashes), STRIDE):
+            block = _remixed(hashes[start : start + STRIDE], number).view(np.uint8).reshape(-1, 8)
+            counts += np.unpackbits(block, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        bits = np.packbits(counts * 2 > len(hashes), bitorder="little")
+        found.append(int(bits.view("<u8")[0]))
+    return found
+
+
+def _remixed(hashes: np.ndarray, number: int) -> np.ndarray:
+    if not number:
+        return hashes
+    mixed = hashes + np.uint64(number * 0x9E3779B97F4A7C15 % 2**64)
+    mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return mixed ^ (mixed >> np.uint64(31))
+
+
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, prints: int = 1) -> DataFrame:
+    """`doc_id, fingerprints` (BIGINTs, the bits of the unsigned values) for every row."""
     ship_package(docs.sparkSession)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = np.fromiter(
-                (fingerprint_of(t.as_py(), shingle) for t in batch.column(1)), dtype=np.uint64
-            )
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(values.view(np.int64))], ["doc_id", "fingerprint"]
-            )
+            rows = [fingerprints_of(t.as_py(), shingle, prints) for t in batch.column(1)]
+            values = np.array(rows, dtype=np.uint64).ravel().view(np.int64)
+            starts = pa.array(np.arange(0, len(values) + 1, prints, dtype=np.int32))
+            lists = pa.ListArray.from_arrays(starts, pa.array(values))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["doc_id", "fingerprints"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", whole_text().alias("text")).mapInArrow(
-        hashed, f"doc_id {kind}, fingerprint bigint"
+        hashed, f"doc_id {kind}, fingerprints array<bigint>"
     )
 
 
@@ -155,8 +170,19 @@ class Groups:
             np.minimum.at(self.parent, np.maximum(x, y), np.minimum(x, y))
 
 
-def _link(values: np.ndarray, half: np.ndarray, homes: np.ndarray, queries: np.ndarray, groups):
-    """Join all pairs of a home and a query within the radius, down a local tree."""
+def _link(
+    values: np.ndarray,
+    half: np.ndarray,
+    homes: np.ndarray,
+    queries: np.ndarray,
+    groups: Groups,
+    reach: int,
+    most: int,
+) -> None:
+    """Join all pairs of a home and a query that differ in at most `most` bits.
+
+    Goes down a local tree over the halves, of which `reach` bits may differ.
+    """
     if not len(homes) or not len(queries):
         return
     if len(homes) > LEAF_ROWS:
@@ -167,39 +193,51 @@ def _link(values: np.ndarray, half: np.ndarray, homes: np.ndarray, queries: np.n
         left = near <= radius
         if left.any() and not left.all():
             far = np.bitwise_count(half[queries] ^ point).astype(np.int64)
-            _link(values, half, homes[left], queries[far - HALF_RADIUS <= radius], groups)
-            _link(values, half, homes[~left], queries[far + HALF_RADIUS > radius], groups)
+            near_side, far_side = queries[far - reach <= radius], queries[far + reach > radius]
+            _link(values, half, homes[left], near_side, groups, reach, most)
+            _link(values, half, homes[~left], far_side, groups, reach, most)
             return
     for i in range(0, len(homes), LEAF_ROWS):
         block = homes[i : i + LEAF_ROWS]
         for j in range(0, len(queries), 16 * LEAF_ROWS):
             other = queries[j : j + 16 * LEAF_ROWS]
-            close = np.bitwise_count(values[block][:, None] ^ values[other][None, :]) <= RADIUS
+            close = np.bitwise_count(values[block][:, None] ^ values[other][None, :]) <= most
             a, b = np.nonzero(close)
             groups.join(block[a], other[b])
 
 
-def shard_links(values: np.ndarray, homes: int, shift: int) -> tuple[np.ndarray, np.ndarray]:
+def shard_links(
+    values: np.ndarray, homes: int, shift: int, reach: int = HALF_RADIUS, most: int = RADIUS
+) -> tuple[np.ndarray, np.ndarray]:
     """Edges that join what a shard's links join; the first `homes` values live there.
 
     At most one edge per value: to the root of its group.
     """
     half = (values >> np.uint64(shift)).astype(np.uint32)
     groups = Groups(len(values))
-    _link(values, half, np.arange(homes), np.arange(len(values)), groups)
+    _link(values, half, np.arange(homes), np.arange(len(values)), groups, reach, most)
     rows = np.arange(len(values))
     roots = groups.find(rows)
     moved = rows != roots
     return values[rows[moved]], values[roots[moved]]
 
 
-def near_links(distinct: DataFrame) -> DataFrame:
-    """Edges `a, b` that connect fingerprints exactly as links within the radius do.
+def near_links(
+    distinct: DataFrame,
+    shifts: tuple[int, ...] = (0, 32),
+    reach: int = HALF_RADIUS,
+    most: int = RADIUS,
+) -> DataFrame:
+    """Edges `number, a, b` that connect fingerprints exactly as links within `most` bits do.
 
-    `distinct` has every fingerprint once, as BIGINT.
+    `distinct` has every `fingerprint` once, as BIGINT; where it has `number` as
+    well, only fingerprints of one number are compared. Linked fingerprints must
+    differ in at most `reach` bits in one of the 32-bit parts at `shifts`.
     """
     spark = distinct.sparkSession
     ship_package(spark)
+    if "number" not in distinct.columns:
+        distinct = distinct.withColumn("number", F.lit(0))
     n = distinct.count()
     every = max(1, n // SAMPLE_ROWS)
     # The sample only places the shards; its size is bounded for any input.
@@ -207,26 +245,29 @@ def near_links(distinct: DataFrame) -> DataFrame:
     sample = np.array([r[0] for r in rows.collect()], dtype=np.int64).view(np.uint64)
     sample = np.sort(sample)
     np.random.default_rng(SEED).shuffle(sample)
-    leaves = min(-(-n // SHARD_ROWS), max(1, len(sample) // 8))
+    numbers = (distinct.agg(F.max("number")).first()[0] or 0) + 1
+    leaves = min(-(-n // numbers // SHARD_ROWS), max(1, len(sample) // 8))
     trees = [
         (shift, VantageTree((sample >> np.uint64(shift)).astype(np.uint32), leaves))
-        for shift in (0, 32)
+        for shift in shifts
     ]
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = batch.column(0).to_numpy().view(np.uint64)
+            number = batch.column(1).to_numpy()
             for shift, tree in trees:
                 half = (values >> np.uint64(shift)).astype(np.uint32)
-                for leaf, found, home in tree.place(half, HALF_RADIUS):
+                for leaf, found, home in tree.place(half, reach):
                     if len(found):
                         yield pa.RecordBatch.from_arrays(
                             [
                                 pa.array(np.full(len(found), 2 * leaf + (shift > 0), np.int32)),
+                                pa.array(number[found]),
                                 pa.array(np.full(len(found), home)),
                                 pa.array(values[found].view(np.int64)),
                             ],
-                            ["shard", "home", "value"],
+                            ["shard", "number", "home", "value"],
                         )
 
     def linked(shard: pa.Table) -> pa.Table:
@@ -234,14 +275,15 @@ def near_links(distinct: DataFrame) -> DataFrame:
         home = shard["home"].to_numpy()
         values = shard["value"].to_numpy().view(np.uint64)
         values = np.concatenate([values[home], values[~home]])
-        a, b = shard_links(values, int(home.sum()), shift)
-        return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
+        a, b = shard_links(values, int(home.sum()), shift, reach, most)
+        number = np.full(len(a), shard["number"][0].as_py(), np.int32)
+        return pa.table({"number": number, "a": a.view(np.int64), "b": b.view(np.int64)})
 
     return (
-        distinct.select("fingerprint")
-        .mapInArrow(placed, "shard int, home boolean, value bigint")
-        .groupBy("shard")
-        .applyInArrow(linked, "a bigint, b bigint")
+        distinct.select("fingerprint", F.col("number").cast("int"))
+        .mapInArrow(placed, "shard int, number int, home boolean, value bigint")
+        .groupBy("shard", "number")
+        .applyInArrow(linked, "number int, a bigint, b bigint")
     )
 
 
@@ -255,9 +297,11 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     missing and never names a component, unless the component has no other.
     Other columns are not read.
     """
-    marked = materialise(fingerprints(docs, shingle))
+    marked = materialise(
+        fingerprints(docs, shingle).select("doc_id", F.col("fingerprints")[0].alias("fingerprint"))
+    )
     distinct = materialise(marked.groupBy("fingerprint").agg(F.min("doc_id").alias("first")))
-    roots = components(near_links(distinct))
+    roots = components(near_links(distinct).select("a", "b"))
     known = distinct.join(roots, distinct["fingerprint"] == roots["node"], "left").select(
         "fingerprint", "first", F.coalesce("root", "fingerprint").alias("root")
     )
@@ -270,13 +314,67 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     )
 
 
-def one_of_each(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+def near_groups_by_several(
+    docs: DataFrame, shingle: int = 5, prints: int = PRINTS, near_bits: int = NEAR_BITS
+) -> DataFrame:
+    """`doc_id, component_id`: documents linked by the bits of several fingerprints.
+
+    Texts that share 0.8 of their shingles differ in ten bits of 64 on average:
+    too many for one fingerprint to find them by. With `prints` independent ones
+    a pair is a candidate when any 32-bit half differs in at most one bit, by
+    the same trees, and is linked when all bits together differ in at most
+    `near_bits` places. Candidates of a half are joined to the smallest of their
+    group only, so their number grows with the documents.
+    """
+    marked = materialise(
+        fingerprints(docs, shingle, prints).withColumn("node", F.xxhash64("fingerprints"))
+    )
+    nodes = materialise(
+        marked.select("node", "fingerprints").distinct()
+    )
+    low = F.transform("fingerprints", lambda f: f.bitwiseAND(F.lit(0xFFFFFFFF)))
+    high = F.transform("fingerprints", lambda f: F.shiftrightunsigned(f, 32))
+    halves = nodes.select("node", F.posexplode(F.concat(low, high)).alias("number", "fingerprint"))
+    name = lambda value: F.xxhash64("number", value)
+    distinct = materialise(halves.select("number", "fingerprint").distinct())
+    links = near_links(distinct, shifts=(0,), reach=HALF_RADIUS, most=HALF_RADIUS)
+    roots = components(links.select(name("a").alias("a"), name("b").alias("b")))
+    placed = (
+        halves.select("node", name("fingerprint").alias("value"))
+        .join(roots.withColumnRenamed("node", "of"), F.col("value") == F.col("of"), "left")
+        .select("node", F.coalesce("root", "value").alias("value"))
+    )
+    shared = placed.groupBy("value").agg(F.min("node").alias("least"), F.max("node").alias("most"))
+    shared = shared.where("least < most").select("value", "least")
+    candidates = (
+        placed.join(shared, "value").where("node <> least").select("node", "least").distinct()
+    )
+    bits = F.aggregate(
+        F.zip_with("fingerprints", "others", lambda x, y: F.bit_count(x.bitwiseXOR(y))),
+        F.lit(0),
+        lambda a, n: a + n,
+    )
+    others = nodes.select(F.col("node").alias("least"), F.col("fingerprints").alias("others"))
+    edges = (
+        candidates.join(nodes, "node")
+        .join(others, "least")
+        .where(bits <= near_bits)
+        .select(F.col("node").alias("a"), F.col("least").alias("b"))
+    )
+    groups = components(edges)
+    named = marked.join(groups.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
+    named = named.select("doc_id", F.coalesce("root", "node").alias("root"))
+    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return named.join(least, "root").select("doc_id", "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5, prints: int = PRINTS) -> DataFrame:
     """The documents of which none with a smaller doc_id is in the same near group.
 
     Keeps all columns. Of several rows with one doc_id one stays; rows without
     doc_id cannot be named, so they all stay.
     """
-    groups = near_groups(docs, shingle)
+    groups = near_groups_by_several(docs, shingle, prints)
     ids = groups.select(F.col("component_id").alias("kept")).where("kept is not null").distinct()
     named = docs.join(ids, docs["doc_id"] == ids["kept"], "left_semi").dropDuplicates(["doc_id"])
     return named.unionByName(docs.where("doc_id is null"))
