@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.functions import clock, identity
@@ -70,34 +70,34 @@ def build_rollups(events: DataFrame, ts_col: str = "ts") -> DataFrame:
 
     `unique_users` is the distinct users of the whole day, repeated on each of
     its buckets; `unique_users_bucket` is the distinct users of the bucket.
-    Both come from one scan, which counts events per bucket and user: that table
-    is shuffled once and read twice.
+    Both come from one scan, without a join: a user counts for the day in the
+    first bucket they are seen in, and the buckets of a day add up.
     """
-    per_user = events.groupBy(
-        *KEY,
-        clock.bucket(F.col(ts_col), "minute").alias("bucket"),
-        identity.text_or_empty(F.col("user_id")).alias("user_id"),
-    ).agg(F.count("*").alias("n"))
-    buckets = per_user.groupBy(*ROLLUP_KEY).agg(
-        F.sum("n").alias("count"), F.count_if(_named()).alias("unique_users_bucket")
-    )
-    # No filter here: it would be pushed below the aggregation, and make it another one.
-    days = (
-        per_user.groupBy(*KEY, F.col("bucket").cast("date").alias("day"), "user_id")
-        .agg(F.sum("n").alias("n"))
-        .groupBy(*KEY, "day")
-        .agg(F.count_if(_named()).alias("unique_users"))
+    bucket = clock.bucket(F.col(ts_col), "minute")
+    per_user = (
+        events.groupBy(
+            *KEY, bucket.alias("bucket"), identity.text_or_empty(F.col("user_id")).alias("user_id")
+        )
+        .agg(F.count("*").alias("n"))
+        .withColumn("day", F.col("bucket").cast("date"))
     )
-    return (
-        buckets.withColumn("day", F.col("bucket").cast("date"))
-        .join(days, [*KEY, "day"], "left")
-        .select(
-            *ROLLUP_KEY,
-            "count",
-            F.coalesce("unique_users", F.lit(0)).cast("bigint").alias("unique_users"),
-            "unique_users_bucket",
+    # At most one row per minute of the day, whoever the user is.
+    first = F.min("bucket").over(Window.partitionBy(*KEY, "day", "user_id"))
+    buckets = (
+        per_user.withColumn("new", _named() & (F.col("bucket") == first))
+        .groupBy(*ROLLUP_KEY, "day")
+        .agg(
+            F.sum("n").alias("count"),
+            F.count_if(_named()).alias("unique_users_bucket"),
+            F.count_if("new").alias("new"),
         )
     )
+    return buckets.select(
+        *ROLLUP_KEY,
+        "count",
+        F.sum("new").over(Window.partitionBy(*KEY, "day")).alias("unique_users"),
+        "unique_users_bucket",
+    )
 
 
 def sketch_rollups(events: DataFrame, ts_col: str = "ts") -> DataFrame:
