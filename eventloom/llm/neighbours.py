@@ -5,7 +5,8 @@ value that brings all vectors to the same length. Every inner node of a tree
 splits space by the plane between two sample vectors. A query walks all trees
 through one priority queue, nearest cells first, and ends after a number of
 leaves that the sample shows to be enough. What shares a leaf with the query is
-compared exactly, block by block.
+compared exactly, block by block; what scores below the k-th best of a few seed
+vectors cannot be an answer and goes no further.
 
 Equal vectors are one entry of the index with their smallest ids, as many as any
 answer can use, so copies neither fill leaves nor multiply comparisons.
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from eventloom.session import materialise, ship_package
 
-TREES = 8
+TREES = 4
 #: Vectors the forest is built from at most, and values they may have together.
 SAMPLE_ROWS, SAMPLE_VALUES = 16_384, 4_000_000
 LEAF_ROWS, MOST_LEAVES = 384, 128
@@ -31,6 +32,8 @@ LEAF_ROWS, MOST_LEAVES = 384, 128
 BLOCK_ROWS = 16_384
 #: Share of true neighbours in the sample that the walk must reach, and queries measured.
 REACHED, MEASURED = 0.96, 128
+#: Sample vectors that every query is compared with first.
+SEEDS = 1024
 #: Entries kept per query and block beyond those asked for: equal scores may round apart.
 SPARE = 4
 
@@ -182,13 +185,15 @@ def nearest(
     ).first()
     rows = max(8, min(SAMPLE_ROWS, SAMPLE_VALUES // width))
     every = max(1, n // rows)
-    sample = _matrix(
+    drawn = (
         entries.where(F.pmod(F.col("key.a"), F.lit(every)) == 0)
-        .select("v")
+        .select("v", F.col("ids").cast("array<bigint>").alias("ids"))
         .limit(2 * rows)
-        .toArrow()["v"],
-        width,
+        .toArrow()
     )
+    # Entries with smaller ids first, as equal scores are ordered.
+    drawn = drawn.take(pa.array(np.argsort([i[0] for i in drawn["ids"].to_pylist()])))
+    sample, sample_ids = _matrix(drawn["v"], width), drawn["ids"].combine_chunks()
 
     def lifted(values: np.ndarray) -> np.ndarray:
         """One more value, so that all vectors are equally long."""
@@ -201,6 +206,9 @@ def nearest(
 
     points = lifted(sample)
     forest = Forest(points, min(MOST_LEAVES, max(1, n // LEAF_ROWS)), trees)
+    chosen = np.arange(0, len(sample), max(1, len(sample) // SEEDS))
+    seeds, seed_ids = sample[chosen], sample_ids.take(pa.array(chosen))
+    known = seeds.astype(np.float32)
     measured = asked(sample[:: max(1, len(sample) // MEASURED)])
     probes = forest.enough(points, measured, k)
 
@@ -220,6 +228,23 @@ def nearest(
         sizes[row["cell"]] = row["n"]
     blocks = np.maximum(1, -(-sizes // BLOCK_ROWS))
 
+    def floors(values: np.ndarray) -> np.ndarray:
+        """Scores that the k nearest reach at least: one sample vector may be the query's own."""
+        if len(known) <= k:
+            return np.full(len(values), -np.inf)
+        scores = values.astype(np.float32) @ known.T
+        best = np.partition(scores, -k - 1, axis=1)[:, -k - 1].astype(np.float64)
+        return best - _slack(values, known)
+
+    def seeded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each query with its nearest seeds, which may be all that it finds."""
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                values = _matrix(part.column(1), width)
+                q, e, exact = _nearest_rows(values, seeds, known, k + 1 + SPARE)
+                yield _listed(part.column(0), seed_ids, q, e, exact)
+
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each entry in a block of its leaf in every tree; each query in all blocks of its leaves."""
         for batch in batches:
@@ -229,10 +254,12 @@ def nearest(
                 keys = part.column("a").to_numpy()
                 cells = forest.cells(lifted(values)).ravel()
                 rows = np.tile(np.arange(len(values)), len(forest.roots))
-                yield _dealt(part, rows, cells, (keys[rows] % blocks[cells]), False)
+                floor = np.full(len(values), -np.inf)
+                yield _dealt(part, rows, cells, (keys[rows] % blocks[cells]), floor, False)
                 asks = np.nonzero(part.column("asks").to_numpy(zero_copy_only=False))[0]
                 if len(asks):
                     rows, cells, parts = [], [], []
+                    floor[asks] = floors(values[asks])
                     for row, margins in zip(asks, forest.margins(asked(values[asks])), strict=True):
                         for _, leaf in zip(range(probes), forest.walk(margins), strict=False):
                             for block in range(blocks[leaf]):
@@ -241,64 +268,53 @@ def nearest(
                                 parts.append(block)
                     for i in range(0, len(rows), 20_000):
                         cut = slice(i, i + 20_000)
-                        yield _dealt(
-                            part, np.array(rows[cut]), np.array(cells[cut]), np.array(parts[cut]), True
-                        )
+                        where = (np.array(x[cut]) for x in (rows, cells, parts))
+                        yield _dealt(part, *where, floor, True)
 
     def compared(block: pa.Table) -> pa.Table:
         """The best entries of a block for each of its queries."""
         asks = block["asks"].to_numpy()
         entries_, queries = block.filter(pa.array(~asks)), block.filter(pa.array(asks))
-        empty = pa.table({c: [] for c in ("key", "ids", "score")})
         if not len(entries_) or not len(queries):
-            return empty.cast(_FOUND)
+            return _FOUND.empty_table()
         values, wanted = _matrix(entries_["v"], width), _matrix(queries["v"], width)
         least = np.array([i[0] for i in entries_["ids"].to_pylist()])
         order = np.argsort(least, kind="stable")  # equal scores: smaller ids first
         values = values[order]
-        most = min(len(values), k + 1 + SPARE)
-        found_q, found_e, scores = [], [], []
-        for i in range(0, len(wanted), 256):
-            part = wanted[i : i + 256]
-            rough = part @ values.T
-            best = np.argpartition(-rough, most - 1, axis=1)[:, :most]
-            # Entries that tie with the last one kept may be ahead of it by id.
-            last = np.take_along_axis(rough, best, axis=1).min(axis=1)
-            q, e = np.nonzero(rough >= last[:, None] - 1e-12 * np.abs(last)[:, None])
-            exact = (part[q] * values[e]).sum(axis=1)
-            rank = np.lexsort((e, -exact, q))
-            q, e, exact = q[rank], e[rank], exact[rank]
-            first = np.searchsorted(q, np.arange(len(part)))
-            keep = np.arange(len(q)) - first[q] < most
-            found_q.append(q[keep] + i)
-            found_e.append(order[e[keep]])
-            scores.append(exact[keep])
-        q, e = np.concatenate(found_q), np.concatenate(found_e)
-        return pa.table(
-            {
-                "key": queries["key"].take(pa.array(q)),
-                "ids": entries_["ids"].take(pa.array(e)),
-                "score": np.concatenate(scores),
-            }
-        ).cast(_FOUND)
+        floor, quick = queries["floor"].to_numpy(), values.astype(np.float32)
+        found = [
+            _nearest_rows(wanted[i : i + 64], values, quick, k + 1 + SPARE, floor[i : i + 64], i)
+            for i in range(0, len(wanted), 64)
+        ]
+        q, e, scores = (np.concatenate(x) for x in zip(*found, strict=True))
+        e = order[e]
+        keys = queries["key"].combine_chunks()
+        ids = entries_["ids"].combine_chunks()
+        return pa.Table.from_batches([_listed(keys, ids, q, e, scores)])
 
     keyed = "struct<a: bigint, b: bigint>"
     vector = clean.schema["v"].dataType.simpleString()
     ids = f"array<{vectors.schema['vec_id'].dataType.simpleString()}>"
     from_spark = entries.select("key", F.col("key.a").alias("a"), "v", "ids", "asks")
     dealt = from_spark.mapInArrow(
-        placed, f"cell int, block int, asks boolean, key {keyed}, v {vector}, ids {ids}"
+        placed,
+        f"cell int, block int, asks boolean, floor double, key {keyed}, v {vector}, ids {ids}",
     )
+    schema = f"key {keyed}, near array<struct<score: double, ids: array<bigint>>>"
     found = (
         dealt.groupBy("cell", "block")
-        .applyInArrow(compared, f"key {keyed}, ids array<bigint>, score double")
-        .distinct()
+        .applyInArrow(compared, schema)
+        .unionByName(entries.where("asks").select("key", "v").mapInArrow(seeded, schema))
     )
-    order = Window.partitionBy("key").orderBy(F.desc("score"), F.col("ids")[0])
-    best = (
-        found.withColumn("place", F.row_number().over(order))
-        .where(F.col("place") <= k + 1)
-        .drop("place")
+    # What the blocks of a query found, without what several trees found; best first.
+    lists = found.groupBy("key").agg(F.flatten(F.collect_list("near")).alias("near"))
+    ranked = F.array_sort(
+        F.transform("near", lambda x: F.struct((-x["score"]).alias("back"), x["ids"].alias("ids")))
+    )
+    new = F.filter("ranked", lambda x, i: (i == 0) | (x != F.get("ranked", i - 1)))
+    lists = lists.select("key", ranked.alias("ranked")).select("key", F.slice(new, 1, k + 1).alias("best"))
+    best = lists.select("key", F.explode("best").alias("x")).select(
+        "key", F.col("x.ids").alias("ids"), (-F.col("x.back")).alias("score")
     )
     askers = clean.where("asks").select(F.col("key").alias("asked"), F.col("vec_id").alias("asker"))
     return _ranked(
@@ -306,27 +322,86 @@ def nearest(
     )
 
 
+_NEAR = pa.struct([("score", pa.float64()), ("ids", pa.list_(pa.int64()))])
 _FOUND = pa.schema(
     [
         ("key", pa.struct([("a", pa.int64()), ("b", pa.int64())])),
-        ("ids", pa.list_(pa.int64())),
-        ("score", pa.float64()),
+        ("near", pa.list_(_NEAR)),
     ]
 )
 
 
-def _dealt(part: pa.RecordBatch, rows: np.ndarray, cells, blocks, asks: bool) -> pa.RecordBatch:
+def _listed(keys: pa.Array, ids: pa.Array, q: np.ndarray, e: np.ndarray, scores: np.ndarray):
+    """One row per query with all it found; `q` ascends."""
+    queries, first = np.unique(q, return_index=True)
+    near = pa.StructArray.from_arrays(
+        [pa.array(scores), ids.take(pa.array(e)).cast(_NEAR["ids"].type)], fields=list(_NEAR)
+    )
+    offsets = pa.array(np.append(first, len(q)).astype(np.int32))
+    lists = pa.ListArray.from_arrays(offsets, near)
+    return pa.RecordBatch.from_arrays(
+        [keys.take(pa.array(queries)).cast(_FOUND.field("key").type), lists.cast(_FOUND.field("near").type)], schema=_FOUND
+    )
+
+
+def _nearest_rows(
+    wanted: np.ndarray,
+    values: np.ndarray,
+    quick: np.ndarray,
+    most: int,
+    floor: np.ndarray | None = None,
+    first: int = 0,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, entry, score) of the best entries of each query, those below its floor left out.
+
+    Single precision (`quick`) chooses; what is near the last one chosen is
+    compared exactly, and may be ahead of it. Of equal scores the first entries stay.
+    """
+    most = min(most, len(values))
+    rough = wanted.astype(np.float32) @ quick.T
+    last = np.partition(rough, len(values) - most, axis=1)[:, len(values) - most]
+    least = last - _slack(wanted, quick)
+    if floor is not None:
+        least = np.maximum(least, floor)
+    q, e = np.nonzero(rough >= least[:, None])
+    step = 65_536
+    parts = [
+        (wanted[q[j : j + step]] * values[e[j : j + step]]).sum(axis=1)
+        for j in range(0, len(q) + 1, step)
+    ]
+    exact = np.concatenate(parts)
+    rank = np.lexsort((e, -exact, q))
+    q, e, exact = q[rank], e[rank], exact[rank]
+    keep = np.arange(len(q)) - np.searchsorted(q, np.arange(len(wanted)))[q] < most
+    return q[keep] + first, e[keep], exact[keep]
+
+
+def _slack(values: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """More than products of these rows can be off in single precision."""
+    longest = float(np.sqrt((others.astype(np.float64) ** 2).sum(axis=1).max()))
+    return 1e-7 * (values.shape[1] + 16) * np.linalg.norm(values, axis=1) * longest
+
+
+def _dealt(
+    part: pa.RecordBatch,
+    rows: np.ndarray,
+    cells: np.ndarray,
+    blocks: np.ndarray,
+    floor: np.ndarray,
+    asks: bool,
+) -> pa.RecordBatch:
     take = pa.array(rows)
     return pa.RecordBatch.from_arrays(
         [
             pa.array(cells.astype(np.int32)),
             pa.array(blocks.astype(np.int32)),
             pa.array(np.full(len(rows), asks)),
+            pa.array(floor[rows]),
             part.column("key").take(take),
             part.column("v").take(take),
             part.column("ids").take(take),
         ],
-        ["cell", "block", "asks", "key", "v", "ids"],
+        ["cell", "block", "asks", "floor", "key", "v", "ids"],
     )
 
 
