@@ -462,7 +462,7 @@ def test_neighbours_on_edges(spark):
     rng = np.random.default_rng(2)
     rows = [(i, [float(np.float32(x)) for x in rng.normal(size=6)]) for i in range(100)]
     copy = rows[20][1]
-    rows += [(200 + i, copy) for i in range(60)] + [(300, None), (301, [0.0] * 6), (320, [1.0, None, 0, 0, 0, 0]), (340, [float("nan")] * 6), (360, [float("inf"), 0, 0, 0, 0, 0.0]), (None, copy)]
+    rows += [(200 + i, copy) for i in range(60)] + [(300, None), (301, [0.0] * 6), (320, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (340, [float("nan")] * 6), (360, [float("inf"), 0.0, 0.0, 0.0, 0.0, 0.0]), (None, copy)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("v", F.lit(1))
     got = {}
     for r in neighbours.nearest(frame).collect():
