@@ -34,8 +34,8 @@ from eventloom.session import materialise, ship_package
 
 LENGTH = 200
 ANCHOR = 32
-#: Occurrences of one anchor that are sorted together.
-TOGETHER = 1024
+#: Occurrences of one anchor that are sorted together: some tens of megabytes in a task.
+TOGETHER = 65_536
 #: Suffixes handled at once by a task.
 BLOCK = 16_384
 
@@ -76,10 +76,10 @@ def anchors(data: bytes, length: int = LENGTH) -> tuple[np.ndarray, ...]:
     first = np.concatenate([[0], np.nonzero(gone | (least[1:] != least[:-1]))[0] + 1])
     last = np.concatenate([first[1:], [len(least)]]) - 1
     place = np.empty(len(first), dtype=np.int64)
-    for i in range(0, len(first), 4096):
-        rows = first[i : i + 4096]
+    for i in range(0, len(first), 512):
+        rows = first[i : i + 512]
         inside = hashes[rows[:, None] + np.arange(reach)] == least[rows][:, None]
-        place[i : i + 4096] = rows + inside.argmax(axis=1)
+        place[i : i + 512] = rows + inside.argmax(axis=1)
     return hashes[place], place, first, last
 
 
@@ -445,24 +445,22 @@ def repeat_groups(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     )
 
 
-def _kept(data: bytes, spans: list[tuple[int, int]], length: int) -> tuple[int, int, str]:
-    """Bytes removed, runs removed, and the digest of what is left."""
-    digest = hashlib.sha256()
-    removed = runs = done = kept_from = 0
-    for start, stop in sorted(spans):
-        stop = min(stop, len(data))
-        if stop - start < length:
-            continue
-        if start > done or not runs:
-            digest.update(data[kept_from:start])
-            runs += 1
-            removed += stop - start
-            done = kept_from = stop
-        elif stop > done:
-            removed += stop - done
-            done = kept_from = stop
-    digest.update(data[kept_from:])
-    return removed, runs, digest.hexdigest()
+def _runs(size: int, start: np.ndarray, stop: np.ndarray, length: int):
+    """Maximal removed runs of a text of `size` bytes: their starts and stops."""
+    stop = np.minimum(stop, size)
+    good = stop - start >= length
+    start, stop = start[good], stop[good]
+    order = np.argsort(start, kind="stable")
+    start, stop = start[order], np.maximum.accumulate(stop[order])
+    first = np.concatenate([[True], start[1:] > stop[:-1]])[: len(start)]
+    last = np.concatenate([first[1:], [True]])[: len(start)]
+    return start[first], stop[last]
+
+
+def _rest(data: bytes, starts: np.ndarray, stops: np.ndarray) -> list[bytes]:
+    """The stretches between the runs."""
+    edges = [0, *np.stack([starts, stops], axis=1).ravel().tolist(), len(data)]
+    return [data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)]
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_text: bool = False) -> DataFrame:
@@ -489,16 +487,29 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_text: bool = Fals
     )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0, dtype=np.int64)
         for batch in batches:
-            sizes, rows, kept = [], [], []
-            for text, spans in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
+            lists = batch.column(2)
+            offsets = lists.offsets.to_numpy()
+            start = lists.values.field("start").to_numpy(zero_copy_only=False)
+            stop = lists.values.field("stop").to_numpy(zero_copy_only=False)
+            present = lists.is_valid().to_numpy(zero_copy_only=False)
+            sizes, removed, runs, digests, kept = [], [], [], [], []
+            for i, text in enumerate(batch.column(1)):
                 data = text.as_buffer().to_pybytes()
-                pairs = [(s["start"], s["stop"]) for s in spans or ()]
+                part = slice(offsets[i], offsets[i + 1])
+                spans = (start[part], stop[part]) if present[i] else (none, none)
+                starts, stops = _runs(len(data), *spans, length)
+                rest = _rest(data, starts, stops)
+                digest = hashlib.sha256()
+                for stretch in rest:
+                    digest.update(stretch)
                 sizes.append(len(data))
-                rows.append(_kept(data, pairs, length))
+                removed.append(int((stops - starts).sum()))
+                runs.append(len(starts))
+                digests.append(digest.hexdigest())
                 if keep_text:
-                    kept.append(_rest(data, pairs, length))
-            removed, runs, digests = zip(*rows, strict=True) if rows else ((), (), ())
+                    kept.append(b"".join(rest))
             columns = [
                 batch.column(0),
                 pa.array(sizes, pa.int64()),
@@ -521,11 +532,3 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_text: bool = Fals
         .mapInArrow(cut, schema + (", kept binary" if keep_text else ""))
     )
 
-
-def _rest(data: bytes, spans: list[tuple[int, int]], length: int) -> bytes:
-    gone = np.zeros(len(data), dtype=bool)
-    for start, stop in spans:
-        stop = min(stop, len(data))
-        if stop - start >= length:
-            gone[start:stop] = True
-    return np.frombuffer(data, np.uint8)[~gone].tobytes()
