@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.operators.analytics import page
 from eventloom.functions import clock
+from eventloom.operators.analytics import page
 
 # States of a dead letter.
 PENDING, RETRYING, RETRIED, DISCARDED = "pending", "retrying", "retried", "discarded"
@@ -20,6 +20,7 @@ LISTED = (
     "reason", "status", "retry_count", "created_at", "updated_at",
 )
 
+# Fields of a dead-letter message.
 ENVELOPE_SCHEMA = (
     "originalTopic STRING, originalPartition INT, originalOffset STRING, originalKey STRING, "
     "originalValue STRING, originalHeaders MAP<STRING,STRING>, reason STRING, timestamp BIGINT"

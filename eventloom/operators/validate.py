@@ -141,7 +141,7 @@ def property_errors(entries: Column, required: Column, typed: Column) -> Column:
 
     A null value counts as present and fits no checked type. Declared types
     other than string, number, integer and boolean are not checked, and
-    integer accepts every number.
+    integer accepts every number. The texts are fixed values.
     """
     has = lambda name: F.coalesce(F.map_contains_key(entries, name), F.lit(False))
     missing = F.transform(
