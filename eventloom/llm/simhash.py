@@ -35,6 +35,11 @@ LEAF_ROWS = 256
 #: Independent fingerprints where recall matters more than one exact distance, and the
 #: bits of all of them that texts with 0.8 of their shingles in common differ in.
 PRINTS, NEAR_BITS = 16, 170
+#: Members of one group of halves that are compared in one task, and those of small
+#: groups that share a task.
+BLOCK_ROWS, TASK_ROWS = 8192, 32_768
+#: Groups up to this size are compared whole, many of them at once.
+TINY_ROWS = 8
 #: Shingles whose bits are counted at once.
 STRIDE = 65_536
 
@@ -314,6 +319,115 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     )
 
 
+def _join_near(
+    prints: np.ndarray, label: np.ndarray, groups: Groups, a: np.ndarray, b: np.ndarray, most: int
+) -> None:
+    """Join the labels of the pairs (a, b) that differ in at most `most` bits of all prints."""
+    for i in range(0, len(a), STRIDE):
+        x, y = a[i : i + STRIDE], b[i : i + STRIDE]
+        apart = groups.find(label[x]) != groups.find(label[y])
+        x, y = x[apart], y[apart]
+        close = np.bitwise_count(prints[x] ^ prints[y]).sum(axis=1, dtype=np.int64) <= most
+        groups.join(label[x[close]], label[y[close]])
+
+
+def block_links(
+    run: np.ndarray,
+    home: np.ndarray,
+    guest: np.ndarray,
+    half: np.ndarray,
+    group: np.ndarray,
+    prints: np.ndarray,
+    reach: int,
+    most: int,
+) -> tuple[np.ndarray, np.ndarray]:
+    """Edges between groups that join what the links of these rows join.
+
+    Rows with one `run` are compared, homes with guests: they are linked when
+    their halves differ in at most `reach` bits and all their prints in at most
+    `most`. At most one edge per group, to the root of what it is joined to.
+    """
+    names, label = np.unique(group, return_inverse=True)
+    groups = Groups(len(names))
+    order = np.argsort(run, kind="stable")
+    run = run[order]
+    starts = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
+    sizes = np.diff(np.r_[starts, len(run)])
+    tiny = np.repeat(sizes <= TINY_ROWS, sizes)
+    for step in range(1, TINY_ROWS):
+        at = np.flatnonzero((run[step:] == run[:-step]) & tiny[step:])
+        a, b = order[at], order[at + step]
+        met = (home[a] & guest[b]) | (guest[a] & home[b])
+        met &= np.bitwise_count(half[a] ^ half[b]) <= reach
+        _join_near(prints, label, groups, a[met], b[met], most)
+    for start, size in zip(starts[sizes > TINY_ROWS], sizes[sizes > TINY_ROWS], strict=True):
+        rows = order[start : start + size]
+        homes, guests = rows[home[rows]], rows[guest[rows]]
+        for i in range(0, len(homes), LEAF_ROWS):
+            block = homes[i : i + LEAF_ROWS]
+            close = np.bitwise_count(half[block][:, None] ^ half[guests][None, :]) <= reach
+            close &= groups.find(label[block])[:, None] != groups.find(label[guests])[None, :]
+            a, b = np.nonzero(close)
+            _join_near(prints, label, groups, block[a], guests[b], most)
+    rows = np.arange(len(names))
+    roots = groups.find(rows)
+    moved = rows != roots
+    return names[rows[moved]], names[roots[moved]]
+
+
+def _links_inside(members: DataFrame, nodes: DataFrame, reach: int, most: int) -> DataFrame:
+    """Edges `a, b` between the groups of nodes that meet in a group of halves.
+
+    `members` has `value, half, node, group`: a node, the group it is known to be
+    in, and the group of halves (`value`) that its half is in. All pairs of a
+    value are compared, those of one group excepted. Values with many nodes are
+    dealt out as pairs of blocks.
+    """
+    open_ = members.groupBy("value").agg(
+        F.count(F.lit(1)).alias("n"), F.min("group").alias("least"), F.max("group").alias("most")
+    )
+    open_ = materialise(open_.where("least < most").select("value", "n"))
+    light = open_.agg(F.sum(F.when(F.col("n") <= BLOCK_ROWS, F.col("n")))).first()[0] or 0
+    tasks = -(-light // TASK_ROWS) or 1
+    other = F.explode(F.expr("sequence(0L, blocks - 1)"))
+    dealt = (
+        members.join(open_, "value")
+        .withColumn("blocks", F.expr(f"(n + {BLOCK_ROWS} - 1) div {BLOCK_ROWS}"))
+        .withColumn("own", F.expr("pmod(xxhash64(value, node), blocks)"))
+        .withColumn("other", other)
+        .select(
+            "node",
+            F.when(F.col("blocks") == 1, F.pmod("value", F.lit(tasks)))
+            .otherwise(F.xxhash64("value", F.least("own", "other"), F.greatest("own", "other")))
+            .alias("task"),
+            F.when(F.col("blocks") == 1, F.col("value"))
+            .otherwise(F.xxhash64("value", F.least("own", "other"), F.greatest("own", "other")))
+            .alias("run"),
+            (F.col("own") <= F.col("other")).alias("home"),
+            (F.col("own") >= F.col("other")).alias("guest"),
+            "half",
+            "group",
+        )
+        .join(nodes, "node")
+    )
+
+    def compared(rows: pa.Table) -> pa.Table:
+        lists = rows["fingerprints"].combine_chunks()
+        prints = lists.flatten().to_numpy().view(np.uint64).reshape(len(lists), -1)
+        numbers = {n: rows[n].to_numpy() for n in ("run", "home", "guest", "half", "group")}
+        half = numbers["half"].astype(np.uint32)
+        a, b = block_links(
+            numbers["run"], numbers["home"], numbers["guest"], half, numbers["group"], prints, reach, most
+        )
+        return pa.table({"a": a, "b": b})
+
+    return (
+        dealt.select("task", "run", "home", "guest", "half", "group", "fingerprints")
+        .groupBy("task")
+        .applyInArrow(compared, "a bigint, b bigint")
+    )
+
+
 def near_groups_by_several(
     docs: DataFrame, shingle: int = 5, prints: int = PRINTS, near_bits: int = NEAR_BITS
 ) -> DataFrame:
@@ -323,8 +437,10 @@ def near_groups_by_several(
     too many for one fingerprint to find them by. With `prints` independent ones
     a pair is a candidate when any 32-bit half differs in at most one bit, by
     the same trees, and is linked when all bits together differ in at most
-    `near_bits` places. Candidates of a half are joined to the smallest of their
-    group only, so their number grows with the documents.
+    `near_bits` places. Every candidate pair counts. Those of a half's group
+    with its smallest node are checked first, which joins most copies; where
+    the nodes of a half's group are in several groups after that, all pairs of
+    different groups are checked, in tasks of bounded size.
     """
     marked = materialise(
         fingerprints(docs, shingle, prints).withColumn("node", F.xxhash64("fingerprints"))
@@ -336,19 +452,27 @@ def near_groups_by_several(
     high = F.transform("fingerprints", lambda f: F.shiftrightunsigned(f, 32))
     halves = nodes.select("node", F.posexplode(F.concat(low, high)).alias("number", "fingerprint"))
     name = lambda value: F.xxhash64("number", value)
-    distinct = materialise(halves.select("number", "fingerprint").distinct())
-    links = near_links(distinct, shifts=(0,), reach=HALF_RADIUS, most=HALF_RADIUS)
+    distinct = materialise(
+        halves.groupBy("number", "fingerprint").agg(F.count(F.lit(1)).alias("n"))
+    )
+    links = near_links(
+        distinct.select("number", "fingerprint"), shifts=(0,), reach=HALF_RADIUS, most=HALF_RADIUS
+    )
     roots = components(links.select(name("a").alias("a"), name("b").alias("b")))
-    placed = (
-        halves.select("node", name("fingerprint").alias("value"))
-        .join(roots.withColumnRenamed("node", "of"), F.col("value") == F.col("of"), "left")
-        .select("node", F.coalesce("root", "value").alias("value"))
+    shared = distinct.where("n > 1").select(name("fingerprint").alias("value"))
+    company = (
+        roots.select(F.col("node").alias("value"), "root")
+        .unionByName(shared.withColumn("root", F.col("value")))
+        .groupBy("value")
+        .agg(F.min("root").alias("root"))
     )
-    shared = placed.groupBy("value").agg(F.min("node").alias("least"), F.max("node").alias("most"))
-    shared = shared.where("least < most").select("value", "least")
-    candidates = (
-        placed.join(shared, "value").where("node <> least").select("node", "least").distinct()
+    placed = materialise(
+        halves.select("node", F.col("fingerprint").alias("half"), name("fingerprint").alias("value"))
+        .join(company, "value")
+        .select("node", "half", F.col("root").alias("value"))
     )
+    least = placed.groupBy("value").agg(F.min("node").alias("least"))
+    candidates = placed.join(least, "value").where("node <> least").select("node", "least").distinct()
     bits = F.aggregate(
         F.zip_with("fingerprints", "others", lambda x, y: F.bit_count(x.bitwiseXOR(y))),
         F.lit(0),
@@ -361,11 +485,19 @@ def near_groups_by_several(
         .where(bits <= near_bits)
         .select(F.col("node").alias("a"), F.col("least").alias("b"))
     )
-    groups = components(edges)
-    named = marked.join(groups.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
-    named = named.select("doc_id", F.coalesce("root", "node").alias("root"))
-    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return named.join(least, "root").select("doc_id", "component_id")
+    groups = materialise(_with_root(nodes.select("node"), "node", components(edges), "group"))
+    inside = _links_inside(placed.join(groups, "node"), nodes, HALF_RADIUS, near_bits)
+    whole = _with_root(groups, "group", components(inside), "root").select("node", "root")
+    named = marked.select("doc_id", "node").join(whole, "node")
+    first = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return named.join(first, "root").select("doc_id", "component_id")
+
+
+def _with_root(rows: DataFrame, column: str, roots: DataFrame, name: str) -> DataFrame:
+    """The rows with `name`: the root of a column's value, or the value where it has none."""
+    roots = roots.select(F.col("node").alias("of"), F.col("root").alias("of_root"))
+    joined = rows.join(roots, F.col(column) == F.col("of"), "left")
+    return joined.withColumn(name, F.coalesce("of_root", column)).drop("of", "of_root")
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, prints: int = PRINTS) -> DataFrame:

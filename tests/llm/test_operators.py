@@ -243,6 +243,50 @@ def test_several_fingerprints_find_near_copies(spark):
     assert sum(got[i] == k for i, k in want.items()) >= 117
 
 
+def test_near_pairs_inside_a_family_are_found(spark, monkeypatch):
+    """Texts of one template are not near each other, but hide near pairs: all are found."""
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", 512)
+    rng = random.Random(9)
+    template = words(rng, 110)
+    rows = []
+    for i in range(2000):
+        own = words(rng, 36).split()
+        rows.append((i, template + " " + " ".join(own)))
+        if i < 60:
+            own[rng.randrange(36)] = "changed"
+            rows.append((10_000 + i, template + " " + " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_groups_by_several(docs).collect()}
+    assert sum(got[10_000 + i] == i for i in range(60)) >= 59
+    assert all(got[i] == i for i in range(2000))
+
+
+def test_blocks_join_every_candidate():
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 2**64, (40, 4), dtype=np.uint64)
+    prints = np.repeat(base, 8, axis=0)
+    for _ in range(24):
+        prints ^= np.uint64(1) << rng.integers(0, 64, prints.shape, dtype=np.uint64)
+        prints = np.where(rng.random(prints.shape) < 0.8, prints, np.repeat(base, 8, axis=0))
+    n = len(prints)
+    half = prints[:, 0].astype(np.uint32)
+    run = rng.integers(0, 12, n)
+    run[:60] = np.arange(60) // 3
+    side = rng.integers(0, 3, n)
+    home, guest = side != 1, side != 0
+    group = rng.permutation(n) // 2
+    a, b = simhash.block_links(run, home, guest, half, group, prints, 2, 12)
+    want, got = simhash.Groups(n), simhash.Groups(n)
+    got.join(a, b)
+    for i in range(n):
+        for j in range(n):
+            if run[i] == run[j] and home[i] and guest[j] and np.bitwise_count(half[i] ^ half[j]) <= 2:
+                if np.bitwise_count(prints[i] ^ prints[j]).sum() <= 12:
+                    want.join(group[[i]], group[[j]])
+    rows = np.arange(n)
+    assert len(a) and (want.find(rows) == got.find(rows)).all()
+
+
 def test_shard_trees_find_every_link(spark, monkeypatch):
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**63, 300, dtype=np.uint64)
