@@ -26,7 +26,7 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every near-duplicate group, that with the smallest doc_id.
 
     Near means that sixteen SimHashes over shingles of five words differ in at most
-    170 of their 1024 bits: about 0.8 of the shingles, or more, are the same.
+    184 of their 1024 bits: about 0.8 of the shingles, or more, are the same.
     """
     prepare(spark)
     return simhash.one_of_each(docs, shingle=5)

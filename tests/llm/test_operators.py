@@ -243,6 +243,27 @@ def test_several_fingerprints_find_near_copies(spark):
     assert sum(got[i] == k for i, k in want.items()) >= 117
 
 
+def test_recall_from_0_8_of_the_shingles(spark):
+    """Pairs at 0.80, 0.82 and 0.85 of their shingles, by their true similarity."""
+    rng = random.Random(12)
+    rows, classes = [], {0.80: [], 0.82: [], 0.85: []}
+    # So many of 400 shingles are other ones after the last words were changed.
+    for least, changed in ((0.80, 44), (0.82, 39), (0.85, 32)):
+        for _ in range(250):
+            text = words(rng, 404).split()
+            other = text[: 404 - changed] + words(rng, changed).split()
+            a, b = ({tuple(t[i : i + 5]) for i in range(400)} for t in (text, other))
+            assert least <= brute.jaccard(a, b) < least + 0.01
+            classes[least].append(len(rows))
+            rows += [(len(rows), " ".join(text)), (len(rows) + 1, " ".join(other))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_groups_by_several(docs).collect()}
+    recall = {c: sum(got[i + 1] == i for i in ids) / len(ids) for c, ids in classes.items()}
+    print(recall)
+    assert recall[0.80] >= 0.93 and recall[0.82] >= 0.96 and recall[0.85] >= 0.98
+    assert all(got[i] == i for i in range(0, len(rows), 2))
+
+
 def test_near_pairs_inside_a_family_are_found(spark, monkeypatch):
     """Texts of one template are not near each other, but hide near pairs: all are found."""
     monkeypatch.setattr(simhash, "BLOCK_ROWS", 512)
