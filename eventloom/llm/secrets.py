@@ -6,8 +6,8 @@ cross the middle as often as chance would, is a symbol independent of the one
 before? Fisher's method joins the three p-values. Keys and tokens pass; words,
 names and counters do not.
 
-Which p-values count as passing follows from all strings of a corpus. Among
-strings of one alphabet and similar length the p-values of random ones are
+Which p-values count as passing follows from all different strings of a corpus;
+copies of a string say nothing about others. Among strings of one alphabet and similar length the p-values of random ones are
 spread evenly, those of others lie near 0. Twice the number above one half thus
 estimates how many are random, and each threshold has an expected share of false
 finds. The lowest threshold at which it stays below a limit is used, by alphabet
@@ -173,13 +173,16 @@ def judged(span: Column) -> Column:
 def least_p(strings: DataFrame, false_share: float = FALSE_SHARE) -> dict[str, float]:
     """By stratum, the lowest p-value that counts as random.
 
-    `strings` has `stratum, p`, a row per string of the corpus. Only counts per
-    stratum and step, of which there is a bounded number, reach the driver.
+    `strings` has `stratum, value, p`, a row per string of the corpus, of which
+    each different one counts once. Only counts per stratum and step, of which
+    there is a bounded number, reach the driver.
     """
     step = F.least(F.floor(F.col("p") * STEPS), F.lit(STEPS - 1)).cast("int")
     counts = (
         strings.where("p is not null")
-        .groupBy("stratum", step.alias("step"))
+        .select("stratum", "value", step.alias("step"))
+        .distinct()
+        .groupBy("stratum", "step")
         .agg(F.count(F.lit(1)).alias("n"))
         .collect()
     )
@@ -219,7 +222,8 @@ def find_secrets(docs: DataFrame, false_share: float = FALSE_SHARE) -> DataFrame
             "doc_id", by_start(F.col("base"), BASE).alias("base"), F.transform("apart", judged).alias("strings")
         )
     )
-    limits = least_p(found.select(F.explode("strings").alias("s")).select("s.stratum", "s.p"), false_share)
+    strings = found.select(F.explode("strings").alias("s")).select("s.stratum", "s.value", "s.p")
+    limits = least_p(strings, false_share)
     if limits:
         known = F.create_map(*[F.lit(x) for pair in limits.items() for x in pair])
         random = F.filter("strings", lambda s: s["p"] >= F.element_at(known, s["stratum"]))

@@ -368,6 +368,30 @@ def test_random_strings_are_told_from_others(spark):
     assert sum(got[i] != "" for i in range(60, 180)) <= 6
 
 
+def test_copies_of_a_string_leave_other_rows_alone(spark):
+    rng = random.Random(5)
+    letters = string.ascii_letters + string.digits
+    texts = ["see k1" + "".join(rng.choices(letters, k=38)) + " there" for _ in range(100)]
+    found = None
+    # A key, and a string that is not random, each copied many times.
+    for copied in (None, *texts[:3], "see chapter_1_of_the_annual_report_on_the_stat there"):
+        rows = list(enumerate(texts + [copied] * 5000 * (copied is not None)))
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        spans = secrets.find_secrets(docs).where("doc_id < 100").collect()
+        spans = {r["doc_id"]: r["spans"] for r in spans}
+        found = found or spans
+        assert spans == found
+    assert sum(s != "" for s in found.values()) >= 90
+
+
+def test_least_p_counts_different_strings(spark):
+    """The worked case: 100 keys spread evenly, one of p = 0.3 copied 5,000 times."""
+    keys = [("base62:10", f"key{i}", i / 100 + 0.005) for i in range(100)]
+    copies = [("base62:10", "copied", 0.3)] * 5000
+    schema = "stratum string, value string, p double"
+    assert secrets.least_p(spark.createDataFrame(keys + copies, schema)) == {"base62:10": 0.0}
+
+
 def test_private_on_edges(docs, rows, nothing):
     got = privacy.find_private(docs).collect()
     want = []
