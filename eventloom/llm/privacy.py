@@ -8,8 +8,9 @@ P(e|t) that share among the documents with term t, a term discloses
     log(P(e|t) / P(e)) / -log P(e)        (1: the term implies the entity)
 
 Terms above a first threshold are generalised, above a second one removed.
-Terms are the words within a few words of an entity; to count as evidence a
-term must stand beside the same entity in several different texts.
+Terms are all words of a document outside its entities; to count as evidence a
+term must be in several different texts with the same entity. In a document that
+holds the entity, every place of a disclosing term is marked.
 """
 
 from __future__ import annotations
@@ -25,13 +26,12 @@ from eventloom.session import materialise
 GENERALISE, REMOVE = 0.85, 0.97
 #: Different texts in which term and entity must stand together.
 SUPPORT = 2
-#: Characters searched for neighbouring words on each side, and words taken there.
-REACH, NEIGHBOURS = 80, 3
 #: Bits of the map of candidate terms that spares counting other words.
 MAP_BITS = 1 << 20
-TERM_LETTERS = 4
 
 _WORD = r"[\p{L}\p{N}]+"
+#: Stands for an entity while words are read, so that what touches one is no word.
+_HOLE = "\ue000"
 
 
 def _digits(value: Column) -> Column:
@@ -106,7 +106,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def entities(docs: DataFrame) -> DataFrame:
-    """`doc_id, text_key, base` of every row, written once; spans carry the text beside them."""
+    """`doc_id, text_key, base, held` of every row, written once; `held` is the text if it has entities."""
     spans = F.transform(
         "base",
         lambda s: F.struct(
@@ -117,86 +117,46 @@ def entities(docs: DataFrame) -> DataFrame:
             .when(s["kind"] == "ip", s["value"])
             .otherwise(_digits(s["value"]))
             .alias("value"),
-            F.substring(
-                F.col("text"),
-                (F.greatest(s["start"] - REACH, F.lit(0)) + 1).cast("int"),
-                F.least(s["start"], F.lit(REACH)).cast("int"),
-            ).alias("before"),
-            F.substring(F.col("text"), (s["stop"] + 1).cast("int"), F.lit(REACH)).alias("after"),
         ),
     )
     found = with_entities(_keyed(docs.select("doc_id", "text")))
-    return materialise(found.select("doc_id", "text_key", spans.alias("base")))
+    held = F.when(F.size("base") > 0, F.col("text"))
+    return materialise(found.select("doc_id", "text_key", spans.alias("base"), held.alias("held")))
 
 
-def neighbours(found: DataFrame) -> DataFrame:
-    """`doc_id, text_key, entity, term, start, stop`: words beside an entity, outside all spans."""
-    spans = (
-        found.where(F.size("base") > 0)
-        .select("doc_id", "text_key", "base", F.explode("base").alias("s"))
-        .select(
-            "doc_id",
-            "text_key",
-            "base",
-            F.concat_ws(":", "s.kind", "s.value").alias("entity"),
-            F.explode(
-                F.array(
-                    F.struct(
-                        F.lit(True).alias("left"),
-                        F.greatest(F.col("s.start") - REACH, F.lit(0)).alias("offset"),
-                        F.col("s.before").alias("part"),
-                    ),
-                    F.struct(
-                        F.lit(False).alias("left"),
-                        F.col("s.stop").alias("offset"),
-                        F.col("s.after").alias("part"),
-                    ),
-                )
-            ).alias("side"),
-        )
-        .select("doc_id", "text_key", "base", "entity", "side.*")
-        .withColumn("gaps", F.split("part", _WORD, -1))
-        .withColumn("words", F.regexp_extract_all("part", F.lit(_WORD), F.lit(0)))
-        .withColumn("n", F.size("words"))
-    )
-    # The word at the far edge may be cut off there; it does not count.
-    cut = F.length("part") == REACH
-    first = F.when(
-        F.col("left"),
-        F.greatest(
-            F.col("n") - NEIGHBOURS, F.when(cut & (F.get("gaps", F.lit(0)) == ""), 1).otherwise(0)
-        ),
-    ).otherwise(0)
-    last = F.when(F.col("left"), F.col("n") - 1).otherwise(
-        F.least(
-            F.lit(NEIGHBOURS - 1),
-            F.col("n")
-            - F.when(cut & (F.get("gaps", F.col("n")) == ""), 2).otherwise(1),
-        )
-    )
-    placed = (
-        spans.withColumn("first", first)
-        .withColumn("last", last)
-        .where("last >= first")
-        .withColumn("i", F.explode(F.sequence("first", "last")))
-        .select(
-            "doc_id",
-            "text_key",
+def _replaced(df: DataFrame, text: str, spans: str, name: str) -> DataFrame:
+    """Adds `name`: the text with spans (start, stop, mark), by start, replaced by their marks."""
+    done = f"{name}_done"
+    pieces = f"""concat(
+        array_join(transform({spans}, (s, i) ->
+            case when s.start >= {done}[i]
+                 then concat(substring({text}, cast({done}[i] as int) + 1, cast(s.start - {done}[i] as int)), s.mark)
+                 else '' end), ''),
+        substring({text}, cast({done}[size({spans})] as int) + 1))"""
+    sums = f"""transform(sequence(0, size({spans})), i ->
+        aggregate(slice({spans}, 1, i), 0L, (a, s) -> greatest(a, s.stop)))"""
+    clean = F.when(F.size(spans) > 0, F.expr(pieces)).otherwise(F.col(text))
+    return df.withColumn(done, F.expr(sums)).withColumn(name, clean).drop(done)
+
+
+def _held_texts(found: DataFrame) -> DataFrame:
+    """`text_key, held, base, words` for every different text with entities.
+
+    `words` are the different ones, lower-cased, that no span touches.
+    """
+    holes = F.array_sort(
+        F.transform(
             "base",
-            "entity",
-            F.lower(F.get("words", F.col("i"))).alias("term"),
-            F.expr(
-                """offset + aggregate(slice(gaps, 1, i + 1), 0, (a, g) -> a + length(g))
-                          + aggregate(slice(words, 1, i), 0, (a, w) -> a + length(w))"""
-            ).alias("start"),
-            F.length(F.get("words", F.col("i"))).alias("length"),
+            lambda s: F.struct(
+                s["start"].alias("start"), s["stop"].alias("stop"), F.lit(_HOLE).alias("mark")
+            ),
         )
-        .withColumn("stop", F.col("start") + F.col("length"))
-    )
-    outside = F.forall("base", lambda s: (s["start"] >= F.col("stop")) | (s["stop"] <= F.col("start")))
-    return placed.where((F.col("length") >= TERM_LETTERS) & outside).select(
-        "doc_id", "text_key", "entity", "term", "start", "stop"
     )
+    texts = found.where("held is not null").select("text_key", "held", "base").dropDuplicates(["text_key"])
+    texts = _replaced(texts.withColumn("holes", holes), "held", "holes", "cut")
+    words = F.regexp_extract_all(F.lower("cut"), F.lit(rf"[\p{{L}}\p{{N}}{_HOLE}]+"), F.lit(0))
+    words = F.filter(F.array_distinct(words), lambda w: ~w.contains(_HOLE))
+    return texts.select("text_key", "held", "base", words.alias("words"))
 
 
 def _marked(slot: Column, rows: DataFrame) -> bytes:
@@ -213,57 +173,67 @@ def _marked(slot: Column, rows: DataFrame) -> bytes:
     return bytes(marks)
 
 
-def disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame | None:
+def _on_map(rows: DataFrame, marks: bytes) -> DataFrame:
+    """The rows whose `term` shares a bit with one that the map was made of."""
+    byte = F.substring(F.lit(marks), F.expr("cast(slot div 8 as int) + 1"), F.lit(1))
+    hit = F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), F.expr("slot % 8").cast("int")) == 1
+    return rows.withColumn("slot", _slot()).where(hit).drop("slot")
+
+
+def _slot() -> Column:
+    return F.pmod(F.xxhash64("term"), F.lit(MAP_BITS))
+
+
+def _shared_entities(found: DataFrame, n: float) -> DataFrame:
+    """`text_key, entity, copies, n_entity` for entities that are in several different texts.
+
+    `copies` are the rows with that text. An entity of all documents says nothing.
+    """
+    names = F.transform("base", lambda s: F.concat_ws(":", s["kind"], s["value"]))
+    held = (
+        found.where(F.size("base") > 0)
+        .select("text_key", F.explode(F.array_distinct(names)).alias("entity"))
+        .groupBy("text_key", "entity")
+        .agg(F.count(F.lit(1)).alias("copies"))
+    )
+    named = held.groupBy("entity").agg(
+        F.sum("copies").alias("n_entity"), F.count(F.lit(1)).alias("texts")
+    )
+    named = named.where((F.col("texts") >= SUPPORT) & (F.col("n_entity") < n))
+    return materialise(held.join(named.drop("texts"), "entity"))
+
+
+def disclosing_terms(docs: DataFrame, words: DataFrame, shared: DataFrame, n: float) -> DataFrame | None:
     """`entity, term, action`: what discloses an entity, and whether it is generalised or removed.
 
-    Shares are over all documents. None if no term has support.
+    Shares are over all `n` documents. `words` has `text_key, copies, entities, term`
+    for the texts with shared entities. None if no term has support.
     """
-    document = ["doc_id", "text_key"]
-    near = neighbours(found).select(*document, "entity", "term").distinct()
     together = (
-        near.groupBy("entity", "term")
-        .agg(F.count(F.lit(1)).alias("n_both"), F.count_distinct("text_key").alias("texts"))
+        words.select(F.explode("entities").alias("entity"), "term", "copies")
+        .groupBy("entity", "term")
+        .agg(F.sum("copies").alias("n_both"), F.count(F.lit(1)).alias("texts"))
         .where(F.col("texts") >= SUPPORT)
     )
-    beside = near.select(*document, "term").distinct().groupBy("term").agg(
-        F.count(F.lit(1)).alias("n_beside")
-    )
-    entity = F.concat_ws(":", "s.kind", "s.value").alias("entity")
-    named = (
-        found.select(*document, F.explode("base").alias("s"))
-        .select(*document, entity)
-        .distinct()
-        .groupBy("entity")
-        .agg(F.count(F.lit(1)).alias("n_entity"))
-    )
-    n = float(found.count())
+    seen = words.groupBy("term").agg(F.sum("copies").alias("n_seen"))
+    named = shared.select("entity", "n_entity").distinct()
     known = F.log(F.lit(n) / F.col("n_entity"))
-    # A term stands in as many documents as it stands beside entities in, at least;
+    # A term is in as many documents as it is in with shared entities, at least;
     # pairs that cannot reach the threshold with that many are left out here.
     most = F.col("n_both") * F.exp(known * (1 - GENERALISE))
     candidates = materialise(
-        together.join(beside, "term")
-        .join(named, "entity")
-        .where((known > 0) & (F.col("n_beside") <= most))
+        together.join(seen, "term").join(named, "entity").where(F.col("n_seen") <= most)
     )
     if candidates.isEmpty():
         return None
-    slot = F.pmod(F.xxhash64("term"), F.lit(MAP_BITS))
-    marks = F.lit(_marked(slot, candidates))
-    byte = F.substring(marks, F.expr("cast(slot div 8 as int) + 1"), F.lit(1))
-    hit = F.expr("slot % 8").cast("int")
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0)))
     # Words that no candidate shares a bit with are not counted.
-    alone = (
-        docs.select(whole_text().alias("text"))
-        .select(F.explode(words).alias("term"))
-        .withColumn("slot", slot)
-        .where(F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), hit) == 1)
-        .groupBy("term")
-        .agg(F.count(F.lit(1)).alias("n_term"))
+    different = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0)))
+    alone = docs.select(whole_text().alias("text")).select(F.explode(different).alias("term"))
+    alone = _on_map(alone, _marked(_slot(), candidates)).groupBy("term").agg(
+        F.count(F.lit(1)).alias("n_term")
     )
     gained = F.log(F.col("n_both") * F.lit(n) / (F.col("n_term") * F.col("n_entity")))
-    return (
+    return materialise(
         candidates.join(alone, "term")
         .withColumn("disclosed", gained / known)
         .where(F.col("disclosed") >= GENERALISE)
@@ -276,30 +246,55 @@ def disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame | None:
 
 
 def with_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """`key_id, key_text, terms` for the documents that have disclosing terms.
+    """`key_text, terms` for the different texts that have disclosing terms.
 
-    `terms` are spans (kind 'term', start, stop, action), by start.
+    `terms` are spans (kind 'term', start, stop, action), by start: every place
+    of a term that discloses an entity of the text.
     """
-    disclosing = disclosing_terms(docs, found)
+    n = float(found.count())
+    shared = _shared_entities(found, n)
+    lists = shared.groupBy("text_key").agg(
+        F.collect_list("entity").alias("entities"), F.first("copies").alias("copies")
+    )
+    texts = materialise(_held_texts(found).join(lists, "text_key"))
+    words = texts.select("text_key", "copies", "entities", F.explode("words").alias("term"))
+    disclosing = disclosing_terms(docs, words, shared, n)
     if disclosing is None:
-        disclosing = found.sparkSession.createDataFrame(
-            [], "entity string, term string, action string"
+        return found.sparkSession.createDataFrame(
+            [], "key_text bigint, terms array<struct<kind:string,start:bigint,stop:bigint,action:string>>"
         )
-    # A word beside two entities counts once, by the stronger action.
+    # A word that discloses two entities counts once, by the stronger action.
     hits = (
-        neighbours(found)
+        _on_map(words, _marked(_slot(), disclosing))
+        .select("text_key", "term", F.explode("entities").alias("entity"))
         .join(disclosing, ["entity", "term"])
-        .groupBy("doc_id", "text_key", "start", "stop")
+        .groupBy("text_key", "term")
         .agg(F.max("action").alias("action"))
+        .groupBy("text_key")
+        .agg(F.map_from_entries(F.collect_list(F.struct("term", "action"))).alias("actions"))
+    )
+    place = Kind(
+        TERM, _WORD, lambda t: F.lit(True), lambda m: F.map_contains_key("actions", F.lower(m))
     )
-    span = F.struct(F.lit(TERM).alias("kind"), "start", "stop", "action")
-    return hits.groupBy(F.col("doc_id").alias("key_id"), F.col("text_key").alias("key_text")).agg(
-        F.sort_array(F.collect_list(span)).alias("terms")
+    placed = with_matches(texts.join(hits, "text_key"), "held", place, "places")
+    outside = F.filter(
+        "places",
+        lambda w: F.forall("base", lambda s: (s["start"] >= w["stop"]) | (s["stop"] <= w["start"])),
+    )
+    spans = F.transform(
+        outside,
+        lambda w: F.struct(
+            w["kind"].alias("kind"),
+            w["start"].alias("start"),
+            w["stop"].alias("stop"),
+            F.element_at("actions", F.lower(w["value"])).alias("action"),
+        ),
     )
+    return placed.select(F.col("text_key").alias("key_text"), spans.alias("terms"))
 
 
 def _same(left: DataFrame, right: DataFrame) -> Column:
-    return left["doc_id"].eqNullSafe(right["key_id"]) & (left["text_key"] == right["key_text"])
+    return left["text_key"] == right["key_text"]
 
 
 def find_private(docs: DataFrame) -> DataFrame:
@@ -357,24 +352,8 @@ def redact(docs: DataFrame) -> DataFrame:
             ),
         )
     )
-    pieces = """concat(
-        array_join(transform(spans, (s, i) ->
-            case when s.start >= done[i]
-                 then concat(substring(text, cast(done[i] as int) + 1, cast(s.start - done[i] as int)), s.mark)
-                 else '' end), ''),
-        substring(text, cast(done[size(spans)] as int) + 1))"""
-    clean = (
-        wide.join(terms, _same(wide, terms), "left")
-        .withColumn("spans", spans)
-        .withColumn(
-            "done",
-            F.expr(
-                """transform(sequence(0, size(spans)), i ->
-                    aggregate(slice(spans, 1, i), 0L, (a, s) -> greatest(a, s.stop)))"""
-            ),
-        )
-        .withColumn("clean", F.when(F.size("spans") > 0, F.expr(pieces)).otherwise(F.col("text")))
-    )
+    clean = wide.join(terms, _same(wide, terms), "left").withColumn("spans", spans)
+    clean = _replaced(clean, "text", "spans", "clean")
     text = F.when(F.col("row.text").isNotNull(), F.col("clean"))
     new = {"text": text, "n_chars": F.coalesce(F.length(text).cast("long"), F.col("row.n_chars")) if "n_chars" in own else None}
     return clean.select(*[(new[c] if c in new else F.col(f"row.`{c}`")).alias(c) for c in own])

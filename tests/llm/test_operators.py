@@ -436,6 +436,23 @@ def test_terms_that_always_come_with_an_entity(spark):
     assert clean[5] == rows[5][1]
 
 
+def test_terms_are_found_and_marked_anywhere(spark):
+    """Terms far from the entity count, and go at every place, short ones too; elsewhere they stay."""
+    rows = [(i, f"ordinary words about nothing number{i} from somewhere") for i in range(60)]
+    far = "Zebulon Smith, Senior Director of Sales, has an address: mail zeb@mail.example.com now."
+    rows += [(100 + i, f"note{i} {far} We thank him. Yours, ZEBULON or Qi") for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in privacy.find_private(docs).collect()}
+    clean = {r["doc_id"]: r["text"] for r in privacy.redact(docs).collect()}
+    for i, text in rows[60:]:
+        terms = [s.split(":") for s in got[i].split(",") if s.startswith("term")]
+        marked = [text[int(a) : int(b)] for _, a, b in terms]
+        assert {"Zebulon", "ZEBULON", "Qi", "Smith"} <= set(marked) and text.split()[0] not in marked
+        assert not {"mail", "zeb"} & set(clean[i].split()) and "zebulon" not in clean[i].lower()
+        assert "[EMAIL]" in clean[i] and "note" in clean[i]
+    assert all(got[i] == "" and clean[i] == rows[i][1] for i in range(60))
+
+
 # --- archives ----------------------------------------------------------------
 
 
