@@ -6,7 +6,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from eventloom.llm import mixing, neighbours, pieces, privacy, quality, queries_sql, repeats, secrets, simhash, spots, warc
+from eventloom.llm import (
+    mixing,
+    neighbours,
+    pieces,
+    privacy,
+    quality,
+    queries_sql,
+    repeats,
+    secrets,
+    simhash,
+    spots,
+    tokencounts,
+    warc,
+)
 from eventloom.llm.common import prepare, table
 
 
@@ -74,6 +87,14 @@ def op10_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.nearest(table(spark, folder, "embeddings"))
 
 
+def op11_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes and tokens of every document."""
+    prepare(spark)
+    return tokencounts.count_tokens(
+        table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json")
+    )
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of the documents that come through all stages."""
     return corpus_pipeline.run(spark, folder)
@@ -90,6 +111,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_spots": op9_spots,
     "op10_neighbours": op10_neighbours,
+    "op11_tokens": op11_tokens,
     "pipeline": pipeline,
 }
 
