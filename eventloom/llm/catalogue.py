@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from eventloom.llm import (
+    conversations,
     mixing,
     neighbours,
     pieces,
@@ -18,6 +19,7 @@ from eventloom.llm import (
     simhash,
     spots,
     tokencounts,
+    variants,
     warc,
 )
 from eventloom.llm.common import prepare, table
@@ -95,6 +97,18 @@ def op11_tokens(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op12_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    """Faults of every damaged conversation, and its cheapest repair."""
+    prepare(spark)
+    return conversations.repair_conversations(table(spark, folder, "conversations"))
+
+
+def op13_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """Every word of the documents with the commoner word that it is a variant of."""
+    prepare(spark)
+    return variants.spelling_variants(table(spark, folder, "documents"))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of the documents that come through all stages."""
     return corpus_pipeline.run(spark, folder)
@@ -112,6 +126,8 @@ QUERIES = {
     "op9_spots": op9_spots,
     "op10_neighbours": op10_neighbours,
     "op11_tokens": op11_tokens,
+    "op12_conversations": op12_conversations,
+    "op13_variants": op13_variants,
     "pipeline": pipeline,
 }
 

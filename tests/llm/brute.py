@@ -149,3 +149,95 @@ def spots(text: str, common: list[str]) -> set[int]:
 
 def jaccard(a: set, b: set) -> float:
     return len(a & b) / len(a | b) if a or b else 1.0
+
+
+def damage(rows: list[tuple]) -> list[tuple]:
+    """Damaged `(conv_id, turn, role, text)` rows."""
+    found = []
+    for conv_id, turn, role, text in rows:
+        role, text = (" " if v is None else v for v in (role, text))
+        key = ":".join(" " if v is None else str(v) for v in (conv_id, turn))
+        kind = zlib.crc32(key.encode()) % 20
+        if kind == 0:
+            continue
+        text = "" if kind == 1 else re.sub("[.!?]", "", text) if kind == 2 else text
+        row = (conv_id, turn, "user" if kind == 4 else role, text)
+        found += [row] * (2 if kind == 3 else 1)
+    return found
+
+
+def repair(rows: list[tuple]) -> tuple:
+    """Counts, cost, audit and repaired lines of one conversation's damaged rows, in order."""
+    turns = {t for _, t, _, _ in rows if t is not None}
+    gaps = max(turns) - min(turns) + 1 - len(turns) if turns else 0
+    seen, faults = set(), []
+    for _, _, role, text in rows:
+        said = [c for c in text if c not in " \t\n\v\f\r"]
+        fault = "blank" if not said else "duplicate" if (role, text) in seen else None
+        faults.append(fault or ("truncated" if said[-1] not in ".!?" else None))
+        seen.add((role, text))
+    initials = [role[:1] for _, _, role, _ in rows]
+    illegal = sum(a + b not in ("su", "ua", "au") for a, b in zip(initials, initials[1:], strict=False))
+    # Every way that is not already dearer, by cost and audit: (lines) per prefix of rows.
+    allowed = re.compile("s?(ua)*u?")
+    ways = {"": (0, "", ())}
+
+    def better(into, key, way):
+        if allowed.fullmatch(key) and (key not in into or way < into[key]):
+            into[key] = way
+
+    def inserted(ways):
+        for _ in range(2):
+            for key, (cost, audit, lines) in list(ways.items()):
+                for role in ("user", "assistant"):
+                    better(ways, key + role[0], (cost + 5, audit + "I", (*lines, f"{role}:")))
+        return ways
+
+    for (_, _, role, text), fault in zip(rows, faults, strict=True):
+        after = {}
+        for key, (cost, audit, lines) in inserted(ways).items():
+            better(after, key, (cost + 2, audit + "D", lines))
+            if fault in ("blank", "duplicate"):
+                continue
+            more = cost + 5 * (fault == "truncated")
+            if role:
+                better(after, key + role[0], (more, audit + "K", (*lines, f"{role}:{text}")))
+            for new in ("user", "assistant"):
+                better(after, key + new[0], (more + 1, audit + "R", (*lines, f"{new}:{text}")))
+        ways = after
+    whole = [w for key, w in inserted(ways).items() if re.fullmatch("(s?(ua)+)?", key)]
+    cost, audit, lines = min(whole)
+    return (gaps, *(faults.count(f) for f in ("blank", "duplicate", "truncated")), illegal, cost, audit, digest("\n".join(lines)))
+
+
+def variants(docs: list[tuple]) -> list[tuple]:
+    """Word, form, root, n, n_near, form_n from `(doc_id, text)` rows, comparing all words."""
+    count = Counter()
+    upper = {i: i + 32 for i in range(65, 91)}
+    for doc_id, text in docs:
+        for run in re.findall("[A-Za-z\u00c0-\u00ff]+", text or ""):
+            run = run.translate(upper)
+            h = zlib.crc32(f"{'' if doc_id is None else doc_id}:{run}".encode())
+            at = h % len(run)
+            count[run if h % 31 else run[:at] + run[at + 1 :]] += 1
+    words = {w: n for w, n in count.items() if len(w) >= 7 and n >= 2}
+
+    def near(a, b):
+        if a == b or abs(len(a) - len(b)) > 1:
+            return False
+        i = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+        return a[i + (len(a) >= len(b)) :] == b[i + (len(b) >= len(a)) :]
+
+    partners = {w: [v for v in words if near(w, v)] for w in words}
+    forms = {}
+    for w, others in partners.items():
+        best = min(others, key=lambda v: (-words[v], v), default=None)
+        if best is not None and words[best] >= 10 * words[w]:
+            forms[w] = best
+    found = []
+    for w, n in words.items():
+        root = w
+        while root in forms:
+            root = forms[root]
+        found.append((w, forms.get(w), root, n, len(partners[w]), words.get(forms.get(w))))
+    return found

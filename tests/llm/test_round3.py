@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import random
+from collections import defaultdict
 
 import public_tokenizers
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from eventloom.llm import catalogue, tokencounts
+from eventloom.llm import catalogue, conversations, tokencounts, variants
+from tests.llm import brute
 
 SMALL = "/root/testdata/sf0.01"
 
@@ -73,3 +75,132 @@ def test_token_query_agrees_with_the_library(spark):
     for r, n in zip(docs, lengths(FILES[0], [r["text"] or "" for r in docs]), strict=True):
         row = got[r["doc_id"]]
         assert (row["n_bytes"], row["n_tokens"]) == (len((r["text"] or "").encode()), n)
+
+
+# --- conversations -----------------------------------------------------------
+
+COLUMNS = ["conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"]
+
+
+def repaired(rows):
+    """What the contract says of a table, sorted as text."""
+    groups = defaultdict(list)
+    for row in brute.damage(rows):
+        groups[row[0]].append(row)
+    found = []
+    for conv_id in {r[0] for r in rows}:
+        lines = sorted(groups[conv_id], key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
+        found.append((conv_id, *brute.repair(lines)) if lines else (conv_id, 0, 0, 0, 0, 0, 0, "", brute.digest("")))
+    return sorted(map(repr, found))
+
+
+def conversation_table(spark, rows):
+    schema = "conv_id long, turn long, role string, text string, cost string, audit int, content int"
+    return spark.createDataFrame([(*r, "x", 1, 2) for r in rows], schema)
+
+
+def test_repairs_agree_with_all_ways(spark):
+    """Short conversations of all kinds of rows; turns with gaps, missing and equal ones."""
+    rng = random.Random(5)
+    roles = ["user", "assistant", "system", "user", "assistant", "tool", "", None]
+    texts = ["One.", "Two!", "Three? ", "cut", " ", "", None, "a.b ", "\t\n", "ends.\x0b"]
+    rows = []
+    for conv_id in [None, *range(400)]:
+        turn = rng.choice([-3, 0, 5])
+        for _ in range(rng.randint(1, 9)):
+            rows.append((conv_id, turn, rng.choice(roles), rng.choice(texts)))
+            turn += rng.choice([1, 1, 1, 2, 4])
+    rows += [(1000, None, "user", "Hm."), (1001, None, "user", "Hm."), (1001, 0, "assistant", "Hm."), (1002, None, None, None)]
+    rows += [(1003, 7, "user", "Same."), (1003, 7, "user", "Same."), (1003, 8, "assistant", "Yes.")]
+    rows += [(1004 + i, 0, "user", "Only one.") for i in range(60)]
+    table = conversation_table(spark, rows)
+    got = conversations.repair_conversations(table)
+    assert got.columns == COLUMNS
+    assert sorted(map(repr, map(tuple, got.collect()))) == repaired(rows)
+    assert conversations.repair_conversations(table.where("false")).count() == 0
+
+
+def test_conversation_query_agrees_with_all_ways(spark):
+    rows = [tuple(r) for r in spark.read.parquet(f"{SMALL}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    got = catalogue.op12_conversations(spark, SMALL)
+    assert sorted(map(repr, map(tuple, got.collect()))) == repaired(rows)
+
+
+def test_automaton_on_every_short_signature():
+    """Signatures in any order share their ends only, and every sign may follow every other."""
+    import itertools
+
+    kinds = {"d": ("user", ""), "s": ("system", "."), "u": ("user", "."), "a": ("assistant", "."), "x": ("tool", ".")}
+    kinds |= {k.upper(): (role, "-") for k, (role, text) in kinds.items() if k != "d"}
+    known = conversations.Repairs()
+    for n in range(5):
+        for signature in map("".join, itertools.product(kinds, repeat=n)):
+            rows = [(1, i, kinds[c][0], f"{i}{kinds[c][1]}" if c != "d" else "") for i, c in enumerate(signature)]
+            want = brute.repair(rows) if rows else (0,) * 5 + (0, "")
+            assert known.of(signature) == (want[5], want[6]), signature
+
+
+def test_one_long_conversation(spark):
+    """A path of many nodes, and others that share its end."""
+    rng = random.Random(6)
+    signs = [rng.choice(["user", "assistant"]) for _ in range(30_000)]
+    rows = [(1, i, role, f"{i}.") for i, role in enumerate(signs)]
+    rows += [(2, i, role, f"{i}.") for i, role in enumerate(signs[-500:])]
+    got = conversations.repair_conversations(conversation_table(spark, rows)).collect()
+    assert sorted(len(r["audit"].replace("I", "")) for r in got) == sorted(
+        len([1 for r in brute.damage(rows) if r[0] == c]) for c in (1, 2)
+    )
+
+
+# --- spelling variants -------------------------------------------------------
+
+
+def found_variants(frame):
+    return sorted(map(repr, map(tuple, frame.collect())))
+
+
+def test_variants_agree_with_all_pairs(spark):
+    """Few letters, so that bigrams tie and repeat; words of every kind of difference."""
+    rng = random.Random(7)
+    letters = "aabcé"
+    base = ["".join(rng.choices(letters, k=rng.randint(6, 11))) for _ in range(150)] + ["a" * n for n in range(6, 14)]
+    words = list(base)
+    for word in base:
+        for _ in range(3):
+            i = rng.randrange(len(word))
+            words.append(rng.choice([word[:i] + word[i + 1 :], word[:i] + rng.choice(letters) + word[i:], word[:i] + "x" + word[i + 1 :]]))
+    docs = []
+    for doc_id in range(40):
+        text = "".join(rng.choice(words).title() + rng.choice([" ", ", ", "1", "\u0100", "中", "_"]) for _ in range(300))
+        docs.append((doc_id, text + " " + " ".join(base[:3] * 60 + [base[0][:-1] + "y"] * 9)))
+    docs += [(None, "Nobody's Wordless wordless"), (50, None), (51, ""), (52, "×÷ÀÿÀÿÀÿ ×÷ÀÿÀÿÀÿ ÀÀÀÀÀÀÀ"), (53, "short"), (53, "short"), docs[0], docs[0]]
+    frame = spark.createDataFrame([(i, t, "x", 1) for i, t in docs], "doc_id long, text string, word string, n int")
+    want = sorted(map(repr, brute.variants(docs)))
+    assert found_variants(variants.spelling_variants(frame)) == want
+    assert sum(r[1] is not None for r in brute.variants(docs)) > 20
+    assert variants.spelling_variants(frame.where("false")).count() == 0
+
+
+def test_chains_of_forms_lead_to_the_last(spark):
+    """abcdefg (2000) <- abcdefgh (150) <- abcdefghi (12): damage takes some occurrences."""
+    rows = [(i, " ".join(["abcdefg"] * 20 + ["abcdefgh"] * (i % 2 + 1) + ["abcdefghi"] * (i % 10 == 0))) for i in range(100)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = variants.spelling_variants(frame)
+    assert found_variants(got) == sorted(map(repr, brute.variants(rows)))
+    roots = {r["word"]: (r["form"], r["root"]) for r in got.collect()}
+    assert roots["abcdefghi"] == ("abcdefgh", "abcdefg")
+
+
+def test_very_long_words(spark):
+    """A text is cut between words; equal bigrams all over a long word stay linear."""
+    long = "ab" * 40_000
+    rows = [(i, f"{long} {long}c {'a' * 40_000} {'a' * 40_001} " + "wordnumber " * 1000) for i in range(3)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["word"]: r["n_near"] for r in variants.spelling_variants(frame).collect()}
+    assert got[long] == got[long + "c"] and got["a" * 40_000] >= 1
+
+
+def test_variant_query_agrees_with_all_pairs(spark, tmp_path):
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    got = found_variants(catalogue.op13_variants(spark, "/root/testdata/sf0.001"))
+    assert got == sorted(map(repr, brute.variants([tuple(r) for r in rows.collect()])))
