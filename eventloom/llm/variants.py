@@ -33,6 +33,8 @@ LEAST_LENGTH, LEAST_COUNT, COMMONER = 7, 2, 10
 DAMAGE = 31
 #: Bigrams that one difference may touch, and one more.
 PREFIX = 3
+#: Longest word that is carried along with its entries.
+CARRIED = 64
 #: Bytes of a text that are cut into words at once, and words counted before they are handed on.
 PART_BYTES, COUNTED_WORDS = 1 << 20, 200_000
 
@@ -141,9 +143,9 @@ def keys_of(word: str, places: list[int]) -> list[tuple[int, int]]:
 
 
 def index_words(words: DataFrame, count: dict[str, int]) -> DataFrame:
-    """`role, key, id, length, letters, last`: two entries per pivot (role 0) and prefix bigram (1).
+    """`role, key, word, n, id, length, letters, last`: two entries per pivot (role 0) and prefix bigram (1).
 
-    `id` is a hash of the word, `letters` has a bit for each letter that is there an
+    `word` is missing if it is longer than `CARRIED`, `id` is a hash of it, `letters` has a bit for each letter that is there an
     odd number of times, `last` is the place of the prefix's last bigram in their order.
     """
     ship_package(words.sparkSession)
@@ -152,12 +154,12 @@ def index_words(words: DataFrame, count: dict[str, int]) -> DataFrame:
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: list[tuple] = []
-            for word, name in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for word, n, name in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 places, pivots, last = prefix_and_pivots(word, count)
                 letters = 0
                 for c in word:
                     letters ^= 1 << ord(c) % 63
-                rest = (name, len(word), letters, order[last[1]])
+                rest = (word if len(word) <= CARRIED else None, n, name, len(word), letters, order[last[1]])
                 for i, sides in zip(places, keys_of(word, places), strict=True):
                     found += [(1, key, *rest) for key in sides]
                     if i in pivots:
@@ -167,47 +169,61 @@ def index_words(words: DataFrame, count: dict[str, int]) -> DataFrame:
                     found = []
             yield _entries(found)
 
-    return words.select("word", F.xxhash64("word")).mapInArrow(
-        entries, "role tinyint, key bigint, id bigint, length int, letters bigint, last int"
+    return words.select("word", "n", F.xxhash64("word")).mapInArrow(
+        entries, "role tinyint, key bigint, word string, n bigint, id bigint, length int, letters bigint, last int"
     )
 
 
 def _entries(found: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*found, strict=True)) or [()] * 6
+    columns = list(zip(*found, strict=True)) or [()] * 8
     keys = pa.array(columns[1], pa.uint64()).view(pa.int64())
-    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32())
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32())
     others = [pa.array(c, kind) for c, kind in zip(columns[2:], kinds, strict=True)]
     return pa.RecordBatch.from_arrays(
-        [pa.array(columns[0], pa.int8()), keys, *others], ["role", "key", "id", "length", "letters", "last"]
+        [pa.array(columns[0], pa.int8()), keys, *others],
+        ["role", "key", "word", "n", "id", "length", "letters", "last"],
     )
 
 
 def near_words(words: DataFrame) -> DataFrame:
     """`a, a_n, b, b_n`: each pair of words that differ in one code point, once."""
     index = materialise(index_words(words, gram_ranks(words)))
+    # Words of usual length come with their entries, so that a pair is verified where it meets.
+    near = F.levenshtein("p", "q", 1) == 1
+    short = _meetings(index.where(F.col("length") <= CARRIED), "word", "n").where(near)
+    first = F.col("p") < F.col("q")
+    ends = {"a": ("p", "q"), "a_n": ("p_n", "q_n"), "b": ("q", "p"), "b_n": ("q_n", "p_n")}
+    either = [F.when(first, F.col(x)).otherwise(F.col(y)).alias(name) for name, (x, y) in ends.items()]
+    # Longer ones meet by a hash; words that share it all come back, and are told apart here.
+    ids = _meetings(index.where(F.col("length") >= CARRIED), "id", "length")
+    ids = ids.where(F.greatest("p_length", "q_length") > CARRIED).select(
+        F.least("p", "q").alias("a_id"), F.greatest("p", "q").alias("b_id")
+    )
+    of = lambda p: words.where(F.length("word") >= CARRIED).select(
+        F.xxhash64("word").alias(f"{p}_id"), F.col("word").alias(p), F.col("n").alias(f"{p}_n")
+    )
+    long = ids.distinct().join(of("a"), "a_id").join(of("b"), "b_id").where(F.levenshtein("a", "b", 1) == 1)
+    return short.select(*either).distinct().unionByName(long.select(*ends))
+
+
+def _meetings(index: DataFrame, name: str, more: str) -> DataFrame:
+    """`p, q`, the words (by a column of the index) of each pivot and each prefix that it meets.
+
+    `p_{more}` and `q_{more}` come with them.
+    """
     side = lambda role, p: index.where(F.col("role") == role).select(
-        "key", *[F.col(c).alias(p + c) for c in ("id", "length", "letters", "last")]
+        "key",
+        F.col(name).alias(p),
+        *[F.col(c).alias(f"{p}_{c}") for c in dict.fromkeys((more, "length", "letters", "last"))],
     )
     # One code point more, less or other changes one or two letters' bits.
     likely = (
         (F.col("p_last") <= F.col("q_last"))
-        & (F.col("p_id") != F.col("q_id"))
+        & (F.col("p") != F.col("q"))
         & (F.abs(F.col("p_length") - F.col("q_length")) <= 1)
         & (F.bit_count(F.col("p_letters").bitwiseXOR(F.col("q_letters"))) <= 2)
     )
-    ids = (
-        side(0, "p_")
-        .join(side(1, "q_"), "key")
-        .where(likely)
-        .select(F.least("p_id", "q_id").alias("a_id"), F.greatest("p_id", "q_id").alias("b_id"))
-        .distinct()
-    )
-    # Words that share a hash all come back, and are told apart here.
-    of = lambda p: words.select(
-        F.xxhash64("word").alias(f"{p}_id"), F.col("word").alias(p), F.col("n").alias(f"{p}_n")
-    )
-    near = F.levenshtein("a", "b", 1) == 1
-    return ids.join(of("a"), "a_id").join(of("b"), "b_id").where(near).drop("a_id", "b_id")
+    return side(0, "p").join(side(1, "q"), "key").where(likely)
 
 
 def follow(links: DataFrame) -> DataFrame:
