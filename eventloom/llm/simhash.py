@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.llm.common import whole_text
@@ -32,9 +32,11 @@ HALF_RADIUS = RADIUS // 2
 SHARD_ROWS = 4096
 SAMPLE_ROWS = 65_536
 LEAF_ROWS = 256
+#: Least similarity of near texts in the pipeline: shared shingles of all their shingles.
+LEAST_LIKE = 0.8
 #: Independent fingerprints where recall matters more than one exact distance, and the
-#: bits of all of them that texts with 0.8 of their shingles in common differ in: 155 on
-#: average with a deviation of 11.5, so that 99 % of such pairs lie inside.
+#: bits of all of them that candidates differ in at most. Texts with 0.8 of their shingles
+#: in common differ in 155 on average with a deviation of 11.5: 99 % of such pairs lie inside.
 PRINTS, NEAR_BITS = 16, 184
 #: Ways to put the bytes of all fingerprints together to 32-bit bands. Two bands of
 #: different ways share one byte at most. Shards of bands are larger, as there are many.
@@ -42,6 +44,8 @@ BAND_WAYS, BAND_SHARD_ROWS = 4, 65_536
 #: Members of one group of halves that are compared in one task, and those of small
 #: groups that share a task.
 BLOCK_ROWS, TASK_ROWS = 8192, 32_768
+#: Shingles of one block of a family, and those of small families that share a task.
+BLOCK_SHINGLES, TASK_SHINGLES = 2_000_000, 4_000_000
 #: Groups up to this size are compared whole, many of them at once.
 TINY_ROWS = 8
 #: Shingles whose bits are counted at once.
@@ -54,13 +58,22 @@ def fingerprints_of(text: str, shingle: int = SHINGLE, prints: int = 1) -> list[
     Lower-cases A-Z; words end at ASCII white space, as in `bytes.split`. The
     first hash is XXH64, the others are mixed from it.
     """
+    return _signs(shingle_hashes(text, shingle), prints)
+
+
+def shingle_hashes(text: str, shingle: int) -> np.ndarray:
+    """XXH64 of every shingle, repeats included."""
     words = text.encode().lower().split()
     if len(words) < shingle:
         parts = [b" ".join(words)] if words else []
     else:
         parts = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(p, SEED) for p in parts), dtype="<u8")
+    return np.fromiter((digest(p, SEED) for p in parts), dtype="<u8")
+
+
+def _signs(hashes: np.ndarray, prints: int) -> list[int]:
+    """Fingerprints of hashes: bits that more than half of them have."""
     found = []
     for number in range(prints):
         counts = np.zeros(64, dtype=np.int64)
@@ -380,59 +393,6 @@ def block_links(
     return names[rows[moved]], names[roots[moved]]
 
 
-def _links_inside(members: DataFrame, nodes: DataFrame, reach: int, most: int) -> DataFrame:
-    """Edges `a, b` between the groups of nodes that meet in a group of halves.
-
-    `members` has `value, half, node, group`: a node, the group it is known to be
-    in, and the group of halves (`value`) that its half is in. All pairs of a
-    value are compared, those of one group excepted. Values with many nodes are
-    dealt out as pairs of blocks.
-    """
-    open_ = members.groupBy("value").agg(
-        F.count(F.lit(1)).alias("n"), F.min("group").alias("least"), F.max("group").alias("most")
-    )
-    open_ = materialise(open_.where("least < most").select("value", "n"))
-    light = open_.agg(F.sum(F.when(F.col("n") <= BLOCK_ROWS, F.col("n")))).first()[0] or 0
-    tasks = -(-light // TASK_ROWS) or 1
-    other = F.explode(F.expr("sequence(0L, blocks - 1)"))
-    dealt = (
-        members.join(open_, "value")
-        .withColumn("blocks", F.expr(f"(n + {BLOCK_ROWS} - 1) div {BLOCK_ROWS}"))
-        .withColumn("own", F.expr("pmod(xxhash64(value, node), blocks)"))
-        .withColumn("other", other)
-        .select(
-            "node",
-            F.when(F.col("blocks") == 1, F.pmod("value", F.lit(tasks)))
-            .otherwise(F.xxhash64("value", F.least("own", "other"), F.greatest("own", "other")))
-            .alias("task"),
-            F.when(F.col("blocks") == 1, F.col("value"))
-            .otherwise(F.xxhash64("value", F.least("own", "other"), F.greatest("own", "other")))
-            .alias("run"),
-            (F.col("own") <= F.col("other")).alias("home"),
-            (F.col("own") >= F.col("other")).alias("guest"),
-            "half",
-            "group",
-        )
-        .join(nodes, "node")
-    )
-
-    def compared(rows: pa.Table) -> pa.Table:
-        lists = rows["fingerprints"].combine_chunks()
-        prints = lists.flatten().to_numpy().view(np.uint64).reshape(len(lists), -1)
-        numbers = {n: rows[n].to_numpy() for n in ("run", "home", "guest", "half", "group")}
-        half = numbers["half"].astype(np.uint32)
-        a, b = block_links(
-            numbers["run"], numbers["home"], numbers["guest"], half, numbers["group"], prints, reach, most
-        )
-        return pa.table({"a": a, "b": b})
-
-    return (
-        dealt.select("task", "run", "home", "guest", "half", "group", "fingerprints")
-        .groupBy("task")
-        .applyInArrow(compared, "a bigint, b bigint")
-    )
-
-
 def bands_of(prints: np.ndarray) -> np.ndarray:
     """32-bit bands of rows of 64-bit fingerprints: way by way, as many as there are halves.
 
@@ -446,86 +406,307 @@ def bands_of(prints: np.ndarray) -> np.ndarray:
     return whole.view(np.uint32).reshape(len(prints), -1)
 
 
-def bands(nodes: DataFrame) -> DataFrame:
-    """`node, number, fingerprint`: the bands of every node's fingerprints."""
+def shingle_sets(docs: DataFrame, shingle: int, prints: int) -> DataFrame:
+    """`doc_id, row, node, size, fingerprints, shingles` of every row of `docs`.
+
+    Here each different shingle counts once: `shingles` has 32 bits of each, `size` is
+    their number, `node` names the set, `row` the document with its text.
+    """
+    ship_package(docs.sparkSession)
+    names = ["doc_id", "row", "node", "size", "fingerprints", "shingles"]
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                nodes, signs, sets = [], [], []
+                for text in part.column(2):
+                    hashes = np.unique(shingle_hashes(text.as_py(), shingle))
+                    nodes.append(xxhash.xxh64_intdigest(hashes.tobytes(), SEED))
+                    signs.append(_signs(hashes, prints))
+                    sets.append(np.unique((hashes >> np.uint64(32)).astype(np.uint32)).view(np.int32))
+                sizes = np.array([len(s) for s in sets], dtype=np.int32)
+                starts = np.concatenate([[0], np.cumsum(sizes, dtype=np.int32)]).astype(np.int32)
+                flat = np.array(signs, dtype=np.uint64).ravel().view(np.int64)
+                ways = np.arange(0, len(flat) + 1, prints, dtype=np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column(0),
+                        part.column(1),
+                        pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)),
+                        pa.array(sizes),
+                        pa.ListArray.from_arrays(pa.array(ways), pa.array(flat)),
+                        pa.ListArray.from_arrays(pa.array(starts), pa.array(np.concatenate([*sets, []]).astype(np.int32))),
+                    ],
+                    names,
+                )
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", _row(), whole_text().alias("text")).mapInArrow(
+        hashed,
+        f"doc_id {kind}, row bigint, node bigint, size int, fingerprints array<bigint>, shingles array<int>",
+    )
+
+
+def _row():
+    return F.xxhash64("doc_id", whole_text()).alias("row")
+
+
+def bands(nodes: DataFrame, ways: tuple[int, int]) -> DataFrame:
+    """`node, group, number, half`: the bands of some ways of every node's fingerprints."""
     ship_package(nodes.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(1)
+            lists = batch.column(2)
             found = bands_of(lists.flatten().to_numpy().view(np.uint64).reshape(len(lists), -1))
-            node = np.repeat(batch.column(0).to_numpy(), found.shape[1])
-            number = np.tile(np.arange(found.shape[1], dtype=np.int32), len(lists))
+            each = found.shape[1] // BAND_WAYS
+            found = found[:, each * ways[0] : each * ways[1]]
+            number = np.tile(np.arange(found.shape[1], dtype=np.int32) + each * ways[0], len(lists))
+            names = [np.repeat(batch.column(i).to_numpy(), found.shape[1]) for i in range(2)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(node), pa.array(number), pa.array(found.ravel().astype(np.int64))],
-                ["node", "number", "fingerprint"],
+                [*map(pa.array, names), pa.array(number), pa.array(found.ravel().view(np.int32))],
+                ["node", "group", "number", "half"],
             )
 
-    return nodes.select("node", "fingerprints").where(F.size("fingerprints") > 0).mapInArrow(
-        cut, "node bigint, number int, fingerprint bigint"
+    return nodes.select("node", "group", "fingerprints").mapInArrow(
+        cut, "node bigint, group bigint, number int, half int"
     )
 
 
-def near_groups_by_several(
-    docs: DataFrame, shingle: int = 5, prints: int = PRINTS, near_bits: int = NEAR_BITS
-) -> DataFrame:
-    """`doc_id, component_id`: documents linked by the bits of several fingerprints.
-
-    Texts that share 0.8 of their shingles differ in ten bits of 64 on average:
-    too many for one fingerprint to find them by. With `prints` independent ones
-    a pair is a candidate when any 32-bit band differs in at most one bit, by
-    the same trees, and is linked when all bits together differ in at most
-    `near_bits` places. Bands are the halves, and bytes of several halves put
-    together. Every candidate pair counts. Those of a band's group with its
-    smallest node are checked first, which joins most copies; where the nodes
-    of a band's group are in several groups after that, all pairs of different
-    groups are checked, in tasks of bounded size.
+def meetings(distinct: DataFrame) -> DataFrame:
+    """`number, half, company, members`: halves that nodes of different groups meet at.
+
+    `distinct` has `number, half, n, group`: how many nodes have the half, and their group,
+    missing where there are several. Halves of one number that differ in at most one bit are
+    in a company together, found in the shards of a vantage-point tree; a half may be in
+    several, but each two that are so near are in one. Companies of one group are left out.
     """
-    marked = materialise(
-        fingerprints(docs, shingle, prints).withColumn("node", F.xxhash64("fingerprints"))
+    ship_package(distinct.sparkSession)
+    rows, numbers = distinct.agg(F.count(F.lit(1)), F.count_distinct("number")).first()
+    every = max(1, rows // SAMPLE_ROWS)
+    # The sample only places the shards; its size is bounded for any input.
+    some = distinct.where(F.pmod(F.xxhash64("number", "half"), F.lit(every)) == 0)
+    sample = some.select("half").limit(2 * SAMPLE_ROWS).toArrow()["half"].to_numpy().view(np.uint32)
+    sample = np.sort(sample)
+    np.random.default_rng(SEED).shuffle(sample)
+    leaves = min(-(-rows // max(1, numbers) // BAND_SHARD_ROWS), max(1, len(sample) // 8))
+    tree = VantageTree(sample, leaves)
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = batch.column("half").to_numpy().view(np.uint32)
+            for leaf, found, home in tree.place(values, HALF_RADIUS):
+                if len(found):
+                    part = batch.take(pa.array(found))
+                    yield part.append_column(
+                        "shard", pa.array(np.full(len(found), leaf, np.int32))
+                    ).append_column("home", pa.array(np.full(len(found), home)))
+
+    def met(shard: pa.Table) -> pa.Table:
+        shard = shard.sort_by([("home", "descending")])
+        home = shard["home"].to_numpy()
+        values = shard["half"].to_numpy().view(np.uint32)
+        companies = Groups(len(values))
+        _link(values, values, np.arange(home.sum()), np.arange(len(values)), companies, HALF_RADIUS, HALF_RADIUS)
+        roots, company = np.unique(companies.find(np.arange(len(values))), return_inverse=True)
+        mixed = shard["group"].is_null().to_numpy()
+        group = shard["group"].fill_null(0).to_numpy()
+        low, high = np.full(len(roots), 2**31 - 1), np.full(len(roots), -(2**31))
+        np.minimum.at(low, company[~mixed], group[~mixed])
+        np.maximum.at(high, company[~mixed], group[~mixed])
+        several = (low < high) | (np.bincount(company, mixed, len(roots)) > 0)
+        # A guest that meets nobody here meets its own nodes at home.
+        several &= np.bincount(company, home, len(roots)) > 0
+        members = np.bincount(company, shard["n"].to_numpy(), len(roots)).astype(np.int64)
+        kept = np.flatnonzero(several[company])
+        columns = shard.select(["number", "half", "shard"]).take(pa.array(kept))
+        return columns.append_column("root", pa.array(values[roots[company[kept]]].view(np.int32))).append_column(
+            "members", pa.array(members[company[kept]])
+        )
+
+    return (
+        distinct.select("number", "half", "n", "group")
+        .mapInArrow(placed, "number int, half int, n bigint, group int, shard int, home boolean")
+        .groupBy("shard", "number")
+        .applyInArrow(met, "number int, half int, shard int, root int, members bigint")
+        .select("number", "half", F.xxhash64("number", "shard", "root").alias("company"), "members")
     )
-    nodes = materialise(
-        marked.select("node", "fingerprints").distinct()
+
+
+def _blocks(df: DataFrame, of: str, task: Column) -> DataFrame:
+    """Rows dealt out as pairs of blocks; `of` has `blocks` of them.
+
+    Adds `run`, whose rows are to be compared, `home` with `guest`, and `task`: the
+    given one where there is one block only.
+    """
+    pair = F.xxhash64(of, F.least("own", "other"), F.greatest("own", "other"))
+    single = F.col("blocks") == 1
+    return (
+        df.withColumn("own", F.expr(f"pmod(xxhash64({of}, node), blocks)"))
+        .withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
+        .withColumns(
+            {
+                "run": F.when(single, F.col(of)).otherwise(pair),
+                "task": F.when(single, task).otherwise(pair),
+                "home": F.col("own") <= F.col("other"),
+                "guest": F.col("own") >= F.col("other"),
+            }
+        )
+        .drop("own", "other", "blocks")
     )
-    halves = bands(nodes)
-    name = lambda value: F.xxhash64("number", value)
+
+
+def _prints(rows: pa.Table) -> np.ndarray:
+    lists = rows["fingerprints"].combine_chunks()
+    return lists.flatten().to_numpy().view(np.uint64).reshape(len(lists), -1)
+
+
+def _wave(nodes: DataFrame, ways: tuple[int, int], near_bits: int) -> DataFrame:
+    """Nodes with `group` joined where candidates of some ways connect groups."""
+    halves = bands(nodes, ways)
+    tag = F.hash("group")
     distinct = materialise(
-        halves.groupBy("number", "fingerprint").agg(F.count(F.lit(1)).alias("n"))
+        halves.groupBy("number", "half")
+        .agg(F.count(F.lit(1)).alias("n"), F.min(tag).alias("low"), F.max(tag).alias("high"))
+        .select("number", "half", "n", F.when(F.col("low") == F.col("high"), F.col("low")).alias("group"))
     )
-    links = near_links(
-        distinct.select("number", "fingerprint"), (0,), HALF_RADIUS, HALF_RADIUS, BAND_SHARD_ROWS
+    open_ = meetings(distinct)
+    members = materialise(
+        halves.join(open_, ["number", "half"]).select("node", "group", "half", "company", "members")
     )
-    roots = components(links.select(name("a").alias("a"), name("b").alias("b")))
-    shared = distinct.where("n > 1").select(name("fingerprint").alias("value"))
-    company = (
-        roots.select(F.col("node").alias("value"), "root")
-        .unionByName(shared.withColumn("root", F.col("value")))
-        .groupBy("value")
-        .agg(F.min("root").alias("root"))
+    tasks = -(-members.count() // TASK_ROWS) or 1
+    dealt = _blocks(
+        members.withColumn("blocks", F.expr(f"(members + {BLOCK_ROWS} - 1) div {BLOCK_ROWS}")),
+        "company",
+        F.pmod("company", F.lit(tasks)),
     )
-    placed = materialise(
-        halves.select("node", F.col("fingerprint").alias("half"), name("fingerprint").alias("value"))
-        .join(company, "value")
-        .select("node", "half", F.col("root").alias("value"))
+    dealt = dealt.join(nodes.select("node", "fingerprints"), "node")
+
+    def compared(rows: pa.Table) -> pa.Table:
+        numbers = {n: rows[n].to_numpy() for n in ("run", "home", "guest", "half", "group")}
+        half = numbers["half"].view(np.uint32)
+        a, b = block_links(
+            numbers["run"], numbers["home"], numbers["guest"], half, numbers["group"], _prints(rows), HALF_RADIUS, near_bits
+        )
+        return pa.table({"a": a, "b": b})
+
+    links = (
+        dealt.select("task", "run", "home", "guest", "half", "group", "fingerprints")
+        .groupBy("task")
+        .applyInArrow(compared, "a bigint, b bigint")
     )
-    least = placed.groupBy("value").agg(F.min("node").alias("least"))
-    candidates = placed.join(least, "value").where("node <> least").select("node", "least").distinct()
-    bits = F.aggregate(
-        F.zip_with("fingerprints", "others", lambda x, y: F.bit_count(x.bitwiseXOR(y))),
-        F.lit(0),
-        lambda a, n: a + n,
+    joined = _with_root(nodes, "group", components(links), "joined")
+    return materialise(joined.drop("group").withColumnRenamed("joined", "group"))
+
+
+def like_links(
+    run: np.ndarray,
+    home: np.ndarray,
+    guest: np.ndarray,
+    node: np.ndarray,
+    prints: np.ndarray,
+    shingles: pa.ListArray,
+    most: int,
+    least: float,
+) -> tuple[np.ndarray, np.ndarray]:
+    """Edges between nodes that join what the near pairs of these rows join.
+
+    Rows of one `run` are compared, homes with guests. Those whose prints differ in at
+    most `most` bits are near when they share `least` of all their shingles. At most one
+    edge per node.
+    """
+    names, label = np.unique(node, return_inverse=True)
+    groups = Groups(len(names))
+    starts, parts = shingles.offsets.to_numpy(), shingles.values.to_numpy()
+    order = np.argsort(run, kind="stable")
+    for rows in np.split(order, np.flatnonzero(np.diff(run[order])) + 1):
+        homes, guests = rows[home[rows]], rows[guest[rows]]
+        # Shingles are numbered inside the run, so that sets are compared by a table.
+        values, code = np.unique(np.concatenate([parts[starts[r] : starts[r + 1]] for r in rows]), return_inverse=True)
+        sizes = starts[rows + 1] - starts[rows]
+        first = dict(zip(rows.tolist(), (np.cumsum(sizes) - sizes).tolist(), strict=True))
+        size = lambda r: int(starts[r + 1] - starts[r])
+        table = np.zeros(len(values), dtype=bool)
+        for i in range(0, len(homes), LEAF_ROWS):
+            block = homes[i : i + LEAF_ROWS]
+            bits = np.zeros((len(block), len(guests)), dtype=np.uint16)
+            for k in range(prints.shape[1]):
+                bits += np.bitwise_count(prints[block, k][:, None] ^ prints[guests, k][None, :])
+            # Near ones first: what they join need not be compared again.
+            for x, close in zip(block, bits, strict=True):
+                others = guests[close <= most]
+                others = others[np.argsort(close[close <= most], kind="stable")]
+                others = others[groups.find(label[others]) != groups.find(label[[x]])]
+                if not len(others):
+                    continue
+                mine = code[first[x] : first[x] + size(x)]
+                table[mine] = True
+                for y in others:
+                    if groups.find(label[[x]])[0] == groups.find(label[[y]])[0]:
+                        continue
+                    n, m = size(x), size(y)
+                    if min(n, m) < least * max(n, m):
+                        continue
+                    same = int(np.count_nonzero(table[code[first[y] : first[y] + m]]))
+                    if same >= least * (n + m - same):
+                        groups.join(label[[x]], label[[y]])
+                table[mine] = False
+    rows = np.arange(len(names))
+    roots = groups.find(rows)
+    moved = rows != roots
+    return names[rows[moved]], names[roots[moved]]
+
+
+def near_roots(
+    docs: DataFrame, shingle: int = 5, prints: int = PRINTS, near_bits: int = NEAR_BITS, least: float = LEAST_LIKE
+) -> DataFrame:
+    """`doc_id, row, root`: rows with one root are connected by near pairs.
+
+    Near are texts that share `least` of all their different shingles. One fingerprint of 64
+    bits would miss most such pairs: they differ in ten of its bits. With `prints`
+    independent ones a pair is a candidate when any 32-bit band differs in at most one bit, by
+    vantage-point trees, and all bits together in at most `near_bits` places. Bands are the
+    halves, and bytes of several halves put together. What candidates connect is a family;
+    the halves come first and join most of them, so that the other bands have few groups left
+    to connect. Inside a family all pairs within `near_bits` are verified on the shingles
+    themselves, in tasks of bounded size, and only near ones connect.
+    """
+    marked = materialise(shingle_sets(docs, shingle, prints))
+    nodes = materialise(
+        marked.select("node", "fingerprints", "size").where("size > 0").dropDuplicates(["node"])
+    ).withColumn("group", F.col("node"))
+    for ways in ((0, 1), (1, BAND_WAYS)):
+        nodes = _wave(nodes, ways, near_bits)
+    families = nodes.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles"))
+    blocks = F.expr(
+        f"greatest((n + {BLOCK_ROWS} - 1) div {BLOCK_ROWS}, (shingles + {BLOCK_SHINGLES} - 1) div {BLOCK_SHINGLES})"
     )
-    others = nodes.select(F.col("node").alias("least"), F.col("fingerprints").alias("others"))
-    edges = (
-        candidates.join(nodes, "node")
-        .join(others, "least")
-        .where(bits <= near_bits)
-        .select(F.col("node").alias("a"), F.col("least").alias("b"))
+    families = families.where("n > 1").select("group", blocks.alias("blocks"), "shingles")
+    members = materialise(nodes.select("node", "group").join(families, "group").drop("shingles"))
+    total = marked.join(members, "node", "left_semi").agg(F.sum("size")).first()[0] or 0
+    tasks = -(-total // TASK_SHINGLES) or 1
+    sets = marked.select("node", "fingerprints", "shingles").join(members, "node").dropDuplicates(["node"])
+    dealt = _blocks(sets, "group", F.pmod("group", F.lit(tasks)))
+
+    def verified(rows: pa.Table) -> pa.Table:
+        run, home, guest, node = (rows[n].to_numpy() for n in ("run", "home", "guest", "node"))
+        a, b = like_links(
+            run, home, guest, node, _prints(rows), rows["shingles"].combine_chunks(), near_bits, least
+        )
+        return pa.table({"a": a, "b": b})
+
+    links = (
+        dealt.select("task", "run", "home", "guest", "node", "fingerprints", "shingles")
+        .groupBy("task")
+        .applyInArrow(verified, "a bigint, b bigint")
     )
-    groups = materialise(_with_root(nodes.select("node"), "node", components(edges), "group"))
-    inside = _links_inside(placed.join(groups, "node"), nodes, HALF_RADIUS, near_bits)
-    whole = _with_root(groups, "group", components(inside), "root").select("node", "root")
-    named = marked.select("doc_id", "node").join(whole, "node")
+    return _with_root(marked.select("doc_id", "row", "node"), "node", components(links), "root").drop("node")
+
+
+def near_groups_by_several(docs: DataFrame, shingle: int = 5, prints: int = PRINTS) -> DataFrame:
+    """`doc_id, component_id`: the smallest doc_id that near pairs lead to, see `near_roots`."""
+    named = materialise(near_roots(docs, shingle, prints))
     first = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return named.join(first, "root").select("doc_id", "component_id")
 
@@ -538,12 +719,16 @@ def _with_root(rows: DataFrame, column: str, roots: DataFrame, name: str) -> Dat
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, prints: int = PRINTS) -> DataFrame:
-    """The documents of which none with a smaller doc_id is in the same near group.
+    """One document of every near group, that with the smallest doc_id, with all columns.
 
-    Keeps all columns. Of several rows with one doc_id one stays; rows without
-    doc_id cannot be named, so they all stay.
+    Of rows with one doc_id and different texts, a hash of the text decides; rows without
+    doc_id come last. Of rows equal in both, any one stays. Texts without words are one group.
     """
-    groups = near_groups_by_several(docs, shingle, prints)
-    ids = groups.select(F.col("component_id").alias("kept")).where("kept is not null").distinct()
-    named = docs.join(ids, docs["doc_id"] == ids["kept"], "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null"))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    kept = near_roots(docs, shingle, prints).groupBy("root").agg(F.min_by("row", order).alias("_near_row"))
+    rows = docs.withColumn("_near_row", F.xxhash64("doc_id", whole_text()))
+    return (
+        rows.join(kept.select("_near_row"), "_near_row", "left_semi")
+        .dropDuplicates(["_near_row"])
+        .drop("_near_row")
+    )
