@@ -25,8 +25,8 @@ def judge(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every near-duplicate group, that with the smallest doc_id.
 
-    Near means that sixteen SimHashes over shingles of five words differ in at most
-    184 of their 1024 bits: about 0.8 of the shingles, or more, are the same.
+    Near means that 0.8 or more of the different shingles of five words of two texts are
+    the same. Candidates come from sixteen SimHashes, and are verified on the shingles.
     """
     prepare(spark)
     return simhash.one_of_each(docs, shingle=5)
