@@ -12,6 +12,7 @@ branches would overlap: distances to a vantage point are spread by 4 bits only.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +42,8 @@ PRINTS, NEAR_BITS = 16, 184
 #: Ways to put the bytes of all fingerprints together to 32-bit bands. Two bands of
 #: different ways share one byte at most. Shards of bands are larger, as there are many.
 BAND_WAYS, BAND_SHARD_ROWS = 4, 65_536
+#: Bands of the waves before the last: a few join most of a large family, which meets in all.
+FIRST_BANDS = (6, 24)
 #: Members of one group of halves that are compared in one task, and those of small
 #: groups that share a task.
 BLOCK_ROWS, TASK_ROWS = 8192, 32_768
@@ -452,17 +455,16 @@ def _row():
     return F.xxhash64("doc_id", whole_text()).alias("row")
 
 
-def bands(nodes: DataFrame, ways: tuple[int, int]) -> DataFrame:
-    """`node, group, number, half`: the bands of some ways of every node's fingerprints."""
+def bands(nodes: DataFrame, numbers: tuple[int, int]) -> DataFrame:
+    """`node, group, number, half`: some bands of every node's fingerprints."""
     ship_package(nodes.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(2)
             found = bands_of(lists.flatten().to_numpy().view(np.uint64).reshape(len(lists), -1))
-            each = found.shape[1] // BAND_WAYS
-            found = found[:, each * ways[0] : each * ways[1]]
-            number = np.tile(np.arange(found.shape[1], dtype=np.int32) + each * ways[0], len(lists))
+            found = found[:, slice(*numbers)]
+            number = np.tile(np.arange(found.shape[1], dtype=np.int32) + numbers[0], len(lists))
             names = [np.repeat(batch.column(i).to_numpy(), found.shape[1]) for i in range(2)]
             yield pa.RecordBatch.from_arrays(
                 [*map(pa.array, names), pa.array(number), pa.array(found.ravel().view(np.int32))],
@@ -562,9 +564,9 @@ def _prints(rows: pa.Table) -> np.ndarray:
     return lists.flatten().to_numpy().view(np.uint64).reshape(len(lists), -1)
 
 
-def _wave(nodes: DataFrame, ways: tuple[int, int], near_bits: int) -> DataFrame:
-    """Nodes with `group` joined where candidates of some ways connect groups."""
-    halves = bands(nodes, ways)
+def _wave(nodes: DataFrame, numbers: tuple[int, int], near_bits: int) -> DataFrame:
+    """Nodes with `group` joined where candidates of some bands connect groups."""
+    halves = bands(nodes, numbers)
     tag = F.hash("group")
     distinct = materialise(
         halves.groupBy("number", "half")
@@ -581,18 +583,25 @@ def _wave(nodes: DataFrame, ways: tuple[int, int], near_bits: int) -> DataFrame:
         "company",
         F.pmod("company", F.lit(tasks)),
     )
-    dealt = dealt.join(nodes.select("node", "fingerprints"), "node")
+    # A node meets others in many bands; its fingerprints go to each task once.
+    met = F.collect_list(F.struct("run", "home", "guest", "half")).alias("met")
+    once = dealt.groupBy("task", "node", "group").agg(met)
 
     def compared(rows: pa.Table) -> pa.Table:
-        numbers = {n: rows[n].to_numpy() for n in ("run", "home", "guest", "half", "group")}
-        half = numbers["half"].view(np.uint32)
+        lists = rows["met"].combine_chunks()
+        row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+        run, home, guest, half = (
+            c.to_numpy(zero_copy_only=False) for c in lists.values.flatten()
+        )
+        group, prints = rows["group"].to_numpy()[row], _prints(rows)
         a, b = block_links(
-            numbers["run"], numbers["home"], numbers["guest"], half, numbers["group"], _prints(rows), HALF_RADIUS, near_bits
+            run, home, guest, half.view(np.uint32), group, prints[row], HALF_RADIUS, near_bits
         )
         return pa.table({"a": a, "b": b})
 
     links = (
-        dealt.select("task", "run", "home", "guest", "half", "group", "fingerprints")
+        once.join(nodes.select("node", "fingerprints"), "node")
+        .select("task", "group", "met", "fingerprints")
         .groupBy("task")
         .applyInArrow(compared, "a bigint, b bigint")
     )
@@ -668,7 +677,7 @@ def near_roots(
     independent ones a pair is a candidate when any 32-bit band differs in at most one bit, by
     vantage-point trees, and all bits together in at most `near_bits` places. Bands are the
     halves, and bytes of several halves put together. What candidates connect is a family;
-    the halves come first and join most of them, so that the other bands have few groups left
+    a few halves come first and join most of it, so that the other bands have few groups left
     to connect. Inside a family all pairs within `near_bits` are verified on the shingles
     themselves, in tasks of bounded size, and only near ones connect.
     """
@@ -676,8 +685,9 @@ def near_roots(
     nodes = materialise(
         marked.select("node", "fingerprints", "size").where("size > 0").dropDuplicates(["node"])
     ).withColumn("group", F.col("node"))
-    for ways in ((0, 1), (1, BAND_WAYS)):
-        nodes = _wave(nodes, ways, near_bits)
+    whole = 2 * prints * BAND_WAYS
+    for numbers in itertools.pairwise((0, *FIRST_BANDS, whole)):
+        nodes = _wave(nodes, numbers, near_bits)
     families = nodes.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles"))
     blocks = F.expr(
         f"greatest((n + {BLOCK_ROWS} - 1) div {BLOCK_ROWS}, (shingles + {BLOCK_SHINGLES} - 1) div {BLOCK_SHINGLES})"
