@@ -1,4 +1,4 @@
-"""IPv4 addresses as numbers."""
+"""IPv4 addresses as numbers, IPv6 addresses as 32 hex digits."""
 
 from __future__ import annotations
 
@@ -24,3 +24,54 @@ def ipv4_number(address: Column) -> Column:
 
 def prefix_of(number: Column) -> Column:
     return F.shiftright(number, PREFIX_BITS)
+
+
+HEX = "0123456789abcdef"
+# Fixed value: IPv6 addresses that stand for IPv4 ones begin like this.
+MAPPED = "0" * 20 + "f" * 4
+
+
+def ipv6_hex(address: Column) -> Column:
+    """32 lower-case hex digits, which sort like the address; NULL when it is not valid.
+
+    One `::` stands for at least one group of zeros; the last two groups may be
+    written as an IPv4 address. Zones are not part of an address.
+    """
+    text = F.lower(address)
+    dotted = F.regexp_extract(text, r":([0-9]{1,3}(?:\.[0-9]{1,3}){3})\z", 1)
+    number = F.lpad(F.lower(F.hex(ipv4_number(dotted))), 8, "0")
+    pair = F.concat(F.substring(number, 1, 4), F.lit(":"), F.substring(number, 5, 4))
+    before = F.left(text, F.length(text) - F.length(dotted))
+    plain = F.when(text.contains("."), F.concat(before, pair)).otherwise(text)
+    sides = F.split(plain, "::")
+    groups = [
+        F.when(F.coalesce(F.get(sides, F.lit(i)), F.lit("")) == "", F.array().cast("array<string>"))
+        .otherwise(F.split(F.get(sides, F.lit(i)), ":"))
+        for i in range(2)
+    ]
+    missing = F.lit(8) - F.size(groups[0]) - F.size(groups[1])
+    zeros = F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0)))
+    every = F.concat(groups[0], zeros, groups[1])
+    valid = (
+        (F.size(sides) == 1) & (missing == 0) | (F.size(sides) == 2) & (missing >= 1)
+    ) & F.forall(every, lambda group: group.rlike(r"^[0-9a-f]{1,4}\z"))
+    return F.when(valid, F.array_join(F.transform(every, lambda group: F.lpad(group, 4, "0")), ""))
+
+
+def ipv6_prefix(digits: Column, bits: int) -> Column:
+    """The first bits of an address in hex, the rest of the last digit as zeros."""
+    whole, rest = divmod(bits, 4)
+    if not rest:
+        return F.substring(digits, 1, whole)
+    mask = 16 - (16 >> rest)
+    kept = "".join(HEX[i & mask] for i in range(16))
+    return F.concat(
+        F.substring(digits, 1, whole), F.translate(F.substring(digits, whole + 1, 1), HEX, kept)
+    )
+
+
+def mapped_number(digits: Column) -> Column:
+    """The IPv4 number that an IPv6 address stands for, or NULL."""
+    return F.when(
+        F.substring(digits, 1, 24) == MAPPED, F.conv(F.substring(digits, 25, 8), 16, 10).cast("bigint")
+    )

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ipaddress
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,11 +13,12 @@ from eventloom.functions import address as ip
 from eventloom.functions import agents, clock, identity
 from eventloom.functions import json_values as jv
 from eventloom.operators.anchors import attach_anchors
+from eventloom.session import materialise, ship_package
 
 # Fixed value: length of a session; it is not extended by activity.
 SESSION_SECONDS = 1800
 
-# Ranges up to this count may be looked up next to the events.
+# Ranges up to this count of pieces may be looked up next to the events.
 SMALL_RANGES = 100_000
 
 
@@ -34,9 +39,13 @@ def geo_enrich(
     ranges: DataFrame,
     address_col: str = "address",
     small_ranges: int = SMALL_RANGES,
+    ranges6: DataFrame | None = None,
 ) -> DataFrame:
     """Add `country` and `city` of the address; NULL without address or range.
 
+    An IPv6 address that stands for an IPv4 one has the place of the latter. Other
+    ones are found in `ranges6`, see `locate_ipv6`, and have no place without it.
+
     `ranges` are (start_ip, end_ip, country, city). Where they overlap, the
     shortest one holds an address, then the one that starts last: overlaps are
     cut first, so that both ways of looking up see the same disjoint pieces. A
@@ -44,18 +53,92 @@ def geo_enrich(
     are few, counted and not assumed, that join runs on the events as they are.
     Otherwise the distinct addresses are located first and joined back.
     """
-    numbered = events.withColumn("ip_number", ip.ipv4_number(F.col(address_col)))
+    address = F.col(address_col)
+    digits = ip.ipv6_hex(address)
+    number = F.coalesce(ip.ipv4_number(address), ip.mapped_number(digits))
+    numbered = events.withColumn("ip_number", number)
     pieces = _disjoint(_by_prefix(ranges))
-    if ranges.limit(small_ranges + 1).count() <= small_ranges:
+    # Cutting at the borders of a prefix gives at most two pieces for each of its ranges.
+    cuts = ranges.agg(F.sum(ip.prefix_of(F.col("end_ip")) - ip.prefix_of(F.col("start_ip")) + 1))
+    if (cuts.first()[0] or 0) <= small_ranges:
         located = numbered.withColumn("prefix", ip.prefix_of(F.col("ip_number"))).alias("e")
         inside = (F.col("e.prefix") == F.col("r.prefix")) & F.col("e.ip_number").between(
             F.col("r.start_ip"), F.col("r.end_ip")
         )
-        return located.join(F.broadcast(pieces.alias("r")), inside, "left").select(
+        placed = located.join(F.broadcast(pieces.alias("r")), inside, "left").select(
             *[F.col(f"e.{name}") for name in events.columns], "r.country", "r.city"
         )
-    places = _locate(numbered.select("ip_number").dropna().distinct(), pieces)
-    return numbered.join(places, "ip_number", "left").drop("ip_number")
+    else:
+        places = _locate(numbered.select("ip_number").dropna().distinct(), pieces)
+        placed = numbered.join(places, "ip_number", "left").drop("ip_number")
+    if ranges6 is None:
+        return placed
+    asked = F.when(ip.mapped_number(digits).isNull(), digits)
+    found = locate_ipv6(events.select(asked.alias("ip6")).dropna().distinct(), ranges6)
+    found = found.select("ip6", F.struct("country", "city").alias("place"))
+    # Events without such an address match nothing; a salt spreads them over the tasks.
+    spread = F.concat(F.lit("-"), (F.monotonically_increasing_id() % 1024).cast("string"))
+    joined = placed.withColumn("ip6", F.coalesce(asked, spread)).join(found, "ip6", "left")
+    return joined.select(
+        *events.columns,
+        F.coalesce("place.country", "country").alias("country"),
+        F.coalesce("place.city", "city").alias("city"),
+    )
+
+
+def locate_ipv6(addresses: DataFrame, ranges: DataFrame) -> DataFrame:
+    """`ip6, country, city` of addresses that a range holds; `ip6` are 32 hex digits.
+
+    `ranges` are (start_ip, end_ip, country, city) with addresses as texts. Each range is
+    cut into prefixes; an address is looked up by its own prefix of every length that occurs,
+    all in one equality join. Where several ranges hold it, the shortest one counts, then the
+    one that starts last. Ranges that are not valid hold nothing.
+    """
+    ship_package(ranges.sparkSession)
+    cut = ranges.select(
+        ip.ipv6_hex(F.col("start_ip")).alias("low"), ip.ipv6_hex(F.col("end_ip")).alias("high"), "country", "city"
+    ).where("low <= high")
+    prefixes = materialise(
+        cut.mapInArrow(
+            _prefixes, "bits int, prefix string, length string, low string, country string, city string"
+        )
+    )
+    # An address has 129 prefixes at most.
+    lengths = sorted(r["bits"] for r in prefixes.select("bits").distinct().collect())
+    if not lengths:
+        return addresses.select("ip6", *[F.lit(None).cast("string").alias(c) for c in ("country", "city")]).limit(0)
+    own = F.array(
+        *[F.struct(F.lit(n).alias("bits"), ip.ipv6_prefix(F.col("ip6"), n).alias("prefix")) for n in lengths]
+    )
+    hits = addresses.select("ip6", F.inline(own)).join(prefixes, ["bits", "prefix"])
+    # Starts are of equal length, so the last one is the least when its digits are mirrored.
+    later = F.translate("low", ip.HEX, ip.HEX[::-1])
+    best = F.min_by(F.struct("country", "city"), F.struct("length", later, "country", "city"))
+    return hits.groupBy("ip6").agg(best.alias("place")).select("ip6", "place.country", "place.city")
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Prefixes of each range (low, high, country, city), with its length and start in hex."""
+    for batch in batches:
+        bits, found, lengths, rows = [], [], [], []
+        low, high = (batch.column(i).to_pylist() for i in range(2))
+        for row, ends in enumerate(zip(low, high, strict=True)):
+            first, last = (ipaddress.IPv6Address(int(end, 16)) for end in ends)
+            for network in ipaddress.summarize_address_range(first, last):
+                bits.append(network.prefixlen)
+                found.append(f"{int(network.network_address):032x}"[: -(-network.prefixlen // 4)])
+                lengths.append(f"{int(last) - int(first):032x}")
+                rows.append(row)
+        taken = pa.array(rows, pa.int64())
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(bits, pa.int32()),
+                pa.array(found, pa.string()),
+                pa.array(lengths, pa.string()),
+                *[batch.column(i).take(taken) for i in (0, 2, 3)],
+            ],
+            ["bits", "prefix", "length", "low", "country", "city"],
+        )
 
 
 def _by_prefix(ranges: DataFrame) -> DataFrame:

@@ -583,6 +583,17 @@ def geo_enrich_overlap_many(spark, folder):
     return located.select("event_id", "country", "city")
 
 
+@register
+def geo_enrich_ipv6(spark, folder):
+    """IPv6 addresses in several spellings, IPv4 ones in IPv6 form, and plain ones."""
+    located = enrich.geo_enrich(
+        given.ipv6_events(spark, folder),
+        given.geo_ranges(spark, folder),
+        ranges6=given.geo_ranges6(spark, folder),
+    )
+    return located.select("event_id", "country", "city")
+
+
 @register
 def ua_enrich(spark, folder):
     return enrich.ua_enrich(_tracked(spark, folder)).select(

@@ -592,6 +592,15 @@ SELECT event_id, CASE WHEN c IN (6, 7) THEN 'Malformed message'
     "extract_context": f"WITH {TRACKED} SELECT event_id, address, agent FROM tracked",
     "geo_enrich": f"WITH {TRACKED} SELECT event_id, country, city FROM located",
     "geo_enrich_many_ranges": f"WITH {TRACKED} SELECT event_id, country, city FROM located",
+    "geo_enrich_ipv6": """
+SELECT e.event_id,
+  CASE WHEN e.event_id % 8 = 7 THEN NULL WHEN e.event_id % 8 = 6 THEN 'ANY'
+    WHEN e.event_id % 8 <= 2 OR e.event_id % 256 < 192 THEN n.n_name END AS country,
+  CASE WHEN e.event_id % 8 = 7 THEN NULL WHEN e.event_id % 8 = 6 THEN 'outer'
+    WHEN e.event_id % 8 = 1 THEN 'inner'
+    WHEN e.event_id % 8 <= 2 OR e.event_id % 256 < 192
+      THEN 'city_' || CAST(n.n_nationkey AS VARCHAR) END AS city
+FROM events e JOIN customer c ON c.c_custkey = e.user_id JOIN nation n ON n.n_nationkey = c.c_nationkey""",
     "geo_enrich_overlap": _OVERLAP,
     "geo_enrich_overlap_many": _OVERLAP,
     "ua_enrich": f"""WITH {TRACKED}

@@ -241,6 +241,48 @@ def geo_ranges(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def geo_ranges6(spark: SparkSession, folder: str) -> DataFrame:
+    """A /48 per nation, two /64 inside it that are one range, and a range around some of them."""
+    nation = table(spark, folder, "nation")
+    net = F.concat(F.lit("2001:db8:"), F.lower(F.hex("n_nationkey")))
+    ends = lambda low, high, city: nation.select(
+        F.concat(net, F.lit(low)).alias("start_ip"),
+        F.concat(net, F.lit(high)).alias("end_ip"),
+        F.col("n_name").alias("country"),
+        city.alias("city"),
+    )
+    city = F.concat(F.lit("city_"), F.col("n_nationkey").cast("string"))
+    outer = spark.createDataFrame(
+        [("2001:DB8:0:0:0:0:0:0", "2001:db8:ff:ffff:ffff:ffff:255.255.255.255", "ANY", "outer"), ("no", "::1", "NO", "no")],
+        "start_ip string, end_ip string, country string, city string",
+    )
+    whole = ends("::", ":ffff:ffff:ffff:ffff:ffff", city)
+    return whole.unionByName(ends(":1::", ":2:ffff:ffff:ffff:ffff", F.lit("inner"))).unionByName(outer)
+
+
+def ipv6_events(spark: SparkSession, folder: str) -> DataFrame:
+    """`event_id, address`: one of eight spellings for each event."""
+    nation = table(spark, folder, "customer").select("c_custkey", "c_nationkey")
+    rows = table(spark, folder, "events").join(nation, F.col("user_id") == F.col("c_custkey"))
+    key, event = F.col("c_nationkey"), F.col("event_id")
+    digits = lambda value: F.lower(F.hex(value))
+    ipv4 = F.concat(F.lit("10."), key.cast("string"), F.lit("."), (event % 256).cast("string"), F.lit(".7"))
+    spellings = [
+        F.concat(F.lit("2001:db8:"), digits(key), F.lit("::"), digits(event % 65536)),
+        F.concat(F.lit("2001:0DB8:"), F.lpad(F.hex(key), 4, "0"), F.lit(":0002:0:0:ABCD:"), F.hex(event % 65536)),
+        F.concat(F.lit("2001:db8:"), digits(key), F.lit(":3::"), ipv4),
+        F.concat(F.lit("::ffff:"), ipv4),
+        F.concat(F.lit("0:0:0:0:0:FFFF:0a"), F.lpad(digits(key), 2, "0"), F.lit(":"), digits((event % 256) * 256 + 7)),
+        ipv4,
+        F.concat(F.lit("2001:db8:"), digits(key + 32), F.lit("::1")),
+        F.when(event % 16 == 7, F.concat(F.lit("2001:db9::"), digits(key))).when(event % 32 == 15, F.lit("1::2::3")),
+    ]
+    spelling = F.lit(None).cast("string")
+    for i, text in enumerate(spellings):
+        spelling = F.when(event % 8 == i, text).otherwise(spelling)
+    return rows.select("event_id", spelling.alias("address"))
+
+
 def property_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Property rules per (project, event), one set for each project.
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import ipaddress
+import random
 
 import numpy as np
 import pytest
@@ -213,3 +214,41 @@ def test_message_headers(spark):
         "p -> named_struct('key', p[0], 'value', CAST(p[1] AS BINARY))) AS h"
     )
     assert frame.select(topics.header_texts(F.col("h"))).first()[0] == {"a": "2", "b": None}
+
+
+def test_ipv6_spellings(spark):
+    good = ["::", "::1", "1::", "2001:DB8::a:0", "1:2:3:4:5:6:7:8", "::ffff:1.2.3.4", "1:2:3:4:5:6:255.0.0.1", "1::2:3:4:5:6:7", "0:0:0:0:0:0:0:0", "fe80::0001"]
+    bad = ["", ":", ":::", "1", "1:2:3:4:5:6:7", "1:2:3:4:5:6:7:8:9", "1::2::3", "12345::", "g::", "::1.2.3", "::256.1.1.1", "1.2.3.4", "1:2:3:4:5:6:7::8:9", ":1:2:3:4:5:6:7", "1:2:3:4:5:6:7:", "::1%eth0", "1::2:3:4:5:6:7:8 ", "1.2.3.4::"]
+    frame = spark.createDataFrame([(t,) for t in [*good, *bad, None]], "t string")
+    got = {r["t"]: r["x"] for r in frame.select("t", address.ipv6_hex(F.col("t")).alias("x")).collect()}
+    for text in [*good, *bad]:
+        try:
+            want = f"{int(ipaddress.IPv6Address(text)):032x}"
+        except ValueError:
+            want = None
+        # A zone belongs to a machine, not to an address.
+        assert got[text] == (None if "%" in text else want), text
+    assert got[None] is None
+
+
+def test_ipv6_ranges_of_any_ends(spark):
+    """Ranges that are no prefixes, nested and overlapping, against looking at each of them."""
+    rng = random.Random(4)
+    text = lambda n: str(ipaddress.IPv6Address(n))
+    base = int(ipaddress.IPv6Address("2001:db8::"))
+    ranges = []
+    for i in range(60):
+        low = base + rng.randrange(400)
+        ranges.append((low, low + rng.choice([0, 1, 5, 37, 200]), f"C{i}"))
+    ranges += [(0, 2**128 - 1, "ALL")]
+    asked = [base + n for n in range(-3, 420)] + [0, 2**128 - 1]
+    events = spark.createDataFrame([(text(n),) for n in asked] + [(None,)], "address string")
+    table = spark.createDataFrame([(text(a), text(b), c, c) for a, b, c in ranges], "start_ip string, end_ip string, country string, city string")
+    v4 = spark.createDataFrame([], "start_ip long, end_ip long, country string, city string")
+    got = {r["address"]: r["country"] for r in enrich.geo_enrich(events, v4, ranges6=table).collect()}
+    for n in asked:
+        hits = [(b - a, -a, c) for a, b, c in ranges if a <= n <= b]
+        assert got[text(n)] == min(hits)[2], text(n)
+    assert got[None] is None
+    none = enrich.geo_enrich(events, v4, ranges6=table.where("false"))
+    assert none.where("country is not null").count() == 0 and none.count() == len(asked) + 1
