@@ -108,6 +108,32 @@ def sketch_rollups(events: DataFrame, ts_col: str = "ts") -> DataFrame:
     )
 
 
+def closing_rows(
+    stored: DataFrame, fresh: DataFrame, closed_until: Column, until: Column
+) -> DataFrame:
+    """Rows of the closing log for one step of the clock.
+
+    `stored` are the rollups of all events so far, `fresh` those of the last batch;
+    minutes up to `closed_until` are closed, those up to `until` close now. A minute
+    closes once, with all it has by then; what comes later is a `correction` with what
+    it adds. A minute without events has no row.
+    """
+    close = stored.where((F.col("bucket") > closed_until) & (F.col("bucket") <= until))
+    late = fresh.where(F.col("bucket") <= closed_until)
+    kinds = [close.withColumn("kind", F.lit("close")), late.withColumn("kind", F.lit("correction"))]
+    both = kinds[0].unionByName(kinds[1].select(*kinds[0].columns))
+    return both.where("count > 0").withColumn("closed_until", until)
+
+
+def finalise_rollups(log: DataFrame) -> DataFrame:
+    """Closed minutes with their corrections: `count` and `unique_users_bucket`."""
+    return log.groupBy(*ROLLUP_KEY).agg(
+        F.sum("count").alias("count"),
+        F.hll_sketch_estimate(F.hll_union_agg("users_sketch")).alias("unique_users_bucket"),
+        F.count_if(F.col("kind") == "correction").alias("corrections"),
+    )
+
+
 def merge_rollups(deltas: DataFrame) -> DataFrame:
     """One row per key: counts add up, the greatest unique count wins."""
     return deltas.groupBy(*ROLLUP_KEY).agg(

@@ -1070,6 +1070,34 @@ def stream_live_feed(spark, folder):
     )
 
 
+def _closing(spark, folder):
+    path = scratch_path(spark)
+    stages.start_closing(
+        _topic(spark, _batches(_enriched_messages(spark, folder)), topics.ENRICHED),
+        f"{path}/log",
+        f"{path}/rollups",
+        f"{path}/checkpoint",
+        ONCE,
+    ).awaitTermination()
+    return spark.read.parquet(f"{path}/log/rows")
+
+
+@register
+def stream_closing_log(spark, folder):
+    """Minutes as they closed, and what late events added to them."""
+    return _closing(spark, folder).select(
+        "project_id", "event", "bucket", "kind", "count", F.col("batch_id").cast("bigint").alias("batch")
+    )
+
+
+@register
+def stream_closed_rollups(spark, folder):
+    """Closed minutes with all corrections."""
+    return rollups.finalise_rollups(_closing(spark, folder)).select(
+        "project_id", "event", "bucket", "count", F.col("corrections").cast("bigint").alias("corrections")
+    )
+
+
 @register
 def stream_dead_letters(spark, folder):
     """Dead letters stored from their topic, with the status they begin in."""

@@ -394,6 +394,30 @@ SELECT e.event_id, max(a.anchor) AS anchor FROM analytics_events e JOIN anchors
 GROUP BY e.event_id"""
 
 
+# Three batches: on-time events of ten days each, late ones in the last. The clock is the
+# latest arrival; a minute closes when it lies two minutes behind.
+CLOSING = f"""{EVENTS},
+dealt AS (
+  SELECT project_id, event, date_trunc('minute', ts) AS bucket, ts,
+    CASE WHEN event_id % 5 = 0 OR day(ts) > 20 THEN 2 WHEN day(ts) > 10 THEN 1 ELSE 0 END AS batch
+  FROM analytics_events
+),
+steps AS (
+  SELECT batch, date_trunc('minute', max(max(ts)) OVER (ORDER BY batch)) - INTERVAL 2 MINUTE AS until
+  FROM dealt GROUP BY batch
+),
+placed AS (
+  SELECT d.project_id, d.event, d.bucket, d.batch,
+    (SELECT min(s.batch) FROM steps s WHERE s.until >= d.bucket) AS closes
+  FROM dealt d
+),
+log AS (
+  SELECT project_id, event, bucket, CASE WHEN batch <= closes THEN 'close' ELSE 'correction' END AS kind,
+    CAST(count(*) AS BIGINT) AS count, CAST(greatest(batch, closes) AS BIGINT) AS batch
+  FROM placed WHERE closes IS NOT NULL
+  GROUP BY project_id, event, bucket, kind, greatest(batch, closes)
+)"""
+
 ORACLES: dict[str, str] = {
     # --- scans
     "scan_events_range": f"""WITH {EVENTS}
@@ -733,6 +757,11 @@ SELECT project_id, event, CAST(CAST(ts AS DATE) AS VARCHAR) AS day,
   CAST(count(*) AS BIGINT) AS events,
   CAST(count(DISTINCT user_id) FILTER (WHERE user_id <> '') AS BIGINT) AS users
 FROM analytics_events GROUP BY 1, 2, 3""",
+    "stream_closing_log": f"WITH {CLOSING} SELECT * FROM log",
+    "stream_closed_rollups": f"""WITH {CLOSING}
+SELECT project_id, event, bucket, CAST(sum(count) AS BIGINT) AS count,
+  CAST(count(*) FILTER (WHERE kind = 'correction') AS BIGINT) AS corrections
+FROM log GROUP BY project_id, event, bucket""",
     "stream_dead_letters": f"""WITH {LETTERS}
 SELECT original_topic || '/' || CAST(original_partition AS VARCHAR) || '/' || original_offset AS id,
   original_topic, original_partition, original_key, reason, 'pending' AS status FROM letters""",

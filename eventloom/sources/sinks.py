@@ -6,6 +6,8 @@ replaces them on a replay, so a repeated batch leaves no trace.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -115,10 +117,16 @@ def write_rollups(df: DataFrame, batch_id: int, path: str) -> None:
 
 
 def read_sketch_rollups(
-    spark: SparkSession, path: str, start: object = None, end: object = None
+    spark: SparkSession,
+    path: str,
+    start: object = None,
+    end: object = None,
+    days: Sequence[object] | None = None,
 ) -> DataFrame:
-    """One row per project, event and minute of the days from `start` to `end`."""
+    """One row per project, event and minute of the days from `start` to `end`, or of `days`."""
     stored = spark.read.parquet(path)
+    if days is not None:
+        stored = stored.where(F.col("bucket_date").isin(list(days)))
     if start is not None:
         stored = stored.where(F.col("bucket_date") >= F.lit(start).cast("date"))
     if end is not None:
@@ -133,13 +141,17 @@ def merge_sketch_rollups(deltas: DataFrame) -> DataFrame:
 
 
 def read_rollups(
-    spark: SparkSession, path: str, start: object = None, end: object = None
+    spark: SparkSession,
+    path: str,
+    start: object = None,
+    end: object = None,
+    days: Sequence[object] | None = None,
 ) -> DataFrame:
     """Rollups with `unique_users`: the day's users so far, on each bucket of it.
 
-    `start` and `end` choose whole days; other days are not opened.
+    `start` and `end`, or `days`, choose whole days; other days are not opened.
     """
-    minutes = read_sketch_rollups(spark, path, start, end).withColumn(
+    minutes = read_sketch_rollups(spark, path, start, end, days).withColumn(
         "day", F.col("bucket").cast("date")
     )
     days = minutes.groupBy("project_id", "event", "day").agg(

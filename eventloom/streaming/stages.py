@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import datetime as dt
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
@@ -18,6 +20,9 @@ from eventloom.streaming.state import advance_anchors
 LIVE_INTERVAL = "60 seconds"
 STORE_INTERVAL = "5 seconds"
 
+# Fixed value: how far behind the clock a minute must lie to be closed.
+CLOSING_LAG_MINUTES = 2
+
 # How long after its end a running anchor is kept for late events.
 DEDUP_DELAY_SECONDS = 60
 SESSION_DELAY_SECONDS = 600
@@ -270,12 +275,12 @@ def live_updates(
     touched = materialise(
         events.select(*rollups.KEY, clock.bucket(F.col("ts"), "minute").alias("bucket")).distinct()
     )
-    first, last = touched.agg(F.min("bucket"), F.max("bucket")).first()
-    if first is None:
+    days = [row[0] for row in touched.select(F.col("bucket").cast("date")).distinct().collect()]
+    if not days:
         return rollups.live_messages(
             touched.withColumns({"count": F.lit(0), "unique_users": F.lit(0)})
         )
-    known = sinks.read_rollups(spark, rollups_path, first, last)
+    known = sinks.read_rollups(spark, rollups_path, days=days)
     return rollups.live_messages(known.join(touched, rollups.ROLLUP_KEY, "left_semi"))
 
 
@@ -309,6 +314,52 @@ def start_live_feed(
     return _run(messages, on_batch, checkpoint, "live_feed", trigger or {"processingTime": LIVE_INTERVAL})
 
 
+def _closed_until(spark: SparkSession, path: str, batch_id: int) -> object:
+    """Last minute that was closed by the batches before; None at first."""
+    if not batch_id:
+        return None
+    steps = spark.read.schema("until timestamp_ntz, batch_id bigint").parquet(path)
+    # Earlier batches' steps are behind the one of the batch before.
+    return steps.where(F.col("batch_id") == batch_id - 1).agg(F.max("until")).first()[0]
+
+
+def start_closing(
+    messages: DataFrame,
+    log_path: str,
+    rollups_path: str,
+    checkpoint: str,
+    trigger: dict | None = None,
+) -> StreamingQuery:
+    """Keep a log of closed minutes: each closes once, late events add a correction.
+
+    The clock is the latest arrival so far, so a replay closes the same minutes. It is kept
+    per batch below `log_path`, with the rows; a repeated batch replaces its own. Only the
+    days between two steps of the clock are read. `rollups_path` is a folder of this query's own.
+    """
+
+    def on_batch(batch: DataFrame, batch_id: int) -> None:
+        spark = configure(batch.sparkSession)
+        arrived = batch.agg(F.max(F.col("arrival_ts").cast("timestamp_ntz"))).first()[0]
+        before = _closed_until(spark, f"{log_path}/steps", batch_id)
+        until = before
+        if arrived is not None:
+            reached = arrived.replace(second=0, microsecond=0)
+            reached -= dt.timedelta(minutes=CLOSING_LAG_MINUTES)
+            until = reached if before is None else max(before, reached)
+        events = stored_events(batch).where(F.col("project_id").isNotNull())
+        fresh = materialise(rollups.sketch_rollups(events.drop(*messages.columns)))
+        sinks.write_rollups(fresh, batch_id, rollups_path)
+        if until is not None:
+            known = sinks.read_sketch_rollups(spark, rollups_path, before, until)
+            at = lambda minute: F.lit(minute or dt.datetime.min).cast("timestamp_ntz")
+            rows = rollups.closing_rows(known, fresh, at(before), at(until))
+            sinks.write_batch(rows, batch_id, f"{log_path}/rows")
+        step = spark.range(1).select(F.lit(until).cast("timestamp_ntz").alias("until"))
+        sinks.write_batch(step, batch_id, f"{log_path}/steps")
+
+    return _run(messages, on_batch, checkpoint, "closing", trigger or {"processingTime": LIVE_INTERVAL})
+
+
 # --- dead letters ------------------------------------------------------------
 
 

@@ -287,6 +287,55 @@ def test_missing_state_is_an_error(spark, tmp_path):
         advance_anchors(frame, 5, ["k"], "ts", 60, 60, f"{tmp_path}/none", "i")
 
 
+def enriched(event, at):
+    return json.dumps({"event": event, "projectId": "p", "userId": "u1", "timestamp": BASE + int(at * 1000)})
+
+
+def closing_run(spark, tmp_path, again=False):
+    """The closing log after five batches, each by a new query; the last one may repeat."""
+    source, log = f"{tmp_path}/enriched", f"{tmp_path}/log"
+    # BASE is 20 seconds into a minute. (event, event time, arrival)
+    batches = [
+        [("a", 0, 0), ("a", 30, 31), ("a", 45, 50)],  # clock in minute 1: nothing closes
+        [("a", 5, 170), ("b", 170, 170)],  # minute 3: minutes 0 and 1 close
+        [("a", 10, 171), ("c", -300, 172)],  # late for minute 0, and for one that had no events
+        [("a", 170, 20)],  # an old arrival does not turn the clock back
+        [("d", 200, 4000)],  # everything closes
+    ]
+    for number, rows in enumerate(batches):
+        put(spark, source, number, [("p", enriched(e, at), arrival) for e, at, arrival in rows])
+        stream = topics.read_files(spark, source, topics.ENRICHED)
+        run = lambda: drain(
+            stages.start_closing(stream, log, f"{tmp_path}/rollups", f"{tmp_path}/checkpoint", ONCE)
+        )
+        run()
+        if again:
+            # The batch was written, but not noted as done.
+            for name in (str(number), f".{number}.crc"):
+                pathlib.Path(f"{tmp_path}/checkpoint/commits/{name}").unlink(missing_ok=True)
+            run()
+    start = (BASE // 60_000) * 60
+    rows = spark.read.parquet(f"{log}/rows").collect()
+    minute = lambda r: int((r["bucket"] - pd.Timestamp(start, unit="s")).total_seconds()) // 60
+    return sorted((r["batch_id"], r["event"], minute(r), r["kind"], r["count"]) for r in rows)
+
+
+@pytest.mark.parametrize("again", [False, True])
+def test_minutes_close_once(spark, tmp_path, again):
+    assert closing_run(spark, tmp_path, again) == [
+        (1, "a", 0, "close", 3),
+        (1, "a", 1, "close", 1),
+        (2, "a", 0, "correction", 1),
+        (2, "c", -5, "correction", 1),
+        (4, "a", 3, "close", 1),
+        (4, "b", 3, "close", 1),
+        (4, "d", 3, "close", 1),
+    ]
+    closed = rollups.finalise_rollups(spark.read.parquet(f"{tmp_path}/log/rows"))
+    first = closed.where("event = 'a'").orderBy("bucket").first()
+    assert (first["count"], first["unique_users_bucket"], first["corrections"]) == (4, 1, 1)
+
+
 def test_registered_streams_take_several_batches(spark, folder):
     from eventloom.plans import catalogue
 
