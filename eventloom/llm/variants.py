@@ -202,8 +202,32 @@ def near_words(words: DataFrame) -> DataFrame:
     of = lambda p: words.where(F.length("word") >= CARRIED).select(
         F.xxhash64("word").alias(f"{p}_id"), F.col("word").alias(p), F.col("n").alias(f"{p}_n")
     )
-    long = ids.distinct().join(of("a"), "a_id").join(of("b"), "b_id").where(F.levenshtein("a", "b", 1) == 1)
-    return short.select(*either).distinct().unionByName(long.select(*ends))
+    long = ids.distinct().join(of("a"), "a_id").join(of("b"), "b_id").select(*ends).mapInArrow(
+        _one_apart, "a string, a_n bigint, b string, b_n bigint"
+    )
+    return short.select(*either).distinct().unionByName(long)
+
+
+def one_apart(a: str, b: str) -> bool:
+    """Whether two words differ in one code point, in time that grows with their length."""
+    if len(a) > len(b):
+        a, b = b, a
+    if a == b or len(b) - len(a) > 1:
+        return False
+    same, end = 0, len(a)
+    while same < end:
+        middle = (same + end + 1) // 2
+        if a[same:middle] == b[same:middle]:
+            same = middle
+        else:
+            end = middle - 1
+    return a[same + (len(a) == len(b)) :] == b[same + 1 :]
+
+
+def _one_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        pairs = zip(batch.column("a"), batch.column("b"), strict=True)
+        yield batch.filter(pa.array([one_apart(a.as_py(), b.as_py()) for a, b in pairs], pa.bool_()))
 
 
 def _meetings(index: DataFrame, name: str, more: str) -> DataFrame:
@@ -253,10 +277,9 @@ def spelling_variants(docs: DataFrame) -> DataFrame:
     empty table gives no rows; other columns are not read.
     """
     words = materialise(count_words(docs))
-    pairs = near_words(words)
-    both = pairs.select(F.col("a").alias("word"), F.col("b").alias("near"), F.col("b_n").alias("near_n")).unionByName(
-        pairs.select(F.col("b").alias("word"), F.col("a").alias("near"), F.col("a_n").alias("near_n"))
-    )
+    # Both directions of a pair from one row, so that the pairs are made once.
+    ways = [F.struct(F.col(x).alias("word"), F.col(y).alias("near"), F.col(f"{y}_n").alias("near_n")) for x, y in ("ab", "ba")]
+    both = near_words(words).select(F.inline(F.array(*ways)))
     best = both.groupBy("word").agg(
         F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("less"), "near")).alias("best")
     )
