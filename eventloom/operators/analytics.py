@@ -274,8 +274,11 @@ def retention(
     nobody ever returned to are absent. `with_size` adds `cohort_size`, the
     users in the cohort whether they returned or not.
     """
-    keys = _keys(project, "")
     weeks = _weeks(events, cohort_event, return_event, project, start, end)
+    return _retained(weeks, _keys(project, ""), periods, with_size)
+
+
+def _retained(weeks: DataFrame, keys: list[str], periods: int, with_size: bool) -> DataFrame:
     # Per user and cohort one row: which of the wanted weeks it came back in.
     came = [
         F.array_contains("returns", F.date_add("cohort", 7 * p)).alias(f"came_{p}")
@@ -300,6 +303,78 @@ def retention(
     return table.select(*names).orderBy(*keys, "cohort")
 
 
+# Days are kept as bits, nine whole weeks to a number. Fixed value: the first Monday of the clock.
+FIRST_MONDAY = "1970-01-05"
+CHUNK_WEEKS = 9
+USER_DAYS = ["project_id", "event", "user_id", "chunk"]
+
+
+def user_days(events: DataFrame, ts_col: str = "ts") -> DataFrame:
+    """The days of every user's events: `project_id, event, user_id, chunk, days`.
+
+    `days` has a bit for each of the 63 days of a chunk. Rows of several batches or days
+    are put together by `merge_user_days`, in any order and any number of times.
+    """
+    day = F.datediff(F.col(ts_col).cast("date"), F.lit(FIRST_MONDAY).cast("date"))
+    size = 7 * CHUNK_WEEKS
+    return (
+        events.withColumns({"chunk": F.floor(day / size).cast("int"), "_day": F.pmod(day, F.lit(size))})
+        .groupBy(*USER_DAYS)
+        .agg(F.bit_or(F.expr("shiftleft(1L, _day)")).alias("days"))
+    )
+
+
+def merge_user_days(parts: DataFrame) -> DataFrame:
+    return parts.groupBy(*USER_DAYS).agg(F.bit_or("days").alias("days"))
+
+
+def retention_from_days(
+    days: DataFrame,
+    cohort_event: str,
+    return_event: str,
+    periods: int = 8,
+    project: str | None = None,
+    first_day: object = None,
+    last_day: object = None,
+    with_size: bool = False,
+) -> DataFrame:
+    """`retention` from kept `user_days`: reads a row per user and nine weeks, no events.
+
+    The cohort event lies on the days from `first_day` to `last_day`, both included.
+    """
+    chosen = days.where(F.col("event").isin(cohort_event, return_event))
+    if project is not None:
+        chosen = chosen.where(F.col("project_id") == project)
+    monday = F.lit(FIRST_MONDAY).cast("date")
+    if first_day is not None:
+        first_week = F.datediff(F.date_trunc("week", F.lit(first_day).cast("date")).cast("date"), monday)
+        chosen = chosen.where(F.col("chunk") >= F.floor(first_week / (7 * CHUNK_WEEKS)))
+    week = F.explode(F.sequence(F.lit(0), F.lit(CHUNK_WEEKS - 1))).alias("n")
+    weekly = (
+        merge_user_days(chosen)
+        .select("*", week)
+        .withColumn("bits", F.expr("shiftright(days, 7 * n) & 127L"))
+        .withColumn("week", F.expr(f"date_add(DATE'{FIRST_MONDAY}', 7 * ({CHUNK_WEEKS} * chunk + n))"))
+        .where("bits <> 0")
+    )
+    low, high = F.lit(0), F.lit(6)
+    if first_day is not None:
+        weekly = weekly.where(F.col("week") >= F.date_add(monday, first_week))
+        low = F.greatest(low, F.datediff(F.lit(first_day).cast("date"), F.col("week")))
+    if last_day is not None:
+        high = F.least(high, F.datediff(F.lit(last_day).cast("date"), F.col("week")))
+    inside = F.exists(
+        F.sequence(F.lit(0), F.lit(6)),
+        lambda day: (day >= low) & (day <= high) & F.getbit(F.col("bits"), day).cast("boolean"),
+    )
+    joined = (F.col("event") == cohort_event) & inside
+    weeks = weekly.groupBy("project_id", "user_id").agg(
+        F.collect_list(F.when(joined, F.col("week"))).alias("cohorts"),
+        F.collect_list(F.when(F.col("event") == return_event, F.col("week"))).alias("returns"),
+    )
+    return _retained(weeks, _keys(project, ""), periods, with_size)
+
+
 # Columns of the user listing, in order.
 USER_COLUMNS = ("user_id", "country", "city", "browser", "os", "device_type")
 FILTER_COLUMNS = (

@@ -288,6 +288,33 @@ def retention_with_size(spark, folder):
     )
 
 
+def _user_days(spark, folder):
+    """Days of users, kept by three batches of which one comes twice."""
+    path = scratch_path(spark)
+    events = given.analytics_events(spark, folder)
+    for batch in (0, 1, 2, 1):
+        part = events.where(F.col("event_id") % 3 == batch)
+        sinks.write_batch(analytics.user_days(part), batch, path)
+    return spark.read.parquet(path)
+
+
+@register
+def retention_bitmaps(spark, folder):
+    """The same as `retention`, from the days kept per user."""
+    return _dates_as_text(analytics.retention_from_days(_user_days(spark, folder), "signup", "purchase", 8))
+
+
+@register
+def retention_bitmaps_range(spark, folder):
+    """The same as `retention_with_size`, from the days kept per user."""
+    days = _user_days(spark, folder)
+    return _dates_as_text(
+        analytics.retention_from_days(
+            days, "signup", "purchase", 4, first_day=FROM[:10], last_day=TO[:10], with_size=True
+        )
+    )
+
+
 @register
 def retention_long(spark, folder):
     events = given.analytics_events(spark, folder)

@@ -766,3 +766,6 @@ FROM log GROUP BY project_id, event, bucket""",
 SELECT original_topic || '/' || CAST(original_partition AS VARCHAR) || '/' || original_offset AS id,
   original_topic, original_partition, original_key, reason, 'pending' AS status FROM letters""",
 }
+# The same rows by another way.
+ORACLES["retention_bitmaps"] = ORACLES["retention"]
+ORACLES["retention_bitmaps_range"] = ORACLES["retention_with_size"]

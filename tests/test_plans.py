@@ -92,6 +92,27 @@ def test_overlapping_ranges_agree_on_both_ways(spark):
         assert got == places
 
 
+def test_retention_of_kept_days_reads_no_events(spark, folder):
+    events = given.analytics_events(spark, folder)
+    path = scratch_path(spark)
+    for batch in range(2):
+        sinks.write_batch(analytics.user_days(events.where(F.col("event_id") % 2 == batch)), batch, path)
+    days = spark.read.parquet(path)
+    for first, last in ((None, None), ("2024-01-10", "2024-01-17"), ("2024-01-08", None), (None, "2024-01-20")):
+        found = analytics.retention_from_days(days, "view", "view", 5, first_day=first, last_day=last, with_size=True)
+        assert all(path.rsplit("/", 1)[1] in name for name in found.inputFiles())
+        end = last and f"{last} 23:59:59.999999"
+        assert found.collect() == analytics.retention(events, "view", "view", 5, None, first, end, True).collect()
+
+
+def test_days_before_the_first_monday(spark):
+    rows = [("p", "x", "u", "1969-12-31 12:00:00"), ("p", "y", "u", "1970-01-04 12:00:00"), ("p", "y", "u", "1970-01-05 00:00:00")]
+    events = spark.createDataFrame(rows, "project_id string, event string, user_id string, t string")
+    events = events.withColumn("ts", F.col("t").cast("timestamp_ntz"))
+    found = analytics.retention_from_days(analytics.user_days(events), "x", "y", 2)
+    assert found.collect() == analytics.retention(events, "x", "y", 2).collect()
+
+
 def test_users_page_by_page(spark, folder):
     events = given.analytics_events(spark, folder, with_location=True)
     whole = analytics.users(events, limit=40).collect()
