@@ -8,9 +8,11 @@ P(e|t) that share among the documents with term t, a term discloses
     log(P(e|t) / P(e)) / -log P(e)        (1: the term implies the entity)
 
 Terms above a first threshold are generalised, above a second one removed.
-Terms are all words of a document outside its entities; to count as evidence a
-term must be in several different texts with the same entity. In a document that
-holds the entity, every place of a disclosing term is marked.
+Terms are all words of a document outside its entities. A few texts are no
+estimate: a term must be in SUPPORT different texts with the entity, and the lower
+confidence bound of P(e|t), over different texts, must reach the share at which a
+term is generalised, or one half. In a document that holds the entity, every place
+of a disclosing term is marked.
 """
 
 from __future__ import annotations
@@ -19,13 +21,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.llm.common import whole_text
-from eventloom.llm.spans import Kind, joined, with_matches
+from eventloom.llm.spans import Kind, apart, joined, replaced, with_matches
 from eventloom.session import materialise
 
 #: Disclosure from which a term is generalised, and from which it is removed.
 GENERALISE, REMOVE = 0.85, 0.97
 #: Different texts in which term and entity must stand together.
-SUPPORT = 2
+SUPPORT = 3
+#: Standard deviations by which the share of an entity among a term's texts is
+#: lowered (95 % one-sided), and the share that is enough, whatever the threshold.
+DEVIATIONS, ENOUGH = 1.645, 0.5
 #: Bits of the map of candidate terms that spares counting other words.
 MAP_BITS = 1 << 20
 
@@ -124,21 +129,6 @@ def entities(docs: DataFrame) -> DataFrame:
     return materialise(found.select("doc_id", "text_key", spans.alias("base"), held.alias("held")))
 
 
-def _replaced(df: DataFrame, text: str, spans: str, name: str) -> DataFrame:
-    """Adds `name`: the text with spans (start, stop, mark), by start, replaced by their marks."""
-    done = f"{name}_done"
-    pieces = f"""concat(
-        array_join(transform({spans}, (s, i) ->
-            case when s.start >= {done}[i]
-                 then concat(substring({text}, cast({done}[i] as int) + 1, cast(s.start - {done}[i] as int)), s.mark)
-                 else '' end), ''),
-        substring({text}, cast({done}[size({spans})] as int) + 1))"""
-    sums = f"""transform(sequence(0, size({spans})), i ->
-        aggregate(slice({spans}, 1, i), 0L, (a, s) -> greatest(a, s.stop)))"""
-    clean = F.when(F.size(spans) > 0, F.expr(pieces)).otherwise(F.col(text))
-    return df.withColumn(done, F.expr(sums)).withColumn(name, clean).drop(done)
-
-
 def _held_texts(found: DataFrame) -> DataFrame:
     """`text_key, held, base, words` for every different text with entities.
 
@@ -153,7 +143,7 @@ def _held_texts(found: DataFrame) -> DataFrame:
         )
     )
     texts = found.where("held is not null").select("text_key", "held", "base").dropDuplicates(["text_key"])
-    texts = _replaced(texts.withColumn("holes", holes), "held", "holes", "cut")
+    texts = texts.withColumn("cut", replaced("held", holes))
     words = F.regexp_extract_all(F.lower("cut"), F.lit(rf"[\p{{L}}\p{{N}}{_HOLE}]+"), F.lit(0))
     words = F.filter(F.array_distinct(words), lambda w: ~w.contains(_HOLE))
     return texts.select("text_key", "held", "base", words.alias("words"))
@@ -203,26 +193,40 @@ def _shared_entities(found: DataFrame, n: float) -> DataFrame:
     return materialise(held.join(named.drop("texts"), "entity"))
 
 
+def _lower_bound(share: Column, texts: Column) -> Column:
+    """Wilson's lower confidence bound of a share that was seen in `texts` texts."""
+    z2 = DEVIATIONS**2
+    spread = DEVIATIONS * F.sqrt(share * (1 - share) / texts + z2 / (4 * texts * texts))
+    return (share + z2 / (2 * texts) - spread) / (1 + z2 / texts)
+
+
 def disclosing_terms(docs: DataFrame, words: DataFrame, shared: DataFrame, n: float) -> DataFrame | None:
     """`entity, term, action`: what discloses an entity, and whether it is generalised or removed.
 
     Shares are over all `n` documents. `words` has `text_key, copies, entities, term`
-    for the texts with shared entities. None if no term has support.
+    for the texts with shared entities; `entities` are (entity, n_entity). None if no
+    term has support.
     """
-    together = (
-        words.select(F.explode("entities").alias("entity"), "term", "copies")
-        .groupBy("entity", "term")
-        .agg(F.sum("copies").alias("n_both"), F.count(F.lit(1)).alias("texts"))
-        .where(F.col("texts") >= SUPPORT)
+    # A term is in as many documents as it is in with shared entities, at least. It can
+    # reach the threshold for an entity only if these are not too many for the
+    # entity's own number, so common words never meet the entities of a text.
+    room = lambda n_entity: n_entity * F.exp(F.log(F.lit(n) / n_entity) * (1 - GENERALISE))
+    widest = shared.agg(F.max(room(F.col("n_entity")))).first()[0] or 0.0
+    seen = (
+        words.groupBy("term")
+        .agg(F.sum("copies").alias("n_seen"), F.count(F.lit(1)).alias("texts"))
+        .where((F.col("texts") >= SUPPORT) & (F.col("n_seen") <= widest))
+        .drop("texts")
     )
-    seen = words.groupBy("term").agg(F.sum("copies").alias("n_seen"))
-    named = shared.select("entity", "n_entity").distinct()
+    near = F.filter("entities", lambda e: room(e["n_entity"]) >= F.col("n_seen"))
     known = F.log(F.lit(n) / F.col("n_entity"))
-    # A term is in as many documents as it is in with shared entities, at least;
-    # pairs that cannot reach the threshold with that many are left out here.
     most = F.col("n_both") * F.exp(known * (1 - GENERALISE))
     candidates = materialise(
-        together.join(seen, "term").join(named, "entity").where(F.col("n_seen") <= most)
+        words.join(seen, "term")
+        .select(F.explode(near).alias("e"), "term", "copies", "n_seen")
+        .groupBy("e.entity", "e.n_entity", "term", "n_seen")
+        .agg(F.sum("copies").alias("n_both"), F.count(F.lit(1)).alias("texts"))
+        .where((F.col("texts") >= SUPPORT) & (F.col("n_seen") <= most))
     )
     if candidates.isEmpty():
         return None
@@ -233,8 +237,12 @@ def disclosing_terms(docs: DataFrame, words: DataFrame, shared: DataFrame, n: fl
         F.count(F.lit(1)).alias("n_term")
     )
     gained = F.log(F.col("n_both") * F.lit(n) / (F.col("n_term") * F.col("n_entity")))
+    # Copies say nothing more: the bound is that of the different texts.
+    share = F.least(F.col("n_both") / F.col("n_term"), F.lit(1.0))
+    least = F.least(F.exp(-known * (1 - GENERALISE)), F.lit(ENOUGH))
     return materialise(
         candidates.join(alone, "term")
+        .where(_lower_bound(share, F.col("texts") / share) >= least)
         .withColumn("disclosed", gained / known)
         .where(F.col("disclosed") >= GENERALISE)
         .select(
@@ -254,7 +262,8 @@ def with_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
     n = float(found.count())
     shared = _shared_entities(found, n)
     lists = shared.groupBy("text_key").agg(
-        F.collect_list("entity").alias("entities"), F.first("copies").alias("copies")
+        F.collect_list(F.struct("entity", "n_entity")).alias("entities"),
+        F.first("copies").alias("copies"),
     )
     texts = materialise(_held_texts(found).join(lists, "text_key"))
     words = texts.select("text_key", "copies", "entities", F.explode("words").alias("term"))
@@ -266,31 +275,31 @@ def with_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
     # A word that discloses two entities counts once, by the stronger action.
     hits = (
         _on_map(words, _marked(_slot(), disclosing))
-        .select("text_key", "term", F.explode("entities").alias("entity"))
+        .select("text_key", "term", F.explode("entities.entity").alias("entity"))
         .join(disclosing, ["entity", "term"])
         .groupBy("text_key", "term")
         .agg(F.max("action").alias("action"))
-        .groupBy("text_key")
-        .agg(F.map_from_entries(F.collect_list(F.struct("term", "action"))).alias("actions"))
     )
-    place = Kind(
-        TERM, _WORD, lambda t: F.lit(True), lambda m: F.map_contains_key("actions", F.lower(m))
+    place = Kind(TERM, _WORD, lambda t: F.lit(True), lambda m: F.lit(True))
+    marked = texts.join(hits.select("text_key").distinct(), "text_key", "left_semi")
+    placed = with_matches(marked, "held", place, "places").select(
+        "text_key", F.explode(apart(F.col("places"), F.col("base"))).alias("place")
     )
-    placed = with_matches(texts.join(hits, "text_key"), "held", place, "places")
-    outside = F.filter(
-        "places",
-        lambda w: F.forall("base", lambda s: (s["start"] >= w["stop"]) | (s["stop"] <= w["start"])),
+    # Places are joined with the words, not looked up in a list of them, which a
+    # long text would walk once per place.
+    placed = _on_map(placed.withColumn("term", F.lower("place.value")), _marked(_slot(), disclosing))
+    spans = F.array_sort(
+        F.collect_list(F.struct("place.start", "place.stop", "place.kind", "action"))
     )
-    spans = F.transform(
-        outside,
-        lambda w: F.struct(
-            w["kind"].alias("kind"),
-            w["start"].alias("start"),
-            w["stop"].alias("stop"),
-            F.element_at("actions", F.lower(w["value"])).alias("action"),
-        ),
+    return (
+        placed.join(hits, ["text_key", "term"])
+        .groupBy(F.col("text_key").alias("key_text"))
+        .agg(
+            F.transform(
+                spans, lambda w: F.struct(w["kind"], w["start"], w["stop"], w["action"])
+            ).alias("terms")
+        )
     )
-    return placed.select(F.col("text_key").alias("key_text"), spans.alias("terms"))
 
 
 def _same(left: DataFrame, right: DataFrame) -> Column:
@@ -353,7 +362,7 @@ def redact(docs: DataFrame) -> DataFrame:
         )
     )
     clean = wide.join(terms, _same(wide, terms), "left").withColumn("spans", spans)
-    clean = _replaced(clean, "text", "spans", "clean")
+    clean = clean.withColumn("clean", replaced("text", F.col("spans")))
     text = F.when(F.col("row.text").isNotNull(), F.col("clean"))
     new = {"text": text, "n_chars": F.coalesce(F.length(text).cast("long"), F.col("row.n_chars")) if "n_chars" in own else None}
     return clean.select(*[(new[c] if c in new else F.col(f"row.`{c}`")).alias(c) for c in own])

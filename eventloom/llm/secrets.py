@@ -16,13 +16,11 @@ and length, as short strings are harder to tell apart.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.llm.common import whole_text
-from eventloom.llm.spans import Kind, by_start, joined, with_matches
+from eventloom.llm.spans import Kind, apart, by_start, joined, let, with_matches
 from eventloom.session import materialise
 
 #: Expected share of false finds that is accepted, and steps of the thresholds.
@@ -69,11 +67,6 @@ _STRINGS = Kind(
 )
 
 
-def _let(value: Column, then: Callable[[Column], Column]) -> Column:
-    """`then(value)` with value computed once."""
-    return F.transform(F.array(value), then)[0]
-
-
 def _below(z: Column) -> Column:
     """Normal distribution function, to three digits."""
     return 1 / (1 + F.exp(-1.5976 * z - 0.07056 * z * z * z))
@@ -89,7 +82,7 @@ def battery(x: Column, k: int) -> Column:
     ordered = F.aggregate(
         F.array_sort(x),
         F.struct(F.lit(0).alias("last"), F.lit(0).alias("run"), F.lit(0.0).alias("squares")),
-        lambda a, s: _let(
+        lambda a, s: let(
             F.when(s == a["last"], a["run"] + 1).otherwise(1),
             lambda run: F.struct(
                 s.alias("last"),
@@ -117,7 +110,7 @@ def battery(x: Column, k: int) -> Column:
             (a["product"] + (p["a"] - middle) * (p["b"] - middle)).alias("product"),
         ),
     )
-    runs = _let(
+    runs = let(
         walked,
         lambda w: F.struct(
             _both_sides((w["crossed"] - (n - 1) / 2) / F.sqrt((n - 1) / 4)).alias("runs"),
@@ -132,9 +125,9 @@ def battery(x: Column, k: int) -> Column:
             + F.log(F.greatest(r["runs"], least))
             + F.log(F.greatest(r["serial"], least))
         )
-        return _let(half, lambda h: F.exp(-h) * (1 + h + h * h / 2))
+        return let(half, lambda h: F.exp(-h) * (1 + h + h * h / 2))
 
-    return _let(runs, fisher)
+    return let(runs, fisher)
 
 
 def _symbols(value: Column, alphabet: str) -> Column:
@@ -148,7 +141,7 @@ def _symbols(value: Column, alphabet: str) -> Column:
 
 
 def _p_value(value: Column, alphabet: str) -> Column:
-    return _let(_symbols(value, alphabet), lambda x: battery(x, len(alphabet)))
+    return let(_symbols(value, alphabet), lambda x: battery(x, len(alphabet)))
 
 
 def judged(span: Column) -> Column:
@@ -213,12 +206,8 @@ def find_secrets(docs: DataFrame, false_share: float = FALSE_SHARE) -> DataFrame
     for kind in [*KINDS, _STRINGS]:
         df = with_matches(df, "text", kind, f"m_{kind.name}")
     df = df.withColumn("base", F.concat(*[f"m_{k}" for k in BASE]))
-    apart = F.filter(
-        f"m_{RANDOM}",
-        lambda s: F.forall("base", lambda b: (b["start"] >= s["stop"]) | (b["stop"] <= s["start"])),
-    )
     found = materialise(
-        df.withColumn("apart", apart).select(
+        df.withColumn("apart", apart(F.col(f"m_{RANDOM}"), F.col("base"))).select(
             "doc_id", by_start(F.col("base"), BASE).alias("base"), F.transform("apart", judged).alias("strings")
         )
     )

@@ -1,4 +1,4 @@
-"""Token counts, conversation repair and spelling variants against plain Python."""
+"""Token counts, conversation repair, spelling variants, and spans against plain Python."""
 
 from __future__ import annotations
 
@@ -8,9 +8,10 @@ from collections import defaultdict
 import public_tokenizers
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from eventloom.llm import catalogue, conversations, tokencounts, variants
+from eventloom.llm import catalogue, conversations, privacy, secrets, spans, tokencounts, variants
 from tests.llm import brute
 
 SMALL = "/root/testdata/sf0.01"
@@ -217,3 +218,62 @@ def test_variant_query_agrees_with_all_pairs(spark, tmp_path):
     rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     got = found_variants(catalogue.op13_variants(spark, "/root/testdata/sf0.001"))
     assert got == sorted(map(repr, brute.variants([tuple(r) for r in rows.collect()])))
+
+
+def test_two_texts_are_no_evidence(spark):
+    """Two texts that share an address and rare words disclose nothing; four texts do."""
+    rare = "beryl topaz zircon garnet spinel kyanite olivine"
+    rows = [(i, f"ordinary words about nothing number{i} from somewhere") for i in range(200)]
+    rows += [(300 + i, f"{n} note on {rare} ask m@mail.example.com") for i, n in enumerate(("first", "second"))]
+    rows += [(400 + i, f"{n} memo of Quillon via q@mail.example.com") for i, n in enumerate("abcd")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = {r["doc_id"]: r["text"] for r in privacy.redact(docs).collect()}
+    assert clean[300] == f"first note on {rare} ask [EMAIL]" and clean[301] == f"second note on {rare} ask [EMAIL]"
+    assert all("Quillon" not in clean[400 + i] and "[EMAIL]" in clean[400 + i] for i in range(4))
+    assert all(clean[i] == text for i, text in rows[:200])
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_spans_against_brute_force(spark, seed):
+    """Spans apart from others, and replaced spans, overlapping and nested ones too."""
+    rng = random.Random(seed)
+    rows = []
+    for number in range(60):
+        text = "".join(rng.choice("ab é😀\n") for _ in range(rng.choice((0, 1, 5, 900, 5000))))
+
+        def some(n, text=text):
+            starts = sorted(rng.randrange(len(text)) for _ in range(n)) if text else []
+            return [("k", a, min(len(text), a + rng.randrange(1, 12)), "v") for a in starts]
+
+        mine = [s for i, s in enumerate(some(rng.choice((0, 1, 40)))) if i % 2 == 0]
+        rows.append((number, text, mine, some(rng.choice((0, 1, 30)))))
+    span = "array<struct<kind:string,start:bigint,stop:bigint,value:string>>"
+    df = spark.createDataFrame(rows, f"id int, text string, mine {span}, others {span}")
+    marks = F.array_sort(
+        F.transform("others", lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), F.lit("[X]").alias("mark")))
+    )
+    got = df.select(
+        "id", spans.apart(F.col("mine"), F.col("others")).alias("apart"), spans.replaced("text", marks).alias("new")
+    ).collect()
+    for row in got:
+        _, text, mine, others = rows[row["id"]]
+        free = [s for s in mine if all(o[1] >= s[2] or o[2] <= s[1] for o in others)]
+        assert sorted(map(tuple, row["apart"])) == sorted(free)
+        new, done = "", 0
+        for _, a, b, _ in sorted(others, key=lambda o: (o[1], o[2])):
+            if a >= done:
+                new += text[done:a] + "[X]"
+            done = max(done, b)
+        assert row["new"] == new + text[done:]
+
+
+def test_many_matches_in_one_text(spark):
+    n = 30_000
+    texts = [" ".join(f"user{i}@host{i % 97}.example.com" for i in range(n)),
+             " ".join(f"password=abcdefgh{i:06d}" for i in range(n))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r for r in privacy.find_private(docs).collect()}
+    assert found[0]["base_sha256"] == brute.digest(brute.private(texts[0])[1]) and found[0]["n_email"] == n
+    held = {r["doc_id"]: r for r in secrets.find_secrets(docs).collect()}
+    assert held[1]["base_sha256"] == brute.digest(brute.secrets(texts[1])[1]) and held[1]["n_assign"] == n
+    assert {r["doc_id"]: r["text"] for r in privacy.redact(docs).collect()}[0] == " ".join(["[EMAIL]"] * n)
