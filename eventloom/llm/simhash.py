@@ -195,6 +195,21 @@ class Groups:
             np.minimum.at(self.parent, np.maximum(x, y), np.minimum(x, y))
 
 
+class Crossings(Groups):
+    """Joins the pairs only whose rows may be of different groups; `met` marks these rows."""
+
+    def __init__(self, group: np.ndarray, mixed: np.ndarray) -> None:
+        super().__init__(len(group))
+        self.group, self.mixed = group, mixed
+        self.met = np.zeros(len(group), dtype=bool)
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> None:
+        apart = (self.group[a] != self.group[b]) | self.mixed[a] | self.mixed[b]
+        a, b = a[apart], b[apart]
+        self.met[a] = self.met[b] = True
+        super().join(a, b)
+
+
 def _link(
     values: np.ndarray,
     half: np.ndarray,
@@ -480,9 +495,10 @@ def meetings(distinct: DataFrame) -> DataFrame:
     """`number, half, company, members`: halves that nodes of different groups meet at.
 
     `distinct` has `number, half, n, group`: how many nodes have the half, and their group,
-    missing where there are several. Halves of one number that differ in at most one bit are
-    in a company together, found in the shards of a vantage-point tree; a half may be in
-    several, but each two that are so near are in one. Companies of one group are left out.
+    missing where there are several. Halves of one number that differ in at most one bit, and
+    whose nodes are of different groups, are in a company together, found in the shards of a
+    vantage-point tree; a half may be in several, but each two that are so near are in one.
+    Halves that meet their own group only are left out, however many others of it do not.
     """
     ship_package(distinct.sparkSession)
     rows, numbers = distinct.agg(F.count(F.lit(1)), F.count_distinct("number")).first()
@@ -509,27 +525,20 @@ def meetings(distinct: DataFrame) -> DataFrame:
         shard = shard.sort_by([("home", "descending")])
         home = shard["home"].to_numpy()
         values = shard["half"].to_numpy().view(np.uint32)
-        companies = Groups(len(values))
-        _link(values, values, np.arange(home.sum()), np.arange(len(values)), companies, HALF_RADIUS, HALF_RADIUS)
-        roots, company = np.unique(companies.find(np.arange(len(values))), return_inverse=True)
         mixed = shard["group"].is_null().to_numpy()
-        group = shard["group"].fill_null(0).to_numpy()
-        low, high = np.full(len(roots), 2**31 - 1), np.full(len(roots), -(2**31))
-        np.minimum.at(low, company[~mixed], group[~mixed])
-        np.maximum.at(high, company[~mixed], group[~mixed])
-        several = (low < high) | (np.bincount(company, mixed, len(roots)) > 0)
-        # A guest that meets nobody here meets its own nodes at home.
-        several &= np.bincount(company, home, len(roots)) > 0
-        members = np.bincount(company, shard["n"].to_numpy(), len(roots)).astype(np.int64)
-        kept = np.flatnonzero(several[company])
+        companies = Crossings(shard["group"].fill_null(0).to_numpy(), mixed)
+        _link(values, values, np.arange(home.sum()), np.arange(len(values)), companies, HALF_RADIUS, HALF_RADIUS)
+        kept = np.flatnonzero(companies.met)
+        roots, company = np.unique(companies.find(kept), return_inverse=True)
+        members = np.bincount(company, shard["n"].to_numpy()[kept], len(roots)).astype(np.int64)
         columns = shard.select(["number", "half", "shard"]).take(pa.array(kept))
-        return columns.append_column("root", pa.array(values[roots[company[kept]]].view(np.int32))).append_column(
-            "members", pa.array(members[company[kept]])
+        return columns.append_column("root", pa.array(values[roots[company]].view(np.int32))).append_column(
+            "members", pa.array(members[company])
         )
 
     return (
         distinct.select("number", "half", "n", "group")
-        .mapInArrow(placed, "number int, half int, n bigint, group int, shard int, home boolean")
+        .mapInArrow(placed, "number int, half int, n bigint, group bigint, shard int, home boolean")
         .groupBy("shard", "number")
         .applyInArrow(met, "number int, half int, shard int, root int, members bigint")
         .select("number", "half", F.xxhash64("number", "shard", "root").alias("company"), "members")
@@ -567,10 +576,9 @@ def _prints(rows: pa.Table) -> np.ndarray:
 def _wave(nodes: DataFrame, numbers: tuple[int, int], near_bits: int) -> DataFrame:
     """Nodes with `group` joined where candidates of some bands connect groups."""
     halves = bands(nodes, numbers)
-    tag = F.hash("group")
     distinct = materialise(
         halves.groupBy("number", "half")
-        .agg(F.count(F.lit(1)).alias("n"), F.min(tag).alias("low"), F.max(tag).alias("high"))
+        .agg(F.count(F.lit(1)).alias("n"), F.min("group").alias("low"), F.max("group").alias("high"))
         .select("number", "half", "n", F.when(F.col("low") == F.col("high"), F.col("low")).alias("group"))
     )
     open_ = meetings(distinct)
