@@ -17,7 +17,7 @@ from eventloom.sources.tables import read_events, scan_events, scan_rollups
 from eventloom.sources.tables import read_geo_ranges as read_ranges
 from eventloom.sources.tables import read_schema_registry as read_registry
 from eventloom.streaming import stages
-from eventloom.streaming.state import advance_anchors
+from eventloom.streaming.state import with_anchors, with_quota
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -853,17 +853,11 @@ ONCE = {"availableNow": True}
 MESSAGE_TOPIC = topics.RAW
 
 
-def _anchored(stream: DataFrame, keys, ts_col, ttl, delay, tie_col, *columns) -> DataFrame:
-    """Run a stream through the anchor state, batch by batch, and read the result."""
-    spark, path = stream.sparkSession, scratch_path(stream.sparkSession)
+def _drained(stream: DataFrame, path: str, *columns: str) -> None:
+    """Write what a stream has to `path`, batch by batch, until it is used up."""
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        configure(batch.sparkSession)
-        with scratch_scope(batch.sparkSession):
-            marked = advance_anchors(
-                batch, batch_id, keys, ts_col, ttl, delay, f"{path}/state", tie_col
-            )
-            sinks.write_batch(marked.select(*columns), batch_id, f"{path}/rows")
+        sinks.write_batch(batch.select(*columns), batch_id, f"{path}/rows")
 
     query = (
         stream.writeStream.foreachBatch(on_batch)
@@ -872,7 +866,13 @@ def _anchored(stream: DataFrame, keys, ts_col, ttl, delay, tie_col, *columns) ->
         .start()
     )
     query.awaitTermination()
-    return spark.read.parquet(f"{path}/rows").drop("batch_id")
+
+
+def _anchored(stream: DataFrame, keys, ts_col, ttl, delay, tie_col, *columns) -> DataFrame:
+    """Run a stream through the anchor state and read the result."""
+    path = scratch_path(stream.sparkSession)
+    _drained(with_anchors(stream, keys, ts_col, ttl, delay, tie_col), path, *columns)
+    return stream.sparkSession.read.parquet(f"{path}/rows").drop("batch_id")
 
 
 @register
@@ -900,6 +900,25 @@ def stream_sessions(spark, folder):
     )
 
 
+# A daily quota, with requests that come in three parts, cut in the middle of days.
+QUOTA_CUTS = ("2024-01-10 12:00:00", "2024-01-20 07:30:00")
+
+
+@register
+def stream_quota(spark, folder):
+    """`rate_limit` of 40 a day, decided batch by batch; a query is started for each."""
+    path = scratch_path(spark)
+    requests = given.requests(spark, folder)
+    at = F.col("arrival_ts")
+    low, high = (F.lit(cut).cast(requests.schema["arrival_ts"].dataType) for cut in QUOTA_CUTS)
+    for part in (at < low, (at >= low) & (at < high), at >= high):
+        requests.where(part).write.mode("append").parquet(f"{path}/requests")
+        stream = spark.readStream.schema(requests.schema).parquet(f"{path}/requests")
+        checked = with_quota(stream, "api_key", "arrival_ts", ["event_id"], 40, 86400, 3600)
+        _drained(checked, path, "event_id", "quota_key", "allowed", "remaining")
+    return spark.read.parquet(f"{path}/rows").drop("batch_id")
+
+
 @register
 def stream_rollups(spark, folder):
     """Rollup deltas of micro-batches, merged when read."""
@@ -979,7 +998,6 @@ def stream_ingest(spark, folder):
     stages.start_ingest(
         _topic(spark, _batches(once.unionByName(again), "arrival_ts"), MESSAGE_TOPIC),
         topics.to_files(f"{path}/raw"),
-        f"{path}/state",
         f"{path}/checkpoint",
         ONCE,
     ).awaitTermination()
@@ -1006,7 +1024,6 @@ def stream_enrichment(spark, folder):
         given.geo_ranges(spark, folder),
         topics.to_files(f"{path}/enriched"),
         topics.to_files(f"{path}/dead"),
-        f"{path}/state",
         f"{path}/checkpoint",
         ONCE,
     ).awaitTermination()

@@ -726,6 +726,9 @@ SELECT stage, round(CASE WHEN isinf(le) THEN low_le
 SELECT k.event_id, k.seq FROM keyed k
 JOIN anchors a ON a.dedup_key = k.dedup_key AND a.anchor = k.arrival_ts""",
     "stream_sessions": _SESSIONS,
+    "stream_quota": f"""WITH {REQUESTS},
+hashed AS (SELECT *, substr(sha256(api_key), 1, 16) AS quota_key FROM requests)
+SELECT event_id, quota_key, allowed, remaining FROM ({_quota(40, 86400)})""",
     "stream_rollups": f"WITH {ROLLUPS} SELECT project_id, event, bucket, count FROM rollups",
     "stream_ingest": f"""WITH {BODIES}
 SELECT project_id, event, user_id, CAST(ms AS BIGINT) AS ms FROM bodies WHERE c NOT BETWEEN 1 AND 7""",

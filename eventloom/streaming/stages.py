@@ -14,7 +14,7 @@ from eventloom.operators import deadletter, enrich, ingest, rollups, validate
 from eventloom.session import configure, materialise, scratch_scope
 from eventloom.sources import sinks
 from eventloom.sources.topics import Sink
-from eventloom.streaming.state import advance_anchors
+from eventloom.streaming.state import with_anchors
 
 # Time between two announcements, and between two writes.
 LIVE_INTERVAL = "60 seconds"
@@ -94,22 +94,22 @@ def raw_messages(items: DataFrame) -> DataFrame:
 def start_ingest(
     bodies: DataFrame,
     raw_sink: Sink,
-    state_path: str,
     checkpoint: str,
     trigger: dict | None = None,
 ) -> StreamingQuery:
     """Accept request bodies: valid events, each once within 60 seconds."""
+    configure(bodies.sparkSession)
+    marked = with_anchors(
+        valid_items(bodies), ["dedup_key"], "arrival_ts", ingest.DEDUP_SECONDS,
+        DEDUP_DELAY_SECONDS, "place",
+    )
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         configure(batch.sparkSession)
-        items = materialise(valid_items(batch))
-        marked = advance_anchors(
-            items, batch_id, ["dedup_key"], "arrival_ts", ingest.DEDUP_SECONDS,
-            DEDUP_DELAY_SECONDS, state_path, "place",
-        )
-        raw_sink(raw_messages(marked.where(F.col("sets_anchor"))), batch_id)
+        # Written first: a sink that knows the batch reads nothing, and the state must go on.
+        raw_sink(raw_messages(materialise(batch.where("sets_anchor"))), batch_id)
 
-    return _run(bodies, on_batch, checkpoint, "ingest", trigger)
+    return _run(marked, on_batch, checkpoint, "ingest", trigger)
 
 
 # --- validation and enrichment -----------------------------------------------
@@ -168,34 +168,33 @@ def start_enrichment(
     ranges: DataFrame,
     enriched_sink: Sink,
     dead_letter_sink: Sink,
-    state_path: str,
     checkpoint: str,
     trigger: dict | None = None,
 ) -> StreamingQuery:
     """Validate, route and enrich; both outputs of a batch come from one pass.
 
-    Sessions expire by arrival, like the memory of seen events.
+    Sessions expire by arrival, like the memory of seen events. Rejected messages and those
+    without a user pass the state by.
     """
+    configure(messages.sparkSession)
+    named = validate.judge(messages, rules).withColumns(
+        {
+            "session_user": F.when(F.col("reason").isNull(), F.nullif(F.col("user_id"), F.lit(""))),
+            "place": F.struct("topic", "partition", "offset"),
+        }
+    )
+    anchored = with_anchors(
+        named, ["project_id", "session_user"], "arrival_ts", enrich.SESSION_SECONDS,
+        SESSION_DELAY_SECONDS, "place",
+    )
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         configure(batch.sparkSession)
-        valid, rejected = validate.route_valid_rejected(
-            materialise(validate.judge(batch, rules))
-        )
-        named = valid.withColumns(
-            {
-                "session_user": F.nullif(F.col("user_id"), F.lit("")),
-                "place": F.struct("topic", "partition", "offset"),
-            }
-        )
-        anchored = advance_anchors(
-            named, batch_id, ["project_id", "session_user"], "arrival_ts",
-            enrich.SESSION_SECONDS, SESSION_DELAY_SECONDS, state_path, "place",
-        )
-        enriched_sink(enriched_messages(anchored, ranges), batch_id)
+        valid, rejected = validate.route_valid_rejected(materialise(batch))
+        enriched_sink(enriched_messages(valid, ranges), batch_id)
         dead_letter_sink(dead_letter_messages(rejected), batch_id)
 
-    return _run(messages, on_batch, checkpoint, "enrichment", trigger)
+    return _run(anchored, on_batch, checkpoint, "enrichment", trigger)
 
 
 # --- storage -----------------------------------------------------------------

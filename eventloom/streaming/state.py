@@ -1,77 +1,255 @@
-"""Fixed-expiry anchors carried from one micro-batch to the next.
+"""Keyed state of streams, kept in Spark's state store.
 
-The state is a small table with the running anchor of every key, one folder per
-batch. A batch reads the folder of the batch before and writes its own, so a
-replay finds the same state again and replaces what it wrote. The anchors
-themselves come from the batch operator: nothing here touches rows in Python.
+A stream is grouped by key; a key's rows of a micro-batch and what is stored of it meet in
+one function on the workers. Only keys of the batch, and those due to be forgotten, are
+handed to Python. Time is the stream's own: the watermark tells when what is stored of a
+key may go, and no row is dropped for being late. The number of shuffle partitions at a
+query's first start is kept by its checkpoint: choose it for the cluster.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
+from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from eventloom.functions import clock
-from eventloom.operators.anchors import MICROS, attach_anchors
-from eventloom.session import materialise, remove_folder
+from eventloom.functions import clock, identity
+from eventloom.session import ship_package
 
+MICROS = 1_000_000
+#: Keeps the state on disk, and only its changes in the checkpoint folder. Keys are forgotten
+#: when data comes; otherwise each batch would ask for another one, and no run would end.
+STORE = {
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+#: Groups that rows without a key are spread over.
+KEYLESS_GROUPS = 1024
+#: Rows travel as JSON beside their key, time and tie; instants keep their microseconds.
+AS_JSON = {
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+    "ignoreNullFields": "false",
+}
 
-def _previous(spark: SparkSession, path: str, batch_id: int, empty: DataFrame) -> DataFrame:
-    """Running anchors after the batch before this one."""
-    try:
-        return spark.read.schema(empty.schema).parquet(f"{path}/batch={batch_id - 1}")
-    except AnalysisException as error:
-        if batch_id == 0 and "PATH_NOT_FOUND" in str(error):
-            return empty
-        raise
+Frames = Iterator[pd.DataFrame]
+Step = Callable[[tuple, Frames, GroupState], Frames]
 
 
-def advance_anchors(
-    events: DataFrame,
-    batch_id: int,
+def _stateful(
+    stream: DataFrame,
+    key: Column,
+    us: Column,
+    ties: Sequence[str],
+    delay_seconds: int,
+    added: str,
+    stored: str,
+    step: Step,
+) -> DataFrame:
+    """The stream's rows with the columns `added` by `step`, which sees a key at a time.
+
+    `key` is JSON text, or NULL for rows that have no state.
+    """
+    spark = stream.sparkSession
+    ship_package(spark)
+    for name, value in STORE.items():
+        spark.conf.set(name, value)
+    fields = stream.schema.fields
+    variant = {f.name for f in fields if isinstance(f.dataType, T.VariantType)}
+    columns = [F.to_json(f.name).alias(f.name) if f.name in variant else F.col(f.name) for f in fields]
+    plain = T.StructType(
+        [T.StructField(f.name, T.StringType() if f.name in variant else f.dataType) for f in fields]
+    )
+    rows = (
+        stream.select(
+            key.alias("key"),
+            us.alias("us"),
+            F.to_json(F.struct(*ties), AS_JSON).alias("tie"),
+            F.to_json(F.struct(*columns), AS_JSON).alias("payload"),
+            F.timestamp_micros(us).alias("clock"),
+        )
+        .withColumn(
+            "key",
+            F.coalesce("key", F.pmod(F.xxhash64("payload"), F.lit(KEYLESS_GROUPS)).cast("string")),
+        )
+        .withWatermark("clock", f"{delay_seconds} seconds")
+    )
+    stepped = rows.groupBy("key").applyInPandasWithState(
+        step, f"payload string, {added}", stored, "append", GroupStateTimeout.ProcessingTimeTimeout
+    )
+    back = stepped.withColumn("payload", F.from_json("payload", plain, AS_JSON))
+    names = [f.name for f in T.StructType.fromDDL(added).fields]
+    return back.select(
+        *[
+            (F.parse_json(f"payload.{n}") if n in variant else F.col(f"payload.{n}")).alias(n)
+            for n in plain.names
+        ],
+        *names,
+    )
+
+
+def _forget(state: GroupState, ends_us: int, wait_ms: int) -> None:
+    """Drop what is stored once the watermark has passed its end; else look again later.
+
+    Being woken by the clock on the wall is not enough: a stream that lags behind would
+    forget keys whose next events it has not read yet.
+    """
+    if state.getCurrentWatermarkMs() * 1000 >= ends_us:
+        state.remove()
+    else:
+        state.setTimeoutDuration(wait_ms)
+
+
+def _tie(text: str) -> tuple:
+    """Tie columns in their order; missing ones come first, as in Spark."""
+    return json.loads(
+        text, object_pairs_hook=lambda pairs: tuple((v is not None, v) for _, v in pairs)
+    )
+
+
+# --- anchors -----------------------------------------------------------------
+
+
+def run_anchors(at: np.ndarray, running: int | None, ttl: int) -> np.ndarray:
+    """Anchors of some instants, ascending, from the running one on, which comes first."""
+    values = np.unique(at)
+    found = [] if running is None else [running]
+    i = 0 if running is None else int(np.searchsorted(values, running + ttl))
+    while i < len(values):
+        found.append(int(values[i]))
+        i = int(np.searchsorted(values, found[-1] + ttl))
+    return np.array(found, dtype=np.int64)
+
+
+def _anchor_step(ttl: int, wait_ms: int) -> Step:
+    def step(key: tuple, frames: Frames, state: GroupState) -> Frames:
+        if state.hasTimedOut:
+            _forget(state, state.get[0] + ttl, wait_ms)
+            return
+        if not key[0].startswith("{"):
+            for frame in frames:
+                missing = pd.array([None] * len(frame), dtype="Int64")
+                yield frame[["payload"]].assign(anchor_us=missing, sets_anchor=False)
+            return
+        rows = pd.concat(list(frames), ignore_index=True)
+        running = state.get[0] if state.exists else None
+        at = rows["us"].to_numpy(dtype=np.int64)
+        if running is not None:
+            at = np.maximum(at, running)
+        anchors = run_anchors(at, running, ttl)
+        anchor = anchors[np.searchsorted(anchors, at, side="right") - 1]
+        sets = np.zeros(len(rows), dtype=bool)
+        first: dict[int, int] = {}
+        ties = rows["tie"].to_numpy()
+        for i in np.flatnonzero(at == anchor):
+            a = int(anchor[i])
+            if a != running and (a not in first or _tie(ties[i]) < _tie(ties[first[a]])):
+                first[a] = i
+        sets[list(first.values())] = True
+        state.update((int(anchors[-1]),))
+        state.setTimeoutDuration(wait_ms)
+        yield rows[["payload"]].assign(anchor_us=anchor, sets_anchor=sets)
+
+    return step
+
+
+def with_anchors(
+    stream: DataFrame,
     keys: Sequence[str],
     ts_col: str,
     ttl_seconds: int,
     delay_seconds: int,
-    state_path: str,
     tie_col: str,
 ) -> DataFrame:
-    """Add `anchor_us` and `sets_anchor` to the events of a micro-batch.
+    """Add `anchor_us` and `sets_anchor` to the events of a stream.
 
-    Anchors go on from the state. An event older than its key's running anchor,
-    a late one, joins that anchor. A running anchor is forgotten once the latest
-    event lies `delay_seconds` behind its end. `tie_col` is unique among the
-    events of a key at one instant. Events with a NULL key have no anchor.
+    Anchors go on from batch to batch. An event older than its key's running anchor, a
+    late one, joins that anchor. A running anchor is forgotten once the latest event lies
+    `delay_seconds` behind its end. `tie_col` is unique among the events of a key at one
+    instant. Events without a time or a part of their key have no anchor. A task holds the
+    rows that one key has in one micro-batch; the source's limit per trigger bounds them.
     """
-    keys = list(keys)
-    spark = events.sparkSession
-    timed = events.withColumn("_at", clock.micros(F.col(ts_col)))
-    empty = timed.select(*keys, F.col("_at").alias("running")).limit(0)
-    running = _previous(spark, state_path, batch_id, empty)
-
-    # A running anchor takes part as the first event of its key.
-    placed = timed.join(running, keys, "left").withColumn("_at", F.greatest("_at", "running"))
-    seeds = running.select(*keys, F.col("running").alias("_at"))
-    both = placed.drop("running").withColumn("_seed", F.lit(False)).unionByName(
-        seeds.withColumn("_seed", F.lit(True)), allowMissingColumns=True
-    )
-    ranked = both.withColumn("_tie", F.struct(~F.col("_seed"), F.col(tie_col)))
-    marked = materialise(
-        attach_anchors(ranked, keys, "_at", ttl_seconds, tie_col="_tie").drop("_tie")
+    us = clock.micros(F.col(ts_col))
+    known = us.isNotNull()
+    for name in keys:
+        known = known & F.col(name).isNotNull()
+    ttl = ttl_seconds * MICROS
+    wait_ms = max(1, ttl_seconds + delay_seconds) * 1000
+    key = F.when(known, F.to_json(F.struct(*keys), AS_JSON))
+    return _stateful(
+        stream, key, us, [tie_col], delay_seconds,
+        "anchor_us bigint, sets_anchor boolean", "running bigint", _anchor_step(ttl, wait_ms),
     )
 
-    latest = marked.agg(F.max("_at")).first()[0]
-    if latest is not None:
-        known = marked.where(F.col("anchor_us").isNotNull())
-        state = known.groupBy(*keys).agg(F.max("anchor_us").alias("running"))
-        forgotten = latest - (ttl_seconds + delay_seconds) * MICROS
-        running = state.where(F.col("running") > forgotten)
-    running.select(*keys, "running").write.mode("overwrite").parquet(
-        f"{state_path}/batch={batch_id}"
+
+# --- quota -------------------------------------------------------------------
+
+#: Windows without a time never end.
+NEVER = 2**62
+
+
+def _quota_step(limit: int, width: int, wait_ms: int) -> Step:
+    def decided(rows: pd.DataFrame, remaining: np.ndarray, allowed: bool) -> pd.DataFrame:
+        return rows[["payload"]].assign(allowed=allowed, remaining=remaining)
+
+    def step(key: tuple, frames: Frames, state: GroupState) -> Frames:
+        if state.hasTimedOut:
+            _forget(state, state.get[1], wait_ms)
+            return
+        used = state.get[0] if state.exists else 0
+        slot = json.loads(key[0])["slot"]
+        left = max(limit - used, 0)
+        first = None
+        for frame in frames:
+            rows = frame if first is None else pd.concat([first, frame])
+            ties = [_tie(t) for t in rows["tie"]]
+            times = rows["us"].fillna(0).to_numpy(dtype=np.int64)
+            order = sorted(range(len(rows)), key=lambda i: (times[i], ties[i]))
+            # Not more than the quota is held; the others are refused as they come.
+            first = rows.iloc[order[:left]]
+            rest = rows.iloc[order[left:]]
+            yield decided(rest, np.zeros(len(rest), dtype=np.int64), False)
+        n = len(first)
+        state.update((used + n, NEVER if slot is None else (slot + 1) * width))
+        state.setTimeoutDuration(wait_ms)
+        yield decided(first, left - 1 - np.arange(n, dtype=np.int64), True)
+
+    return step
+
+
+def with_quota(
+    requests: DataFrame,
+    key_col: str,
+    ts_col: str,
+    tie_cols: Sequence[str],
+    limit: int,
+    window_seconds: int,
+    delay_seconds: int,
+) -> DataFrame:
+    """`rate_limit` on a stream: adds `quota_key`, `allowed` and `remaining`.
+
+    A request is decided in its micro-batch, by what its key's window has left, and never
+    again. Inside a batch the first by time and ties are admitted; so a stream that comes
+    in order is decided as the table would be. A window is forgotten once the latest
+    request lies `delay_seconds` behind its end. A task holds `limit` requests of a window
+    and an Arrow batch, however many come.
+    """
+    us = clock.micros(F.col(ts_col))
+    width = window_seconds * MICROS
+    owner = F.coalesce(F.sha2(F.col(key_col), 256), F.lit("")).alias("owner")
+    key = F.to_json(F.struct(owner, clock.slot(us, width).alias("slot")), AS_JSON)
+    return _stateful(
+        requests.withColumn("quota_key", identity.quota_key(F.col(key_col))),
+        key, us, tie_cols, delay_seconds,
+        "allowed boolean, remaining bigint", "used bigint, ends bigint",
+        _quota_step(limit, width, max(1, window_seconds + delay_seconds) * 1000),
     )
-    # The batch before may still be needed for a replay of this one.
-    remove_folder(spark, f"{state_path}/batch={batch_id - 2}")
-    return marked.where(~F.col("_seed")).drop("_seed", "_at")

@@ -4,17 +4,17 @@ from __future__ import annotations
 
 import json
 import pathlib
+import time
 
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from eventloom.operators import enrich, ingest, rollups
 from eventloom.session import materialise, scratch_path, scratch_scope
 from eventloom.sources import given, sinks, tables, topics
 from eventloom.streaming import stages
-from eventloom.streaming.state import advance_anchors
+from eventloom.streaming.state import with_anchors, with_quota
 
 ONCE = {"availableNow": True}
 BASE = 1_700_000_000_000
@@ -61,7 +61,7 @@ def ingest_run(spark, tmp_path):
         stream = topics.read_files(spark, source, topics.RAW)
         # A new query on the old checkpoint: a restart after every batch.
         sink, place = topics.to_files(raw), f"{tmp_path}/checkpoint"
-        drain(stages.start_ingest(stream, sink, f"{tmp_path}/state", place, ONCE))
+        drain(stages.start_ingest(stream, sink, place, ONCE))
     found = spark.read.schema(topics.FILE_SCHEMA).option("recursiveFileLookup", "true").parquet(raw)
     return sorted(
         (json.loads(r.value)["event"], r.arrival_ts.timestamp() - BASE / 1000)
@@ -121,7 +121,6 @@ def test_pipeline_from_raw_messages_to_stored_rows(spark, tmp_path):
                 ranges,
                 topics.to_files(enriched),
                 topics.to_files(dead),
-                f"{tmp_path}/sessions",
                 f"{tmp_path}/c1",
                 ONCE,
             )
@@ -223,54 +222,134 @@ def test_live_feed_counts_late_events(spark, tmp_path):
     ]
 
 
-@pytest.mark.parametrize("replay", [False, True])
+def run_batches(spark, path, parts, stateful, replay=()):
+    """Rows after each part, every one by a new query on the old checkpoint; some run again."""
+    progress = []
+
+    def on_batch(batch, number):
+        sinks.write_batch(batch.withColumn("part", F.lit(len(progress))), number, f"{path}/rows")
+
+    for number, part in enumerate(parts):
+        part.write.mode("append").parquet(f"{path}/source")
+        for again in range(1 + (number in replay)):
+            if again:
+                # The last batch was written, but not noted as done.
+                done = pathlib.Path(f"{path}/checkpoint/commits")
+                last = max(int(f.name) for f in done.iterdir() if f.name.isdigit())
+                for name in (str(last), f".{last}.crc"):
+                    (done / name).unlink(missing_ok=True)
+            stream = spark.readStream.schema(part.schema).parquet(f"{path}/source")
+            query = (
+                stateful(stream)
+                .writeStream.foreachBatch(on_batch)
+                .option("checkpointLocation", f"{path}/checkpoint")
+                .trigger(**ONCE)
+                .start()
+            )
+            drain(query)
+        progress.append(query.lastProgress)
+    return spark.read.parquet(f"{path}/rows"), progress
+
+
+@pytest.mark.parametrize("replay", [(), (1,)])
 def test_batch_and_stream_duplicates_agree(spark, folder, tmp_path, replay):
     """Arrivals of the given events in three batches, the second one twice."""
     keyed = ingest.with_dedup_key(given.arrivals(spark, folder))
     accepted = ingest.dedup_events(keyed).where("status = 'accepted'")
-    wanted = {(r.event_id, r.seq) for r in accepted.collect()}
+    wanted = sorted((r.event_id, r.seq) for r in accepted.collect())
     edges = keyed.approxQuantile("ts_ms", [0.33, 0.66], 0.01)
     parts = [
         keyed.where(F.col("ts_ms") < edges[0]),
         keyed.where((F.col("ts_ms") >= edges[0]) & (F.col("ts_ms") < edges[1])),
         keyed.where(F.col("ts_ms") >= edges[1]),
     ]
-    found = {}
-    for number in [0, 1, 1, 2] if replay else [0, 1, 2]:
-        marked = advance_anchors(
-            parts[number], number, ["dedup_key"], "arrival_ts", 60, 60, f"{tmp_path}/state", "seq"
-        )
-        found[number] = {(r.event_id, r.seq) for r in marked.where("sets_anchor").collect()}
-    assert set.union(*found.values()) == wanted
-    assert sum(len(part) for part in found.values()) == len(wanted)
+    marked, _ = run_batches(
+        spark, tmp_path, parts,
+        lambda stream: with_anchors(stream, ["dedup_key"], "arrival_ts", 60, 60, "seq"), replay,
+    )
+    assert sorted((r.event_id, r.seq) for r in marked.where("sets_anchor").collect()) == wanted
+    # Every column comes back as it was.
+    back = marked.select(*keyed.columns)
+    assert back.schema.simpleString() == keyed.schema.simpleString()
+    assert back.exceptAll(keyed).isEmpty() and keyed.exceptAll(back).isEmpty()
+
+
+def seconds_frame(spark, rows):
+    frame = spark.createDataFrame([(k, s, i) for i, (k, s) in enumerate(rows)], "k STRING, s BIGINT, i BIGINT")
+    return frame.withColumn("ts", F.timestamp_seconds("s"))
 
 
 def test_state_goes_on_and_is_forgotten(spark, tmp_path):
     batches = [
-        [("a", 0), ("a", 30), (None, 1), (None, 1)],
+        [("a", 0), ("a", 30), (None, 1), (None, 1), ("x", None)],
         [("a", 59), ("a", 60), ("b", 60)],
         [("a", 50), ("a", 119)],  # a late event joins the running anchor
         [("c", 5000)],
-        [("a", 130)],  # older than anything remembered: a new anchor
+        [("a", 10)],  # far behind the watermark, yet it is there
+        [("d", 5001)],
+        [("e", 5002)],
     ]
     wanted = [
-        [(None, 1, None, False), (None, 1, None, False), ("a", 0, 0, True), ("a", 30, 0, False)],
+        [(None, 1, None, False), (None, 1, None, False), ("a", 0, 0, True), ("a", 30, 0, False), ("x", None, None, False)],
         [("a", 59, 0, False), ("a", 60, 60, True), ("b", 60, 60, True)],
         [("a", 50, 60, False), ("a", 119, 60, False)],
         [("c", 5000, 5000, True)],
-        [("a", 130, 130, True)],
+        None,  # joins the anchor at 60, or sets its own where that is forgotten
+        [("d", 5001, 5001, True)],
+        [("e", 5002, 5002, True)],
     ]
-    for number, rows in enumerate(batches):
-        frame = spark.createDataFrame(
-            [(k, s, i) for i, (k, s) in enumerate(rows)], "k STRING, s BIGINT, i BIGINT"
-        ).withColumn("ts", F.timestamp_seconds("s"))
-        got = advance_anchors(frame, number, ["k"], "ts", 60, 60, f"{tmp_path}/state", "i")
-        assert "_at" not in got.columns and "_seed" not in got.columns
-        found = [
+    found, progress = run_batches(
+        spark, tmp_path, [seconds_frame(spark, rows) for rows in batches],
+        lambda stream: with_anchors(stream, ["k"], "ts", 60, 60, "i"),
+    )
+    rows = found.collect()
+    for number, part in enumerate(wanted):
+        got = [
             (r.k, r.s, None if r.anchor_us is None else r.anchor_us // 1_000_000, r.sets_anchor)
-            for r in got.collect()
+            for r in rows
+            if r.part == number
         ]
-        assert sorted(found, key=repr) == sorted(wanted[number], key=repr)
+        if part is None:
+            assert got in ([("a", 10, 60, False)], [("a", 10, 10, True)])
+        else:
+            assert sorted(got, key=repr) == sorted(part, key=repr)
+
+
+def test_what_is_over_leaves_the_state(spark, tmp_path):
+    """Keys go once the watermark has passed their end, not by the clock on the wall."""
+
+    def batches():
+        for rows in ([("a", 0), ("b", 0)], [("c", 1)], [("d", 1)], [("e", 9000)], [("f", 9000)], [("g", 9000)]):
+            if rows[0][0] in "dg":
+                time.sleep(2.2)
+            yield seconds_frame(spark, rows)
+
+    _, progress = run_batches(
+        spark, tmp_path, batches(),
+        lambda stream: with_anchors(stream, ["k"], "ts", 1, 1, "i"),
+    )
+    kept = [p["stateOperators"][0]["numRowsTotal"] for p in progress]
+    # Two seconds of the wall pass, but the stream stands at its first second.
+    assert kept[:3] == [2, 3, 4]
+    assert kept[-1] == 3
+
+
+def test_quota_is_decided_in_its_batch(spark, tmp_path):
+    batches = [
+        [("a", 0), ("a", 5), ("b", 1)],
+        [("a", 59), ("a", 3), ("a", 60), (None, 7)],  # one more of the first minute: the earlier
+        [("a", 1), ("a", 61), ("a", 62), ("a", 63)],
+    ]
+    found, _ = run_batches(
+        spark, tmp_path, [seconds_frame(spark, rows) for rows in batches],
+        lambda stream: with_quota(stream, "k", "ts", ["i"], 3, 60, 600),
+    )
+    got = sorted(((r.part, r.k or "", r.s, r.allowed, r.remaining) for r in found.collect()))
+    assert got == [
+        (0, "a", 0, True, 2), (0, "a", 5, True, 1), (0, "b", 1, True, 2),
+        (1, "", 7, True, 2), (1, "a", 3, True, 0), (1, "a", 59, False, 0), (1, "a", 60, True, 2),
+        (2, "a", 1, False, 0), (2, "a", 61, True, 1), (2, "a", 62, True, 0), (2, "a", 63, False, 0),
+    ]
 
 
 def test_scratch_tables_are_removed(spark):
@@ -281,12 +360,6 @@ def test_scratch_tables_are_removed(spark):
     assert not pathlib.Path(folder).exists()
 
 
-def test_missing_state_is_an_error(spark, tmp_path):
-    frame = spark.sql("SELECT 'a' AS k, TIMESTAMP'2024-01-01' AS ts, 1 AS i")
-    with pytest.raises(AnalysisException):
-        advance_anchors(frame, 5, ["k"], "ts", 60, 60, f"{tmp_path}/none", "i")
-
-
 def enriched(event, at):
     return json.dumps({"event": event, "projectId": "p", "userId": "u1", "timestamp": BASE + int(at * 1000)})
 
@@ -365,7 +438,7 @@ def test_trace_id_of_the_header_counts(spark, tmp_path):
     drain(
         stages.start_enrichment(
             topics.read_files(spark, source, topics.RAW), rules, ranges, topics.to_files(enriched),
-            topics.to_files(f"{tmp_path}/dead"), f"{tmp_path}/state", f"{tmp_path}/c", ONCE,
+            topics.to_files(f"{tmp_path}/dead"), f"{tmp_path}/c", ONCE,
         )
     )
     found = spark.read.option("recursiveFileLookup", "true").parquet(enriched).collect()
