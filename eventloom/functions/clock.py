@@ -49,6 +49,12 @@ def bucket(ts: Column, grain: str) -> Column:
     return F.date_trunc(grain, ts).cast("timestamp_ntz")
 
 
+def next_bucket(ts: Column, grain: str) -> Column:
+    """Start of the first minute, hour or day that does not begin before the instant."""
+    start = bucket(ts, grain)
+    return F.when(start < ts, start + F.expr(f"interval 1 {grain}")).otherwise(start)
+
+
 def week_of(ts: Column) -> Column:
     """Monday of the week as a date."""
     return F.date_trunc("week", ts).cast("date")

@@ -7,9 +7,9 @@ first column of the result.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.functions import clock
@@ -44,6 +44,71 @@ def metrics(
     )
 
 
+def metrics_from_grains(
+    grains: Mapping[str, DataFrame],
+    project: str | None = None,
+    event: str | None = None,
+    start: object = None,
+    end: object = None,
+    granularity: str = "hour",
+) -> DataFrame:
+    """`metrics` from tables by minute, hour and day, as `sinks.write_grains` stores them.
+
+    The range is covered by whole days as far as the granularity allows, then by whole
+    hours, then by the minutes left at its ends; each table is read for its own part only,
+    so a long range opens few days of the finer ones.
+    """
+    keys = _keys(project, event)
+    grain = clock.granularity(granularity)
+    steps = clock.GRAINS[: clock.GRAINS.index(grain) + 1]
+    minutes = grains["minute"]
+    low = None if start is None else clock.next_bucket(bound(minutes, "bucket", start), "minute")
+    high = None
+    if end is not None:
+        high = clock.bucket(bound(minutes, "bucket", end), "minute") + F.expr("interval 1 minute")
+    parts = [
+        _cover(scan_rollups(grains[step], project, event), low, high, step, coarser)
+        for step, coarser in zip(steps, [*steps[1:], None], strict=True)
+        if coarser is None or low is not None or high is not None
+    ]
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    return (
+        rows.groupBy(*keys, clock.bucket(F.col("bucket"), grain).alias("bucket"))
+        .agg(
+            F.sum("count").cast("bigint").alias("count"),
+            F.sum("unique_users").cast("bigint").alias("unique_users"),
+        )
+        .orderBy("bucket", *keys)
+    )
+
+
+def _cover(
+    table: DataFrame, low: Column | None, high: Column | None, grain: str, coarser: str | None
+) -> DataFrame:
+    """Whole buckets of a grain from `low` to before `high` that no coarser table covers."""
+    day, at = F.col("bucket_date"), F.col("bucket")
+    if low is not None:
+        first = clock.next_bucket(low, grain)
+        table = table.where((at >= first) & (day >= first.cast("date")))
+    if high is not None:
+        behind = clock.bucket(high, grain)
+        table = table.where((at < behind) & (day <= behind.cast("date")))
+    if coarser is not None:
+        ends = []
+        if low is not None:
+            inner = clock.next_bucket(low, coarser)
+            ends.append((at < inner, day <= (inner - F.expr("interval 1 microsecond")).cast("date")))
+        if high is not None:
+            inner = clock.bucket(high, coarser)
+            ends.append((at >= inner, day >= inner.cast("date")))
+        # The days alone once more: they choose the folders.
+        for condition in zip(*ends, strict=True):
+            table = table.where(condition[0] if len(condition) == 1 else condition[0] | condition[1])
+    return table.select("project_id", "event", "bucket", "count", "unique_users")
+
+
 def metrics_unique(
     sketches: DataFrame,
     project: str | None = None,

@@ -65,6 +65,54 @@ def merge_uniques(sketches: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+# Fixed value: days a day's users are kept after their last update.
+UNIQUES_DAYS = 7
+
+
+def unique_updates(events: DataFrame, ts_col: str = "ts", at_col: str = "arrival_ts") -> DataFrame:
+    """What a batch adds to the kept users: a sketch per project, event, day and hour of arrival.
+
+    `first_at` and `last_at` are the first and last arrival in it. Rows of all batches
+    together are the state; `live_uniques` reads it, or makes it small again.
+    """
+    at = F.col(at_col).cast("timestamp_ntz")
+    day = F.col(ts_col).cast("date").alias("day")
+    return (
+        events.where(_named())
+        .groupBy(*KEY, day, clock.bucket(at, "hour").alias("hour"))
+        .agg(
+            F.min(at).alias("first_at"),
+            F.max(at).alias("last_at"),
+            F.hll_sketch_agg("user_id").alias("users_sketch"),
+        )
+        .drop("hour")
+    )
+
+
+def live_uniques(updates: DataFrame, now: object, days: int = UNIQUES_DAYS) -> DataFrame:
+    """One row per project, event and day that is alive at `now`, in the form of the updates.
+
+    Users of a day are forgotten `days` after their last update, whenever the day was; what
+    comes later begins anew. Updates are taken by arrival, however they were dealt to batches.
+    """
+    key = [*KEY, "day"]
+    life = F.make_dt_interval(days=F.lit(days))
+    own = Window.partitionBy(*key)
+    # One row per hour with arrivals, or one for all that was made small before.
+    earlier = own.orderBy("first_at").rowsBetween(Window.unboundedPreceding, -1)
+    anew = F.col("first_at") >= F.max("last_at").over(earlier) + life
+    rows = updates.withColumn("_anew", F.when(anew, F.col("first_at"))).withColumns(
+        {"_start": F.max("_anew").over(own), "_last": F.max("last_at").over(own)}
+    )
+    held = F.col("_start").isNull() | (F.col("first_at") >= F.col("_start"))
+    alive = F.col("_last") + life > F.lit(now).cast("timestamp_ntz")
+    return rows.where(held & alive).groupBy(*key).agg(
+        F.min("first_at").alias("first_at"),
+        F.max("last_at").alias("last_at"),
+        F.hll_union_agg("users_sketch").alias("users_sketch"),
+    )
+
+
 def build_rollups(events: DataFrame, ts_col: str = "ts") -> DataFrame:
     """Minute rollups: `count`, `unique_users`, `unique_users_bucket`.
 

@@ -23,7 +23,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 # Parameters of the registered queries.
 FROM, TO = "2024-01-08 00:00:00", "2024-01-21 23:59:59"
+RAGGED_FROM, RAGGED_TO = "2024-01-05 07:13:20", "2024-01-25 18:42:59"
 NOW = "2024-01-15 12:00:30"
+UNIQUES_NOW = "2024-02-02 00:00:00"
 STEPS = ("view", "click", "purchase")
 EXPIRY_NOW = "2024-04-15 07:30:00"
 LAYOUT_BEFORE = "2024-03-01"
@@ -218,6 +220,17 @@ def metrics_day(spark, folder):
     return _metrics(spark, folder, "day")
 
 
+@register
+def metrics_grains(spark, folder):
+    """`metrics` of a ragged range from stored grains; some days were written twice."""
+    path = scratch_path(spark)
+    table = rollups.build_rollups(given.analytics_events(spark, folder))
+    sinks.write_grains(table.where(F.dayofmonth("bucket") > 8), path)
+    sinks.write_grains(table.where(F.dayofmonth("bucket") <= 12), path)
+    grains = sinks.read_grains(spark, path)
+    return analytics.metrics_from_grains(grains, start=RAGGED_FROM, end=RAGGED_TO, granularity="day")
+
+
 @register
 def metrics_project_event(spark, folder):
     table = rollups.build_rollups(given.analytics_events(spark, folder))
@@ -940,8 +953,8 @@ def stream_rollups(spark, folder):
     )
 
 
-# The stages themselves run over message files, one file in a batch. Every fifth
-# event comes late, in the last file.
+# The stages themselves run over message files, in three batches. Every fifth event
+# comes late, in the last one.
 
 
 def _batches(messages: DataFrame, ts: str = "ts") -> list[DataFrame]:
@@ -955,14 +968,16 @@ def _batches(messages: DataFrame, ts: str = "ts") -> list[DataFrame]:
     ]
 
 
-def _topic(spark: SparkSession, parts: list[DataFrame], topic: str) -> DataFrame:
-    """A topic that holds one message file per part, read file by file."""
+def _feed(spark: SparkSession, parts: list[DataFrame], topic: str, start) -> None:
+    """Add each part to a topic and run what `start` makes of the topic until it is used up.
+
+    So a part is a batch, of as many files as Spark writes, and each has a query of its own.
+    """
     path = scratch_path(spark)
     sink = topics.to_files(path)
-    columns = ["key", "value", "headers", "arrival_ts"]
     for number, part in enumerate(parts):
-        sink(part.select(*columns).coalesce(1), number)
-    return topics.read_files(spark, path, topic, files_per_trigger=1)
+        sink(part.select("key", "value", "headers", "arrival_ts"), number)
+        start(topics.read_files(spark, path, topic)).awaitTermination()
 
 
 def _messages_of(spark: SparkSession, path: str) -> DataFrame:
@@ -995,12 +1010,12 @@ def stream_ingest(spark, folder):
     again = once.where(F.col("event_id") % 10 == 0).withColumn(
         "arrival_ts", F.col("arrival_ts") + F.expr("interval 30 seconds")
     )
-    stages.start_ingest(
-        _topic(spark, _batches(once.unionByName(again), "arrival_ts"), MESSAGE_TOPIC),
-        topics.to_files(f"{path}/raw"),
-        f"{path}/checkpoint",
-        ONCE,
-    ).awaitTermination()
+    _feed(
+        spark, _batches(once.unionByName(again), "arrival_ts"), MESSAGE_TOPIC,
+        lambda topic: stages.start_ingest(
+            topic, topics.to_files(f"{path}/raw"), f"{path}/checkpoint", ONCE
+        ),
+    )
     return _messages_of(spark, f"{path}/raw").select(
         _field("projectId").alias("project_id"),
         _field("event").alias("event"),
@@ -1018,15 +1033,14 @@ def stream_enrichment(spark, folder):
     day = F.dayofmonth("arrival_ts")
     parts = [messages.where((day > low) & (day <= low + 10)) for low in (0, 10, 20)]
     parts[2] = messages.where(day > 20)
-    stages.start_enrichment(
-        _topic(spark, parts, MESSAGE_TOPIC),
-        given.property_rules(spark, folder),
-        given.geo_ranges(spark, folder),
-        topics.to_files(f"{path}/enriched"),
-        topics.to_files(f"{path}/dead"),
-        f"{path}/checkpoint",
-        ONCE,
-    ).awaitTermination()
+    rules, ranges = given.property_rules(spark, folder), given.geo_ranges(spark, folder)
+    _feed(
+        spark, parts, MESSAGE_TOPIC,
+        lambda topic: stages.start_enrichment(
+            topic, rules, ranges, topics.to_files(f"{path}/enriched"),
+            topics.to_files(f"{path}/dead"), f"{path}/checkpoint", ONCE,
+        ),
+    )
     number = F.substring(_field("traceId"), 2, 20).cast("bigint").alias("event_id")
     good = _messages_of(spark, f"{path}/enriched").select(
         number,
@@ -1071,14 +1085,13 @@ def _enriched_messages(spark, folder):
 def stream_storage(spark, folder):
     """Stored events of a topic with late messages."""
     path = scratch_path(spark)
-    stages.start_storage(
-        _topic(spark, _batches(_enriched_messages(spark, folder)), topics.ENRICHED),
-        f"{path}/events",
-        f"{path}/rollups",
-        topics.to_files(f"{path}/dead"),
-        f"{path}/checkpoint",
-        ONCE,
-    ).awaitTermination()
+    _feed(
+        spark, _batches(_enriched_messages(spark, folder)), topics.ENRICHED,
+        lambda topic: stages.start_storage(
+            topic, f"{path}/events", f"{path}/rollups", topics.to_files(f"{path}/dead"),
+            f"{path}/checkpoint", ONCE,
+        ),
+    )
     return read_events(spark, f"{path}/events").select(
         "project_id", "event", "user_id", "country", "city", "device_type", "browser", "os",
         clock.epoch_ms(F.col("ts")).alias("ms"),
@@ -1089,13 +1102,12 @@ def stream_storage(spark, folder):
 def stream_live_feed(spark, folder):
     """The last word of the live feed on each day: events, and users of the day."""
     path = scratch_path(spark)
-    stages.start_live_feed(
-        _topic(spark, _batches(_enriched_messages(spark, folder)), topics.ENRICHED),
-        topics.to_files(f"{path}/live"),
-        f"{path}/rollups",
-        f"{path}/checkpoint",
-        ONCE,
-    ).awaitTermination()
+    _feed(
+        spark, _batches(_enriched_messages(spark, folder)), topics.ENRICHED,
+        lambda topic: stages.start_live_feed(
+            topic, topics.to_files(f"{path}/live"), f"{path}/rollups", f"{path}/checkpoint", ONCE
+        ),
+    )
     minutes = (
         _messages_of(spark, f"{path}/live")
         .select(
@@ -1114,15 +1126,33 @@ def stream_live_feed(spark, folder):
     )
 
 
+@register
+def stream_daily_uniques(spark, folder):
+    """Users of the days that are alive: some updates come three days later, some twelve.
+
+    The latter begin anew. What was kept is made small once in between.
+    """
+    path = scratch_path(spark)
+    messages = _enriched_messages(spark, folder)
+    days = F.when(F.col("event_id") % 7 == 0, 12).when(F.col("event_id") % 5 == 0, 3).otherwise(0)
+    later = messages.withColumn("arrival_ts", F.col("arrival_ts") + F.make_dt_interval(days=days))
+    _feed(
+        spark, _batches(later), topics.ENRICHED,
+        lambda topic: stages.start_uniques(topic, f"{path}/kept", f"{path}/checkpoint", ONCE),
+    )
+    sinks.compact_uniques(spark, f"{path}/kept", f"{path}/small", UNIQUES_NOW)
+    live = rollups.live_uniques(spark.read.parquet(f"{path}/small").drop("batch_id"), UNIQUES_NOW)
+    return _dates_as_text(rollups.merge_uniques(live, [*rollups.KEY, "day"]))
+
+
 def _closing(spark, folder):
     path = scratch_path(spark)
-    stages.start_closing(
-        _topic(spark, _batches(_enriched_messages(spark, folder)), topics.ENRICHED),
-        f"{path}/log",
-        f"{path}/rollups",
-        f"{path}/checkpoint",
-        ONCE,
-    ).awaitTermination()
+    _feed(
+        spark, _batches(_enriched_messages(spark, folder)), topics.ENRICHED,
+        lambda topic: stages.start_closing(
+            topic, f"{path}/log", f"{path}/rollups", f"{path}/checkpoint", ONCE
+        ),
+    )
     return spark.read.parquet(f"{path}/log/rows")
 
 
@@ -1164,13 +1194,12 @@ def stream_dead_letters(spark, folder):
         F.create_map().cast(stages.HEADERS).alias("headers"),
         F.col("created_at").cast("timestamp").alias("arrival_ts"),
     )
-    stages.start_dead_letters(
-        _topic(spark, _batches(messages, "arrival_ts"), topics.DEAD_LETTER),
-        f"{path}/letters",
-        f"{path}/log",
-        f"{path}/checkpoint",
-        ONCE,
-    ).awaitTermination()
+    _feed(
+        spark, _batches(messages, "arrival_ts"), topics.DEAD_LETTER,
+        lambda topic: stages.start_dead_letters(
+            topic, f"{path}/letters", f"{path}/log", f"{path}/checkpoint", ONCE
+        ),
+    )
     state = spark.read.parquet(f"{path}/log").select("id", "status")
     return spark.read.parquet(f"{path}/letters").join(state, "id").select(
         "id", "original_topic", "original_partition", "original_key", "reason", "status"

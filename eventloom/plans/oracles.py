@@ -478,6 +478,9 @@ FROM analytics_events WHERE user_id <> '' GROUP BY 1, 2""",
     "metrics_minute": _metrics("minute"),
     "metrics_hour": _metrics("hour"),
     "metrics_day": _metrics("day"),
+    "metrics_grains": _metrics(
+        "day", "bucket BETWEEN TIMESTAMP '2024-01-05 07:13:20' AND TIMESTAMP '2024-01-25 18:42:59'"
+    ),
     "metrics_project_event": _metrics(
         "hour",
         f"project_id = 'proj_1' AND event = 'view' AND bucket BETWEEN {FROM} AND {TO}",
@@ -760,6 +763,23 @@ SELECT project_id, event, CAST(CAST(ts AS DATE) AS VARCHAR) AS day,
   CAST(count(*) AS BIGINT) AS events,
   CAST(count(DISTINCT user_id) FILTER (WHERE user_id <> '') AS BIGINT) AS users
 FROM analytics_events GROUP BY 1, 2, 3""",
+    "stream_daily_uniques": f"""WITH {EVENTS},
+updates AS (
+  SELECT project_id, event, CAST(ts AS DATE) AS day, user_id, ts + CASE WHEN event_id % 7 = 0
+    THEN INTERVAL 12 DAY WHEN event_id % 5 = 0 THEN INTERVAL 3 DAY ELSE INTERVAL 0 DAY END AS came
+  FROM analytics_events WHERE user_id <> ''
+),
+gaps AS (
+  SELECT *, lag(came) OVER (PARTITION BY project_id, event, day ORDER BY came) AS before FROM updates
+),
+runs AS (
+  SELECT *, max(CASE WHEN came >= before + INTERVAL 7 DAY THEN came END) OVER own AS start,
+    max(came) OVER own AS last
+  FROM gaps WINDOW own AS (PARTITION BY project_id, event, day)
+)
+SELECT project_id, event, CAST(day AS VARCHAR) AS day, CAST(count(DISTINCT user_id) AS BIGINT) AS unique_users
+FROM runs WHERE (start IS NULL OR came >= start) AND last + INTERVAL 7 DAY > TIMESTAMP '2024-02-02 00:00:00'
+GROUP BY 1, 2, 3""",
     "stream_closing_log": f"WITH {CLOSING} SELECT * FROM log",
     "stream_closed_rollups": f"""WITH {CLOSING}
 SELECT project_id, event, bucket, CAST(sum(count) AS BIGINT) AS count,

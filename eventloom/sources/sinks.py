@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eventloom.functions import clock
+from eventloom.operators.rollups import live_uniques
 from eventloom.session import materialise, remove_folder
 from eventloom.sources.tables import bound
 
@@ -116,6 +118,38 @@ def write_rollups(df: DataFrame, batch_id: int, path: str) -> None:
     )
 
 
+def write_grains(rollups: DataFrame, path: str) -> None:
+    """Store rollups by minute, hour and day, in a table each; days they have are replaced.
+
+    `rollups` are the minutes of whole days; counts and unique users add up, as they do in
+    `metrics`. A day with many rows is dealt over several files.
+    """
+    dated = materialise(rollups.withColumn("bucket_date", F.col("bucket").cast("date")))
+    order = ["bucket_date", "project_id", "event", "bucket"]
+    for grain in clock.GRAINS:
+        start = clock.bucket(F.col("bucket"), grain).alias("bucket")
+        table = dated.groupBy("bucket_date", "project_id", "event", start).agg(
+            F.sum("count").alias("count"), F.sum("unique_users").alias("unique_users")
+        )
+        (
+            table.repartitionByRange(*order)
+            .sortWithinPartitions(*order)
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("bucket_date")
+            .parquet(f"{path}/{grain}")
+        )
+
+
+def read_grains(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    return {grain: spark.read.parquet(f"{path}/{grain}") for grain in clock.GRAINS}
+
+
+def compact_uniques(spark: SparkSession, source: str, target: str, now: object) -> None:
+    """Write what is alive of the kept users as one batch of a new folder."""
+    write_batch(live_uniques(spark.read.parquet(source).drop("batch_id"), now), 0, target)
+
+
 def read_sketch_rollups(
     spark: SparkSession,
     path: str,

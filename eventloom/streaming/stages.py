@@ -359,6 +359,19 @@ def start_closing(
     return _run(messages, on_batch, checkpoint, "closing", trigger or {"processingTime": LIVE_INTERVAL})
 
 
+def start_uniques(
+    messages: DataFrame, path: str, checkpoint: str, trigger: dict | None = None
+) -> StreamingQuery:
+    """Keep the users of every project, event and day; `rollups.live_uniques` reads them."""
+
+    def on_batch(batch: DataFrame, batch_id: int) -> None:
+        configure(batch.sparkSession)
+        events = stored_events(batch).where(F.col("project_id").isNotNull())
+        sinks.write_batch(rollups.unique_updates(events), batch_id, path)
+
+    return _run(messages, on_batch, checkpoint, "uniques", trigger or {"processingTime": LIVE_INTERVAL})
+
+
 # --- dead letters ------------------------------------------------------------
 
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from eventloom.operators import analytics, enrich, rollups
-from eventloom.session import scratch_path
+from eventloom.session import materialise, remove_folder, scratch_path
 from eventloom.sources import given, sinks
 
 FROM, TO = "2024-01-10 00:00:00", "2024-01-12 00:00:00"
@@ -105,6 +105,68 @@ def test_retention_of_kept_days_reads_no_events(spark, folder):
         assert found.collect() == analytics.retention(events, "view", "view", 5, None, first, end, True).collect()
 
 
+RANGES = [
+    ("2024-01-05 07:13:20", "2024-01-25 18:42:59"),
+    ("2024-01-05 00:00:00", "2024-01-25 23:59:59"),
+    ("2024-01-05 07:00:00", "2024-01-05 07:59:00"),
+    ("2024-01-05 07:10:00", "2024-01-05 07:20:00"),
+    ("2024-01-05 23:30:00", "2024-01-06 00:30:00"),
+    ("2024-01-05 22:30:00", "2024-01-07 00:00:00"),
+    (None, "2024-01-09 10:10:10"),
+    ("2024-01-20 10:10:10.000001", None),
+    (None, None),
+    ("2024-01-09", "2024-01-08"),
+]
+
+
+def test_metrics_of_grains_read_the_ends_only(spark, folder):
+    minutes = materialise(rollups.build_rollups(given.analytics_events(spark, folder)))
+    path = scratch_path(spark)
+    sinks.write_grains(minutes, path)
+    whole = sinks.read_grains(spark, path)
+    for grain in ("minute", "hour", "day"):
+        for start, end in RANGES:
+            wanted = analytics.metrics(minutes, None, None, start, end, grain).collect()
+            assert analytics.metrics_from_grains(whole, None, None, start, end, grain).collect() == wanted
+    # Days inside are gone from the finer tables: nothing misses them.
+    for day in range(6, 25):
+        for grain in ("minute", "hour"):
+            remove_folder(spark, f"{path}/{grain}/bucket_date=2024-01-{day:02}")
+    some = sinks.read_grains(spark, path)
+    start, end = RANGES[0]
+    wanted = analytics.metrics(minutes, "proj_1", "view", start, end, "day").collect()
+    assert wanted and analytics.metrics_from_grains(some, "proj_1", "view", start, end, "day").collect() == wanted
+
+
+def users_of(spark, rows):
+    frame = spark.createDataFrame(rows, "user_id string, t string, a string")
+    return frame.select(
+        F.lit("p").alias("project_id"), F.lit("e").alias("event"), "user_id",
+        F.col("t").cast("timestamp_ntz").alias("ts"), F.col("a").cast("timestamp").alias("arrival_ts"),
+    )
+
+
+def test_kept_users_go_a_week_after_their_last_update(spark):
+    batches = [
+        [("u1", "2024-01-01 05:00:00", "2024-01-01 05:00:00"), ("", "2024-01-01 05:00:00", "2024-01-09 05:00:00")],
+        [("u2", "2024-01-01 06:00:00", "2024-01-08 04:59:59.999999"), ("u3", "2024-01-02 00:00:00", "2024-01-02 00:00:00")],
+        [("u4", "2024-01-02 01:00:00", "2024-01-09 00:00:00"), ("u5", "2024-01-01 01:00:00", "2024-01-07 00:00:00")],
+    ]
+    parts = [rollups.unique_updates(users_of(spark, rows)) for rows in batches]
+
+    def alive(state, now):
+        found = rollups.merge_uniques(rollups.live_uniques(state, now), ["day"])
+        return {str(r["day"]): r["unique_users"] for r in found.collect()}
+
+    state = parts[2].unionByName(parts[0]).unionByName(parts[1])
+    # u1, u5 and u2 keep the first day alive; u3 was forgotten at the instant u4 came.
+    assert alive(state, "2024-01-09 00:00:00") == {"2024-01-01": 3, "2024-01-02": 1}
+    assert alive(state, "2024-01-15 04:59:59.999999") == {"2024-01-02": 1}
+    assert alive(state, "2024-01-16 00:00:00") == {}
+    small = rollups.live_uniques(parts[0].unionByName(parts[2]), "2024-01-09 00:00:00")
+    assert alive(small.unionByName(parts[1]), "2024-01-09 00:00:00") == {"2024-01-01": 3, "2024-01-02": 1}
+
+
 def test_days_before_the_first_monday(spark):
     rows = [("p", "x", "u", "1969-12-31 12:00:00"), ("p", "y", "u", "1970-01-04 12:00:00"), ("p", "y", "u", "1970-01-05 00:00:00")]
     events = spark.createDataFrame(rows, "project_id string, event string, user_id string, t string")

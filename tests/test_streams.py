@@ -412,17 +412,14 @@ def test_minutes_close_once(spark, tmp_path, again):
 def test_registered_streams_take_several_batches(spark, folder):
     from eventloom.plans import catalogue
 
-    stream = catalogue._topic(
-        spark, catalogue._batches(catalogue._enriched_messages(spark, folder)), topics.ENRICHED
-    )
-    sizes = []
-    query = (
-        stream.writeStream.foreachBatch(lambda batch, number: sizes.append(batch.count()))
-        .option("checkpointLocation", scratch_path(spark))
+    sizes, place = [], scratch_path(spark)
+    catalogue._feed(
+        spark, catalogue._batches(catalogue._enriched_messages(spark, folder)), topics.ENRICHED,
+        lambda topic: topic.writeStream.foreachBatch(lambda batch, number: sizes.append(batch.count()))
+        .option("checkpointLocation", place)
         .trigger(**ONCE)
-        .start()
+        .start(),
     )
-    drain(query)
     assert len(sizes) == 3 and all(sizes)
 
 
