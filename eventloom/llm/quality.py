@@ -161,12 +161,16 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_LABELS) -> Trees:
-    """Fit on at most `sample` labelled rows outside the held-out fold."""
+    """Fit on at most `sample` labelled rows outside the held-out fold.
+
+    Of several labels or texts with one doc_id the smallest counts (texts by their
+    statistics), so reruns learn the same.
+    """
     ship_package(docs.sparkSession)
     chosen = (
         labels.where(~held_out() & F.col("quality").isin(0, 1))
-        .select(F.col("doc_id").alias("labelled"), F.col("quality").alias("label"))
-        .dropDuplicates(["labelled"])
+        .groupBy(F.col("doc_id").alias("labelled"))
+        .agg(F.min("quality").alias("label"))
         .orderBy(F.xxhash64("labelled"), "labelled")
         .limit(sample)
     )
@@ -184,7 +188,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_LABELS) -> Tr
         docs.join(F.broadcast(chosen), docs["doc_id"] == chosen["labelled"])
         .select("labelled", F.col("label").cast("int"), whole_text().alias("text"))
         .mapInArrow(measured, f"labelled {kind}, label int, row array<double>")
-        .dropDuplicates(["labelled"])
+        .groupBy("labelled")
+        .agg(F.min(F.struct("label", "row")).alias("least"))
+        .select("labelled", "least.label", "least.row")
         .toArrow()
     )
     rows = np.array(found["row"].to_pylist(), dtype=float).reshape(-1, STATISTICS)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -241,3 +242,14 @@ def variants(docs: list[tuple]) -> list[tuple]:
             root = forms[root]
         found.append((w, forms.get(w), root, n, len(partners[w]), words.get(forms.get(w))))
     return found
+
+
+def tree_score(base: float, feature, edge, leaf, row: list[float]) -> float:
+    """Boosted trees walked one after the other, node by node, for one row."""
+    total = float(base)
+    for features, edges, leaves in zip(feature.tolist(), edge.tolist(), leaf.tolist()):
+        node = 0
+        while node < len(features):
+            node = 2 * node + (2 if row[features[node]] > edges[node] else 1)
+        total += leaves[node - len(features)]
+    return 1 / (1 + math.exp(-total))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import string
+import zlib
 from array import array
 
 import duckdb
@@ -540,6 +541,30 @@ def test_quality_on_edges(spark, docs, rows, nothing, folder):
     assert quality.good_documents(docs, labels).columns == docs.columns
 
 
+def test_quality_is_that_of_trees_walked_node_by_node(spark, folder):
+    docs, labels = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("documents", "labels"))
+    trees = quality.learn(docs, labels)
+    assert trees.feature.shape == (quality.ROUNDS, 2**quality.DEPTH - 1)
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    got = quality.score_documents(docs, labels).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        row = quality.statistics_of(texts[r["doc_id"]])
+        wanted = brute.tree_score(trees.base, trees.feature, trees.edge, trees.leaf, row)
+        assert r["score"] == pytest.approx(wanted, abs=1e-12)
+        assert r["predicted"] == (wanted >= 0.3)
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+
+
+def test_quality_learns_the_same_from_repeated_ids(spark, folder):
+    docs, labels = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("documents", "labels"))
+    more = labels.union(labels.withColumn("quality", F.lit(1).cast(labels.schema["quality"].dataType)))
+    # A label of 0 stays 0 beside one of 1, in whatever order they come.
+    a = quality.learn(docs, labels)
+    b = quality.learn(docs.union(docs), more.orderBy(F.rand(3)))
+    assert (a.feature == b.feature).all() and (a.edge == b.edge).all() and (a.leaf == b.leaf).all()
+
+
 def test_quality_on_held_out_rows(spark):
     folder = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{folder}/labels.parquet").toPandas()
