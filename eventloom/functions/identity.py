@@ -32,3 +32,8 @@ def session_id(project: Column, user: Column, anchor_us: Column) -> Column:
 def trace_id(*parts: Column) -> Column:
     """Replay-stable trace id from the coordinates of an event."""
     return F.sha2(F.concat_ws("|", *[p.cast("string") for p in parts]), 256)
+
+
+def message_id(producer: str, *place: Column) -> Column:
+    """Id of what a producer makes of the message at a place: the same whenever it is made."""
+    return F.sha2(F.concat_ws("|", F.lit(producer), *[p.cast("string") for p in place]), 256)

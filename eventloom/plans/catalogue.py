@@ -17,7 +17,7 @@ from eventloom.sources.tables import read_events, scan_events, scan_rollups
 from eventloom.sources.tables import read_geo_ranges as read_ranges
 from eventloom.sources.tables import read_schema_registry as read_registry
 from eventloom.streaming import stages
-from eventloom.streaming.state import with_anchors, with_quota
+from eventloom.streaming.state import MESSAGE_ID, once, with_anchors, with_quota
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -1098,6 +1098,27 @@ def stream_storage(spark, folder):
     )
 
 
+@register
+def stream_replayed_topic(spark, folder):
+    """Stored events of a topic whose second batch was published twice."""
+    path = scratch_path(spark)
+    own = identity.message_id("events", F.col("event_id"))
+    messages = _enriched_messages(spark, folder).withColumn(
+        "headers", F.create_map(F.lit(MESSAGE_ID), own)
+    )
+    parts = _batches(messages)
+    _feed(
+        spark, [parts[0], parts[1], parts[1], parts[2]], topics.ENRICHED,
+        lambda topic: stages.start_storage(
+            once(topic), f"{path}/events", f"{path}/rollups", topics.to_files(f"{path}/dead"),
+            f"{path}/checkpoint", ONCE,
+        ),
+    )
+    return read_events(spark, f"{path}/events").select(
+        "project_id", "event", "user_id", clock.epoch_ms(F.col("ts")).alias("ms")
+    )
+
+
 @register
 def stream_live_feed(spark, folder):
     """The last word of the live feed on each day: events, and users of the day."""

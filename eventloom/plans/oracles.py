@@ -758,6 +758,8 @@ FROM outcomes o LEFT JOIN held h ON h.event_id = o.event_id""",
     "stream_storage": f"""WITH {EVENTS}
 SELECT project_id, event, user_id, country, city, device_type, browser, os,
   CAST(floor(epoch_us(ts) / 1000) AS BIGINT) AS ms FROM analytics_events""",
+    "stream_replayed_topic": f"""WITH {EVENTS}
+SELECT project_id, event, user_id, CAST(floor(epoch_us(ts) / 1000) AS BIGINT) AS ms FROM analytics_events""",
     "stream_live_feed": f"""WITH {EVENTS}
 SELECT project_id, event, CAST(CAST(ts AS DATE) AS VARCHAR) AS day,
   CAST(count(*) AS BIGINT) AS events,

@@ -14,7 +14,7 @@ from eventloom.operators import deadletter, enrich, ingest, rollups, validate
 from eventloom.session import configure, materialise, scratch_scope
 from eventloom.sources import sinks
 from eventloom.sources.topics import Sink
-from eventloom.streaming.state import with_anchors
+from eventloom.streaming.state import MESSAGE_ID, with_anchors
 
 # Time between two announcements, and between two writes.
 LIVE_INTERVAL = "60 seconds"
@@ -72,9 +72,9 @@ def valid_items(bodies: DataFrame) -> DataFrame:
 
 def raw_messages(items: DataFrame) -> DataFrame:
     """Messages for the raw topic."""
-    trace = identity.trace_id(
-        *[F.col(f"place.{part}") for part in ("topic", "partition", "offset", "pos")]
-    )
+    place = [F.col(f"place.{part}") for part in ("topic", "partition", "offset", "pos")]
+    trace = identity.trace_id(*place)
+    own = identity.message_id("ingest", *place)
     event = F.struct(
         F.col("event"),
         F.col("project_id").alias("projectId"),
@@ -86,7 +86,7 @@ def raw_messages(items: DataFrame) -> DataFrame:
     return items.select(
         F.col("project_id").alias("key"),
         F.to_json(event).alias("value"),
-        F.create_map(F.lit("traceId"), trace).alias("headers"),
+        F.create_map(F.lit("traceId"), trace, F.lit(MESSAGE_ID), own).alias("headers"),
         "arrival_ts",
     )
 
@@ -126,6 +126,7 @@ def enriched_messages(valid: DataFrame, ranges: DataFrame) -> DataFrame:
         F.nullif(F.col("trace_id"), F.lit("")),
         identity.trace_id(F.col("topic"), F.col("partition"), F.col("offset")),
     )
+    own = identity.message_id("enrichment", F.col("topic"), F.col("partition"), F.col("offset"))
     event = F.struct(
         F.col("event"),
         F.col("project_id").alias("projectId"),
@@ -145,7 +146,7 @@ def enriched_messages(valid: DataFrame, ranges: DataFrame) -> DataFrame:
     return located.select(
         F.col("project_id").alias("key"),
         F.to_json(event).alias("value"),
-        F.create_map(F.lit("traceId"), trace).alias("headers"),
+        F.create_map(F.lit("traceId"), trace, F.lit(MESSAGE_ID), own).alias("headers"),
         "arrival_ts",
     )
 

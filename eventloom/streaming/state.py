@@ -191,6 +191,33 @@ def with_anchors(
     )
 
 
+#: Header with the id a producer gives a message, and how long readers remember it.
+MESSAGE_ID = "messageId"
+HOLD_SECONDS = 86_400
+
+
+def once(
+    messages: DataFrame, hold_seconds: int = HOLD_SECONDS, delay_seconds: int = 600
+) -> DataFrame:
+    """Messages of a topic without those that a restarted producer published again.
+
+    A producer repeats its last batch at most, so ids are remembered for `hold_seconds`
+    after their first arrival and then forgotten; what is published again later than that
+    passes. Messages without an id, or without a time, pass always.
+    """
+    named = messages.withColumns(
+        {
+            "_message": F.col("headers")[MESSAGE_ID],
+            "_place": F.struct("topic", "partition", "offset"),
+        }
+    )
+    marked = with_anchors(
+        named, ["_message"], "arrival_ts", hold_seconds, delay_seconds, "_place"
+    )
+    first = F.col("sets_anchor") | F.col("anchor_us").isNull()
+    return marked.where(first).select(*messages.columns)
+
+
 # --- quota -------------------------------------------------------------------
 
 #: Windows without a time never end.

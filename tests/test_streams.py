@@ -14,7 +14,7 @@ from eventloom.operators import enrich, ingest, rollups
 from eventloom.session import materialise, scratch_path, scratch_scope
 from eventloom.sources import given, sinks, tables, topics
 from eventloom.streaming import stages
-from eventloom.streaming.state import with_anchors, with_quota
+from eventloom.streaming.state import MESSAGE_ID, once, with_anchors, with_quota
 
 ONCE = {"availableNow": True}
 BASE = 1_700_000_000_000
@@ -352,6 +352,28 @@ def test_quota_is_decided_in_its_batch(spark, tmp_path):
     ]
 
 
+def test_messages_published_again_are_read_once(spark, tmp_path):
+    def part(*rows):
+        frame = spark.createDataFrame(
+            [({MESSAGE_ID: i} if i else {"x": None}, f"v{i}", str(n), s) for n, (i, s) in enumerate(rows)],
+            "headers map<string,string>, value string, offset string, s bigint",
+        )
+        time_ = F.timestamp_seconds("s").alias("arrival_ts")
+        return frame.select("headers", "value", F.lit("t").alias("topic"), F.lit(0).alias("partition"), "offset", time_)
+
+    parts = [
+        part(("a", 0), ("b", 1), ("a", 1), (None, 1), (None, 1)),
+        part(("a", 50), ("b", 51), ("c", 52)),  # published again, with one that is new
+        part(("a", 60), ("d", None), ("d", None)),  # later than ids are held; without a time
+    ]
+    found, _ = run_batches(spark, tmp_path, parts, lambda stream: once(stream, 60, 60))
+    rows = sorted((r.part, r.value, str(r.headers.get("x", "-"))) for r in found.collect())
+    assert rows == [
+        (0, "vNone", "None"), (0, "vNone", "None"), (0, "va", "-"), (0, "vb", "-"),
+        (1, "vc", "-"), (2, "va", "-"), (2, "vd", "-"), (2, "vd", "-"),
+    ]
+
+
 def test_scratch_tables_are_removed(spark):
     with scratch_scope(spark):
         table = materialise(spark.range(3))
