@@ -1,10 +1,10 @@
 """Keyed state of streams, kept in Spark's state store.
 
-A stream is grouped by key; a key's rows of a micro-batch and what is stored of it meet in
-one function on the workers. Only keys of the batch, and those due to be forgotten, are
-handed to Python. Time is the stream's own: the watermark tells when what is stored of a
-key may go, and no row is dropped for being late. The number of shuffle partitions at a
-query's first start is kept by its checkpoint: choose it for the cluster.
+A stream is grouped by key, or by a hash of it; a group's rows of a micro-batch and what is
+stored of it meet in one function on the workers. Only groups of the batch, and those due to
+be forgotten, are handed to Python. Time is the stream's own: the watermark tells when what
+is stored of a key may go, and no row is dropped for being late. The number of shuffle
+partitions at a query's first start is kept by its checkpoint: choose it for the cluster.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ STORE = {
 }
 #: Groups that rows without a key are spread over.
 KEYLESS_GROUPS = 1024
+#: Groups that the keys of anchors are spread over: a batch costs this many calls at most.
+ANCHOR_GROUPS = 16_384
 #: Rows travel as JSON beside their key, time and tie; instants keep their microseconds.
 AS_JSON = {
     "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
@@ -54,10 +56,12 @@ def _stateful(
     added: str,
     stored: str,
     step: Step,
+    groups: int | None = None,
 ) -> DataFrame:
     """The stream's rows with the columns `added` by `step`, which sees a key at a time.
 
-    `key` is JSON text, or NULL for rows that have no state.
+    `key` is JSON text, or NULL for rows that have no state. With `groups`, `step` sees as
+    many hashed groups of keys, and each row's own key as `own`.
     """
     spark = stream.sparkSession
     ship_package(spark)
@@ -69,6 +73,9 @@ def _stateful(
     plain = T.StructType(
         [T.StructField(f.name, T.StringType() if f.name in variant else f.dataType) for f in fields]
     )
+    group = F.col("key")
+    if groups:
+        group = F.concat(F.lit("{"), F.pmod(F.xxhash64("key"), F.lit(groups)).cast("string"))
     rows = (
         stream.select(
             key.alias("key"),
@@ -77,9 +84,14 @@ def _stateful(
             F.to_json(F.struct(*columns), AS_JSON).alias("payload"),
             F.timestamp_micros(us).alias("clock"),
         )
-        .withColumn(
-            "key",
-            F.coalesce("key", F.pmod(F.xxhash64("payload"), F.lit(KEYLESS_GROUPS)).cast("string")),
+        .withColumns(
+            {
+                "own": F.col("key"),
+                "key": F.coalesce(
+                    F.when(F.col("key").isNotNull(), group),
+                    F.pmod(F.xxhash64("payload"), F.lit(KEYLESS_GROUPS)).cast("string"),
+                ),
+            }
         )
         .withWatermark("clock", f"{delay_seconds} seconds")
     )
@@ -131,32 +143,55 @@ def run_anchors(at: np.ndarray, running: int | None, ttl: int) -> np.ndarray:
 
 
 def _anchor_step(ttl: int, wait_ms: int) -> Step:
+    def keep(state: GroupState, held: dict[str, int], touched: set[str]) -> None:
+        """Store running anchors; those that the watermark has passed go, unless just touched."""
+        over = state.getCurrentWatermarkMs() * 1000 - ttl
+        left = {k: a for k, a in held.items() if a > over or k in touched}
+        if left:
+            state.update((list(left), list(left.values())))
+            state.setTimeoutDuration(wait_ms)
+        else:
+            state.remove()
+
     def step(key: tuple, frames: Frames, state: GroupState) -> Frames:
-        if state.hasTimedOut:
-            _forget(state, state.get[0] + ttl, wait_ms)
-            return
         if not key[0].startswith("{"):
             for frame in frames:
                 missing = pd.array([None] * len(frame), dtype="Int64")
                 yield frame[["payload"]].assign(anchor_us=missing, sets_anchor=False)
             return
+        held = dict(zip(*state.get, strict=True)) if state.exists else {}
+        if state.hasTimedOut:
+            keep(state, held, set())
+            return
         rows = pd.concat(list(frames), ignore_index=True)
-        running = state.get[0] if state.exists else None
-        at = rows["us"].to_numpy(dtype=np.int64)
-        if running is not None:
-            at = np.maximum(at, running)
-        anchors = run_anchors(at, running, ttl)
-        anchor = anchors[np.searchsorted(anchors, at, side="right") - 1]
-        sets = np.zeros(len(rows), dtype=bool)
-        first: dict[int, int] = {}
+        codes, names = pd.factorize(rows["own"])
+        anchor = rows["us"].to_numpy(dtype=np.int64).copy()
         ties = rows["tie"].to_numpy()
-        for i in np.flatnonzero(at == anchor):
-            a = int(anchor[i])
-            if a != running and (a not in first or _tie(ties[i]) < _tie(ties[first[a]])):
-                first[a] = i
-        sets[list(first.values())] = True
-        state.update((int(anchors[-1]),))
-        state.setTimeoutDuration(wait_ms)
+        sets = np.zeros(len(rows), dtype=bool)
+        order = np.argsort(codes, kind="stable")
+        ends = np.cumsum(np.bincount(codes))
+        for name, own in zip(names, np.split(order, ends[:-1]), strict=True):
+            running = held.get(name)
+            if len(own) == 1:
+                # Most keys have one row; numpy would cost more than the rest.
+                at = int(anchor[own[0]])
+                sets[own[0]] = running is None or at >= running + ttl
+                held[name] = anchor[own[0]] = at if sets[own[0]] else running
+                continue
+            at = anchor[own]
+            if running is not None:
+                at = np.maximum(at, running)
+            anchors = run_anchors(at, running, ttl)
+            of = anchors[np.searchsorted(anchors, at, side="right") - 1]
+            first: dict[int, int] = {}
+            for i in np.flatnonzero(at == of):
+                a, row = int(of[i]), own[i]
+                if a != running and (a not in first or _tie(ties[row]) < _tie(ties[first[a]])):
+                    first[a] = row
+            sets[list(first.values())] = True
+            anchor[own] = of
+            held[name] = int(anchors[-1])
+        keep(state, held, set(names))
         yield rows[["payload"]].assign(anchor_us=anchor, sets_anchor=sets)
 
     return step
@@ -176,7 +211,8 @@ def with_anchors(
     late one, joins that anchor. A running anchor is forgotten once the latest event lies
     `delay_seconds` behind its end. `tie_col` is unique among the events of a key at one
     instant. Events without a time or a part of their key have no anchor. A task holds the
-    rows that one key has in one micro-batch; the source's limit per trigger bounds them.
+    rows that one group of keys has in one micro-batch, and its running anchors; the source's
+    limit per trigger bounds them.
     """
     us = clock.micros(F.col(ts_col))
     known = us.isNotNull()
@@ -187,7 +223,8 @@ def with_anchors(
     key = F.when(known, F.to_json(F.struct(*keys), AS_JSON))
     return _stateful(
         stream, key, us, [tie_col], delay_seconds,
-        "anchor_us bigint, sets_anchor boolean", "running bigint", _anchor_step(ttl, wait_ms),
+        "anchor_us bigint, sets_anchor boolean", "keys array<string>, running array<bigint>",
+        _anchor_step(ttl, wait_ms), ANCHOR_GROUPS,
     )
 
 

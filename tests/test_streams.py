@@ -334,6 +334,26 @@ def test_what_is_over_leaves_the_state(spark, tmp_path):
     assert kept[-1] == 3
 
 
+def test_calls_are_bounded_by_groups_not_keys(spark, tmp_path, monkeypatch):
+    """Many keys share a group: each keeps its own anchor, and the state has a row per group."""
+    monkeypatch.setattr("eventloom.streaming.state.ANCHOR_GROUPS", 4)
+    keys = [f"k{i}" for i in range(300)]
+    batches = [
+        [(k, i) for i, k in enumerate(keys)] + [(k, 400 + i) for i, k in enumerate(keys)],
+        [(k, 430 + i) for i, k in enumerate(keys)] + [(k, 460 + i) for i, k in enumerate(keys)] + [(None, 1)],
+    ]
+    found, progress = run_batches(
+        spark, tmp_path, [seconds_frame(spark, rows) for rows in batches],
+        lambda stream: with_anchors(stream, ["k"], "ts", 60, 1000, "i"),
+    )
+    got = {(r.k, r.s): (r.anchor_us // 1_000_000, r.sets_anchor) for r in found.where("k is not null").collect()}
+    wanted = {}
+    for i, k in enumerate(keys):
+        wanted |= {(k, at + i): (at + i, True) for at in (0, 400, 460)} | {(k, 430 + i): (400 + i, False)}
+    assert got == wanted
+    assert [p["stateOperators"][0]["numRowsTotal"] for p in progress] == [4, 4]
+
+
 def test_quota_is_decided_in_its_batch(spark, tmp_path):
     batches = [
         [("a", 0), ("a", 5), ("b", 1)],
