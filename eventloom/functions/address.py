@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,25 +39,57 @@ def ipv6_hex(address: Column) -> Column:
     One `::` stands for at least one group of zeros; the last two groups may be
     written as an IPv4 address. Zones are not part of an address.
     """
-    text = F.lower(address)
-    dotted = F.regexp_extract(text, r":([0-9]{1,3}(?:\.[0-9]{1,3}){3})\z", 1)
-    number = F.lpad(F.lower(F.hex(ipv4_number(dotted))), 8, "0")
-    pair = F.concat(F.substring(number, 1, 4), F.lit(":"), F.substring(number, 5, 4))
-    before = F.left(text, F.length(text) - F.length(dotted))
-    plain = F.when(text.contains("."), F.concat(before, pair)).otherwise(text)
-    sides = F.split(plain, "::")
-    groups = [
-        F.when(F.coalesce(F.get(sides, F.lit(i)), F.lit("")) == "", F.array().cast("array<string>"))
-        .otherwise(F.split(F.get(sides, F.lit(i)), ":"))
-        for i in range(2)
-    ]
-    missing = F.lit(8) - F.size(groups[0]) - F.size(groups[1])
-    zeros = F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0)))
-    every = F.concat(groups[0], zeros, groups[1])
-    valid = (
-        (F.size(sides) == 1) & (missing == 0) | (F.size(sides) == 2) & (missing >= 1)
-    ) & F.forall(every, lambda group: group.rlike(r"^[0-9a-f]{1,4}\z"))
-    return F.when(valid, F.array_join(F.transform(every, lambda group: F.lpad(group, 4, "0")), ""))
+
+    def groups_of(side: Column) -> Column:
+        none = F.array().cast("array<string>")
+        return F.when(F.coalesce(side, F.lit("")) == "", none).otherwise(F.split(side, ":"))
+
+    def joined(parts: Column) -> Column:
+        """Digits of the two sides of `::`; the second one may be missing."""
+        first, second, sides = parts["first"], parts["second"], parts["sides"]
+        missing = F.lit(8) - F.size(first) - F.size(second)
+        zeros = F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0)))
+        fits = (sides == 1) & (missing == 0) | (sides == 2) & (missing >= 1)
+        return _bound(
+            F.concat(first, zeros, second),
+            lambda every: F.when(
+                fits & F.forall(every, lambda group: group.rlike(r"^[0-9a-f]{1,4}\z")),
+                F.array_join(F.transform(every, lambda group: F.lpad(group, 4, "0")), ""),
+            ),
+        )
+
+    def plain(text: Column, dotted: Column) -> Column:
+        """Without the IPv4 form of the last two groups."""
+        pair = _bound(
+            F.lpad(F.lower(F.hex(ipv4_number(dotted))), 8, "0"),
+            lambda number: F.concat(F.substring(number, 1, 4), F.lit(":"), F.substring(number, 5, 4)),
+        )
+        before = F.left(text, F.length(text) - F.length(dotted))
+        return F.when(text.contains("."), F.concat(before, pair)).otherwise(text)
+
+    ending = r":([0-9]{1,3}(?:\.[0-9]{1,3}){3})\z"
+    return _bound(
+        F.lower(address),
+        lambda text: _bound(
+            F.split(_bound(F.regexp_extract(text, ending, 1), lambda dotted: plain(text, dotted)), "::"),
+            lambda sides: _bound(
+                F.struct(
+                    groups_of(F.get(sides, F.lit(0))).alias("first"),
+                    groups_of(F.get(sides, F.lit(1))).alias("second"),
+                    F.size(sides).alias("sides"),
+                ),
+                joined,
+            ),
+        ),
+    )
+
+
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that stands in the expression once, however often `body` reads it.
+
+    Otherwise every step would copy the ones before it, and the plan would outgrow the driver.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def ipv6_prefix(digits: Column, bits: int) -> Column:
@@ -72,6 +106,10 @@ def ipv6_prefix(digits: Column, bits: int) -> Column:
 
 def mapped_number(digits: Column) -> Column:
     """The IPv4 number that an IPv6 address stands for, or NULL."""
-    return F.when(
-        F.substring(digits, 1, 24) == MAPPED, F.conv(F.substring(digits, 25, 8), 16, 10).cast("bigint")
-    )
+    number = lambda d: F.conv(F.substring(d, 25, 8), 16, 10).cast("bigint")
+    return _bound(digits, lambda d: F.when(F.substring(d, 1, 24) == MAPPED, number(d)))
+
+
+def unmapped(digits: Column) -> Column:
+    """The digits of an address that does not stand for an IPv4 one, or NULL."""
+    return _bound(digits, lambda d: F.when(F.substring(d, 1, 24) != MAPPED, d))

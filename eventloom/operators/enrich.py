@@ -73,7 +73,7 @@ def geo_enrich(
         placed = numbered.join(places, "ip_number", "left").drop("ip_number")
     if ranges6 is None:
         return placed
-    asked = F.when(ip.mapped_number(digits).isNull(), digits)
+    asked = ip.unmapped(digits)
     found = locate_ipv6(events.select(asked.alias("ip6")).dropna().distinct(), ranges6)
     found = found.select("ip6", F.struct("country", "city").alias("place"))
     # Events without such an address match nothing; a salt spreads them over the tasks.

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from eventloom.functions import address, agents
 from eventloom.operators import deadletter, enrich, health, rollups
+from eventloom.plans.catalogue import REGISTERED
 from eventloom.sources import sinks, tables, topics
 
 
@@ -252,3 +253,10 @@ def test_ipv6_ranges_of_any_ends(spark):
     assert got[None] is None
     none = enrich.geo_enrich(events, v4, ranges6=table.where("false"))
     assert none.where("country is not null").count() == 0 and none.count() == len(asked) + 1
+
+
+def test_ipv6_lookup_keeps_its_plan_small(spark, folder):
+    """Parsing reads its own steps many times; none of them is copied into the plan."""
+    found = REGISTERED["geo_enrich_ipv6"](spark, folder)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 200_000
