@@ -59,7 +59,9 @@ def daily_sketches(events: DataFrame, ts_col: str = "ts") -> DataFrame:
 
 
 def merge_uniques(sketches: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Estimated distinct users of merged sketches."""
+    """Estimated distinct users of merged sketches; of rows with `user_id`, their exact number."""
+    if "user_id" in sketches.columns:
+        return sketches.groupBy(*keys).agg(F.count_distinct("user_id").alias("unique_users"))
     return sketches.groupBy(*keys).agg(
         F.hll_sketch_estimate(F.hll_union_agg("users_sketch")).alias("unique_users")
     )
@@ -89,12 +91,51 @@ def unique_updates(events: DataFrame, ts_col: str = "ts", at_col: str = "arrival
     )
 
 
+def user_updates(events: DataFrame, ts_col: str = "ts", at_col: str = "arrival_ts") -> DataFrame:
+    """`unique_updates` with a row per user instead of a sketch, so that users are counted exactly."""
+    at = F.col(at_col).cast("timestamp_ntz")
+    day = F.col(ts_col).cast("date").alias("day")
+    return (
+        events.where(_named())
+        .groupBy(*KEY, day, clock.bucket(at, "hour").alias("hour"), "user_id")
+        .agg(F.min(at).alias("first_at"), F.max(at).alias("last_at"))
+        .drop("hour")
+    )
+
+
+def _live_users(updates: DataFrame, now: object, days: int) -> DataFrame:
+    """`live_uniques` of `user_updates`: a row per user, with the arrivals of all users of the day."""
+    key = [*KEY, "day"]
+    hour = clock.bucket(F.col("first_at"), "hour").alias("hour")
+    hours = updates.groupBy(*key, hour).agg(
+        F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at")
+    )
+    held = _held(hours, now, days).groupBy(*key).agg(
+        F.min("first_at").alias("_first"), F.max("last_at").alias("_last")
+    )
+    rows = updates.join(held, key).where(F.col("first_at") >= F.col("_first"))
+    return rows.select(
+        *key, "user_id", F.col("_first").alias("first_at"), F.col("_last").alias("last_at")
+    ).distinct()
+
+
 def live_uniques(updates: DataFrame, now: object, days: int = UNIQUES_DAYS) -> DataFrame:
     """One row per project, event and day that is alive at `now`, in the form of the updates.
 
     Users of a day are forgotten `days` after their last update, whenever the day was; what
     comes later begins anew. Updates are taken by arrival, however they were dealt to batches.
     """
+    if "user_id" in updates.columns:
+        return _live_users(updates, now, days)
+    return _held(updates, now, days).groupBy(*KEY, "day").agg(
+        F.min("first_at").alias("first_at"),
+        F.max("last_at").alias("last_at"),
+        F.hll_union_agg("users_sketch").alias("users_sketch"),
+    )
+
+
+def _held(updates: DataFrame, now: object, days: int) -> DataFrame:
+    """Updates that are not forgotten at `now`."""
     key = [*KEY, "day"]
     life = F.make_dt_interval(days=F.lit(days))
     own = Window.partitionBy(*key)
@@ -106,11 +147,7 @@ def live_uniques(updates: DataFrame, now: object, days: int = UNIQUES_DAYS) -> D
     )
     held = F.col("_start").isNull() | (F.col("first_at") >= F.col("_start"))
     alive = F.col("_last") + life > F.lit(now).cast("timestamp_ntz")
-    return rows.where(held & alive).groupBy(*key).agg(
-        F.min("first_at").alias("first_at"),
-        F.max("last_at").alias("last_at"),
-        F.hll_union_agg("users_sketch").alias("users_sketch"),
-    )
+    return rows.where(held & alive)
 
 
 def build_rollups(events: DataFrame, ts_col: str = "ts") -> DataFrame:

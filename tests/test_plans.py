@@ -167,6 +167,22 @@ def test_kept_users_go_a_week_after_their_last_update(spark):
     assert alive(small.unionByName(parts[1]), "2024-01-09 00:00:00") == {"2024-01-01": 3, "2024-01-02": 1}
 
 
+def test_kept_users_are_counted_exactly(spark):
+    def part(low, high, at):
+        return rollups.user_updates(
+            users_of(spark, [("x", "2024-01-01 05:00:00", at)]).drop("user_id").crossJoin(
+                spark.range(low, high).select(F.col("id").cast("string").alias("user_id"))
+            )
+        )
+
+    old, new, more = (part(9000, 9100, "2024-01-01 05:00:00"), part(0, 4000, "2024-01-09 05:10:00"),
+                      part(3000, 5000, "2024-01-09 05:50:00"))
+    small = rollups.live_uniques(old.unionByName(new), "2024-01-09 06:00:00")
+    live = rollups.live_uniques(small.unionByName(more), "2024-01-09 06:00:00")
+    # Users of the first week are forgotten; the others count once.
+    assert [r["unique_users"] for r in rollups.merge_uniques(live, ["day"]).collect()] == [5000]
+
+
 def test_days_before_the_first_monday(spark):
     rows = [("p", "x", "u", "1969-12-31 12:00:00"), ("p", "y", "u", "1970-01-04 12:00:00"), ("p", "y", "u", "1970-01-05 00:00:00")]
     events = spark.createDataFrame(rows, "project_id string, event string, user_id string, t string")
