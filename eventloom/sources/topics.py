@@ -18,6 +18,9 @@ FILE_SCHEMA = (
     "key STRING, value STRING, headers MAP<STRING,STRING>, arrival_ts TIMESTAMP"
 )
 
+#: Messages of a file at most: a reader's tasks are as many as the files, however rows were dealt.
+FILE_MESSAGES = 100_000
+
 Sink = Callable[[DataFrame, int], None]
 
 
@@ -126,6 +129,6 @@ def to_files(path: str) -> Sink:
             F.col("arrival_ts") if "arrival_ts" in messages.columns else F.current_timestamp()
         )
         columns = messages.select("key", "value", "headers", arrived.alias("arrival_ts"))
-        columns.write.mode("overwrite").parquet(folder)
+        columns.write.mode("overwrite").option("maxRecordsPerFile", FILE_MESSAGES).parquet(folder)
 
     return write

@@ -34,8 +34,9 @@ STORE = {
 }
 #: Groups that rows without a key are spread over.
 KEYLESS_GROUPS = 1024
-#: Groups that the keys of anchors are spread over: a batch costs this many calls at most.
-ANCHOR_GROUPS = 16_384
+#: Groups that the keys of anchors are spread over: a batch costs this many calls at most, of
+#: some milliseconds each. A checkpoint keeps its groups: choose the number before its first start.
+ANCHOR_GROUPS = 2048
 #: Rows travel as JSON beside their key, time and tie; instants keep their microseconds.
 AS_JSON = {
     "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
@@ -131,15 +132,29 @@ def _tie(text: str) -> tuple:
 # --- anchors -----------------------------------------------------------------
 
 
-def run_anchors(at: np.ndarray, running: int | None, ttl: int) -> np.ndarray:
-    """Anchors of some instants, ascending, from the running one on, which comes first."""
-    values = np.unique(at)
-    found = [] if running is None else [running]
-    i = 0 if running is None else int(np.searchsorted(values, running + ttl))
-    while i < len(values):
-        found.append(int(values[i]))
-        i = int(np.searchsorted(values, found[-1] + ttl))
-    return np.array(found, dtype=np.int64)
+def run_anchors(
+    codes: np.ndarray, us: np.ndarray, ties: np.ndarray, running: list[int | None], ttl: int
+) -> tuple[np.ndarray, list[int]]:
+    """Anchor of every row, and the rows that set one, in one walk over the rows of many keys.
+
+    `codes` number the keys; `running` has the running anchor of each, and is carried on.
+    """
+    order = np.lexsort((us, codes))
+    found, setters = [], []
+    last, run, first = -1, None, None
+    for i, code, at in zip(order.tolist(), codes[order].tolist(), us[order].tolist(), strict=True):
+        if code != last:
+            last, run, first = code, running[code], None
+        if run is None or at >= run + ttl:
+            run = running[code] = at
+            first = i
+            setters.append(i)
+        elif first is not None and at == run and _tie(ties[i]) < _tie(ties[first]):
+            first = setters[-1] = i
+        found.append(run)
+    anchor = np.empty(len(order), dtype=np.int64)
+    anchor[order] = found
+    return anchor, setters
 
 
 def _anchor_step(ttl: int, wait_ms: int) -> Step:
@@ -157,42 +172,23 @@ def _anchor_step(ttl: int, wait_ms: int) -> Step:
         if not key[0].startswith("{"):
             for frame in frames:
                 missing = pd.array([None] * len(frame), dtype="Int64")
-                yield frame[["payload"]].assign(anchor_us=missing, sets_anchor=False)
+                yield pd.DataFrame({"payload": frame["payload"], "anchor_us": missing, "sets_anchor": False})
             return
         held = dict(zip(*state.get, strict=True)) if state.exists else {}
         if state.hasTimedOut:
             keep(state, held, set())
             return
-        rows = pd.concat(list(frames), ignore_index=True)
+        parts = list(frames)
+        rows = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
         codes, names = pd.factorize(rows["own"])
-        anchor = rows["us"].to_numpy(dtype=np.int64).copy()
-        ties = rows["tie"].to_numpy()
+        running = [held.get(name) for name in names]
+        us = rows["us"].to_numpy(dtype=np.int64)
+        anchor, setters = run_anchors(codes, us, rows["tie"].to_numpy(), running, ttl)
         sets = np.zeros(len(rows), dtype=bool)
-        order = np.argsort(codes, kind="stable")
-        ends = np.cumsum(np.bincount(codes))
-        for name, own in zip(names, np.split(order, ends[:-1]), strict=True):
-            running = held.get(name)
-            if len(own) == 1:
-                # Most keys have one row; numpy would cost more than the rest.
-                at = int(anchor[own[0]])
-                sets[own[0]] = running is None or at >= running + ttl
-                held[name] = anchor[own[0]] = at if sets[own[0]] else running
-                continue
-            at = anchor[own]
-            if running is not None:
-                at = np.maximum(at, running)
-            anchors = run_anchors(at, running, ttl)
-            of = anchors[np.searchsorted(anchors, at, side="right") - 1]
-            first: dict[int, int] = {}
-            for i in np.flatnonzero(at == of):
-                a, row = int(of[i]), own[i]
-                if a != running and (a not in first or _tie(ties[row]) < _tie(ties[first[a]])):
-                    first[a] = row
-            sets[list(first.values())] = True
-            anchor[own] = of
-            held[name] = int(anchors[-1])
+        sets[setters] = True
+        held.update(zip(names, running, strict=True))
         keep(state, held, set(names))
-        yield rows[["payload"]].assign(anchor_us=anchor, sets_anchor=sets)
+        yield pd.DataFrame({"payload": rows["payload"], "anchor_us": anchor, "sets_anchor": sets})
 
     return step
 

@@ -6,6 +6,7 @@ import json
 import pathlib
 import time
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from eventloom.operators import enrich, ingest, rollups
 from eventloom.session import materialise, scratch_path, scratch_scope
 from eventloom.sources import given, sinks, tables, topics
 from eventloom.streaming import stages
-from eventloom.streaming.state import MESSAGE_ID, once, with_anchors, with_quota
+from eventloom.streaming.state import MESSAGE_ID, once, run_anchors, with_anchors, with_quota
 
 ONCE = {"availableNow": True}
 BASE = 1_700_000_000_000
@@ -368,6 +369,40 @@ def test_calls_are_bounded_by_groups_not_keys(spark, tmp_path, monkeypatch):
     assert [p["stateOperators"][0]["numRowsTotal"] for p in progress] == [4, 4]
 
 
+def test_anchors_of_many_keys_in_one_walk():
+    """Same as a loop over each key's rows; of ties at one instant the least sets the anchor."""
+    rng = np.random.default_rng(7)
+    codes, us = rng.integers(0, 40, 2000), rng.integers(0, 500, 2000)
+    ties = np.array([json.dumps({"i": int(i)}) for i in rng.permutation(2000)], dtype=object)
+    before = [int(at) if at % 3 else None for at in rng.integers(0, 300, 40)]
+    running = list(before)
+    anchor, setters = run_anchors(codes, us, ties, running, 60)
+    wanted, setting = np.zeros(2000, dtype=np.int64), set()
+    for code in range(40):
+        run = before[code]
+        own = np.flatnonzero(codes == code)
+        for i in sorted(own, key=lambda i: (us[i], json.loads(ties[i])["i"])):
+            if run is None or us[i] >= run + 60:
+                run = us[i]
+                setting.add(int(i))
+            wanted[i] = run
+        assert running[code] == run
+    assert (anchor == wanted).all() and set(setters) == setting
+
+
+def test_a_few_large_partitions_are_read_by_many_tasks(spark, tmp_path, monkeypatch):
+    """Files of a batch are bounded, so the next stage is spread however the rows were dealt."""
+    monkeypatch.setattr("eventloom.sources.topics.FILE_MESSAGES", 10)
+    rows = spark.range(95).coalesce(1).select(
+        F.lit("p").alias("key"), F.col("id").cast("string").alias("value"),
+        F.create_map(F.lit("h"), F.lit("1")).alias("headers"), F.timestamp_seconds("id").alias("arrival_ts"),
+    )
+    topics.to_files(f"{tmp_path}/topic")(rows, 0)
+    assert len(list(pathlib.Path(f"{tmp_path}/topic/batch=0").glob("*.parquet"))) == 10
+    found = spark.read.parquet(f"{tmp_path}/topic")
+    assert sorted(int(r.value) for r in found.collect()) == list(range(95))
+
+
 def test_quota_is_decided_in_its_batch(spark, tmp_path):
     batches = [
         [("a", 0), ("a", 5), ("b", 1)],
