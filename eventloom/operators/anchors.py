@@ -26,7 +26,7 @@ Islands are solved in three ways:
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -349,6 +349,55 @@ def _with_parent(nodes: DataFrame, fan_in: int | None) -> DataFrame:
     return nodes.withColumn("parent", parent)
 
 
+# Rows that are handed back together.
+OUTPUT_ROWS = 10_000
+
+
+def _per_node(
+    rows: DataFrame, keys: list[str], step: Callable[[tuple, pa.Table], pa.Table], schema: T.StructType
+) -> DataFrame:
+    """`step` of the rows of every node.
+
+    Nodes are many and most are small, so they are read from sorted partitions: a call for
+    each would cost far more than its work. A task holds one node at a time.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done, size = [], 0
+        for node in whole_nodes(batches, keys):
+            done.append(step(tuple(node.column(k)[0] for k in keys), node))
+            size += done[-1].num_rows
+            if size >= OUTPUT_ROWS:
+                yield from pa.concat_tables(done).combine_chunks().to_batches()
+                done, size = [], 0
+        if size:
+            yield from pa.concat_tables(done).combine_chunks().to_batches()
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
+def whole_nodes(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Rows that follow each other and have the same keys, however they are cut into batches."""
+    held: list[pa.Table] = []
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        if not table.num_rows:
+            continue
+        before = [held[-1].slice(held[-1].num_rows - 1)] if held else []
+        seen = pa.concat_tables([*before, table])
+        changed = np.zeros(seen.num_rows - 1, dtype=bool)
+        for key in keys:
+            codes = seen.column(key).combine_chunks().dictionary_encode().indices
+            changed |= np.diff(codes.to_numpy(zero_copy_only=False)) != 0
+        start = 0
+        for edge in (np.flatnonzero(changed) + 1 - len(before)).tolist():
+            yield pa.concat_tables([*held, table.slice(start, edge - start)])
+            held, start = [], edge
+        held.append(table.slice(start))
+    if held:
+        yield pa.concat_tables(held)
+
+
 def _composed(nodes: DataFrame, group: list[str], ttl: int, fan_in: int) -> DataFrame:
     """Functions of the parents from the functions of their children."""
     schema = T.StructType(
@@ -360,9 +409,7 @@ def _composed(nodes: DataFrame, group: list[str], ttl: int, fan_in: int) -> Data
         xs, ys = compose_steps(_children(rows), ttl)
         return _filled(key, schema, {"x": xs, "y": ys})
 
-    return (
-        _with_parent(nodes, fan_in).groupBy(*group, "parent").applyInArrow(compose, schema)
-    )
+    return _per_node(_with_parent(nodes, fan_in), [*group, "parent"], compose, schema)
 
 
 def _handed_down(
@@ -384,7 +431,7 @@ def _handed_down(
         return _filled(key[:-1], schema, {"parent": numbers, "ends": starts})
 
     joined = _with_parent(nodes, None if top else fan_in).join(entries, [*group, "parent"])
-    return joined.groupBy(*group, "parent").applyInArrow(descend, schema)
+    return _per_node(joined, [*group, "parent"], descend, schema)
 
 
 def _anchors_of(
@@ -407,7 +454,7 @@ def _anchors_of(
         return _filled(key[: len(keys)], schema, {"anchor_us": found})
 
     joined = _with_parent(leaves, fan_in).join(entries, [*group, "parent"])
-    return joined.groupBy(*group, "parent").applyInArrow(walk, schema)
+    return _per_node(joined, [*group, "parent"], walk, schema)
 
 
 def _filled(key: tuple, schema: T.StructType, values: dict[str, Sequence[int]]) -> pa.Table:

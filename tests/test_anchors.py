@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from eventloom.operators import ingest
-from eventloom.operators.anchors import anchor_table, attach_anchors
+from eventloom.operators.anchors import anchor_table, attach_anchors, whole_nodes
 
 TTL = 60
 SECOND = 1_000_000
@@ -79,3 +80,22 @@ def test_duplicates_at_one_instant(spark, options):
         ("a", 60, 4),
         ("b", 7, 1),
     ]
+
+
+def test_nodes_are_whole_however_batches_are_cut():
+    """Many small nodes share a batch, one node may span several; NaN is one key."""
+    names = [("a", 1.0)] * 3 + [("a", float("nan"))] * 2 + [("b", 1.0)] * 7 + [("c", 2.0)]
+    table = pa.table({"k": [n for n, _ in names], "p": [v for _, v in names], "x": list(range(len(names)))})
+    for size in (1, 2, 5, 100):
+        nodes = list(whole_nodes(iter(table.to_batches(max_chunksize=size)), ["k", "p"]))
+        assert [node.column("x").to_pylist() for node in nodes] == [
+            [0, 1, 2], [3, 4], [5, 6, 7, 8, 9, 10, 11], [12],
+        ]
+
+
+def test_tree_reads_nodes_from_partitions(spark, dense):
+    """A call in Python per node would grow with the keys."""
+    frame = spark.createDataFrame(dense)
+    found = attach_anchors(frame, ["k"], "us", TTL, light_events=1, fold_limit=0, fan_in=2)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapGroupsInArrow" not in plan
