@@ -69,8 +69,12 @@ def geo_enrich(
             *[F.col(f"e.{name}") for name in events.columns], "r.country", "r.city"
         )
     else:
-        places = _locate(numbered.select("ip_number").dropna().distinct(), pieces)
-        placed = numbered.join(places, "ip_number", "left").drop("ip_number")
+        # One row without a number may stay: a filter would read every address a second time.
+        places = _locate(numbered.select("ip_number").distinct(), pieces)
+        # Events without a number match nothing; a salt below zero spreads them over the tasks.
+        salt = -1 - F.monotonically_increasing_id() % 1024
+        keyed = numbered.withColumn("ip_number", F.coalesce("ip_number", salt))
+        placed = keyed.join(places, "ip_number", "left").drop("ip_number")
     if ranges6 is None:
         return placed
     asked = ip.unmapped(digits)

@@ -92,6 +92,24 @@ def test_overlapping_ranges_agree_on_both_ways(spark):
         assert got == places
 
 
+def test_many_ranges_read_an_address_once_a_scan(spark):
+    """In all its spellings; events without an address keep their row."""
+    texts = ["10.0.1.7", "010.0.1.7", "::ffff:10.0.1.7", "::FFFF:0a00:0107", "10.0.99.1", "no", None, "10.0.1.7"]
+    rows = [(i, text) for i, text in enumerate(texts)]
+    events = spark.createDataFrame(rows, "event_id int, address string")
+    start = 10 << 24
+    ranges = spark.createDataFrame(
+        [(start, start + 1023, "A", "a")], "start_ip long, end_ip long, country string, city string"
+    )
+    located = enrich.geo_enrich(events, ranges, small_ranges=0)
+    reading = [line for line in plan_of(located).splitlines() if "split(" in line]
+    # Once to find the distinct ones, once to join them back; no filter reads them again.
+    assert len(reading) == 2 and not any("Filter" in line for line in reading)
+    assert located.columns == ["event_id", "address", "country", "city"]
+    places = [(r.country, r.city) for r in located.orderBy("event_id").collect()]
+    assert places == [("A", "a")] * 4 + [(None, None)] * 3 + [("A", "a")]
+
+
 def test_retention_of_kept_days_reads_no_events(spark, folder):
     events = given.analytics_events(spark, folder)
     path = scratch_path(spark)
