@@ -149,25 +149,25 @@ def _held_texts(found: DataFrame) -> DataFrame:
     return texts.select("text_key", "held", "base", words.alias("words"))
 
 
-def _marked(slot: Column, rows: DataFrame) -> bytes:
-    """A map of MAP_BITS bits with those of the rows' slots set; its size is fixed."""
-    words = (
-        rows.select(slot.alias("slot"))
-        .groupBy(F.expr("slot div 8").alias("byte"))
-        .agg(F.expr("bit_or(shiftleft(1, cast(slot % 8 as int)))").alias("bits"))
-        .collect()
+def _marked(rows: DataFrame) -> DataFrame:
+    """`word, bits`: a map of MAP_BITS bits with those of the rows' terms set, 64 to a row.
+
+    A table, not a constant: a constant of this size would be written out in every
+    description of every plan that holds it.
+    """
+    return (
+        rows.select(_slot().alias("slot"))
+        .groupBy(F.expr("slot div 64").alias("word"))
+        .agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("bits"))
     )
-    marks = bytearray(MAP_BITS // 8)
-    for row in words:
-        marks[row["byte"]] = row["bits"]
-    return bytes(marks)
 
 
-def _on_map(rows: DataFrame, marks: bytes) -> DataFrame:
+def _on_map(rows: DataFrame, marks: DataFrame) -> DataFrame:
     """The rows whose `term` shares a bit with one that the map was made of."""
-    byte = F.substring(F.lit(marks), F.expr("cast(slot div 8 as int) + 1"), F.lit(1))
-    hit = F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), F.expr("slot % 8").cast("int")) == 1
-    return rows.withColumn("slot", _slot()).where(hit).drop("slot")
+    # MAP_BITS / 64 rows at most, whatever the input, so the map goes to every task.
+    known = rows.withColumn("slot", _slot()).join(F.broadcast(marks), F.expr("slot div 64 = word"))
+    hit = F.getbit("bits", F.expr("cast(slot % 64 as int)")) == 1
+    return known.where(hit).drop("slot", "word", "bits")
 
 
 def _slot() -> Column:
@@ -233,7 +233,7 @@ def disclosing_terms(docs: DataFrame, words: DataFrame, shared: DataFrame, n: fl
     # Words that no candidate shares a bit with are not counted.
     different = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0)))
     alone = docs.select(whole_text().alias("text")).select(F.explode(different).alias("term"))
-    alone = _on_map(alone, _marked(_slot(), candidates)).groupBy("term").agg(
+    alone = _on_map(alone, _marked(candidates)).groupBy("term").agg(
         F.count(F.lit(1)).alias("n_term")
     )
     gained = F.log(F.col("n_both") * F.lit(n) / (F.col("n_term") * F.col("n_entity")))
@@ -272,9 +272,10 @@ def with_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
         return found.sparkSession.createDataFrame(
             [], "key_text bigint, terms array<struct<kind:string,start:bigint,stop:bigint,action:string>>"
         )
+    marks = _marked(disclosing)
     # A word that discloses two entities counts once, by the stronger action.
     hits = (
-        _on_map(words, _marked(_slot(), disclosing))
+        _on_map(words, marks)
         .select("text_key", "term", F.explode("entities.entity").alias("entity"))
         .join(disclosing, ["entity", "term"])
         .groupBy("text_key", "term")
@@ -287,7 +288,7 @@ def with_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
     )
     # Places are joined with the words, not looked up in a list of them, which a
     # long text would walk once per place.
-    placed = _on_map(placed.withColumn("term", F.lower("place.value")), _marked(_slot(), disclosing))
+    placed = _on_map(placed.withColumn("term", F.lower("place.value")), marks)
     spans = F.array_sort(
         F.collect_list(F.struct("place.start", "place.stop", "place.kind", "action"))
     )

@@ -233,6 +233,36 @@ def test_two_texts_are_no_evidence(spark):
     assert all(clean[i] == text for i, text in rows[:200])
 
 
+def test_the_map_of_terms_is_in_no_plan(spark, monkeypatch):
+    """The driver keeps a plan's description several times; the map's size must not be in it."""
+    rows = [(i, f"ordinary words about nothing number{i} from somewhere") for i in range(60)]
+    rows += [(400 + i, f"{n} memo of Quillon via q@mail.example.com") for i, n in enumerate("abcd")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    longest = lambda df: max(map(len, str(df._jdf.queryExecution()).splitlines()))
+    seen, write = [], privacy.materialise
+    monkeypatch.setattr(privacy, "materialise", lambda df: seen.append(longest(df)) or write(df))
+    found = privacy.entities(docs)
+    terms = privacy.with_terms(docs, found)
+    assert len(seen) == 5 and terms.count() == 4
+    assert max(longest(terms), *seen) < privacy.MAP_BITS // 8
+
+
+def test_terms_on_the_map(spark):
+    """Rows of a term on the map stay as often as they are there; the map has 64 bits to a row."""
+    names = spark.createDataFrame([(f"name{i}",) for i in range(5000)], "term string")
+    marks = privacy._marked(names.union(names))
+    bits = names.select(privacy._slot().alias("slot")).distinct()
+    assert marks.agg(F.sum(F.bit_count("bits"))).first()[0] == bits.count()
+    assert marks.count() == bits.select(F.expr("slot div 64")).distinct().count()
+    others = spark.createDataFrame([(f"other{i}",) for i in range(5000)], "term string")
+    rows = names.union(names).union(others).withColumn("n", F.lit(1))
+    got = privacy._on_map(rows, marks)
+    want = rows.withColumn("slot", privacy._slot()).join(bits, "slot", "left_semi").select("term", "n")
+    assert got.columns == ["term", "n"] and got.count() >= 10000
+    assert sorted(got.collect()) == sorted(want.collect())
+    assert privacy._on_map(rows, marks.where("false")).count() == 0
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_spans_against_brute_force(spark, seed):
     """Spans apart from others, and replaced spans, overlapping and nested ones too."""
